@@ -23,11 +23,11 @@ from ._store import bound_batches, materialize
 
 #: Weights dealt to the sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Documents per bucket of the first level, and buckets that one node of the tree combines.
-BUCKET_ROWS, FAN_IN = 20_000, 64
+#: Documents per bucket of the first level (about), and buckets that one node of the tree combines.
+BUCKET_ROWS, FAN_IN = 1_000, 64
 _EPS = 1e-9
 
-_ROUNDED = "n_row long, doc_id long, source string, size long, base long, p double, bucket long, done boolean"
+_ROUNDED = "n_row long, doc_id long, source string, size long, base long, p double, bucket long, nodes long, done boolean"
 
 
 def with_size(docs: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     return (
         capped.withColumn("level", level)
         .withColumn("level", F.max(open_).over(whole))
-        .select("source", "source_size", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
+        .select("source", "source_size", "nodes", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
     )
 
 
@@ -94,7 +94,7 @@ def _clean(p: float) -> float:
     return 0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p
 
 
-def round_rows(keys: list[int], sizes: list[int], ps: list[float], seed: int, last: bool, reserve: int = 8) -> list[float]:
+def round_rows(keys: list[int], sizes: list[int], ps: list[float], seed: int, last: bool, reserve: int = 16) -> list[float]:
     """Round the fractions of one source's rows, which come largest first.
 
     All but the smallest few are paired and rounded at random.  What is left over, and those few,
@@ -122,13 +122,14 @@ def round_rows(keys: list[int], sizes: list[int], ps: list[float], seed: int, la
     return out
 
 
-def _rounder(seed: int, last: bool):
+def _rounder(seed: int):
     def rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by (bucket, source), largest first; such a node is held whole, and is bounded."""
         held: dict[str, list] = {}
         schema = None
 
         def flush() -> pa.RecordBatch:
+            last = held["nodes"][0] == 1
             ps = round_rows(held["n_row"], held["size"], held["p"], seed, last)
             done = [last or not 0 < p < 1 for p in ps]
             return pa.RecordBatch.from_pydict({**held, "p": ps, "done": done}, schema=schema)
@@ -161,9 +162,9 @@ def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tupl
     ids, sources and sizes, never texts.
     """
     sized = materialize(with_size(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), "mix-sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / bucket_rows).alias("nodes"))
     target = materialize(targets(per_source, share, most, weights), "mix-targets")
-    buckets = max(1, -(-sized.count() // bucket_rows))
+    nodes = target.agg(F.max("nodes")).first()[0] or 1
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     start = (
         sized.join(F.broadcast(target) if target.count() <= 100_000 else target, sized.source.eqNullSafe(target.source), "left")
@@ -173,20 +174,18 @@ def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tupl
         .withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
         .withColumn("base", F.when(F.col("size") > 0, F.col("base")).otherwise(F.lit(0).cast("long")))
         .withColumn("n_row", F.xxhash64("doc_id", "source", "size"))
-        .withColumn("bucket", F.pmod("n_row", F.lit(buckets)))
+        .withColumn("bucket", F.pmod("n_row", "nodes"))
         .withColumn("done", F.lit(False))
-        .select("n_row", "doc_id", "source", "size", "base", "p", "bucket", "done")
+        .select("n_row", "doc_id", "source", "size", "base", "p", "bucket", "nodes", "done")
     )
     done, level = [], start
     while True:
-        last = buckets == 1
-        out = materialize(_level(level, seed, last), "mix-level")
+        out = materialize(_level(level, seed), "mix-level")
         done.append(out.where("done"))
-        if last:
+        if nodes == 1:
             break
-        buckets = -(-buckets // fan_in)
-        level = out.where("not done").withColumn("bucket", F.pmod("bucket", F.lit(buckets)))
-        seed += 1
+        nodes, seed = -(-nodes // fan_in), seed + 1
+        level = out.where("not done").withColumn("nodes", F.ceil(F.col("nodes") / fan_in)).withColumn("bucket", F.pmod("bucket", "nodes"))
     rounded = done[0]
     for more in done[1:]:
         rounded = rounded.unionByName(more)
@@ -196,9 +195,10 @@ def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tupl
     )
 
 
-def _level(rows: DataFrame, seed: int, last: bool) -> DataFrame:
+def _level(rows: DataFrame, seed: int) -> DataFrame:
+    """Round each node, a bucket of one source; a large source has as many more of them."""
     ordered = rows.repartition("bucket", "source").sortWithinPartitions("bucket", "source", F.col("size").desc(), "n_row", "doc_id")
-    return ordered.mapInArrow(_rounder(seed, last), _ROUNDED)
+    return ordered.mapInArrow(_rounder(seed), _ROUNDED)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
