@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenlake.llm import decontam, jaccard, mixing, nbsvm, records
-from lumenlake.llm._store import materialize
+from lumenlake.llm._store import materialize, set_aside
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fit on the labelled ones among them, does not reject."""
     model = nbsvm.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return nbsvm.score(docs, model).where("predicted = 1").select(*docs.columns)
+    docs, restored = set_aside(docs, "doc_id", "text")
+    return nbsvm.score(docs, model).where("predicted = 1").select(*restored)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Upper bound of one Arrow batch handed to Python, so that long texts never pile up in a worker.
 BATCH_BYTES = 8 << 20
@@ -39,3 +40,10 @@ def bound_batches(spark: SparkSession, rows: int = 10_000, size: int = BATCH_BYT
     """Bound Arrow batches by bytes as well as rows for the Python stages that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def set_aside(df: DataFrame, *keep: str) -> tuple[DataFrame, list]:
+    """df with all columns but `keep` under names that no operator uses, and the select list that gives
+    them their own names and order back."""
+    names = {c: c if c in keep else f"__kept_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), [F.col(new).alias(old) for old, new in names.items()]

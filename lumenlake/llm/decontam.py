@@ -2,8 +2,8 @@
 
 Words are alphanumeric runs, lower-cased.  Each shard of documents (a bounded run of words inside one
 task) gets a suffix array over its words, ordered by word hash; every suffix of every benchmark item
-is binary-searched in it.  The suffix's neighbours in the array give its longest verbatim match; the
-range of suffixes that begin with a window gives all places where the window occurs.
+is binary-searched in it.  The range of suffixes that begin with a window gives all places where the
+window occurs; from there matches are followed to their end, which gives the longest verbatim ones.
 
 Texts are scanned once per block of benchmark items.  A block holds a bounded number of words, so
 what tasks receive is bounded however large the benchmark is.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._store import bound_batches, materialize
+from ._store import bound_batches, materialize, set_aside
 
 #: Words of a window; an item with fewer is one window.
 WINDOW = 13
@@ -245,9 +245,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORD
     nulls if no window occurs).
 
     Null texts have no words; items without words and an empty benchmark hit nothing; equal rows stay
-    rows of their own.  One pass over the texts per block of benchmark items, without a shuffle if
+    rows of their own; columns of docs that have such a name are replaced.  One pass over the texts per block of benchmark items, without a shuffle if
     there is one block.
     """
+    docs = docs.drop(*_FOUND)
     spark = docs.sparkSession
     bound_batches(spark)
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_words)]
@@ -277,4 +278,5 @@ def flagged(docs: DataFrame, benchmark: DataFrame, share: int = 20, **options) -
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones."""
-    return flagged(docs, benchmark, **options).where("not contaminated").select(*docs.columns)
+    docs, restored = set_aside(docs, "text")
+    return flagged(docs, benchmark, **options).where("not contaminated").select(*restored)

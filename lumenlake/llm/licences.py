@@ -77,7 +77,7 @@ RULES = [
 ]
 
 #: Every known sentence has one of these; a text without any is not cut at all.
-TRIGGER = "(?i)licens|copyright|software|rights reserved|public domain|modification"
+TRIGGER = "(?i)licens|copyright|software|rights reserved|public domain|modification|warrant"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import _text
-from ._store import bound_batches, materialize
+from ._store import bound_batches, materialize, set_aside
 
 #: Weights dealt to the sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -31,7 +31,9 @@ _ROUNDED = "n_row long, doc_id long, source string, size long, base long, p doub
 
 
 def with_size(docs: DataFrame) -> DataFrame:
-    """docs with `size`: the number of runs of other characters than space and \\t-\\r; null has 0."""
+    """docs with `size` (in place of one that it has): the number of runs of other characters than space
+    and \\t-\\r; null has 0."""
+    docs = docs.drop("size")
     bound_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("size", T.LongType())])
     at = docs.columns.index("text")
@@ -94,18 +96,22 @@ def _clean(p: float) -> float:
     return 0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p
 
 
-def round_rows(keys: list[int], sizes: list[int], ps: list[float], seed: int, last: bool, reserve: int = 16) -> list[float]:
+def round_rows(keys: list[int], sizes: list[int], ps: list[float], seed: int, last: bool, reserve: int = 2) -> list[float]:
     """Round the fractions of one source's rows, which come largest first.
 
-    All but the smallest few are paired and rounded at random.  What is left over, and those few,
-    stay fractional for the next level of the tree; at the last one each takes the integer that
-    brings the source nearest to its target, from the largest to the smallest.
+    All are paired and rounded at random, but for `reserve` rows of each power of two of sizes.  What
+    is left over, and those few, stay fractional for the next level of the tree; at the last one each
+    takes the integer that brings the source nearest to its target, from the largest to the smallest.
     """
     out = [_clean(p) for p in ps]
     open_ = [i for i, p in enumerate(out) if 0 < p < 1]
-    free, kept = open_[: len(open_) - reserve], open_[len(open_) - reserve :] if len(open_) > reserve else open_
-    if len(open_) <= reserve:
-        free = []
+    kept, held = set(), {}
+    for i in reversed(open_):
+        size = sizes[i].bit_length()
+        held[size] = held.get(size, 0) + 1
+        if held[size] <= reserve:
+            kept.add(i)
+    free = [i for i in open_ if i not in kept]
     waiting: int | None = None
     for i in free:
         if waiting is None:
@@ -116,7 +122,8 @@ def round_rows(keys: list[int], sizes: list[int], ps: list[float], seed: int, la
         waiting = j if 0 < out[j] < 1 else i if 0 < out[i] < 1 else None
     if last:
         error = 0.0
-        for i in ([] if waiting is None else [waiting]) + kept:
+        rest = kept if waiting is None else kept | {waiting}
+        for i in sorted(rest, key=lambda i: (-sizes[i], i)):
             up, down = error + (1 - out[i]) * sizes[i], error - out[i] * sizes[i]
             out[i], error = (1.0, up) if abs(up) < abs(down) else (0.0, down)
     return out
@@ -207,6 +214,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Rows that agree in doc_id, source and size are interchangeable, so their summed copies are dealt
     out evenly among them.
     """
+    docs, restored = set_aside(docs, "doc_id", "source", "text")
     key = F.xxhash64("doc_id", "source", "size")
     plan = copies(docs, **options).withColumn("__key", key).groupBy("__key").agg(F.sum("copies").alias("__total"), F.count("*").alias("__rows"))
     keyed = with_size(docs).withColumn("__key", key)
@@ -218,5 +226,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         .withColumn("__copies", each.cast("int"))
         .where("__copies > 0")
         .withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*docs.columns)
+        .select(*restored)
     )

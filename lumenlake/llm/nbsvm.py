@@ -200,8 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, folds:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, folds: int = 5) -> DataFrame:
-    """docs with score (0 to 1), predicted (1 from threshold on) and held_out (fold 0; false for a null
+    """docs with (in place of columns of these names) score (0 to 1), predicted (1 from threshold on) and held_out (fold 0; false for a null
     doc_id).  A null text scores as an empty one, which has no features but the bias."""
+    docs = docs.drop("score", "predicted", "held_out")
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
