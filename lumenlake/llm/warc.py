@@ -138,17 +138,17 @@ def _file(base: str, number: int) -> str:
 
 
 def plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """pages (page_id, url, html) with payload, digest and `first`: the smallest page_id of an equal
-    payload of `least` bytes or more that occurs more than once, else null.
+    """Rows to archive, and before the rows of a page one (`page` false) that tells the `first` page of an
+    equal payload, where a payload of `least` bytes or more occurs more than once.
 
-    Digests of equal payloads are counted before the shuffle, and only ids and digests meet in the
-    join by digest; payloads are shuffled by page_id."""
+    Digests of equal payloads are counted before the shuffle, and only ids and digests meet in the join
+    by digest.  Payloads are shuffled once, by page_id, together with what was found out about them."""
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     slim = own.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= least)
     repeated = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    firsts = slim.select("page_id", "digest").distinct().join(repeated, "digest").select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "first")
-    same = own.page_id.eqNullSafe(F.col("__page")) & (own.digest == F.col("__digest"))
-    return own.join(firsts, same, "left").drop("__page", "__digest")
+    firsts = slim.select("page_id", "digest").distinct().join(repeated, "digest")
+    told = firsts.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.lit(False).alias("page"), "first")
+    return told.unionByName(own.withColumns({"page": F.lit(True), "first": F.lit(None).cast("long")}))
 
 
 def write(pages: DataFrame, path: str, files: int | None = None, date: str = "2024-01-01T00:00:00Z", least: int = LEAST_REVISIT, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -166,7 +166,8 @@ def write(pages: DataFrame, path: str, files: int | None = None, date: str = "20
         fs, base = open_store(store)
         fs.create_dir(base, recursive=True)
         number = TaskContext.get().partitionId()
-        temporary, before, position = f"{_file(base, number)}.{uuid.uuid4().hex}", None, 0
+        temporary, position = f"{_file(base, number)}.{uuid.uuid4().hex}", 0
+        before = known = first = None
         waiting: list[int | None] = []
 
         def placed(spots: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -181,7 +182,12 @@ def write(pages: DataFrame, path: str, files: int | None = None, date: str = "20
             writer = Writer(out, sample_bytes)
             for batch in batches:
                 spots: list[tuple[int, int]] = []
-                for page_id, url, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for page_id, url, payload, digest, page, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if not page:
+                        known, first = (page_id, digest), told
+                        continue
+                    if known != (page_id, digest):
+                        first = None
                     revisit = first is not None and (page_id != first or before == (page_id, digest))
                     before = (page_id, digest)
                     waiting.append(page_id)
@@ -190,8 +196,8 @@ def write(pages: DataFrame, path: str, files: int | None = None, date: str = "20
             yield placed(writer.close())
         fs.move(temporary, _file(base, number))
 
-    rows = plan(pages, least).select("page_id", "url", "payload", "digest", "first")
-    rows = rows.repartition(files, "page_id").sortWithinPartitions("page_id", "digest", "url")
+    rows = plan(pages, least).select("page_id", "url", "payload", "digest", "page", "first")
+    rows = rows.repartition(files, "page_id").sortWithinPartitions("page_id", "digest", "page", "url")
     rows.mapInArrow(written, _INDEX).write.mode("overwrite").parquet(f"{path}/index")
     return spark.read.schema(_INDEX).parquet(f"{path}/index")
 
