@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 
@@ -104,3 +108,33 @@ def replace_tenant(df: DataFrame, path: str, tenant: str = "user_id") -> None:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def fold_by(df: DataFrame, key: str, order: list[Column], fold: Callable[[object, list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """An order-dependent fold per key: fold(key, rows) gives the tuples of the result.
+
+    Rows are sorted in the JVM and come as Arrow batches of many keys, so that small groups cost no call
+    of their own; one key's rows are held at a time.  They must fit a task, so give summaries of what is
+    folded, not the items themselves."""
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if held and held[0][key] != row[key]:
+                    out += fold(held[0][key], held)
+                    held = []
+                held.append(row)
+            yield _batch(names, out)
+        if held:
+            yield _batch(names, list(fold(held[0][key], held)))
+
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def _batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.types, strict=True)], names)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

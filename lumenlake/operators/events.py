@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine, haversine_km, missing
-from ..operators.common import completed
+from ..operators.common import completed, fold_by
 
 # Gaps, distances and thresholds of the clustering.
 GAP_HOURS, LEAST_IMAGES = 6, 3
@@ -160,24 +160,18 @@ def cluster(images: DataFrame, vectors: DataFrame, faces: DataFrame, cosine: flo
     people = slots.join(faces.select("image_id", "cluster_id"), "image_id").groupBy("user_id", "bucket").agg(F.collect_set(F.struct("image_id", "cluster_id")).alias("people"))
     ready = buckets.join(looks, ["user_id", "bucket"], "left").join(people, ["user_id", "bucket"], "left")
 
-    def fold(key, pdf):
-        import pandas as pd
-
-        rows, vecs, clusters = [], {}, {}
-        for r in pdf.sort_values("bucket").to_dict("records"):
-            start, end = (None if pd.isna(r[c]) else r[c].to_pydatetime() for c in ("start_at", "end_at"))
-            lat, lng = (None if pd.isna(r[c]) else float(r[c]) for c in ("lat", "lng"))
-            rows.append({"images": [int(i) for i in r["images"]], "start_at": start, "end_at": end, "lat": lat, "lng": lng})
-            for x in r["looks"] if r["looks"] is not None else []:
-                vecs[int(x["image_id"])] = [float(y) for y in x["v"]]
-            for x in r["people"] if r["people"] is not None else []:
-                clusters.setdefault(int(x["image_id"]), set()).add(int(x["cluster_id"]))
-        merged = merge_faces(merge_looks(merge_places(rows), vecs, cosine), clusters)
+    def fold(user, rows):
+        buckets_, vecs, clusters = [], {}, {}
+        for r in rows:
+            buckets_.append({c: r[c] for c in ("images", "start_at", "end_at", "lat", "lng")})
+            vecs.update((x["image_id"], x["v"]) for x in r["looks"] or ())
+            for x in r["people"] or ():
+                clusters.setdefault(x["image_id"], set()).add(x["cluster_id"])
+        merged = merge_faces(merge_looks(merge_places(buckets_), vecs, cosine), clusters)
         kept = [b for b in merged if len(b["images"]) >= LEAST_IMAGES]
-        out = [(key[0], i, b["images"][0], len(dict.fromkeys(b["images"])), b["start_at"], list(dict.fromkeys(b["images"]))) for i, b in enumerate(kept)]
-        return pd.DataFrame(out, columns=["user_id", "event", "cover", "n", "start_at", "images"])
+        return [(user, i, b["images"][0], len(dict.fromkeys(b["images"])), b["start_at"], list(dict.fromkeys(b["images"]))) for i, b in enumerate(kept)]
 
-    return ready.groupBy("user_id").applyInPandas(fold, "user_id long, event int, cover long, n int, start_at timestamp_ntz, images array<long>")
+    return fold_by(ready, "user_id", [F.asc("bucket")], fold, "user_id long, event int, cover long, n int, start_at timestamp_ntz, images array<long>")
 
 
 def dominant_category(members: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -210,17 +204,12 @@ def fold_places(events: list[dict], km: float = VISIT_KM) -> list[dict]:
 def visited_places(trips: DataFrame) -> DataFrame:
     """fold_places per owner of trips (user_id, event_id, start_at, lat, lng, n_images)."""
 
-    def fold(key, pdf):
-        import pandas as pd
+    def fold(user, rows):
+        found = fold_places(rows)
+        return [(user, i, p["lat"], p["lng"], p["visits"], p["images"], p["last_at"]) for i, p in enumerate(found)]
 
-        rows = pdf.sort_values("event_id").to_dict("records")
-        rows = [{**r, **{c: None if pd.isna(r[c]) else r[c] for c in ("lat", "lng", "start_at")}} for r in rows]
-        dated = sorted((r for r in rows if r["start_at"] is not None), key=lambda r: r["start_at"], reverse=True)
-        found = fold_places([r for r in rows if r["start_at"] is None] + dated)
-        out = [(key[0], i, p["lat"], p["lng"], int(p["visits"]), int(p["images"]), p["last_at"]) for i, p in enumerate(found)]
-        return pd.DataFrame(out, columns=["user_id", "place", "lat", "lng", "visits", "images", "last_at"])
-
-    return trips.groupBy("user_id").applyInPandas(fold, "user_id long, place int, lat double, lng double, visits int, images long, last_at timestamp_ntz")
+    latest = [F.desc_nulls_first("start_at"), F.asc("event_id")]
+    return fold_by(trips, "user_id", latest, fold, "user_id long, place int, lat double, lng double, visits int, images long, last_at timestamp_ntz")
 
 
 def unlocated(events: DataFrame) -> DataFrame:
@@ -245,10 +234,7 @@ def assign_clusters(arrivals: list[tuple], known: list[tuple], threshold: float
 def face_clusters_online(vectors: DataFrame, threshold: float = LOOK_COSINE) -> DataFrame:
     """assign_clusters per owner in order of id: (user_id, image_id, cluster_id)."""
 
-    def fold(key, pdf):
-        import pandas as pd
-
-        rows = [(int(i), [float(x) for x in v]) for i, v in pdf.sort_values("image_id")[["image_id", "v"]].itertuples(index=False)]
-        return pd.DataFrame([(key[0], i, c) for i, c in assign_clusters(rows, [], threshold)], columns=["user_id", "image_id", "cluster_id"])
+    def fold(user, rows):
+        return [(user, i, c) for i, c in assign_clusters([(r["image_id"], r["v"]) for r in rows], [], threshold)]
 
-    return vectors.select("user_id", "image_id", "v").groupBy("user_id").applyInPandas(fold, "user_id long, image_id long, cluster_id long")
+    return fold_by(vectors.select("user_id", "image_id", "v"), "user_id", [F.asc("image_id")], fold, "user_id long, image_id long, cluster_id long")
