@@ -53,6 +53,11 @@ def stale(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("image_id", "slug"), ["image_id", "slug"], "left_anti")
 
 
+def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What re-classification would drop and add, without writing anything."""
+    return stale(old, new).withColumn("change", F.lit("drop")).unionByName(stale(new, old).withColumn("change", F.lit("add")))
+
+
 def score_stats(pairs: DataFrame) -> DataFrame:
     """Per class of pairs (relevant, score): n, mean, deviation, extremes and quartiles.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,7 +30,7 @@ def _key(sql: str | None = None):
     return add
 
 
-def _six(c: str) -> F.Column:
+def _six(c: str) -> Column:
     return F.round(F.col(c), 6)
 
 
@@ -571,6 +571,93 @@ def stream_sessions(spark, d):
     return _plain(spark.read.schema(found.schema).parquet(f"{root}/{name}"), "user_id", "n", "first_at", "last_at")
 
 
+# ---- smaller operators, each on its own
+
+
+@_key(fx.sql("SELECT p.image_id, p.status, string_agg(job_type || ':' || j.status, ',' ORDER BY j.j) AS jobs FROM photos p JOIN jobs j ON j.image_id = p.image_id GROUP BY 1, 2", "photos", "jobs"))
+def image_jobs(spark, d):
+    return library.with_jobs(fx.photos(spark, d), fx.jobs(spark, d)).select("image_id", "status", "jobs")
+
+
+@_key(fx.sql("SELECT image_id, slug FROM photo_categories WHERE image_id % 2 = 1 EXCEPT SELECT image_id, slug FROM photo_categories WHERE image_id % 7 = 1", "photo_categories"))
+def insert_ignoring_known(spark, d):
+    c = fx.photo_categories(spark, d).select("image_id", "slug")
+    return common.insert_new(c.where("image_id % 7 = 1"), c.where("image_id % 2 = 1"), ["image_id", "slug"])
+
+
+@_key(fx.sql("SELECT user_id, count(*) FILTER (NOT deleted AND image_id % 11 <> 0) AS n_live, count(*) FILTER (deleted OR image_id % 11 = 0) AS n_deleted FROM photos GROUP BY 1", "photos"))
+def soft_deletes(spark, d):
+    p = fx.photos(spark, d)
+    gone = common.soft_delete(p, p.where("image_id % 11 = 0").select("image_id"))
+    return gone.groupBy("user_id").agg(F.count_if(~F.col("deleted")).alias("n_live"), F.count_if("deleted").alias("n_deleted"))
+
+
+@_key(fx.sql("SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'PROCESSING' AND image_id % 3 = 0 THEN 'FAILED' ELSE status END AS status FROM photos) GROUP BY 1", "photos"))
+def conditional_update(spark, d):
+    return common.set_where(fx.photos(spark, d), (F.col("status") == "PROCESSING") & (F.col("image_id") % 3 == 0), status="FAILED").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_key(fx.sql("""SELECT user_id, language, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, fst) AS rn FROM (SELECT user_id, language, count(*) AS n, min(pos) AS fst FROM (
+  SELECT user_id, language, row_number() OVER (PARTITION BY user_id ORDER BY image_id) AS pos FROM ocr) GROUP BY 1, 2)) WHERE rn = 1""", "ocr"))
+def primary_language(spark, d):
+    rows = fx.ocr(spark, d).select("user_id", "image_id", F.coalesce("language", F.lit("eng")).alias("slug"))
+    return events.dominant_category(rows, ["user_id"], ["image_id"]).select("user_id", F.col("slug").alias("language"), "n")
+
+
+@_key(fx.sql("""SELECT user_id, image_id, count(lat) OVER w AS n, CAST(floor(round(sum(lat) OVER w * 100) * 1000 / nullif(count(lat) OVER w, 0)) AS BIGINT) AS lat,
+  CAST(floor(round(sum(lng) OVER w * 100) * 1000 / nullif(count(lat) OVER w, 0)) AS BIGINT) AS lng FROM photos WHERE NOT deleted
+  WINDOW w AS (PARTITION BY user_id ORDER BY created_at, image_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "photos"))
+def running_place(spark, d):
+    """Running means in 1/100,000 degrees, cut off: the coordinates are hundredths, so sums are exact."""
+    w = Window.partitionBy("user_id").orderBy("created_at", "image_id").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.count("lat").over(w)
+
+    def mean(c: str) -> Column:
+        return F.when(n > 0, F.floor(F.round(F.sum(c).over(w) * 100) * 1000 / n)).cast("long")
+
+    return common.live(fx.photos(spark, d)).select("user_id", "image_id", n.alias("n"), mean("lat").alias("lat"), mean("lng").alias("lng"))
+
+
+@_key("SELECT event_id, 'https://h/' || event_type || '/upload/c_fill,w_96/v' || event_id || '/upload/x.jpg' AS url FROM events")
+def thumbnail_urls(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    url = F.concat(F.lit("https://h/"), "event_type", F.lit("/upload/v"), F.col("event_id").cast("string"), F.lit("/upload/x.jpg"))
+    return e.select("event_id", tx.sized_url(url, "c_fill,w_96").alias("url"))
+
+
+@_key("SELECT o_orderkey, strftime(last_day(o_orderdate), '%Y-%m-%d') AS last_day, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
+def month_ends(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select("o_orderkey", F.date_format(F.last_day("o_orderdate"), "yyyy-MM-dd").alias("last_day"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+
+
+@_key(fx.sql("""SELECT event_id, '{"imageCount":' || n || '}' AS metadata FROM (SELECT event_id, count(*) AS n FROM lib_event_images GROUP BY 1)""", "lib_event_images"))
+def event_metadata(spark, d):
+    return fx.lib_event_images(spark, d).groupBy("event_id").agg(F.to_json(F.struct(F.count("*").alias("imageCount"))).alias("metadata"))
+
+
+@_key(fx.sql("SELECT * FROM t", "lib_events", t="SELECT event_id, title FROM lib_events WHERE lat IS NULL ORDER BY event_id LIMIT 25 OFFSET 50"))
+def offset_page(spark, d):
+    return events.unlocated(fx.lib_events(spark, d)).orderBy("event_id").offset(50).limit(25).select("event_id", "title")
+
+
+@_key(fx.sql("""SELECT image_id, coalesce(status, 'NONE') AS event_type, round(confidence, 6) AS confidence, slug FROM (SELECT p.image_id, p.status, c.confidence, c.slug, row_number() OVER (PARTITION BY p.image_id ORDER BY confidence DESC, slug) AS rn
+  FROM photos p LEFT JOIN photo_categories c ON p.image_id = c.image_id WHERE NOT deleted) WHERE rn = 1""", "photos", "photo_categories"))
+def point_payloads(spark, d):
+    rows = common.live(fx.photos(spark, d)).join(fx.photo_categories(spark, d), "image_id", "left")
+    top = common.top_n(rows, ["image_id"], [F.desc_nulls_first("confidence"), F.asc("slug")], 1)
+    return top.select("image_id", F.coalesce("status", F.lit("NONE")).alias("event_type"), _six("confidence").alias("confidence"), "slug")
+
+
+@_key(fx.sql("""SELECT image_id, slug, change FROM (SELECT image_id, slug, 'drop' AS change FROM (SELECT image_id, slug FROM old EXCEPT SELECT image_id, slug FROM new)
+  UNION ALL SELECT image_id, slug, 'add' FROM (SELECT image_id, slug FROM new EXCEPT SELECT image_id, slug FROM old))""", "vec", centres=_CENTRES, scores=_SCORES, soft=_SOFT,
+  old="SELECT image_id, category AS slug FROM vec", new="SELECT image_id, slug FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, slug) AS rn FROM soft WHERE slug <> 0 AND confidence > 0.20::DOUBLE) WHERE rn <= 2 UNION ALL SELECT image_id, 0 FROM soft GROUP BY image_id HAVING count(*) FILTER (slug <> 0 AND confidence > 0.20::DOUBLE) = 0"))
+def recategorize_dry_run(spark, d):
+    v = fx.vec(spark, d)
+    new = scoring.classify(v.select("image_id", "v"), _prototypes(spark, d), 0.05, fallback=0).select("image_id", "slug")
+    return scoring.changes(v.select("image_id", F.col("category").alias("slug")), new)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -169,3 +169,10 @@ def barrier(jobs: DataFrame) -> DataFrame:
     """Per image whether all its jobs but clustering are finished; a failed job is finished."""
     finished = F.col("status").isin("COMPLETED", "FAILED")
     return jobs.where("job_type <> 'CLUSTER'").groupBy("image_id").agg(F.count("*").alias("n_jobs"), F.count_if(finished).alias("n_finished"), F.bool_and(finished).alias("complete"))
+
+
+def with_jobs(images: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Images with their jobs in order of queueing, as type:state; deleted images too."""
+    each = F.struct("j", F.concat_ws(":", "job_type", "status").alias("job"))
+    listed = jobs.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["job"]), ",").alias("jobs"))
+    return images.join(listed, "image_id")
