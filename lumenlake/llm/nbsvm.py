@@ -154,7 +154,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, priors: tuple[float, fl
     def train(chosen: np.ndarray) -> np.ndarray:
         own = [rows[i] for i in chosen]
         ratios = log_count_ratios(own, labels[chosen])
-        values = [ratios[f] / math.sqrt(max(1, len(f))) for f in own]
+        values = [(ratios[f] / math.sqrt(max(1, len(f)))).astype(np.float32) for f in own]
         return ratios * dual_descent(own, values, labels[chosen], 1 << FEATURE_BITS)
 
     order = np.random.default_rng(3).permutation(len(rows))
@@ -194,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, folds:
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
     table = chosen.mapInArrow(listed, "doc_id long, quality int, features array<int>").toArrow().sort_by("doc_id")
-    rows = [np.asarray(f, np.int64) for f in table["features"].to_pylist()]
+    lists = table["features"].combine_chunks()
+    rows = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if table.num_rows else []
     used = {label: max(1, min(class_rows, n)) for label, n in totals.items()}
     return fit_rows(rows, table["quality"].to_numpy(), tuple(totals.get(k, 1) / used.get(k, 1) for k in (0, 1)))
 

@@ -8,16 +8,17 @@ gathers statistics over all pages of its host, and those decide which slots hold
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _text
 from ._store import bound_batches, materialize
 
 _TOKEN = re.compile(
@@ -28,6 +29,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
 
 # HTML element names and the words that name page furniture in class, id and role.
@@ -48,12 +50,14 @@ def _words(value: str) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
 
 
+@lru_cache(maxsize=4096)
 def _signature(tag: str, attributes: str) -> tuple[str, bool]:
     """Tag and first class word of an element, and whether it is page furniture by itself."""
+    if not _TELLING.search(attributes):
+        return tag, tag in _FURNITURE_TAGS
     fields: dict[str, str] = {}
-    if attributes.strip(" /\t\n\r"):
-        for name, value in _ATTRIBUTE.findall(attributes):
-            fields.setdefault(name.lower(), value.strip("\"'"))
+    for name, value in _ATTRIBUTE.findall(attributes):
+        fields.setdefault(name.lower(), value.strip("\"'"))
     classes = _words(fields.get("class", ""))
     role = fields.get("role", "").lower()
     is_main = tag in ("article", "main", "body", "html") or role in ("main", "article")
@@ -118,7 +122,7 @@ class Page:
                 if token["close"]:
                     if quiet and quiet[-1] == tag:
                         quiet.pop()
-                elif quiet or (token["attributes"].strip() and _signature(tag, token["attributes"])[1]):
+                elif quiet or (_TELLING.search(token["attributes"]) and _signature(tag, token["attributes"])[1]):
                     if not token["attributes"].rstrip().endswith("/"):
                         quiet.append(tag)
                 continue
@@ -274,8 +278,8 @@ def _observe(pages: DataFrame) -> DataFrame:
                     slot[0], slot[1] = slot[0] + len(text), slot[1] + linked
                     slot[2].append(text)
                 for path, (chars, linked, texts) in slots.items():
-                    data, offsets = _text.utf8(pa.array(["\n".join(texts)]))
-                    mark = int(_text.span_hashes(data, offsets[:1], offsets[1:], _text.SAME).view("int64")[0])
+                    digest = hashlib.blake2b("\n".join(texts).encode(), digest_size=8).digest()
+                    mark = int.from_bytes(digest, "little", signed=True)
                     put(host, path, 1, chars, linked, mark, mark, None)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in _SLOTS.split(", ")]))
 
