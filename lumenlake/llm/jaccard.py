@@ -11,6 +11,9 @@ a block, an R-tree over its points finds the pairs whose summed coordinate minim
 similarity.  What such pairs connect is a group; a group's sets meet in a task, where the R-tree join is
 done once more and its pairs are verified, until all are joined or told apart.  Bounds are taken on coarse points first and then on fine ones, whose number of groups grows
 with the set, so that long texts are told apart as well.
+
+All links lie inside components.  Once those are known, every two sets of a component are compared, to
+count each document's links.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ HOT_SHINGLES = 500_000
 COUNT_CHUNK, BLOCK_ROWS = 4_000_000, 4_096
 #: Shingles of the sets that one task compares with each other.
 GROUP_SHINGLES = 2_000_000
+#: Sets of a component that one task compares with as many others, and shingles that it looks at together.
+LINK_ROWS, LINK_COLUMNS = 1_024, 4_096
 #: log2 of the bits of the filter that picks the documents whose sets are compared: 4 MB.
 FILTER_BITS = 25
 
@@ -361,13 +366,82 @@ def _group_links(members: DataFrame, docs: DataFrame, k: int, num: int, den: int
     return tiled.mapInArrow(joined, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, hot_shingles: int = HOT_SHINGLES, block_rows: int = BLOCK_ROWS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of the one list shares with each of the other."""
+    out = np.zeros((len(left), len(right)), np.float32)  # exact below 2 ** 24, and added up per block
+    total = np.zeros((len(left), len(right)), np.int64)
+    sets = left + right
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = counts[column] > 1
+    row, column = row[held], (np.cumsum(counts > 1) - 1)[column[held]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, LINK_COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + LINK_COLUMNS])
+        block = np.zeros((len(sets), min(LINK_COLUMNS, int(column[-1]) + 1 - first)), np.float32)
+        block[row[lo:hi], column[lo:hi] - first] = 1
+        np.matmul(block[: len(left)], block[len(left) :].T, out=out)
+        total += out.astype(np.int64)
+    return total
+
+
+def _degrees(component: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int, group_shingles: int, link_rows: int) -> DataFrame:
+    """(node, n_links) for the nodes of component (node, component): the other nodes that each links with.
+
+    All links of a node are in its component, so every two sets of a component meet, in one tile each, and
+    are compared.  Tiles give counts, not pairs.  In a component of two both have the link that made it."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tables(batches):
+            node, chunk, tile = table["node"].to_numpy(), table["chunk"].to_numpy(), table["tile"][0].as_py()
+            data, at = _text.utf8(table["shingles"])
+            sets = [data[x:y].view(np.uint64) for x, y in zip(at[:-1], at[1:], strict=True)]
+            ends = [np.flatnonzero(chunk == c) for c in (tile >> 32, tile & 0xFFFFFFFF)]
+            if not all(len(e) for e in ends):
+                continue
+            sizes = [np.array([len(sets[i]) for i in e], np.int64) for e in ends]
+            shared = _shared(*([sets[i] for i in e] for e in ends))
+            alike = den * shared >= num * (sizes[0][:, None] + sizes[1][None] - shared)
+            # a doc_id of several texts is one document
+            nodes, starts = zip(*(np.unique(node[e], return_index=True) for e in ends), strict=True)
+            alike = np.logical_or.reduceat(np.logical_or.reduceat(alike, starts[0], axis=0), starts[1], axis=1)
+            if tile >> 32 == tile & 0xFFFFFFFF:
+                np.fill_diagonal(alike, False)
+                found, n = nodes[0], alike.sum(axis=1)
+            else:
+                found, n = np.concatenate(nodes), np.concatenate([alike.sum(axis=1), alike.sum(axis=0)])
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["node", "n_links"])
+
+    members = materialize(component.join(reps.groupBy("node").agg(F.sum("n").alias("n")), "node"), "members")
+    total = members.groupBy("component").agg(F.count("*").alias("nodes"), F.sum("n").alias("total"))
+    placed = members.join(total, "component")
+    large = placed.where("nodes > 2")
+    found = _sets(large.select("node"), docs, k)
+    chunks = F.greatest(F.ceil(F.col("total") / group_shingles), F.ceil(F.col("nodes") / link_rows))
+    rows = large.select("component", "node", chunks.alias("chunks")).join(found, "node")
+    tiled = _tiles(rows, "component", F.col("chunks")).select("component", "tile", "chunk", "node", "shingles")
+    counts = tiled.mapInArrow(counted, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return counts.unionByName(placed.where("nodes = 2").select("node", F.lit(1).cast("long").alias("n_links")))
+
+
+def classes(
+    docs: DataFrame,
+    k: int = 5,
+    num: int = 8,
+    den: int = 10,
+    hot_shingles: int = HOT_SHINGLES,
+    block_rows: int = BLOCK_ROWS,
+    group_shingles: int = GROUP_SHINGLES,
+    link_rows: int = LINK_ROWS,
+    counted: bool = True,
+) -> DataFrame:
     """Per document of docs (doc_id, text, ...): n_shingles, component_id and n_links.
 
     Two documents link when den x shared shingles >= num x shingles in either; component_id is the
-    least doc_id within reach, the document's own included.  n_links counts the linked classes of
-    equal sets that were verified for the document's class: all with its block's least document, and those
-    that join components otherwise; a class itself is not counted.  A set
+    least doc_id within reach, the document's own included.  n_links counts all classes of equal sets that
+    the document's class links with; the class itself is not counted.  Without `counted` there is no
+    n_links, and only the links that components need are verified.  A set
     without shingles (null, empty or blank text) links with nothing.  Rows of equal doc_id count as
     one document whatever their texts; a null doc_id links with nothing and has a null component_id.
     """
@@ -404,19 +478,20 @@ def classes(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, hot_shingl
         if more.limit(1).count():
             links = links.unionByName(more)
             component = components(links)
-    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    member = (
-        reps.select("h1", "h2", "n", "node")
-        .join(component, "node", "left")
-        .join(degree, "node", "left")
-        .select("h1", "h2", "n", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    member = reps.select("h1", "h2", "n", "node").join(component, "node", "left")
+    own = ["doc_id", "n_shingles", "component_id"]
+    if counted:
+        member = member.join(_degrees(component, reps, docs, k, num, den, group_shingles, link_rows), "node", "left")
+        own.append("n_links")
+    else:
+        member = member.withColumn("n_links", F.lit(None).cast("long"))
+    member = member.select("h1", "h2", "n", F.coalesce("component", "node").alias("component"), "n_links")
     return seen.select("doc_id", "n", "h1", "h2").join(member, ["h1", "h2", "n"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+        F.when(F.col("doc_id").isNotNull(), F.col("n_links")).alias("n_links"),
+    ).select(*own[:3], *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in own[3:]))
 
 
 def dedupe(docs: DataFrame, **options) -> DataFrame:
@@ -426,7 +501,7 @@ def dedupe(docs: DataFrame, **options) -> DataFrame:
     least text stays.
     """
     docs, restored = set_aside(docs, "doc_id", "text")
-    found = classes(docs, **options)
+    found = classes(docs, counted=False, **options)
     least = found.where("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     marked = docs.join(least, docs.doc_id == F.col("__kept"), "left").withColumn("__words", words)

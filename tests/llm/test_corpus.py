@@ -363,3 +363,26 @@ def test_grown_rules_are_conjunctions_of_thresholds():
     learned = rules.learn(rows, "bad", ("x", "y"))
     wrong = sum(any(all(c.holds(r) for c in rule) for rule in learned) != bool(r["bad"]) for r in rows)
     assert learned and wrong <= 20 and all(len(rule) <= 4 for rule in learned)
+
+
+def brute_links(rows, k, num, den):
+    """Per doc_id the number of distinct other shingle sets that its own links with."""
+    sets = {}
+    for doc_id, text in rows:
+        w = re.findall(WORD, lower(text))
+        sets[doc_id] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset({tuple(w)} if w else ())
+    distinct = set(sets.values()) - {frozenset()}
+    return {d: sum(den * len(s & t) >= num * len(s | t) for t in distinct if t != s) if s else 0 for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("k,num,den,shingles,link_rows", [(3, 90, 100, 2_000_000, 1024), (5, 8, 10, 300, 1024), (2, 6, 10, 2_000_000, 3)])
+def test_all_links_are_counted(spark, k, num, den, shingles, link_rows):
+    rng, rows = random.Random(4), near_rows()
+    base = prose(rng, 200, 5_000).split()
+    for i in range(12):  # a family whose members all link with each other
+        rows.append((len(rows), " ".join([*base[:100], f"own{i}", *base[100:]])))
+    want = brute_links(rows, k, num, den)
+    assert max(want.values()) >= 11
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.classes(docs, k, num, den, group_shingles=shingles, link_rows=link_rows).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got} == want
