@@ -105,7 +105,7 @@ def point(s: np.ndarray) -> np.ndarray:
 
 def folded(raw: np.ndarray, groups: int) -> np.ndarray:
     """A point with fewer groups."""
-    return raw.reshape(-1, groups).sum(axis=0, dtype=np.uint16)
+    return raw.reshape(-1, groups).sum(axis=0, dtype=np.uint32)
 
 
 class Points:
@@ -120,7 +120,7 @@ class Points:
 
     def matrix(self, groups: int) -> np.ndarray:
         if groups not in self.at:
-            self.at[groups] = np.stack([folded(r, groups) if len(r) >= groups else np.zeros(groups, np.uint16) for r in self.raw])
+            self.at[groups] = np.stack([folded(r, groups) if len(r) >= groups else np.zeros(groups, np.uint32) for r in self.raw])
         return self.at[groups]
 
     def bounds(self, i: np.ndarray, other: Points, j: np.ndarray) -> np.ndarray:

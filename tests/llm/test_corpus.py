@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenlake.llm import ctw, decontam, graph, jaccard, mixing, nbsvm, rules
@@ -386,3 +387,13 @@ def test_all_links_are_counted(spark, k, num, den, shingles, link_rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard.classes(docs, k, num, den, group_shingles=shingles, link_rows=link_rows).collect()
     assert {r["doc_id"]: r["n_links"] for r in got} == want
+
+
+def test_counts_of_a_large_point_do_not_wrap():
+    raw = np.full(64 * 300, 255, np.uint8)  # 76,500 tokens in each of 64 groups
+    n = int(raw.sum()) + 7
+    points = jaccard.Points(pa.array([raw.tobytes()] * 2, pa.binary()), np.array([n, n]))
+    assert points.matrix(64).sum() == 2 * raw.sum(dtype=np.int64)
+    one = np.zeros(1, np.int64)
+    small = jaccard.Points(pa.array([np.full(64, 255, np.uint8).tobytes()], pa.binary()), np.array([n]))
+    assert points.bounds(one, small, one)[0] >= 64 * 255
