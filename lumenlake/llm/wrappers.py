@@ -2,8 +2,9 @@
 
 A page becomes a stream of tags and text slots, folded where siblings repeat.  The streams of a host are
 aligned one after the other into a union-free regular expression: a tag that only some pages have
-becomes optional, one that pages repeat becomes a repeated group, and texts become slots.  Each slot
-gathers statistics over all pages of its host, and those decide which slots hold the article.
+becomes optional, one that pages repeat becomes a repeated group, and texts become slots.  Each page is
+then matched against its host's expression.  Each slot of that gathers statistics over all pages of the
+host, and those decide, per page layout, which slots hold the article.
 """
 
 from __future__ import annotations
@@ -78,6 +79,7 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, int]] = []
         self.tree: list = ["", []]
+        self.places: list[tuple[list, int]] = []  # per block the node and the number of its text child
         stack: list[tuple[str, str, list]] = [("", "", self.tree)]  # tag, path, node
         quiet: list[str] = []  # open inline elements of furniture
         pieces: list[str] = []
@@ -91,6 +93,7 @@ class Page:
                 self.blocks.append((path, text, min(linked, len(text))))
                 if not node[1] or node[1][-1] != "#":
                     node[1].append("#")
+                self.places.append((node, len(node[1]) - 1))
             pieces, linked = [], 0
 
         def close(tags: set[str], scope: set[str]) -> None:
@@ -231,59 +234,231 @@ def _root(path: str) -> str | None:
     return None
 
 
-def roles(slots: list[tuple[str, int, int, int, bool]]) -> dict[str, bool]:
-    """Which slots hold the article, given (path, pages, characters, characters in links, same text on
-    all pages) of all slots of a host."""
-    free = [s for s in slots if "!" not in s[0]]
-    inside = [s for s in free if _root(s[0]) is not None]
-    if not inside:  # no element says so: the smallest region with most of the changing, unlinked text
-        weight = {s[0]: 0 if s[4] and s[1] >= 5 else max(0, s[2] - 2 * s[3]) for s in free}
-        total, region = sum(weight.values()), ""
-        while total:
+def _names(children: list) -> list[str]:
+    """A step per child of an expression: its signature, numbered from the second of the same on."""
+    seen: dict[str, int] = {}
+    out = []
+    for child in children:
+        key = child if child == "#" else child[0]
+        seen[key] = seen.get(key, 0) + 1
+        out.append(key if seen[key] == 1 else f"{key}~{seen[key]}")
+    return out
+
+
+class Wrapper:
+    """An expression that pages are matched against.  A slot is named by the steps to it, "#" at the end."""
+
+    def __init__(self, shape: list):
+        self.shape = shape
+        self.known: dict[tuple[int, tuple], tuple] = {}
+
+    def order(self) -> dict[str, int]:
+        """The slots in the order of the expression."""
+        out: dict[str, int] = {}
+
+        def walk(node: list, at: str) -> None:
+            for child, name in zip(node[2], _names(node[2]), strict=True):
+                if child == "#":
+                    out[f"{at}/{name}"] = len(out)
+                else:
+                    walk(child, f"{at}/{name}")
+
+        walk(self.shape, "")
+        return out
+
+    def _fit(self, node: list, keys: tuple) -> tuple:
+        """Per child of a page's element the step and the child of the expression that it matches: like
+        neighbours match one group, and as much as possible is matched, what is not optional first."""
+        if (id(node), keys) in self.known:
+            return self.known[id(node), keys]
+        y, names = node[2], _names(node[2])
+        x = [k for n, k in enumerate(keys) if not n or keys[n - 1] != k]
+        own = [c if c == "#" else c[0] for c in y]
+        worth = [2 + (c != "#" and c[1] in "1+") for c in y]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                most = max(best[i + 1][j], best[i][j + 1])
+                best[i][j] = max(most, worth[j] + best[i + 1][j + 1]) if x[i] == own[j] else most
+        runs: list = []
+        i = j = 0
+        while i < len(x):
+            if j < len(y) and x[i] == own[j] and best[i][j] == worth[j] + best[i + 1][j + 1]:
+                runs.append((names[j], y[j]))
+                i, j = i + 1, j + 1
+            elif j < len(y) and best[i][j + 1] == best[i][j]:
+                j += 1
+            else:  # no page that the expression was made from gets here
+                runs.append((f"{x[i]}~0", None))
+                i += 1
+        out, at = [], -1
+        for n, k in enumerate(keys):
+            at += not n or keys[n - 1] != k
+            out.append(runs[at])
+        if len(self.known) > 10_000:
+            self.known.clear()
+        self.known[id(node), keys] = tuple(out)
+        return self.known[id(node), keys]
+
+    def slots(self, page: Page) -> list[str]:
+        """The slot of each block of a page."""
+        steps: dict[int, list[str]] = {}
+        todo: list = [(page.tree, self.shape, "")]
+        while todo:
+            node, match, at = todo.pop()
+            keys = tuple(c if c == "#" else c[0] for c in node[1])
+            fit = self._fit(match, keys) if match is not None else [(f"{k}~0", None) for k in keys]
+            steps[id(node)] = [f"{at}/{name}" for name, _ in fit]
+            for child, (name, to) in zip(node[1], fit, strict=True):
+                if child != "#":
+                    todo.append((child, to, f"{at}/{name}"))
+        return [steps[id(node)][k] for node, k in page.places]
+
+
+def _layout(page: Page) -> str:
+    """"main" for a page with text in a main element, or else the containers below the body that have text."""
+    paths = {p for p, _, _ in page.blocks if "!" not in p}
+    if any(_root(p) is not None for p in paths):
+        return "main"
+    return " ".join(sorted({re.sub(r"^((?:/html)?(?:/body[^/]*)?/[^/]*).*$", r"\1", p) for p in paths}))
+
+
+#: A slot is furniture if so many different pages, and this share of all of its host, have the same text in it.
+SAME_PAGES, SAME_SHARE = 5, 0.9
+
+
+def roles(stats: list[tuple[str, str | None, int, int, int, int, int]], order: dict[str, int]) -> dict[str, list[str]]:
+    """Per layout of a host the slots that hold the article, given (layout, slot, different pages,
+    characters, characters in links, least and greatest digest of the text); slot null counts the pages.
+
+    In a main element a slot of equal text is kept unless it also has a class and ends the article: a
+    heading or a passage that copies share is text.  Pages without one have a region: the smallest element
+    with most of the changing, unlinked text; layouts without text in it have one of their own, and so on."""
+
+    def place(slot: str) -> str:
+        return slot[: slot.rindex("/")]
+
+    def plain(slot: str) -> str:
+        return re.sub(r"~\d+", "", place(slot))
+
+    total = {True: 0, False: 0}
+    seen: dict[str, list] = {}
+    texts: dict[str, dict[str, tuple[int, int]]] = {}
+    for layout, slot, pages, chars, links, low, high in stats:
+        if slot is None:
+            total[layout == "main"] += pages
+            texts.setdefault(layout, {})
+        elif "!" not in slot:
+            texts.setdefault(layout, {})[slot] = (chars, links)
+            one = seen.setdefault(slot, [0, low, high])
+            one[0], one[1], one[2] = one[0] + pages, min(one[1], low), max(one[2], high)
+    everywhere = sum(total.values())
+    same = {s: low == high and n >= SAME_PAGES for s, (n, low, high) in seen.items()}
+    fixed = {s: same[s] and seen[s][0] >= SAME_SHARE * everywhere for s in seen}
+    out: dict[str, list[str]] = {layout: [] for layout in texts}
+
+    if "main" in texts:
+        inside = [s for s in texts["main"] if _root(plain(s)) is not None]
+        changing = [order.get(s, -1) for s in inside if not same[s]]
+        last = max(changing, default=None)
+        ends = {s for s in inside if last is not None and same[s] and seen[s][0] >= SAME_SHARE * total[True] and order.get(s, -1) > last and "." in place(s).rsplit("/", 1)[-1]}
+        out["main"] = [s for s in inside if s not in ends]
+    left = set(texts) - {"main"}
+    while left:
+        sums: dict[str, list[int]] = {}
+        for layout in left:
+            for s, (chars, links) in texts[layout].items():
+                one = sums.setdefault(s, [0, 0])
+                one[0], one[1] = one[0] + chars, one[1] + links
+        weight = {s: 0 if fixed[s] else max(0, c - 2 * n) for s, (c, n) in sums.items()}
+        whole, region = sum(weight.values()), ""
+        while whole:
             steps: dict[str, int] = {}
-            for path, w in weight.items():
-                if path.startswith(region + "/"):
-                    step = region + "/" + path[len(region) + 1 :].split("/")[0]
+            for s, w in weight.items():
+                if place(s).startswith(region + "/"):
+                    step = region + "/" + s[len(region) + 1 :].split("/")[0]
                     steps[step] = steps.get(step, 0) + w
             best = max(steps, key=lambda s: (steps[s], s), default=None)
-            if best is None or steps[best] < 0.8 * total or not any(p.startswith(best + "/") for p in weight):
+            if best is None or steps[best] < 0.8 * whole or not any(place(s).startswith(best + "/") for s in weight):
                 break
             region = best
-        inside = [s for s in free if s[0].startswith(region + "/") and (weight[s[0]] > 0 or s[2] > 2 * s[3])]
-    changing = any(not s[4] for s in inside)
-    keep = {s[0] for s in inside if not (changing and s[4] and s[1] >= 5)}
-    return {s[0]: s[0] in keep for s in slots}
+        inside = [s for s, (c, n) in sums.items() if place(s).startswith(region + "/") and (weight[s] > 0 or c > 2 * n)]
+        changing = any(not same[s] for s in inside)
+        inside = {s for s in inside if not (changing and fixed[s])}
+        reached = {layout for layout in left if not inside.isdisjoint(texts[layout])}
+        for layout in reached:
+            out[layout] = sorted(inside & set(texts[layout]))
+        if not reached:
+            break
+        left -= reached
+    return out
+
 
+_ARROW = {"long": pa.int64(), "string": pa.string()}
+_SLOTS = "host string, layout string, content long, slot string, chars long, links long, mark long"
 
-_SLOTS = "host string, path string, pages long, chars long, links long, low long, high long, shape string"
 
+def _mark(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
-def _observe(pages: DataFrame) -> DataFrame:
-    """Per page its folded shape and, per slot, its statistics."""
+
+def _shapes(pages: DataFrame) -> DataFrame:
+    """The host and the folded shape of each page."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {c.split()[0]: [] for c in _SLOTS.split(", ")}
+            shapes = [json.dumps(Page(source or "").shape(), ensure_ascii=False, separators=(",", ":")) for source in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], ["host", "shape"])
 
-            def put(*values) -> None:
-                for name, value in zip(rows, values, strict=True):
-                    rows[name].append(value)
+    return pages.select(_host().alias("host"), "html").mapInArrow(seen, "host string, shape string").distinct()
 
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page(source or "")
-                put(host, None, 1, 0, 0, None, None, json.dumps(page.shape(), ensure_ascii=False, separators=(",", ":")))
-                slots: dict[str, list] = {}
-                for path, text, linked in page.blocks:
-                    slot = slots.setdefault(path, [0, 0, []])
-                    slot[0], slot[1] = slot[0] + len(text), slot[1] + linked
-                    slot[2].append(text)
-                for path, (chars, linked, texts) in slots.items():
-                    digest = hashlib.blake2b("\n".join(texts).encode(), digest_size=8).digest()
-                    mark = int.from_bytes(digest, "little", signed=True)
-                    put(host, path, 1, chars, linked, mark, mark, None)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in _SLOTS.split(", ")]))
 
-    return pages.select(_host().alias("host"), "html").mapInArrow(seen, _SLOTS)
+def _meet(pages: DataFrame, known: DataFrame, value: str, broadcast_bytes: int, salts: int):
+    """The rows of pages (with __host) and the function that gives a batch's hosts and their `value`.
+
+    Values go to every task if they are few; if not, they join by host and salt, each there once per salt,
+    so a large host spreads over the tasks."""
+    columns = pages.columns
+    at = columns.index("__host")
+    total = known.agg(F.sum(F.octet_length(value) + F.octet_length("host"))).first()[0] or 0
+    if total <= broadcast_bytes:
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r[value] for r in known.select("host", value).collect()})
+        return pages, lambda batch: [(h, shared.value.get(h)) for h in batch.column(at).to_pylist()]
+    salt = F.coalesce(F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int"), F.lit(0))
+    each = known.select(F.col("host").alias("__host"), F.col(value).alias("__value"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+    rows = pages.withColumn("__salt", salt).join(each, ["__host", "__salt"], "left").select(*columns, "__value")
+    return rows, lambda batch: list(zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True))
+
+
+def _observe(pages: DataFrame, wrapper: DataFrame, broadcast_bytes: int, salts: int) -> DataFrame:
+    """Per page and slot of its host's expression the text's statistics, and a row without slot per page."""
+    rows, hosts = _meet(pages.select("html", _host().alias("__host")), wrapper, "shape", broadcast_bytes, salts)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrappers: dict[str, Wrapper] = {}
+        names = [c.split()[0] for c in _SLOTS.split(", ")]
+        for batch in batches:
+            out: list[tuple] = []
+            for (host, shape), source in zip(hosts(batch), batch.column(0).to_pylist(), strict=True):
+                if host not in wrappers:
+                    if len(wrappers) > 1_000:
+                        wrappers.clear()
+                    wrappers[host] = Wrapper(json.loads(shape))
+                page = Page(source or "")
+                layout, slots = _layout(page), {}
+                for slot, (_, text, linked) in zip(wrappers[host].slots(page), page.blocks, strict=True):
+                    one = slots.setdefault(slot, [0, 0, []])
+                    one[0], one[1] = one[0] + len(text), one[1] + linked
+                    one[2].append(text)
+                content = _mark(json.dumps([(slot, one[2]) for slot, one in slots.items()]))
+                out.append((host, layout, content, None, 0, 0, None))
+                out += [(host, layout, content, slot, chars, linked, _mark("\n".join(texts))) for slot, (chars, linked, texts) in slots.items()]
+            yield pa.RecordBatch.from_pydict(
+                dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in names},
+                schema=pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in _SLOTS.split(", ")]),
+            )
+
+    return rows.mapInArrow(seen, _SLOTS)
 
 
 def _aligned(shapes: DataFrame, keys: list[str]) -> DataFrame:
@@ -311,79 +486,76 @@ def _aligned(shapes: DataFrame, keys: list[str]) -> DataFrame:
     return shapes.select(*keys, "shape").repartition(*keys).sortWithinPartitions(*keys, "shape").mapInArrow(merged, "host string, shape string")
 
 
-def infer(pages: DataFrame) -> DataFrame:
-    """Per host of pages (url, html): `wrapper` (the expression) and `slots` (path -> holds article).
+#: Wrappers of this many bytes in all are handed to every task; more are joined by host.
+BROADCAST_BYTES = 16 << 20
+
+
+def infer(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
+    """Per host of pages (url, html): `wrapper` (the expression), `shape` (the same as JSON), `slots` (layout
+    -> slots that hold the article) and `rule` (JSON of both).
 
-    Equal shapes of a host count once.  Shapes are aligned in buckets first and the buckets' wrappers
-    then, so that a large host is no single task.  A null url belongs to the host ""."""
+    Equal shapes of a host count once, and so do pages of equal texts.  Shapes are aligned in buckets first
+    and the buckets' wrappers then, so that a large host is no single task.  A null url belongs to the host ""."""
     bound_batches(pages.sparkSession, rows=2_000)
-    seen = materialize(_observe(pages), "page-slots")
-    shapes = seen.where("path is null").groupBy("host", "shape").agg(F.sum("pages").alias("pages"))
+    shapes = materialize(_shapes(pages), "page-shapes")
     part = _aligned(shapes.withColumn("bucket", F.pmod(F.xxhash64("shape"), F.lit(64))), ["host", "bucket"])
-    wrapper = _aligned(part.distinct(), ["host"])
-    slots = (
-        seen.where("path is not null")
-        .groupBy("host", "path")
-        .agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), (F.min("low") == F.max("high")).alias("same"))
+    wrapper = materialize(_aligned(part.distinct(), ["host"]), "page-wrappers")
+    stats = (
+        _observe(pages, wrapper, broadcast_bytes, salts)
+        .groupBy("host", "layout", "content", "slot")
+        .agg(F.max("chars").alias("chars"), F.max("links").alias("links"), F.max("mark").alias("mark"))
+        .groupBy("host", "layout", "slot")
+        .agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("mark").alias("low"), F.max("mark").alias("high"))
         .groupBy("host")
-        .agg(F.sort_array(F.collect_list(F.struct("path", "pages", "chars", "links", "same"))).alias("slots"))
+        .agg(F.sort_array(F.collect_list(F.struct("layout", "slot", "pages", "chars", "links", "low", "high"))).alias("stats"))
     )
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, shapes_, lists = (c.to_pylist() for c in batch.columns)
-            found = [roles([(s["path"], s["pages"], s["chars"], s["links"], s["same"]) for s in x or []]) for x in lists]
-            yield pa.RecordBatch.from_pydict({"host": hosts, "wrapper": [expression(json.loads(s)) for s in shapes_], "slots": [json.dumps(f, ensure_ascii=False) for f in found]})
+            parsed = [json.loads(s) for s in shapes_]
+            found = [roles([tuple(s.values()) for s in x or []], Wrapper(shape).order()) for x, shape in zip(lists, parsed, strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "host": hosts,
+                "wrapper": [expression(x) for x in parsed],
+                "shape": shapes_,
+                "slots": [json.dumps(f, ensure_ascii=False) for f in found],
+                "rule": [json.dumps([x, f], ensure_ascii=False) for x, f in zip(parsed, found, strict=True)],
+            })
 
-    joined = wrapper.join(slots, "host", "left").select("host", "shape", "slots")
-    return materialize(joined.mapInArrow(decided, "host string, wrapper string, slots string"), "wrappers")
+    joined = wrapper.join(stats, "host", "left").select("host", "shape", "stats")
+    return materialize(joined.mapInArrow(decided, "host string, wrapper string, shape string, slots string, rule string"), "wrappers")
 
 
-def text_of(source: str, slots: dict[str, bool]) -> str:
-    """The article of a page, block by block, given its host's slots."""
-    return "\n".join(text for path, text, _ in Page(source).blocks if slots.get(path, False))
-
-
-#: Wrappers of this many bytes in all are handed to every task; more are joined by host.
-BROADCAST_BYTES = 16 << 20
+def text_of(source: str, wrapper: Wrapper, slots: dict[str, set[str]]) -> str:
+    """The article of a page, block by block, given its host's wrapper and the slots of each layout."""
+    page = Page(source)
+    kept = slots.get(_layout(page), ())
+    return "\n".join(text for slot, (_, text, _) in zip(wrapper.slots(page), page.blocks, strict=True) if slot in kept) if kept else ""
 
 
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
     """pages (page_id, url, html, ...) with `text`, the main text (empty for a null html or a page
-    without an article), and `n_chars`, its code points.
-
-    Wrappers go to every task if they are few; if not, pages and wrappers meet by host and salt, and
-    each wrapper is there once per salt, so a large host spreads over the tasks."""
-    spark = pages.sparkSession
-    known = infer(pages)
-    bound_batches(spark, rows=2_000)
+    without an article), and `n_chars`, its code points."""
+    known = infer(pages, broadcast_bytes, salts)
+    bound_batches(pages.sparkSession, rows=2_000)
     columns = [c for c in pages.columns if c not in ("text", "n_chars")]
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "text string"])
     at = columns.index("html")
-    rows = pages.select(*columns, _host().alias("__host"))
-    total = known.agg(F.sum(F.octet_length("slots") + F.octet_length("host"))).first()[0] or 0
-    if total <= broadcast_bytes:
-        table = {r["host"]: r["slots"] for r in known.select("host", "slots").collect()}
-        shared = spark.sparkContext.broadcast(table)
-    else:
-        shared = None
-        salt = F.pmod(F.xxhash64("html"), F.lit(salts)).cast("int")
-        each = known.select(F.col("host").alias("__host"), F.col("slots").alias("__slots"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-        rows = rows.withColumn("__salt", F.coalesce(salt, F.lit(0))).join(each, ["__host", "__salt"], "left").select(*columns, "__host", "__slots")
+    rows, hosts = _meet(pages.select(*columns, _host().alias("__host")), known, "rule", broadcast_bytes, salts)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, dict[str, bool]] = {}
+        parsed: dict[str, tuple[Wrapper, dict[str, set[str]]]] = {}
         for batch in batches:
-            hosts = batch.column(len(columns)).to_pylist()
-            slots = batch.column(len(columns) + 1).to_pylist() if shared is None else [None] * len(hosts)
             texts = []
-            for host, source, own in zip(hosts, batch.column(at).to_pylist(), slots, strict=True):
+            for (host, rule), source in zip(hosts(batch), batch.column(at).to_pylist(), strict=True):
                 if host not in parsed:
                     if len(parsed) > 1_000:
                         parsed.clear()
-                    parsed[host] = json.loads((own if shared is None else shared.value.get(host)) or "{}")
-                texts.append(text_of(source, parsed[host]) if source else "")
+                    shape, slots = json.loads(rule)
+                    parsed[host] = Wrapper(shape), {layout: set(x) for layout, x in slots.items()}
+                texts.append(text_of(source, *parsed[host]) if source else "")
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(texts, pa.string())], [*columns, "text"])
 
     return rows.mapInArrow(read, schema).withColumn("n_chars", F.length("text").cast("long"))

@@ -64,3 +64,15 @@ def test_extraction_by_inferred_wrappers(spark):
     found = {r["host"]: r["wrapper"] for r in w.infer(frame).collect()}
     assert found["art.example"] == "<body><nav!>#</nav!><article><h1>#</h1>(<p>#</p>)+<p.tail>#</p.tail></article></body>"
     assert w.extract(frame.limit(0)).count() == 0
+
+
+def test_slots_are_those_of_the_expression():
+    pages = [w.Page(f"<body><p>a{i}</p>{'<ul><li>x</ul>' * (i > 0)}{'<p>z</p>' * (i > 1)}</body>") for i in range(3)]
+    one = pages[0].shape()
+    for other in pages[1:]:
+        one = w.align(one, other.shape())
+    wrapper = w.Wrapper(one)
+    assert w.expression(one) == "<body><p>#</p>(<ul><li>#</li></ul>)?(<p>#</p>)?</body>"
+    assert [wrapper.slots(p) for p in pages][2] == ["/body/p/#", "/body/ul/li/#", "/body/p~2/#"]
+    assert all("~0" not in s for p in pages for s in wrapper.slots(p))
+    assert set(wrapper.order()) == set(wrapper.slots(pages[2]))
