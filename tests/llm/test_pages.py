@@ -76,3 +76,24 @@ def test_slots_are_those_of_the_expression():
     assert [wrapper.slots(p) for p in pages][2] == ["/body/p/#", "/body/ul/li/#", "/body/p~2/#"]
     assert all("~0" not in s for p in pages for s in wrapper.slots(p))
     assert set(wrapper.order()) == set(wrapper.slots(pages[2]))
+
+
+def test_copies_headings_and_layouts_keep_their_text(spark):
+    rows, want = [], {}
+
+    def page(host, html, text):
+        rows.append((len(rows), f"http://{host}/{len(rows)}", f"<body>{html}</body>"))
+        want[len(rows) - 1] = text
+
+    for _ in range(6):  # copies of an article with a list and a classed paragraph of its own
+        page("copy.example", "<article><p>one</p><ul><li>own</ul><p class='note'>copied</p></article>", "one\nown\ncopied")
+    for i in range(6):  # a heading that all articles have
+        page("copy.example", f"<article><p>t{i}</p></article>", f"t{i}")
+        page("head.example", f"<article><h2>Summary</h2><p>t{i}</p></article>", f"Summary\nt{i}")
+    for i in range(6):  # pages with and without a main element, and two regions
+        page("mixed.example", f"<article><p>art {i}</p></article>", f"art {i}")
+        page("mixed.example", f"<div class='box'><p>first {i} text of many words</p></div><div class='low'>same</div>", f"first {i} text of many words")
+    page("mixed.example", "<div class='post'><p>another layout</p></div>", "another layout")
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (1 << 24, 0):
+        assert {r["page_id"]: r["text"] for r in w.extract(frame, broadcast_bytes=most).collect()} == want
