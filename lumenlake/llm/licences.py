@@ -83,9 +83,17 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def _ids(text: Column, known: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    sentences = F.split(text, "(?<=[.!?:;])[ \\t\\r\\n]+|\\n")
-    plain = F.transform(sentences, lambda s: F.btrim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+
+    def look(s: Column) -> Column:
+        return F.try_element_at(known, F.btrim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " ")))
+
+    def own(s: Column) -> Column:
+        lines = F.filter(F.transform(F.split(s, "\\n"), look), lambda i: i.isNotNull())
+        return F.struct(F.when(F.contains(s, F.lit("\n")), lines).alias("lines"), look(s).alias("whole"))
+
+    both = F.transform(F.split(text, "(?<=[.!?:;])[ \\t\\r\\n]+|\\n[ \\t\\r]*\\n"), own)
+    found = F.transform(both, lambda x: F.when(F.size(x["lines"]) > 0, x["lines"]).otherwise(F.array(x["whole"])))
+    return F.filter(F.flatten(found), lambda i: i.isNotNull())
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -93,16 +101,16 @@ def scan(docs: DataFrame) -> DataFrame:
     (their number), `licences` (comma-joined, in the order of the rules that named them; empty if none),
     `n_licences` and `unknown` (known sentences that no rule took).
 
-    A sentence ends with .!?:; before white space, or with its line; as licence texts are often wrapped,
-    each blank-line-separated paragraph is also read as one line, and the reading with more known
-    sentences counts (the first on a tie).  A null text has no sentences.
+    A sentence ends with .!?:; before white space, or with its paragraph, as licence texts are often
+    wrapped.  If lines of it are known sentences, those count, and else the whole; so a text may have
+    sentences of both kinds, in text order.  A null text has no sentences.
+
+    oracle() takes one of both readings for a whole text, the one with more known sentences, and has
+    fewer sentences where a text needs both.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     text = F.when(F.col("text").rlike(TRIGGER), F.col("text"))
-    wrapped = F.regexp_replace(F.regexp_replace(text, "\\n[ \\t\\r]*\\n", "\u0001"), "[ \\t\\r]*\\n[ \\t\\r]*", " ")
-    step = docs.withColumns({"__lines": _ids(text, known), "__joined": _ids(F.replace(wrapped, F.lit("\u0001"), F.lit("\n")), known)})
-    ids = F.when(F.size("__joined") > F.size("__lines"), F.col("__joined")).otherwise(F.col("__lines"))
-    step = step.withColumn("__ids", F.coalesce(ids, F.array().cast("array<string>"))).drop("__lines", "__joined")
+    step = docs.withColumn("__ids", F.coalesce(_ids(text, known), F.array().cast("array<string>")))
     # a doubled comma between sentences lets equal neighbours match one after the other
     step = step.withColumn("__left", F.concat(F.lit(","), F.array_join("__ids", ",,"), F.lit(",")))
     found: list[Column] = []

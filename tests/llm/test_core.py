@@ -133,3 +133,10 @@ def test_licence_sentences(spark):
 def test_every_known_sentence_has_a_trigger_and_every_rule_known_sentences():
     assert all(re.search(licences.TRIGGER, s) for s in licences.SENTENCES)
     assert all(set(rule.split(",")) <= set(licences.SENTENCES.values()) for _, rule in licences.RULES)
+
+
+def test_wrapped_and_one_line_sentences_of_one_text(spark):
+    notice = "A heading without an end mark\nReleased under the MIT License\nmore words"
+    cases = {1: (f"{notice}\n\n{MIT}", "MitShort,MitGrant,MitNotice"), 2: (f"{MIT}\n\n{notice}", "MitGrant,MitNotice,MitShort"), 3: ("All rights\nreserved. All rights reserved\nx", "AllRights,AllRights")}
+    docs = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["sentence_ids"] for r in licences.scan(docs).collect()} == {k: v[1] for k, v in cases.items()}
