@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that mark a kind of document, in the order in which kinds are tried.
@@ -112,3 +112,21 @@ def human_bytes(c: Column | str) -> Column:
     for power, unit in ((1, "KB"), (2, "MB")):
         chain = chain.when(n < 1024.0 ** (power + 1), F.concat(F.format_string("%.1f", n / 1024.0**power), F.lit(f" {unit}")))
     return chain.otherwise(F.concat(F.format_string("%.1f", n / 1024.0**3), F.lit(" GB")))
+
+
+def unit_confidence(c: Column | str) -> Column:
+    """A confidence between 0 and 1: more than 1 is per cent, and none is 0."""
+    n = F.coalesce(_col(c).cast("double"), F.lit(0.0))
+    return F.when(n > 1, n / 100).otherwise(n)
+
+
+def error_text(c: Column | str) -> Column:
+    """The first 1,000 characters of an error."""
+    return F.substring(_col(c), 1, 1000)
+
+
+def recognised(rows: DataFrame) -> DataFrame:
+    """The rows of recognised text (raw_text, language, confidence, ...) that are to be stored: those with
+    any text, the confidence between 0 and 1, and the language "eng" where none is given."""
+    language = F.coalesce(F.nullif(F.col("language"), F.lit("")), F.lit("eng"))
+    return rows.where(F.length("raw_text") > 0).withColumns({"confidence": unit_confidence("confidence"), "language": language})

@@ -101,3 +101,10 @@ def test_text_score_and_date_filter(spark):
     times = spark.sql("SELECT * FROM VALUES (TIMESTAMP_NTZ'2023-12-31 23:59:59.500'), (TIMESTAMP_NTZ'2023-12-31 23:59:59'), (CAST(NULL AS TIMESTAMP_NTZ)) t(taken_at)")
     assert times.where(search.date_filter(intent)).count() == 1
     assert times.where(search.date_filter(search.Intent("", month=12), as_of_year=2024)).count() == 1
+
+
+def test_recognised_text_and_errors(spark):
+    rows = spark.createDataFrame([(1, "a", "deu", 87.0), (2, " ", None, 0.5), (3, "", "eng", 90.0), (4, None, "eng", 1.0), (5, "b", "", None), (6, "c", "fra", 1.0)], "id int, raw_text string, language string, confidence double")
+    got = {r["id"]: (r["language"], r["confidence"]) for r in text.recognised(rows).collect()}
+    assert got == {1: ("deu", 0.87), 2: ("eng", 0.5), 5: ("eng", 0.0), 6: ("fra", 1.0)}
+    assert one(spark, text.error_text(F.lit("é" * 1_500))) == "é" * 1_000 and one(spark, text.error_text(F.lit(None).cast("string"))) is None
