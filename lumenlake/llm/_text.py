@@ -1,23 +1,28 @@
 """Vectorised tokenising of Arrow string columns: words, their 64-bit hashes and shingles.
 
 A batch of texts stays one UTF-8 buffer.  Words are runs of bytes of a class given as a table of
-256 flags; their hashes come from one running sum, so that no Python loop touches single words.
+256 flags; their hashes take eight bytes of all words at a time, so that no Python loop touches single
+words but very long ones.  Work goes by slices and windows of bounded size, so that memory does not
+follow the length of a text by more than what is kept of it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one vectorised step handles at most, unless a single text is longer.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that one vectorised step handles at most, unless a single text is longer; and texts.
+SLICE_BYTES, SLICE_ROWS = 512 << 10, 16_383
+#: Bytes from which a word is hashed on its own.
+LONG_WORD = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+#: Keeps the first k bytes of a little-endian long.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _flags(chars) -> np.ndarray:
@@ -56,19 +61,16 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + SLICE_ROWS)
         yield i, j
         i = j
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            _POWERS[name] = np.multiply.accumulate(row)
-    return _POWERS["up"], _POWERS["down"]
+def windows(size: int, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges that cover 0 to size."""
+    step = limit or SLICE_BYTES
+    for lo in range(0, size, step):
+        yield lo, min(lo + step, size)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,27 +83,62 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; by a sort, which vectorises where np.unique hashes one value at a time."""
+    values = np.sort(values)
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return values[fresh]
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all texts, and the n + 1 offsets of each text's words."""
-    flags = inside[data]
-    n = len(data)
-    left = np.zeros(n + 1, bool)
-    left[1:] = flags
-    right = np.zeros(n + 1, bool)
-    right[:n] = flags
-    left[offsets] = False
-    right[offsets] = False
-    starts = np.flatnonzero(flags & ~left[:n])
-    ends = np.flatnonzero(flags & ~right[1:]) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    found: tuple[list, list] = ([], [])
+    for lo, hi in windows(len(data)):
+        flags = np.zeros(hi - lo + 2, bool)  # with a byte before and one behind
+        a, b = max(lo - 1, 0), min(hi + 1, len(data))
+        flags[a - lo + 1 : b - lo + 1] = inside[data[a:b]]
+        own = flags[1:-1]
+        edges = own & ~flags[:-2], own & ~flags[2:]
+        for edge, places, out in zip(edges, (offsets[:-1], offsets[1:] - 1), found, strict=True):
+            at = places[np.searchsorted(places, lo) : np.searchsorted(places, hi)] - lo
+            edge[at] = own[at]  # words end where texts do
+            out.append(np.flatnonzero(edge) + lo)
+    starts, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    return starts, last + 1, np.searchsorted(starts, offsets)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """64-bit hashes of byte spans, after mapping each byte by fold."""
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans, in ascending order of their starts, after mapping each byte by fold."""
+    out = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        lo = int(starts[done])
+        upto = max(done + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, "right")))
+        body = np.zeros(int(ends[upto - 1]) - lo + 8, np.uint8)
+        body[:-8] = fold[data[lo : lo + len(body) - 8]]
+        out[done:upto] = _hashed(body, starts[done:upto] - lo, (ends - starts)[done:upto])
+        done = upto
+    return out
+
+
+def _hashed(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of a body with eight spare bytes behind."""
+    longs = np.ndarray((len(body) - 7,), "<u8", body, strides=(1,))  # the eight bytes from each place on
+    h = mix((longs[starts] & _FIRST[np.minimum(sizes, 8)]) + sizes.astype(np.uint64) * _BASE)
+    left = np.flatnonzero(sizes > 8)
+    if len(left):
+        far = sizes[left] > LONG_WORD
+        for k in left[far].tolist():
+            whole = body[starts[k] : starts[k] + sizes[k]].tobytes()
+            h[k] = int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "little")
+        left, done = left[~far], 8
+        while len(left):
+            part = longs[starts[left] + done] & _FIRST[np.minimum(sizes[left] - done, 8)]
+            h[left] = mix(h[left] * _BASE + part)
+            done += 8
+            left = left[sizes[left] > done]
+    return h
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:

@@ -50,7 +50,7 @@ def shingle_sets(column, k: int) -> Iterator[tuple[int, np.ndarray]]:
     for i, j, data, offsets in _text.each_slice(column):
         words, at = _text.word_hashes(data, offsets, _text.NON_SPACE)
         for row in range(i, j):
-            yield row, np.unique(_text.shingle_hashes(words[at[row - i] : at[row - i + 1]], k))
+            yield row, _text.distinct(_text.shingle_hashes(words[at[row - i] : at[row - i + 1]], k))
 
 
 def _hot(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:

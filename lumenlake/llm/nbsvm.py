@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import _text
-from ._store import bound_batches
+from ._store import bound_batches, materialize
 
 FEATURE_BITS = 18
 #: The classifier is fit on at most so many labelled documents of each class, chosen by a hash of doc_id.
@@ -28,54 +29,69 @@ CLASS_ROWS = 3_000
 #: Score from which a document is predicted to be of quality.
 THRESHOLD = 0.3
 
-_UPPER = _text._flags(range(0x41, 0x5B))
-_LOWER = _text._flags(range(0x61, 0x7B))
-_DIGIT = _text._flags(range(0x30, 0x3A))
-_MARK = _text._flags([c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".,'-"])
+#: Distinct features that the documents of one class hold at most in the fit: 80 MB on the driver.
+CLASS_FEATURES = 20_000_000
+
+#: Per byte a count of capitals, small letters, digits and symbols, 16 bits each.
+_COUNTS = np.zeros(256, np.uint64)
+for _at, _chars in enumerate((range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), [c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".,'-"])):
+    _COUNTS[list(_chars)] = 1 << 16 * _at
+
+
+def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """A byte per word: its capitals, digits and symbols, and whether it repeats the word before."""
+    counts = np.add.reduceat(_COUNTS[data], starts)  # what stands between words counts as nothing
+    upper, lower, digit, mark = ((counts >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(4))
+    shape = ((upper > 1) & (lower == 0)) | ((upper > 0) & (lower > 0)) << 1 | (digit > 0) << 2 | np.minimum(mark, 3).astype(np.int64) << 3 | same << 5 | (mark == (ends - starts).astype(np.uint64)) << 6
+    return shape.astype(np.uint64)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every distinct feature of every text, sorted by both."""
+    """(row, feature) of every distinct feature of at most SLICE_ROWS texts, sorted by both.
+
+    Goes by windows of bytes and runs of words, so that a long text needs no more than a slice and its words."""
     n = len(offsets) - 1
-    bits = np.uint64(FEATURE_BITS)
-    keys = []
+    held = [np.zeros(0, np.uint32)]
+
+    def add(rows: np.ndarray, feats: np.ndarray) -> None:
+        held.append(_text.distinct(rows.astype(np.uint32) << np.uint32(FEATURE_BITS) | feats.astype(np.uint32)))
+        if n == 1 and len(held) > 20:
+            held[:] = [_text.distinct(np.concatenate(held))]
 
-    def add(rows: np.ndarray, hashes: np.ndarray, kind: int) -> None:
-        keys.append((rows.astype(np.uint64) << bits) | (_text.mix(hashes + np.uint64(kind << 56)) >> (np.uint64(64) - bits)))
+    def hashed(grams: np.ndarray, kind: int) -> np.ndarray:
+        return _text.mix(grams + np.uint64(kind << 56)) >> np.uint64(64 - FEATURE_BITS)
 
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    if len(data) > 2:
-        wide = data.astype(np.uint64)
-        grams = wide[:-2] | (wide[1:-1] << np.uint64(8)) | (wide[2:] << np.uint64(16))
+    for lo, hi in _text.windows(len(data) - 2):
+        row = np.repeat(np.arange(n, dtype=np.uint16), np.diff(np.clip(offsets, lo, hi + 2)))
+        part = data[lo : hi + 2].astype(np.uint32)
+        grams = (part[:-2] | part[1:-1] << np.uint32(8) | part[2:] << np.uint32(16)) * np.uint32(0x9E3779B1) >> np.uint32(32 - FEATURE_BITS)
         inner = row[:-2] == row[2:]
-        add(row[:-2][inner], grams[inner], 1)
+        add(row[:-2][inner], grams[inner])
     starts, ends, at = _text.spans(data, offsets, _text.NON_SPACE)
-    if len(starts):
-        hashes = _text.span_hashes(data, starts, ends)
-        word_row = np.repeat(np.arange(n), np.diff(at))
-        add(word_row, hashes, 2)
-
-        def count(flags: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(flags[data])])
-            return total[ends] - total[starts]
-
-        upper, lower, digit, mark = (count(f) for f in (_UPPER, _LOWER, _DIGIT, _MARK))
-        same = np.zeros(len(hashes), bool)
-        same[1:] = (hashes[1:] == hashes[:-1]) & (word_row[1:] == word_row[:-1])
-        shape = ((upper > 1) & (lower == 0)) | ((upper > 0) & (lower > 0)) << 1 | (digit > 0) << 2 | np.minimum(mark, 3) << 3 | same << 5 | (mark == ends - starts) << 6
-        shape = shape.astype(np.uint64)
+    first = 0
+    while first < len(starts):
+        upto = max(first + 1, int(np.searchsorted(ends, starts[first] + _text.SLICE_BYTES, "right")))
+        back = max(0, first - 3)  # a gram of three words and the word before it
+        lo, own = int(starts[back]), slice(back, upto)
+        text, s, e = data[lo : int(ends[upto - 1])], starts[own] - lo, ends[own] - lo
+        words = _text.span_hashes(text, s, e)
+        row = np.repeat(np.arange(n, dtype=np.uint16), np.diff(np.clip(at, back, upto)))
+        add(row, hashed(words, 2))
+        same = np.zeros(len(words), bool)
+        same[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
+        shape, skip = _shapes(text, s, e, same), int(back > 0)  # the first word's neighbour is out of sight
         for size in (1, 2, 3):
-            if len(shape) < size:
-                break
-            gram = np.zeros(len(shape) - size + 1, np.uint64)
-            for k in range(size):
-                gram = (gram << np.uint64(8)) | shape[k : len(shape) - size + 1 + k]
-            first, last = word_row[: len(gram)], word_row[size - 1 :]
-            add(first[first == last], gram[first == last], 2 + size)
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = np.unique(np.concatenate(keys))
-    return (found >> bits).astype(np.int64), (found & np.uint64((1 << FEATURE_BITS) - 1)).astype(np.int64)
+            count = len(shape) - size + 1
+            if count > skip:
+                gram = np.zeros(count, np.uint64)
+                for k in range(size):
+                    gram = (gram << np.uint64(8)) | shape[k : count + k]
+                one = row[:count] == row[size - 1 :]
+                one[:skip] = False
+                add(row[:count][one], hashed(gram[one], 2 + size))
+        first = upto
+    found = _text.distinct(np.concatenate(held))
+    return (found >> np.uint32(FEATURE_BITS)).astype(np.int64), (found & np.uint32((1 << FEATURE_BITS) - 1)).astype(np.int64)
 
 
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -168,11 +184,13 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, priors: tuple[float, fl
     return Model(train(np.arange(len(rows))), a, b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, folds: int = 5, class_features: int = CLASS_FEATURES) -> Model:
     """Fit on the labelled documents (labels: doc_id, quality) outside fold 0 of crc32(doc_id as text).
 
-    At most class_rows of each class are used, those of the least hash of doc_id.  Labels of null are
-    left out; a doc_id labelled more than once counts as 1 if any of its labels is 1.
+    At most class_rows of each class are used, those of the least hash of doc_id, and of them as many as
+    hold class_features distinct features; texts count whole.  Labels of null are left out; a doc_id
+    labelled more than once counts as 1 if any of its labels is 1.  Repeated rows of a document count
+    each; an empty table, or one class alone, gives one score for all.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -193,16 +211,20 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, folds:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(each, pa.list_(pa.int32()))], ["doc_id", "quality", "features"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    table = chosen.mapInArrow(listed, "doc_id long, quality int, features array<int>").toArrow().sort_by("doc_id")
+    lists = materialize(chosen.mapInArrow(listed, "doc_id long, quality int, features array<int>"), "quality-features")
+    upto = F.sum(F.size("features")).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    bounded = lists.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < class_features).drop("upto")
+    table = bounded.toArrow().sort_by("doc_id")
     lists = table["features"].combine_chunks()
     rows = np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]) if table.num_rows else []
-    used = {label: max(1, min(class_rows, n)) for label, n in totals.items()}
+    used = {label: max(1, int((table["quality"].to_numpy() == label).sum())) for label in totals}
     return fit_rows(rows, table["quality"].to_numpy(), tuple(totals.get(k, 1) / used.get(k, 1) for k in (0, 1)))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, folds: int = 5) -> DataFrame:
     """docs with (in place of columns of these names) score (0 to 1), predicted (1 from threshold on) and held_out (fold 0; false for a null
-    doc_id).  A null text scores as an empty one, which has no features but the bias."""
+    doc_id).  A null text scores as an empty one, which has no features but the bias.  Each row is judged by
+    its text alone, so repeated rows score alike; an empty table gives none; a long text is taken in pieces."""
     docs = docs.drop("score", "predicted", "held_out")
     spark = docs.sparkSession
     bound_batches(spark)

@@ -8,7 +8,7 @@ A shard file is a run of records, in ascending doc_id order over all shards:
 
 all little-endian.  A masked checksum is the CRC-32 rotated right by 15 bits plus 0xa282ead8, so that
 a checksum of data that hold checksums stays meaningful.  The index is a Parquet table with a row per
-record: shard, position, doc_id, offset, length, n_tokens.  It allows to read records in any order
+record: shard, position, doc_id, offset, length, n_tokens, and the bytes of an id.  It allows to read records in any order
 without a scan.
 """
 
@@ -30,7 +30,7 @@ from . import _text
 from ._encode import encoder
 from ._store import bound_batches, fresh_path
 
-_INDEX = "shard int, position long, doc_id long, offset long, length long, n_tokens long"
+_INDEX = "shard int, position long, doc_id long, offset long, length long, n_tokens long, width int"
 _READ = "shard int, position long, doc_id long, before long, n_tokens long, ids_crc32 long, ids binary"
 _NONE = -(1 << 63)  # a doc_id of null
 
@@ -68,17 +68,26 @@ def _shard(path: str, shard: int) -> str:
     return f"{path}/shard-{shard:06d}.rec"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, vocabulary: int = 50_257, encode_special_tokens: bool = False) -> DataFrame:
+def ids_fit_short(tokenizer: str, end_id: int) -> bool:
+    """Whether every id of a tokenizer file, and the end id, fits 16 bits."""
+    from tokenizers import Tokenizer
+
+    return max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) < 1 << 16
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: int | None = None, encode_special_tokens: bool = False) -> DataFrame:
     """Encode every whole text, write the shards under path/data and the index under path/index.
 
-    A null text has the end id alone.  Rows of equal doc_id all get their record, ordered by text.
-    A task writes its shard under a name of its own and then renames it, so that a repeated task
-    replaces what a lost one left.  Returns the index.
+    A null text has the end id alone, like an empty one.  Rows of equal doc_id all get their record,
+    ordered by text; those of a null doc_id come first.  Other columns do not matter, whatever their names.
+    An empty table gives an index without rows.  Long texts are encoded piece by piece.  A task writes
+    its shard under a name of its own and then renames it, so that a repeated task replaces what a lost
+    one left.  Ids take 16 bits if all of the vocabulary fit, and the index tells.  Returns the index.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    narrow = vocabulary <= 1 << 16
+    width = 2 if ids_fit_short(tokenizer, end_id) else 4
     store = f"{path}/data"
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,15 +100,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
                 doc_ids = batch.column(0).to_pylist()
                 for i, j, data, offsets in _text.each_slice(batch.column(1)):
                     ids, at = encode.encode(data, offsets, end_id)
-                    raw, width = (ids.astype("<u2").tobytes(), 2) if narrow else (ids.astype("<u4").tobytes(), 4)
+                    raw = ids.astype(f"<u{width}").tobytes()
                     records = [frame(struct.pack("<q", _NONE if d is None else d) + raw[width * a : width * b]) for d, a, b in zip(doc_ids[i:j], at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     sizes = np.fromiter(map(len, records), np.int64, j - i)
                     out.write(b"".join(records))
                     begins = offset + np.cumsum(sizes) - sizes
                     n = j - i
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(position, position + n)), pa.array(doc_ids[i:j], pa.int64()), pa.array(begins), pa.array(sizes), pa.array(np.diff(at))],
-                        ["shard", "position", "doc_id", "offset", "length", "n_tokens"],
+                        [pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(position, position + n)), pa.array(doc_ids[i:j], pa.int64()), pa.array(begins), pa.array(sizes), pa.array(np.diff(at)), pa.array(np.full(n, width, np.int32))],
+                        ["shard", "position", "doc_id", "offset", "length", "n_tokens", "width"],
                     )
                     position, offset = position + n, offset + int(sizes.sum())
         fs.move(temporary, _shard(base, shard))
@@ -109,26 +118,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
     return spark.read.schema(_INDEX).parquet(f"{path}/index")
 
 
-def read(spark: SparkSession, path: str, vocabulary: int = 50_257, with_ids: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Read the records that the index names and check them: one row per record, with `before` (ids
     of the shard's earlier records), `n_tokens`, `ids_crc32` (of the ids as uint32) and `ids` (the
     same as bytes; null if not asked for)."""
     bound_batches(spark)
-    store, kind = f"{path}/data", "<u2" if vocabulary <= 1 << 16 else "<u4"
+    store = f"{path}/data"
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_store(store)
         open_, name, before = None, None, 0
         for batch in batches:
             got: dict[str, list] = {k: [] for k in ("shard", "position", "doc_id", "before", "n_tokens", "ids_crc32", "ids")}
-            for shard, position, offset, length in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for shard, position, offset, length, width in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if shard != name:
                     if open_:
                         open_.close()
                     open_, name, before = fs.open_input_file(_shard(base, shard)), shard, 0
                 open_.seek(offset)
                 payload = unframe(open_.read(length))
-                ids = np.frombuffer(payload, kind, offset=8).astype("<u4")
+                ids = np.frombuffer(payload, f"<u{width}", offset=8).astype("<u4")
                 (doc_id,) = struct.unpack("<q", payload[:8])
                 raw = ids.tobytes()
                 row = (shard, position, None if doc_id == _NONE else doc_id, before, len(ids), zlib.crc32(raw), raw if with_ids else None)
@@ -139,7 +148,7 @@ def read(spark: SparkSession, path: str, vocabulary: int = 50_257, with_ids: boo
         if open_:
             open_.close()
 
-    index = spark.read.schema(_INDEX).parquet(f"{path}/index").select("shard", "position", "offset", "length")
+    index = spark.read.schema(_INDEX).parquet(f"{path}/index").select("shard", "position", "offset", "length", "width")
     return index.repartition("shard").sortWithinPartitions("shard", "position").mapInArrow(checked, _READ)
 
 
@@ -151,5 +160,5 @@ def encode_and_read(docs: DataFrame, tokenizer: str, path: str | None = None, **
     index = write(docs, path, tokenizer, **options)
     per_shard = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     base = per_shard.select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    back = read(spark, path, options.get("vocabulary", 50_257), with_ids=False)
+    back = read(spark, path, with_ids=False)
     return back.join(base, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard", "position")
