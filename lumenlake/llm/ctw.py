@@ -30,8 +30,12 @@ DEPTH = 5
 LOCAL_GRAMS, LOCAL_WORDS = 4_000_000, 2_000_000
 #: Distinct keys that a counting task gathers before it hands them on.
 COUNT_KEYS = 3_000_000
-#: Depth at which the tree is cut in two: below it by group, above it on the driver (256 x 256 nodes).
-_CUT = 2
+#: Depth at which the tree is cut.  What lies below is weighed by groups of equal nearest bytes, which hold
+#: 2 ** (8 * (DEPTH - _CUT + 1)) grams at most, however large the corpus is; depth 2 by a groupBy; depths 1
+#: and 0 on the driver (256 x 256 nodes).
+_CUT = 3
+#: Grams that a task weighs together, and nodes of depth 2 that it holds at a time.
+WEIGH_ROWS, UPPER_ROWS = 250_000, 1_000_000
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +55,18 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[scored], offsets + np.arange(n + 1)
 
 
+def gram_parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """grams() of a slice; a single text that is longer comes in parts of bounded size."""
+    if len(offsets) > 2 or len(data) <= _text.SLICE_BYTES:
+        yield grams(data, offsets)
+        return
+    for lo, hi in _text.windows(len(data)):
+        near = data[max(0, lo - DEPTH) : hi]
+        keys, _ = grams(near, np.array([0, len(near)]))
+        keys = keys[lo - max(0, lo - DEPTH) : len(keys) - (hi < len(data))]
+        yield keys, np.array([0, len(keys)])
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """log of the gamma function for x > 0: Stirling's series at x + 8, then back down."""
     y = x + 8.0
@@ -107,6 +123,26 @@ def subtree(keys: np.ndarray, counts: np.ndarray, top: int = _CUT) -> tuple[np.n
     return predictions, tops
 
 
+class Upper:
+    """Nodes of depth 2: sorted keys (two context bytes, known bits with a leading 1), counts and shares."""
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, share: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.zeros, self.ones, self.share = (x[order] for x in (keys, zeros, ones, share))
+
+    def mixed(self, keys: np.ndarray, predictions: np.ndarray) -> np.ndarray:
+        """The predictions of the bits of each gram from depth 2 on, given those from depth 3 on."""
+        symbol, out = keys & np.uint64(0xFF), np.empty_like(predictions)
+        context = ((keys >> np.uint64(8 * (DEPTH - 1))) << np.uint64(8)).astype(np.int64)
+        for bit in range(8):
+            prefix = (symbol >> np.uint64(8 - bit)).astype(np.int64) | (1 << bit)
+            one = ((symbol >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+            at = np.searchsorted(self.keys, context | prefix)
+            zeros, ones, share = self.zeros[at], self.ones[at], self.share[at]
+            out[:, bit] = share * (np.where(one, ones, zeros) + 0.5) / (zeros + ones + 1.0) + (1 - share) * predictions[:, bit]
+        return out
+
+
 class Root:
     """Depths 0 and 1 of all eight trees: per context byte and known bits, counts and shares."""
 
@@ -182,10 +218,10 @@ def counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             held_out = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for i, j, data, offsets in _text.each_slice(batch.column(1)):
-                keys, at = grams(data, offsets)
-                tagged = (keys << np.uint64(1)) | np.repeat(held_out[i:j], np.diff(at)).astype(np.uint64)
-                distinct, n = np.unique(tagged, return_counts=True)
-                yield from of_grams.add(distinct >> np.uint64(1), np.where(distinct & np.uint64(1), 0, n))
+                for keys, at in gram_parts(data, offsets):
+                    tagged = (keys << np.uint64(1)) | np.repeat(held_out[i:j], np.diff(at)).astype(np.uint64)
+                    distinct, n = np.unique(tagged, return_counts=True)
+                    yield from of_grams.add(distinct >> np.uint64(1), np.where(distinct & np.uint64(1), 0, n))
                 words, at = _text.word_hashes(data, offsets, _text.NON_SPACE)
                 distinct, n = np.unique(words[np.repeat(~held_out[i:j], np.diff(at))], return_counts=True)
                 yield from of_words.add(distinct, n)
@@ -196,54 +232,84 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def model(gram_counts: DataFrame) -> DataFrame:
+def model(gram_counts: DataFrame, upper_rows: int = UPPER_ROWS) -> DataFrame:
     """(key, n) of grams -> (key, n, value): log10 of the gram's probability in its context."""
+    spark = gram_counts.sparkSession
+    shift = 8 * (DEPTH + 1 - _CUT)
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by their two nearest context bytes; one such group is held at a time."""
+        """Rows come in order; whole groups of the _CUT nearest context bytes are weighed, many at a time."""
         held: list[pa.RecordBatch] = []
+        rows, wanted = 0, WEIGH_ROWS
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
+        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
             keys, n = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
             predictions, tops = subtree(keys, n.astype(float))
-            raw = predictions.tobytes()
-            yield _weighed_batch(0, keys, n, np.zeros(len(keys)), np.zeros(len(keys)), [raw[64 * i : 64 * i + 64] for i in range(len(keys))])
+            bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(64), len(keys), [None, pa.py_buffer(predictions)]).cast(pa.binary())
+            yield _weighed_batch(0, keys, n, np.zeros(len(keys)), np.zeros(len(keys)), bits)
             for node, zeros, ones, weighted in tops:
-                yield _weighed_batch(1, node, zeros.astype(np.int64), ones, weighted, [None] * len(node))
+                yield _weighed_batch(1, node, zeros.astype(np.int64), ones, weighted, pa.nulls(len(node), pa.binary()))
 
         for batch in batches:
-            group = batch.column(0).to_numpy() >> (8 * (DEPTH + 1 - _CUT))
-            cut = (np.flatnonzero(np.diff(group)) + 1).tolist()
-            for lo, hi in zip([0, *cut], [*cut, batch.num_rows], strict=True):
-                if lo < hi:
-                    if held and held[0].column(0)[0].as_py() >> (8 * (DEPTH + 1 - _CUT)) != group[lo]:
-                        yield from flush()
-                        held = []
-                    held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from flush()
-
-    by_context = F.shiftright("key", 8 * (DEPTH + 1 - _CUT))
-    ordered = gram_counts.select("key", "n").repartition(by_context).sortWithinPartitions("key")
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= wanted:
+                table = pa.Table.from_batches(held)
+                group = table["key"].to_numpy() >> shift
+                last = int(np.searchsorted(group, group[-1]))
+                if last:
+                    yield from flush(table.slice(0, last))
+                held, rows = table.slice(last).to_batches(), rows - last
+                wanted = max(WEIGH_ROWS, 2 * rows)
+        if rows:
+            yield from flush(pa.Table.from_batches(held))
+
+    ordered = gram_counts.select("key", "n").repartition(F.shiftright("key", shift)).sortWithinPartitions("key")
     rows = materialize(ordered.mapInArrow(weighed, "kind int, key long, n long, ones double, weighted double, bits binary"), "ctw-nodes")
-    # the key of a node of depth 2 is c1 c2 bits; depth 1 has at most 256 x 255 nodes
-    upper = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
-    above = rows.where("kind = 1").groupBy(upper.alias("key")).agg(F.sum("n"), F.sum("ones"), F.sum("weighted")).collect()
-    root = Root([tuple(r) for r in above])
 
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, _ = _text.utf8(batch.column(2))
-            value = root.log10(batch.column(0).to_numpy().view(np.uint64), np.ascontiguousarray(data).view(np.float64).reshape(-1, 8))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], ["key", "n", "value"])
+    def above(nodes: DataFrame) -> DataFrame:
+        """Sums over the nodes (context bytes, then known bits) that agree but for the farthest context byte."""
+        key = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(F.lit(255)))
+        return nodes.groupBy(key.alias("key")).agg(*(F.sum(c).alias(c) for c in ("n", "ones", "weighted")))
 
-    return rows.where("kind = 0").select("key", "n", "bits").mapInArrow(finished, "key long, n long, value double")
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, zeros, ones, below = (c.to_numpy() for c in batch.columns)
+            weighted, share = _node_weights(zeros.astype(float), ones, below)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weighted), pa.array(share)], ["key", "n", "ones", "weighted", "share"])
+
+    second = materialize(above(rows.where("kind = 1")).mapInArrow(shared, "key long, n long, ones double, weighted double, share double"), "ctw-upper")
+    root = Root([tuple(r) for r in above(second).select("key", "n", "ones", "weighted").collect()])
+
+    def finisher(upper):
+        def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(0).to_numpy().view(np.uint64)
+                data, _ = _text.utf8(batch.column(2))
+                predictions = np.ascontiguousarray(data).view(np.float64).reshape(-1, 8)
+                value = root.log10(keys, upper.value.mixed(keys, predictions)) if len(keys) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], ["key", "n", "value"])
+
+        return finished
+
+    # nodes of depth 2 go to the tasks in parts of upper_rows, 2 ** 24 / upper_rows at most; the grams of a
+    # part have their nodes in it
+    parts = max(1, -(-second.count() // upper_rows))
+    found: DataFrame | None = None
+    for part in range(parts):
+        own = F.pmod(F.xxhash64("context"), F.lit(parts)) == part
+        table = second.withColumn("context", F.shiftright("key", 8)).where(own).select("key", "n", "ones", "share").toArrow()
+        key, zeros, ones, share = (c.to_numpy() for c in table.columns)
+        upper = spark.sparkContext.broadcast(Upper(key, zeros.astype(float), ones, share))
+        some = rows.where("kind = 0").withColumn("context", F.shiftright("key", 8 * (DEPTH - 1))).where(own).select("key", "n", "bits")
+        done = some.mapInArrow(finisher(upper), "key long, n long, value double")
+        found = done if found is None else found.unionByName(done)
+    return found
 
 
 def _weighed_batch(kind: int, keys, n, ones, weighted, bits) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n), pa.array(ones), pa.array(weighted), pa.array(bits, pa.binary())],
+        [pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n), pa.array(ones), pa.array(weighted), bits],
         ["kind", "key", "n", "ones", "weighted", "bits"],
     )
 
@@ -297,14 +363,15 @@ def _runs(rows: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[np.ndarra
 _SCORED = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, grams array<long>, gram_times array<long>, words array<long>, word_times array<long>"
 
 
-def score(docs: DataFrame, folds: int = 10, local_grams: int = LOCAL_GRAMS, local_words: int = LOCAL_WORDS) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, local_grams: int = LOCAL_GRAMS, local_words: int = LOCAL_WORDS, upper_rows: int = UPPER_ROWS) -> DataFrame:
     """Per document of docs (doc_id, text, ...): held_out, n_tokens, n_known, train_tokens, base_score,
     score and bits_per_byte (the code length of text and end, per byte of text; null for no bytes).
 
     crc32(doc_id as text) mod folds is 0 for held-out documents; a null doc_id counts as training.
     base_score is a smoothed unigram of words and ends, score the model's log10 probability of the
     text's bytes and its end.  Null texts are empty.  With no training document every probability
-    falls back to its prior.  Equal rows stay rows of their own.
+    falls back to its prior.  Equal rows stay rows of their own; other columns of docs do not matter,
+    whatever their names; an empty table gives no rows.  Long texts are taken in parts.
     """
     spark = docs.sparkSession
     folded = _with_fold(docs, folds)
@@ -313,7 +380,7 @@ def score(docs: DataFrame, folds: int = 10, local_grams: int = LOCAL_GRAMS, loca
     words = found.where("kind = 1").select("key", "n", F.log10(F.col("n") + 0.1).alias("value"))
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train, vocabulary = n_words + ends, distinct + (ends > 0)
-    gram_table = materialize(model(found.where("kind = 0")), "lm-model")
+    gram_table = materialize(model(found.where("kind = 0"), upper_rows), "lm-model")
     *near_grams, far_grams = _common(gram_table, local_grams)
     *near_words, far_words = _common(words, local_words)
     shared = spark.sparkContext.broadcast((tuple(near_grams), tuple(near_words)))
@@ -324,8 +391,14 @@ def score(docs: DataFrame, folds: int = 10, local_grams: int = LOCAL_GRAMS, loca
         for batch in batches:
             for i, j, data, offsets in _text.each_slice(batch.column(1)):
                 n = j - i
-                keys, at = grams(data, offsets)
-                total, _, lost, lost_times = _lookup(keys.view(np.int64), np.repeat(np.arange(n), np.diff(at)), n, of_grams)
+                total, lost, lost_times = np.zeros(n), [[] for _ in range(n)], [[] for _ in range(n)]
+                for keys, at in gram_parts(data, offsets):
+                    more, _, some, often = _lookup(keys.view(np.int64), np.repeat(np.arange(n), np.diff(at)), n, of_grams)
+                    total += more
+                    for row in range(n):
+                        if len(some[row]):
+                            lost[row] = np.concatenate([lost[row], some[row]]).astype(np.int64)
+                            lost_times[row] = np.concatenate([lost_times[row], often[row]]).astype(np.int64)
                 hashes, at = _text.word_hashes(data, offsets, _text.NON_SPACE)
                 base, known, rare, rare_times = _lookup(hashes.view(np.int64), np.repeat(np.arange(n), np.diff(at)), n, of_words)
                 lists = pa.list_(pa.int64())
