@@ -5,12 +5,14 @@ task) gets a suffix array over its words, ordered by word hash; every suffix of
 is binary-searched in it.  The range of suffixes that begin with a window gives all places where the
 window occurs; from there matches are followed to their end, which gives the longest verbatim ones.
 
-Texts are scanned once per block of benchmark items.  A block holds a bounded number of words, so
-what tasks receive is bounded however large the benchmark is.
+Texts are scanned once per block of benchmark items, and one block is with the tasks at a time.  A
+block holds BLOCK_WORDS words, or one item of more, so what tasks receive is bounded however many
+items the benchmark has.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +27,8 @@ from ._store import bound_batches, materialize, set_aside
 
 #: Words of a window; an item with fewer is one window.
 WINDOW = 13
-#: Bytes of text per shard, and benchmark words per block.
-SHARD_BYTES, BLOCK_WORDS = 4 << 20, 400_000
+#: Bytes of text per shard, words that one suffix array covers, and benchmark words per block.
+SHARD_BYTES, SEGMENT_WORDS, BLOCK_WORDS = 4 << 20, 1_000_000, 400_000
 
 
 def suffix_array(words: np.ndarray, depth: int) -> np.ndarray:
@@ -80,6 +82,13 @@ class Block:
     items: np.ndarray
     words: np.ndarray
     offsets: np.ndarray
+    cut: tuple | None = None
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """suffixes() of a window's width, made once in a worker."""
+        if self.cut is None:
+            self.cut = self.suffixes(WINDOW)
+        return self.cut
 
     def suffixes(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All suffixes cut to `width` words: a matrix, their lengths, the item of each, and whether
@@ -154,15 +163,21 @@ def scan(words: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[list[np.
     # a separator after each text, greater than any word, keeps matches inside one text
     text = np.insert(words, offsets[1:], np.uint64(0xFFFFFFFFFFFFFFFF))
     begins = offsets + np.arange(n + 1)
-    order = suffix_array(text, WINDOW)
-    matrix, lengths, item, window = block.suffixes(WINDOW)
-    left, right = search(text, order, matrix, lengths)
-    found = np.flatnonzero(window & (right > left))
-    if not len(found):
+    matrix, lengths, item, window = block.windows()
+    queries, places = [], []
+    for lo in range(0, len(text), SEGMENT_WORDS):  # a window that begins in a segment ends in its overlap
+        part = text[lo : lo + SEGMENT_WORDS + WINDOW - 1]
+        order = suffix_array(part, WINDOW)
+        left, right = search(part, order, matrix, lengths)
+        found = np.flatnonzero(window & (right > left))
+        counts = (right - left)[found]
+        query = np.repeat(found, counts)
+        at = order[np.repeat(left[found], counts) + np.arange(len(query)) - np.repeat(np.cumsum(counts) - counts, counts)]
+        queries.append(query[at < SEGMENT_WORDS])
+        places.append(at[at < SEGMENT_WORDS] + lo)
+    query, at = np.concatenate(queries), np.concatenate(places)
+    if not len(query):
         return hits, items, longest
-    counts = (right - left)[found]
-    query = np.repeat(found, counts)
-    at = order[np.repeat(left[found], counts) + np.arange(len(query)) - np.repeat(np.cumsum(counts) - counts, counts)]
     doc = np.searchsorted(begins, at, "right") - 1
     by_doc = np.lexsort((at, doc))
     query, at, doc = query[by_doc], at[by_doc], doc[by_doc]
@@ -183,8 +198,9 @@ def scan(words: np.ndarray, offsets: np.ndarray, block: Block) -> tuple[list[np.
         for k in diagonal[first]:
             end = block.offsets[item[q[k]] + 1]
             size = _extend(text, int(p[k]), block.words[q[k] : end])
-            if size > longest[d, 0]:
-                longest[d] = (size, block.items[item[q[k]]], p[k] - begins[d])
+            one = (size, -block.items[item[q[k]]], begins[d] - p[k])  # of equally long ones the least item, then place
+            if not longest[d, 0] or one > (longest[d, 0], -longest[d, 1], -longest[d, 2]):
+                longest[d] = (one[0], -one[1], -one[2])
     return hits, items, longest
 
 
@@ -241,32 +257,39 @@ def _scanned(block_of, text_at: int, only_found: bool):
 
 def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with, per document: n_words, hit (positions of hit words), items (ids of the items with a
-    window in it) and its longest verbatim match (`longest` words of longest_item from word longest_at;
-    nulls if no window occurs).
-
-    Null texts have no words; items without words and an empty benchmark hit nothing; equal rows stay
-    rows of their own; columns of docs that have such a name are replaced.  One pass over the texts per block of benchmark items, without a shuffle if
-    there is one block.
+    window in it) and its longest verbatim match (`longest` words of longest_item from word longest_at, of
+    equally long ones that of the least item and then the first; nulls if no window occurs).
+
+    Null texts have no words; items without words and an empty benchmark hit nothing; an empty table gives
+    no rows; equal rows stay rows of their own; columns of docs that have such a name are replaced.  A long
+    text has suffix arrays of bounded segments.  One pass over the texts per block of benchmark items,
+    without a shuffle if there is one block; with more, docs is written down first, so that its rows keep
+    their numbers.
     """
     docs = docs.drop(*_FOUND)
     spark = docs.sparkSession
     bound_batches(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, block_words)]
-    if len(blocks) <= 1:
+    blocks = _blocks(benchmark, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
         schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_TYPES).fields])
-        return docs.mapInArrow(_scanned(blocks[0] if blocks else None, docs.columns.index("text"), False), schema)
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    texts = rows.select("__row", "text")
-    parts = [texts.mapInArrow(_scanned(b, 1, k > 0), f"__row long, text string, {_TYPES}").drop("text") for k, b in enumerate(blocks)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        return docs.mapInArrow(_scanned(spark.sparkContext.broadcast(first) if first else None, docs.columns.index("text"), False), schema)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
+    found: DataFrame | None = None
+    for block in itertools.chain((first, second), blocks):
+        shared = spark.sparkContext.broadcast(block)
+        scanned = rows.select("__row", "text").mapInArrow(_scanned(shared, 1, found is not None), f"__row long, text string, {_TYPES}").drop("text")
+        part = materialize(scanned, "decontam-block")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    best = F.max(F.struct("longest", -F.col("longest_item"), -F.col("longest_at")))
     found = found.groupBy("__row").agg(
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        *(F.max_by(c, "longest").alias(c) for c in _FOUND[3:]),
+        best.alias("best"),
     )
+    found = found.select("__row", "n_words", "hit", "items", F.col("best.longest"), (-F.col("best.col2")).alias("longest_item"), (-F.col("best.col3")).alias("longest_at"))
     return rows.join(found, "__row").drop("__row")
 
 
