@@ -5,12 +5,14 @@ one of them stands for from then on.  The join goes by blocks: two sets of the w
 share one of their first n - ceil(t n) + 1 shingles in any order common to all sets.  The order puts
 frequent shingles last, so that a passage that many documents share makes no block.
 
-Within a block, sets are points of group counts.  The block's least document is tried against every
-other one first; what that links needs no further test.  If documents of several components remain in
-a block, an R-tree over its points finds the pairs whose summed coordinate minima allow the
-similarity.  What such pairs connect is a group; a group's sets meet in a task, where the R-tree join is
-done once more and its pairs are verified, until all are joined or told apart.  Bounds are taken on coarse points first and then on fine ones, whose number of groups grows
-with the set, so that long texts are told apart as well.
+Sets are points of group counts, and R-trees over them give the pairs whose summed coordinate minima
+allow the similarity.  First the points that share a block with some block's least document are
+indexed per such document, and searched with its point; what that links needs no further test.  If
+documents of several components remain in a block, an R-tree over its points is joined with itself.
+What the pairs of that connect is a group; a group's sets meet in a task, where the R-tree join is done
+once more and its pairs are verified, until all are joined or told apart.  Bounds are taken on coarse
+points first and then on fine ones, whose number of groups grows with the set, so that long texts are
+told apart as well.
 
 All links lie inside components.  Once those are known, every two sets of a component are compared, to
 count each document's links.
@@ -29,14 +31,14 @@ from pyspark.sql.window import Window
 from . import _text
 from ._store import bound_batches, materialize, set_aside
 from .graph import components
-from .rtree import CountTree, needed
+from .rtree import CountTree, needed, search_runs
 
 #: Coordinates of a coarse point; a fine one has as many times two as leave 8 tokens or more in each.
 GROUPS = 64
 #: Frequent shingles known to every task; they only set the order, so the bound costs no result.
 HOT_SHINGLES = 500_000
 #: Shingles that one task counts at a time, and rows of a block that one R-tree holds.
-COUNT_CHUNK, BLOCK_ROWS = 4_000_000, 4_096
+COUNT_CHUNK, BLOCK_ROWS = 1_500_000, 4_096
 #: Shingles of the sets that one task compares with each other.
 GROUP_SHINGLES = 2_000_000
 #: Sets of a component that one task compares with as many others, and shingles that it looks at together.
@@ -168,8 +170,25 @@ def sketch(docs: DataFrame, k: int, num: int, den: int, hot=None, hot_shingles:
     return docs.select("doc_id", "text").mapInArrow(sketched, "doc_id long, n long, h1 long, h2 long, coarse binary, point binary, prefix array<long>")
 
 
+def _coarse(column, sizes: np.ndarray) -> np.ndarray:
+    """Coarse points as rows; a coordinate of its own holds what saturated counts leave out."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    return np.column_stack([raw, sizes - raw.sum(axis=1)])
+
+
 def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose summed coordinate minima allow the similarity, on coarse and on fine points."""
+    """The pairs (a, b) whose summed coordinate minima allow the similarity.
+
+    The coarse points of all b of an a are packed in an R-tree, which the point of a searches; what it finds
+    is bounded again by the fine points.  An a of very many b may be cut by Spark: each part is a tree."""
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sizes = [batch.column(c).to_numpy() for c in (2, 3)]
+                queries, points = (_coarse(batch.column(c), n) for c, n in zip((4, 5), sizes, strict=True))
+                found = search_runs(batch.column(0).to_numpy(), points, sizes[1], queries, sizes[0], num, den)
+                yield batch.select([0, 1]).filter(pa.array(found))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,12 +197,11 @@ def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
             bound = Points(batch.column(4), sizes[0]).bounds(rows, Points(batch.column(5), sizes[1]), rows)
             yield batch.select([0, 1]).filter(pa.array(bound >= needed(*sizes, num, den)))
 
-    like = (den * F.col("n_a") >= num * F.col("n_b")) & (den * F.col("n_b") >= num * F.col("n_a"))
-    for grain in ("coarse", "point"):
-        for end in ("a", "b"):
+    for grain, test in (("coarse", searched), ("point", kept)):
+        for end in ("b", "a"):  # the join with a comes last and leaves the rows in its order
             pairs = pairs.join(reps.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col(grain).alias(f"point_{end}")), end)
-        pairs = pairs.where(like).select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(kept, "a long, b long").distinct()
-    return pairs
+        pairs = pairs.select("a", "b", "n_a", "n_b", "point_a", "point_b").mapInArrow(test, "a long, b long")
+    return pairs.distinct()
 
 
 def _filter_places(ids: np.ndarray) -> np.ndarray:
@@ -444,6 +462,8 @@ def classes(
     n_links, and only the links that components need are verified.  A set
     without shingles (null, empty or blank text) links with nothing.  Rows of equal doc_id count as
     one document whatever their texts; a null doc_id links with nothing and has a null component_id.
+    Other columns of docs do not matter, whatever their names; an empty table gives no rows; a long text is
+    taken whole, its words as hashes.
     """
     docs = docs.select("doc_id", "text")
     seen = materialize(sketch(docs, k, num, den, hot_shingles=hot_shingles), "sketch")
@@ -451,25 +471,16 @@ def classes(
         seen.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.any_value("coarse").alias("coarse"), F.any_value("point").alias("point"), F.any_value("prefix").alias("prefix")),
         "classes",
     )
-    by_token = Window.partitionBy("token")
-    blocks = materialize(
-        reps.select("node", F.explode("prefix").alias("token"))
-        .withColumns({"size": F.count("*").over(by_token), "hub": F.min("node").over(by_token)})
-        .where("size > 1"),
-        "blocks",
-    )
+    # sums per token combine before the shuffle, and their join can be split, so a frequent token is no large task
+    tokens = reps.select("node", F.explode("prefix").alias("token"))
+    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1"), "tokens")
+    blocks = materialize(tokens.join(shared, "token"), "blocks")
     first = materialize(_bounded(blocks.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), reps, num, den), "pairs")
     links = materialize(_verified(first, docs, k, num, den), "links")
     component = components(links)
-    placed = (
-        blocks.where("size > 2")
-        .join(component, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token)})
-        .where("low < high")
-        .drop("low", "high")
-        .join(reps.select("node", "n", "point"), "node")
-    )
+    known = materialize(blocks.where("size > 2").join(component, "node", "left").withColumn("component", F.coalesce("component", "node")), "blocks")
+    several = materialize(known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "tokens")
+    placed = known.join(several, "token", "left_semi").join(reps.select("node", "n", "point"), "node")
     edges = materialize(_block_edges(placed, num, den, block_rows), "edges")
     if edges.limit(1).count():
         group = components(edges).select(F.col("node").alias("component"), F.col("component").alias("group"))

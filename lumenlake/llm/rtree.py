@@ -18,6 +18,37 @@ def needed(sizes_a, sizes_b, num: int, den: int):
     return -(-total // (den + num))
 
 
+def search_runs(keys: np.ndarray, points: np.ndarray, sizes: np.ndarray, queries: np.ndarray, query_sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether each row may be as similar as num / den to the query of its key.
+
+    Rows come key by key, and the rows of a key have the same query.  Each run of a key is an R-tree of
+    its own, packed by size; all trees are searched together, level by level, and what a box rules out is
+    not looked at again."""
+    run = np.cumsum(np.diff(keys, prepend=keys[:1]) != 0)
+    order = np.lexsort((sizes, run))
+    run = run[order]
+    place = np.arange(len(run)) - np.searchsorted(run, run)
+    points, sizes, queries, query_sizes = points[order], sizes[order], queries[order], query_sizes[order]
+    alive = np.ones(len(run), bool)
+    for span in (LEAF * FAN, LEAF, 1):
+        starts = np.flatnonzero(place % span == 0)
+        counts = np.diff(starts, append=len(run))
+        tried = np.flatnonzero(alive[starts] & ((counts > 1) | (span == 1)))
+        if not len(tried):
+            continue
+        first, last = starts[tried], starts[tried] + counts[tried] - 1
+        tops = points[first] if span == 1 else np.maximum.reduceat(points, starts, axis=0)[tried]
+        bound = np.minimum(tops, queries[first]).sum(axis=1, dtype=np.int64)
+        own, least, most = query_sizes[first], sizes[first], sizes[last]
+        fits = (den * most >= num * own) & (den * own >= num * least) & (bound >= needed(least, own, num, den))
+        lost = np.zeros(len(starts), bool)
+        lost[tried[~fits]] = True
+        alive &= ~np.repeat(lost, counts)
+    out = np.empty(len(run), bool)
+    out[order] = alive
+    return out
+
+
 class CountTree:
     """Points packed by sorting: slabs of like sizes, each ordered by its most spread coordinate."""
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from lumenlake.llm import ctw, decontam, graph, jaccard, mixing, nbsvm, rules
-from lumenlake.llm.rtree import CountTree, needed
+from lumenlake.llm.rtree import CountTree, needed, search_runs
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -160,6 +160,31 @@ def test_tree_misses_no_pair():
     assert got == want
 
 
+def test_searched_runs_miss_nothing_and_cut_boxes():
+    rng = np.random.default_rng(4)
+    points = np.maximum(0, np.repeat(rng.integers(0, 9, (60, 16)), 20, axis=0) + rng.integers(-1, 2, (1200, 16)))
+    keys = np.sort(rng.integers(0, 7, 1200)) + (np.arange(1200) == 600)
+    sizes = points.sum(axis=1)
+    query = np.array([points[np.flatnonzero(keys == k)[0]] for k in keys])
+    got = search_runs(keys, points, sizes, query, query.sum(axis=1), 9, 10)
+    bound = np.minimum(points, query).sum(axis=1)
+    big, small = np.maximum(sizes, query.sum(axis=1)), np.minimum(sizes, query.sum(axis=1))
+    assert (got == ((bound >= needed(sizes, query.sum(axis=1), 9, 10)) & (10 * small >= 9 * big))).all() and 0 < got.sum() < 1200
+
+
+def test_every_link_of_different_sets_comes_through_the_tree(spark, monkeypatch):
+    """With trees that find nothing there is no link between different texts; equal sets are no links."""
+    rows = [r for r in near_rows() if r[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert any(c != d for d, (_, c) in brute_components(rows, 5, 8, 10).items())
+    monkeypatch.setattr(jaccard, "search_runs", lambda keys, *_: np.zeros(len(keys), bool))
+    monkeypatch.setattr(jaccard, "_candidates", lambda *_: iter(()))
+    got = jaccard.classes(docs, 5, 8, 10, counted=False).collect()
+    words = {d: re.findall(WORD, lower(t)) for d, t in rows}
+    sets = {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for d, w in words.items()}
+    assert all(sets[r["doc_id"]] == sets[r["component_id"]] for r in got if words[r["doc_id"]])
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200 - i, 199 - i) for i in range(40)] + [(500, 400), (500, 450), (7, 7)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -189,7 +214,7 @@ def test_hits_match_brute_force(spark, block_words):
     text = lambda n: " ".join(rng.choice("ab c, é D".split()) for _ in range(n))
     items = [(i, text(rng.choice([1, 4, 12, 13, 14, 25]))) for i in range(12)] + [(20, ""), (21, None), (3, "a a a a a a a a a a a a a a")]
     rows = [(i, text(rng.randint(0, 70))) for i in range(120)] + [(500, None), (501, ""), (502, "a " * 400), (5, "a b c"), (5, "a b c")]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, items string")
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, items string").repartition(7)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.flagged(docs, bench, block_words=block_words).collect()
     assert sorted((r["doc_id"], r["n_words"], sorted(r["hit"]), sorted(r["items"])) for r in got) == sorted((i, *brute_hits(t, items)) for i, t in rows)
@@ -200,6 +225,20 @@ def test_hits_match_brute_force(spark, block_words):
     assert decontam.remove(docs, bench.limit(0)).count() == len(rows) and decontam.flagged(docs.limit(0), bench).count() == 0
 
 
+def test_long_texts_and_ties(monkeypatch):
+    rng = random.Random(3)
+    words = np.array([rng.randrange(3) for _ in range(900)], np.uint64)
+    offsets = np.array([0, 700, 700, 900])
+    item = words[[*range(40, 70), *range(40, 70), *range(300, 312)]]
+    block = decontam.Block(np.array([9, 4, 7]), item, np.array([0, 30, 60, 72]))
+    whole = decontam.scan(words, offsets, block)
+    assert tuple(whole[2][0]) == (30, 4, 40)  # items 4 and 9 have the same words
+    for size in (13, 50, 333):
+        monkeypatch.setattr(decontam, "SEGMENT_WORDS", size)
+        part = decontam.scan(words, offsets, block)
+        assert all((a == b).all() for a, b in zip(whole[0], part[0])) and whole[1] == part[1] and (whole[2] == part[2]).all()
+
+
 def test_longest_match_is_followed_beyond_its_window(spark):
     words = [f"q{i}" for i in range(40)]
     docs = spark.createDataFrame([(1, "x y " + " ".join(words[5:35]) + " z"), (2, " ".join(words[:12]))], "doc_id long, text string")
@@ -275,7 +314,7 @@ def test_scores_match_brute_force(spark):
     assert any(held)
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
     for near in (10_000, 20):  # with all rows at hand, and with most of them joined
-        got = ctw.score(docs, local_grams=near, local_words=near).collect()
+        got = ctw.score(docs, local_grams=near, local_words=near, upper_rows=100 * near).collect()
         rows_ = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
         for a, b in zip(rows_, sorted(want), strict=True):
             assert a[:6] == b[:6] and a[6:] == pytest.approx(b[6:], abs=1e-5)
