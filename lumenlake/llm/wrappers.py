@@ -13,6 +13,7 @@ import hashlib
 import html as _html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +34,8 @@ _TOKEN = re.compile(
 _TELLING = re.compile("class|id|role|hidden|style", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.S)
 
-# HTML element names and the words that name page furniture in class, id and role.
+# HTML element names, and the words that name page furniture in class, id and role; a name of
+# several words tells only if its other words are of those that go with anything.
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _ENDS_P = _BLOCK - {"li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary", "figcaption", "html", "body", "head"}
@@ -41,8 +43,9 @@ _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "p": {"div", "article", "section", "td", "li", "body", "blockquote", "aside", "footer", "nav", "main", "header", "figure", "form"}}
 _FURNITURE_TAGS = set("head nav aside footer form menu dialog fieldset".split())
 _FURNITURE_WORDS = set(
-    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe signup share sharing social comment comments respond reply replies related recommended disqus login search widget skip hidden".split()
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe signup share sharing social comment comments respond reply replies disqus login search widget skip hidden".split()
 )
+_AROUND = set("a area bar block body bottom box btn button buttons container content form group header holder icon inner item items left link links list main native outer page panel primary right row secondary section site slot space tag text title top unit wrap wrapper zone".split())
 _FURNITURE_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 _MAIN = ("article", "main")
 
@@ -51,6 +54,15 @@ def _words(value: str) -> list[str]:
     return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
 
 
+def _names_furniture(names: str) -> bool:
+    """Whether one of the names of a class or id attribute is made of words of furniture alone."""
+    for name in names.split():
+        words = _words(name)
+        if not _FURNITURE_WORDS.isdisjoint(words) and _FURNITURE_WORDS.union(_AROUND).issuperset(words):
+            return True
+    return False
+
+
 @lru_cache(maxsize=4096)
 def _signature(tag: str, attributes: str) -> tuple[str, bool]:
     """Tag and first class word of an element, and whether it is page furniture by itself."""
@@ -64,11 +76,15 @@ def _signature(tag: str, attributes: str) -> tuple[str, bool]:
     is_main = tag in ("article", "main", "body", "html") or role in ("main", "article")
     marked = tag in _FURNITURE_TAGS or role in _FURNITURE_ROLES or "hidden" in fields or fields.get("aria-hidden", "") == "true"
     marked = marked or bool(re.search(r"display\s*:\s*none", fields.get("style", ""), re.I))
-    marked = marked or not _FURNITURE_WORDS.isdisjoint([*classes, *_words(fields.get("id", ""))])
+    marked = marked or _names_furniture(fields.get("class", "")) or _names_furniture(fields.get("id", ""))
     name = "main" if role == "main" else tag
     return f"{name}.{classes[0]}" if classes else name, marked and not is_main
 
 
+#: Elements nested deeper belong to their ancestor of this depth, but for furniture, which still goes.
+MOST_DEPTH = 150
+
+
 class Page:
     """Blocks and the folded shape of one page.
 
@@ -84,6 +100,7 @@ class Page:
         quiet: list[str] = []  # open inline elements of furniture
         pieces: list[str] = []
         linked = links = 0
+        opened: Counter[str] = Counter()
 
         def flush() -> None:
             nonlocal pieces, linked
@@ -97,9 +114,12 @@ class Page:
             pieces, linked = [], 0
 
         def close(tags: set[str], scope: set[str]) -> None:
+            if not any(opened[t] for t in tags):
+                return
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in tags:
                     flush()
+                    opened.subtract(t for t, _, _ in stack[k:])
                     del stack[k:]
                     return
                 if stack[k][0] in scope:
@@ -141,9 +161,13 @@ class Page:
             if tag in _VOID:
                 continue
             signature, marked = _signature(tag, token["attributes"])
-            node = [signature + "!" * marked, []]
-            stack[-1][2][1].append(node)
-            stack.append((tag, f"{stack[-1][1]}/{node[0]}", node))
+            _, path, node = stack[-1]
+            if len(stack) <= MOST_DEPTH or (marked and not node[0].endswith("!")):
+                node = [signature + "!" * marked, []]
+                stack[-1][2][1].append(node)
+                path = f"{path}/{node[0]}"
+            opened[tag] += 1
+            stack.append((tag, path, node))
         flush()
 
     def shape(self) -> list:
@@ -486,6 +510,8 @@ def _aligned(shapes: DataFrame, keys: list[str]) -> DataFrame:
     return shapes.select(*keys, "shape").repartition(*keys).sortWithinPartitions(*keys, "shape").mapInArrow(merged, "host string, shape string")
 
 
+#: Shapes of a host that one task aligns, about.
+BUCKET_SHAPES = 256
 #: Wrappers of this many bytes in all are handed to every task; more are joined by host.
 BROADCAST_BYTES = 16 << 20
 
@@ -498,7 +524,9 @@ def infer(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int =
     and the buckets' wrappers then, so that a large host is no single task.  A null url belongs to the host ""."""
     bound_batches(pages.sparkSession, rows=2_000)
     shapes = materialize(_shapes(pages), "page-shapes")
-    part = _aligned(shapes.withColumn("bucket", F.pmod(F.xxhash64("shape"), F.lit(64))), ["host", "bucket"])
+    buckets = shapes.groupBy("host").agg(F.ceil(F.count("*") / BUCKET_SHAPES).alias("buckets"))
+    dealt = shapes.join(buckets, "host").withColumn("bucket", F.pmod(F.xxhash64("shape"), "buckets"))
+    part = _aligned(dealt, ["host", "bucket"])
     wrapper = materialize(_aligned(part.distinct(), ["host"]), "page-wrappers")
     stats = (
         _observe(pages, wrapper, broadcast_bytes, salts)
@@ -536,7 +564,10 @@ def text_of(source: str, wrapper: Wrapper, slots: dict[str, set[str]]) -> str:
 
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int = 16) -> DataFrame:
     """pages (page_id, url, html, ...) with `text`, the main text (empty for a null html or a page
-    without an article), and `n_chars`, its code points."""
+    without an article), and `n_chars`, its code points, in place of columns of these names.
+
+    A null url belongs to the host "".  Repeated rows get the same text and count once in what is inferred; an
+    empty table gives none.  Pages are read whole in one pass, however long or deep they are."""
     known = infer(pages, broadcast_bytes, salts)
     bound_batches(pages.sparkSession, rows=2_000)
     columns = [c for c in pages.columns if c not in ("text", "n_chars")]

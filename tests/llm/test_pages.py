@@ -29,6 +29,21 @@ def test_cut_and_broken_pages():
     assert text("</div></p><main>x</i> y</main>z") == "x y"
 
 
+def test_deep_and_long_pages():
+    assert text("<article>" + "<div>" * 5000 + "x</div>y" + "<nav>gone</nav>z") == "x\ny\nz"
+    page = w.Page("<div>" * 5000 + "x" + "</div>" * 5000 + "<p>y")
+    one = w.align(page.shape(), w.Page("<p>y").shape())
+    assert w.Wrapper(one).slots(page) and len(w.expression(one)) > 100
+    many = "".join(f"<p>paragraph {i} of a long page</p></span>" for i in range(60_000))
+    assert text(f"<main>{many}</main>").count("\n") == 59_999
+
+
+def test_names_of_several_words():
+    kept = ["related", "share-price", "notice-of-awards", "comment-free", "headline", "ad-hoc-query"]
+    assert all(text(f"<article>a<p class='{c}'>b</p></article>") == "a\nb" for c in kept)
+    assert all(text(f"<article>a<div class='x {c}'>b</div></article>") == "a" for c in ["share", "share-buttons", "adBox", "comment_list", "cookie-notice"])
+
+
 def test_alignment_makes_groups_and_options():
     shapes = [w.Page(f"<body><h1>x</h1>{'<h2>n</h2>' * (i % 2)}{'<p>y</p>' * (i + 1)}</body>").shape() for i in range(3)]
     one = shapes[0]
@@ -66,6 +81,15 @@ def test_extraction_by_inferred_wrappers(spark):
     assert w.extract(frame.limit(0)).count() == 0
 
 
+def test_alignment_decides_the_text(spark, monkeypatch):
+    """With one fixed expression in place of the aligned ones the articles are lost."""
+    rows, want = pages()
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(w, "_aligned", lambda shapes, keys: shapes.select("host").distinct().selectExpr("host", """'["","1",[["body","1",["#"]]]]' as shape"""))
+    got = {r["page_id"]: r["text"] for r in w.extract(frame).collect()}
+    assert sum(got[i] != want[i] for i in range(24)) >= 12
+
+
 def test_slots_are_those_of_the_expression():
     pages = [w.Page(f"<body><p>a{i}</p>{'<ul><li>x</ul>' * (i > 0)}{'<p>z</p>' * (i > 1)}</body>") for i in range(3)]
     one = pages[0].shape()
