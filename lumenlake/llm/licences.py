@@ -7,11 +7,15 @@ sentences away, so that a later, more general rule does not name the same words
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Normalised licence sentences and their identifiers.  A normalised sentence is in lower
-# case and has single spaces between runs of a-z and 0-9.
+# case and has single spaces between runs of a-z and 0-9; where a holder is named it says "the holder".
+# Notices are cut at colons and semicolons, so some sentences stand in several parts.
 SENTENCES = {
     "released under the mit license": "MitShort",
     "licensed under the mit license": "MitShort",
@@ -32,13 +36,66 @@ SENTENCES = {
     "licensed under the gnu general public license version 2": "Gpl2Short",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3Later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Gpl3Later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "Gpl2Later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GplTerms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "Gpl2Short",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "LgplTerms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3Later",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "Lgpl21Later",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3Later",
+    "you can redistribute it and or modify it under the same terms as perl itself": "PerlTerms",
+    "either version 2 of the license or at your option any later version": "Either2",
+    "either version 2 1 of the license or at your option any later version": "Either21",
+    "either version 3 of the license or at your option any later version": "Either3",
+    "licensed under the gnu lesser general public license version 2 1": "Lgpl21Short",
+    "licensed under the gnu lesser general public license version 3": "Lgpl3Short",
+    "licensed under the gnu affero general public license version 3": "Agpl3Short",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GplWarranty",
+    "this program is distributed in the hope that it will be useful but without any warranty": "GplWarranty",
+    "this library is distributed in the hope that it will be useful but without any warranty": "GplWarranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "GplImplied",
     "see the gnu general public license for more details": "GplSee",
+    "see the gnu lesser general public license for more details": "LgplSee",
+    "see the gnu affero general public license for more details": "AgplSee",
     "you should have received a copy of the gnu general public license along with this program": "GplReceived",
+    "you should have received a copy of the gnu lesser general public license along with this library": "LgplReceived",
+    "you should have received a copy of the gnu affero general public license along with this program": "AgplReceived",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BsdGrant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BsdSource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BsdBinary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
+    "neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdDisclaimer",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "BsdLiability",
+    "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "BsdLiability",
+    "loss of use data or profits": "BsdLosses",
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BsdInterruption",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "BsdAdvertising",
+    "this product includes software developed by the holder": "BsdAcknowledgement",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheBasis",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "ZeroBsdGrant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "IscWarranty",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "IscLiability",
+    "licensed under the isc license": "IscShort",
+    "this source code form is subject to the terms of the mozilla public license v": "Mpl2Terms",
+    "this source code form is subject to the terms of the mozilla public license version 2 0": "Mpl2Terms",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "Mpl2Obtain",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "Mpl2Obtain",
+    "licensed under the mozilla public license version 2 0": "Mpl2Short",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "Epl2Terms",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "Epl1Terms",
+    "licensed under the eclipse public license version 2 0": "Epl2Short",
+    "licensed under the artistic license 2 0": "Artistic2Short",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "VerbatimLicence",
+    "distributed under the boost software license version 1 0": "Boost1Short",
+    "this software is provided as is without any express or implied warranty": "ZlibWarranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZlibLiability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "to the extent possible under law the holder has waived all copyright and related or neighboring rights to this work": "Cc0Waiver",
+    "licensed under cc0 1 0": "Cc0Short",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UnlicenseGrant",
     "licensed under cc by 4 0": "CcBy4",
     "licensed under cc by sa 4 0": "CcBySa4",
     "licensed under cc by nc 4 0": "CcByNc4",
@@ -47,6 +104,8 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution 4 0 international license": "CcBy4",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CcBySa4",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "CcByNc4",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "CcByNcSa4",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "CcByNd4",
     "all rights reserved": "AllRights",
     "this work has been released into the public domain": "PublicDomain",
     "this is free and unencumbered software released into the public domain": "Unlicense",
@@ -57,27 +116,69 @@ RULES = [
     ("MIT", "MitGrant,MitNotice,MitWarranty,MitLiability"),
     ("MIT", "MitGrant,MitNotice"),
     ("MIT", "MitShort"),
+    ("Apache-2.0", "Apache2Grant,ApacheComply,ApacheCopy,ApacheBasis,ApacheSee"),
     ("Apache-2.0", "Apache2Grant,ApacheComply"),
     ("Apache-2.0", "Apache2Grant"),
     ("Apache-2.0", "Apache2Short"),
+    ("AGPL-3.0-or-later", "Agpl3Later,GplWarranty,GplImplied,AgplSee,AgplReceived"),
+    ("AGPL-3.0-or-later", "Agpl3Later"),
+    ("AGPL-3.0", "Agpl3Short"),
+    ("LGPL-2.1-or-later", "LgplTerms,Either21,GplWarranty,GplImplied,LgplSee,LgplReceived"),
+    ("LGPL-2.1-or-later", "LgplTerms,Either21"),
+    ("LGPL-2.1-or-later", "Lgpl21Later"),
+    ("LGPL-3.0-or-later", "LgplTerms,Either3"),
+    ("LGPL-3.0-or-later", "Lgpl3Later"),
+    ("LGPL-2.1", "Lgpl21Short"),
+    ("LGPL-3.0", "Lgpl3Short"),
+    ("GPL-3.0-or-later", "Gpl3Later,GplWarranty,GplImplied,GplSee,GplReceived"),
+    ("GPL-3.0-or-later", "GplTerms,Either3"),
     ("GPL-3.0-or-later", "Gpl3Later"),
+    ("GPL-2.0-or-later", "GplTerms,Either2,GplWarranty,GplImplied,GplSee,GplReceived"),
+    ("GPL-2.0-or-later", "GplTerms,Either2"),
     ("GPL-2.0-or-later", "Gpl2Later"),
     ("GPL-3.0", "Gpl3Short"),
     ("GPL-2.0", "Gpl2Short"),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", "PerlTerms"),
+    ("BSD-4-Clause", "BsdGrant,BsdSource,BsdBinary,BsdAdvertising,BsdAcknowledgement,BsdEndorse"),
+    ("BSD-3-Clause", "BsdGrant,BsdSource,BsdBinary,BsdEndorse,BsdDisclaimer,BsdLiability,BsdLosses,BsdInterruption"),
     ("BSD-3-Clause", "BsdGrant,BsdSource,BsdBinary,BsdEndorse"),
+    ("BSD-2-Clause", "BsdGrant,BsdSource,BsdBinary,BsdDisclaimer,BsdLiability,BsdLosses,BsdInterruption"),
     ("BSD-2-Clause", "BsdGrant,BsdSource,BsdBinary"),
+    ("ISC", "IscGrant,IscWarranty,IscLiability"),
+    ("ISC", "IscGrant"),
+    ("ISC", "IscShort"),
+    ("0BSD", "ZeroBsdGrant"),
+    ("MPL-2.0", "Mpl2Terms,Mpl2Obtain"),
+    ("MPL-2.0", "Mpl2Terms"),
+    ("MPL-2.0", "Mpl2Short"),
+    ("EPL-2.0", "Epl2Terms"),
+    ("EPL-2.0", "Epl2Short"),
+    ("EPL-1.0", "Epl1Terms"),
+    ("Artistic-2.0", "Artistic2Short"),
+    ("BSL-1.0", "Boost1Short"),
+    ("Zlib", "ZlibWarranty,ZlibLiability,ZlibGrant"),
+    ("CC0-1.0", "Cc0Waiver"),
+    ("CC0-1.0", "Cc0Short"),
     ("CC-BY-NC-SA-4.0", "CcByNcSa4"),
     ("CC-BY-NC-4.0", "CcByNc4"),
     ("CC-BY-SA-4.0", "CcBySa4"),
     ("CC-BY-ND-4.0", "CcByNd4"),
     ("CC-BY-4.0", "CcBy4"),
+    ("Unlicense", "Unlicense,UnlicenseGrant"),
     ("Unlicense", "Unlicense"),
     ("Public-Domain", "PublicDomain"),
     ("All-Rights-Reserved", "AllRights"),
 ]
 
+# What stands before and behind the name of a holder.
+HOLDERS = [
+    ("^neither the name of .{1,200}? nor the names of its contributors ", "neither the name of the holder nor the names of its contributors "),
+    ("^this product includes software developed by .{1,200}$", "this product includes software developed by the holder"),
+    ("^to the extent possible under law .{1,200}? has waived all copyright ", "to the extent possible under law the holder has waived all copyright "),
+]
+
 #: Every known sentence has one of these; a text without any is not cut at all.
-TRIGGER = "(?i)licens|copyright|software|rights reserved|public domain|modification|warrant"
+TRIGGER = "(?i)licens|copyright|software|rights reserved|public domain|modification|warrant|loss of use|perl itself|advertising materials|copy of the mpl"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,7 +186,11 @@ def _ids(text: Column, known: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
 
     def look(s: Column) -> Column:
-        return F.try_element_at(known, F.btrim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " ")))
+        plain = F.btrim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+        # few sentences begin like one that names a holder; the others are looked up as they are
+        begins = reduce(lambda a, b: a | b, (F.startswith(plain, F.lit(re.match("[a-z0-9 ^]+", p)[0].strip("^"))) for p, _ in HOLDERS))
+        named = reduce(lambda t, h: F.regexp_replace(t, h[0], h[1]), HOLDERS, plain)
+        return F.try_element_at(known, F.when(begins, named).otherwise(plain))
 
     def own(s: Column) -> Column:
         lines = F.filter(F.transform(F.split(s, "\\n"), look), lambda i: i.isNotNull())
@@ -103,10 +208,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A sentence ends with .!?:; before white space, or with its paragraph, as licence texts are often
     wrapped.  If lines of it are known sentences, those count, and else the whole; so a text may have
-    sentences of both kinds, in text order.  A null text has no sentences.
-
-    oracle() takes one of both readings for a whole text, the one with more known sentences, and has
-    fewer sentences where a text needs both.
+    sentences of both kinds, in text order.  A null text has no sentences, like an empty one; repeated rows
+    are judged alike; an empty table gives none; columns of docs with such a name are replaced; a long text
+    is read whole.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     text = F.when(F.col("text").rlike(TRIGGER), F.col("text"))
@@ -140,13 +244,15 @@ def oracle(table: str = "documents") -> str:
     """The same scan in DuckDB's SQL: doc_id and the five columns."""
     known = f"MAP([{', '.join(map(_sql, SENTENCES))}], [{', '.join(map(_sql, SENTENCES.values()))}])"
 
-    def ids(text: str) -> str:
-        # a space after an end mark becomes a line end, for want of look-behind
-        cut = f"string_split(regexp_replace({text}, '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10))"
-        plain = f"list_transform({cut}, lambda s: trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')))"
-        return f"list_filter(list_transform({plain}, lambda s: {known}[s]), lambda i: i IS NOT NULL)"
-
-    wrapped = "replace(regexp_replace(regexp_replace(t, '\\n[ \\t\\r]*\\n', chr(1), 'g'), '[ \\t\\r]*\\n[ \\t\\r]*', ' ', 'g'), chr(1), chr(10))"
+    plain = f"trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, named in HOLDERS:
+        plain = f"regexp_replace({plain}, {_sql(pattern)}, {_sql(named)})"
+    look = f"{known}[{plain}]"
+    # sentences end at a mark before white space, or at an empty line; chr(1) stands for either
+    cut = "string_split(regexp_replace(regexp_replace(t, '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(1))"
+    lines = f"list_filter(list_transform(string_split(p, chr(10)), lambda s: {look}), lambda i: i IS NOT NULL)"
+    whole = f"list_transform([p], lambda s: {look})"
+    ids = f"list_filter(flatten(list_transform({cut}, lambda p: CASE WHEN contains(p, chr(10)) AND len({lines}) > 0 THEN {lines} ELSE {whole} END)), lambda i: i IS NOT NULL)"
     steps, left = [], "s0"
     for k, (licence, sequence) in enumerate(RULES):
         pattern = _sql("," + sequence.replace(",", ",,") + ",")
@@ -161,11 +267,8 @@ def oracle(table: str = "documents") -> str:
     return f"""
 WITH cut AS (
   SELECT doc_id, CASE WHEN regexp_matches(text, '{TRIGGER}') THEN text END AS t FROM {table}
-), two AS (
-  SELECT doc_id, {ids('t')} AS a, {ids(wrapped)} AS b FROM cut
 ), base AS (
-  SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS s0
-  FROM (SELECT doc_id, coalesce(CASE WHEN len(b) > len(a) THEN b ELSE a END, []) AS ids FROM two)
+  SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS s0 FROM (SELECT doc_id, coalesce({ids}, []) AS ids FROM cut)
 ), {', '.join(steps)}
 SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, CAST(len(ids) AS BIGINT) AS n_sentences,
        CASE WHEN len(ids) > 0 THEN array_to_string({found}, ',') ELSE '' END AS licences,

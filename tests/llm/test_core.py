@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumenlake.llm import _text, licences, records, warc
+from lumenlake.llm import _encode, _text, ctw, licences, nbsvm, records, warc
 from lumenlake.llm._encode import PieceEncoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -40,6 +40,65 @@ def test_hashes_depend_on_the_word_alone():
     assert h[0] == h[2] and h[1] == h[4] == h[5] and len(set(h.tolist())) == 3 and at.tolist() == [0, 3, 5, 6]
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+def test_hashes_of_long_words_and_windows(monkeypatch):
+    for n in (100, 255, 256, 257, 2048):
+        a, b = thue_morse(n)
+        data, offsets = _text.utf8(pa.array([f"{a} {b}", f"{b} x{a} {a.upper()}"]))
+        h, _ = _text.word_hashes(data, offsets, _text.NON_SPACE)
+        assert h[0] == h[4] and h[1] == h[2] and len(set(h.tolist())) == 3
+    rows = [t * 40 for t in texts(30, 8) if t]
+    data, offsets = _text.utf8(pa.array(rows))
+    whole = [*_text.spans(data, offsets, _text.NON_SPACE), *_text.word_hashes(data, offsets, _text.NON_SPACE), *nbsvm.features(data, offsets)]
+    many = [k for i in range(len(rows)) for k, _ in ctw.gram_parts(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))]
+    for size in (5, 64, 1000):
+        monkeypatch.setattr(_text, "SLICE_BYTES", size)
+        part = [*_text.spans(data, offsets, _text.NON_SPACE), *_text.word_hashes(data, offsets, _text.NON_SPACE), *nbsvm.features(data, offsets)]
+        assert all((a == b).all() for a, b in zip(whole, part))
+        cut = [k for i in range(len(rows)) for k, _ in ctw.gram_parts(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))]
+        assert (np.concatenate(many) == np.concatenate(cut)).all()
+
+
+def test_pieces_of_equal_hashes_keep_their_ids(monkeypatch):
+    encoder = PieceEncoder(BPE)
+    a, b = thue_morse(200)
+    rows = [f"{a} {b} one two", f"{b} one {'long' * 300}", *[t or "" for t in texts(100, 5)]]
+    monkeypatch.setattr(_text, "span_hashes", lambda data, starts, ends, fold=None: (ends - starts).astype(np.uint64) % np.uint64(3))
+    for size in (1 << 19, 50):
+        monkeypatch.setattr(_text, "SLICE_BYTES", size)
+        data, offsets = _text.utf8(pa.array(rows))
+        ids, at = encoder.encode(data, offsets)
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(rows))] == [e.ids for e in encoder.tokenizer.encode_batch(rows, add_special_tokens=False)]
+
+
+def test_a_full_cache_starts_again(monkeypatch):
+    monkeypatch.setattr(_encode, "CACHE_PIECES", 20)
+    encoder = PieceEncoder(BPE)
+    for t in texts(60, 6):
+        data, offsets = _text.utf8(pa.array([t], pa.string()))
+        assert encoder.encode(data, offsets)[0].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_wide_ids_take_four_bytes(spark, tmp_path):
+    """A vocabulary whose ids pass 65,535: the public one with its ids moved up."""
+    import json
+
+    model = json.loads(open(BPE, encoding="utf-8").read())
+    model["model"]["vocab"] = {k: v if v < 300 else v + 40_000 for k, v in model["model"]["vocab"].items()}
+    for token in model["added_tokens"]:
+        token["id"] = model["model"]["vocab"].get(token["content"], token["id"] + 40_000)
+    path = tmp_path / "wide.json"
+    path.write_text(json.dumps(model), encoding="utf-8")
+    assert records.ids_fit_short(BPE, 2) and not records.ids_fit_short(str(path), 2) and not records.ids_fit_short(BPE, 1 << 16)
+    docs = spark.createDataFrame([(1, "the antidisestablishmentarianism of words"), (2, "")], "doc_id long, text string")
+    records.write(docs, f"file://{tmp_path}/out", str(path))
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in records.read(spark, f"file://{tmp_path}/out").collect()}
+    assert got[2] == [2] and max(got[1]) > 65_535 and got[1] == PieceEncoder(str(path)).tokenizer.encode("the antidisestablishmentarianism of words").ids + [2]
+
+
 @pytest.mark.parametrize("special", [False, True])
 def test_pieces_encode_like_whole_texts(special):
     encoder = PieceEncoder(BPE, special)
@@ -114,22 +173,104 @@ CASES = {
 }
 
 
-def test_licence_sentences(spark):
+NOTICES = {
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Example & Sons, Ltd nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+}
+
+
+def like_the_oracle(docs, got):
     import duckdb
 
-    docs = spark.createDataFrame([(k, v[0], "x") for k, v in CASES.items()], "doc_id long, text string, licences string")
-    got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
-    assert {k: (r["sentence_ids"], r["licences"]) for k, r in got.items()} == {k: v[1:] for k, v in CASES.items()}
-    assert got[7]["unknown"] == 1 and got[1]["unknown"] == 0
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")
-    con.executemany("insert into documents values (?, ?)", [(k, v[0]) for k, v in CASES.items()])
+    con.executemany("insert into documents values (?, ?)", docs)
     cur = con.execute(licences.oracle())
     names = [c[0] for c in cur.description]
-    assert sorted(cur.fetchall()) == sorted(tuple(r[n] for n in names) for r in got.values())
+    return sorted(cur.fetchall()) == sorted(tuple(r[n] for n in names) for r in got)
+
+
+def test_licence_sentences(spark):
+    rows = [(k, v[0]) for k, v in CASES.items()]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, licences string")
+    found = licences.scan(docs).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert {k: (r["sentence_ids"], r["licences"]) for k, r in got.items()} == {k: v[1:] for k, v in CASES.items()}
+    assert got[7]["unknown"] == 1 and got[1]["unknown"] == 0
+    assert like_the_oracle(rows, found)
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_whole_notices_are_taken_up_by_rules(spark):
+    rows = [(i, f"Title\n\n{t}\n\nmore of it. " * (1 + i % 2)) for i, t in enumerate(NOTICES.values())] + [(0, list(NOTICES.values())[0]), (0, list(NOTICES.values())[0]), (99, "word " * 300_000 + "\n\n" + MIT)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    names = list(NOTICES)
+    assert all(r["licences"] == (names[r["doc_id"]] if r["doc_id"] < 99 else "MIT") for r in found)
+    left = {names[r["doc_id"]]: r["unknown"] for r in found if r["doc_id"] < 99}
+    assert left == {**dict.fromkeys(names, 0), "ISC": left["ISC"]} and left["ISC"] <= 2
+    assert like_the_oracle(rows, found)
+
+
 def test_every_known_sentence_has_a_trigger_and_every_rule_known_sentences():
     assert all(re.search(licences.TRIGGER, s) for s in licences.SENTENCES)
     assert all(set(rule.split(",")) <= set(licences.SENTENCES.values()) for _, rule in licences.RULES)
@@ -139,4 +280,6 @@ def test_wrapped_and_one_line_sentences_of_one_text(spark):
     notice = "A heading without an end mark\nReleased under the MIT License\nmore words"
     cases = {1: (f"{notice}\n\n{MIT}", "MitShort,MitGrant,MitNotice"), 2: (f"{MIT}\n\n{notice}", "MitGrant,MitNotice,MitShort"), 3: ("All rights\nreserved. All rights reserved\nx", "AllRights,AllRights")}
     docs = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "doc_id long, text string")
-    assert {r["doc_id"]: r["sentence_ids"] for r in licences.scan(docs).collect()} == {k: v[1] for k, v in cases.items()}
+    found = licences.scan(docs).collect()
+    assert {r["doc_id"]: r["sentence_ids"] for r in found} == {k: v[1] for k, v in cases.items()}
+    assert like_the_oracle([(k, v[0]) for k, v in cases.items()], found)
