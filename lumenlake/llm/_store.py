@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,18 +15,52 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where Spark runs in
+    one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("spark.lumenlake.local.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lumenlake-")
         spark.conf.set("spark.lumenlake.local.dir", path)
     return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lumenlake/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lumenlake/{name}-{uuid.uuid4().hex}"
+    if _RECORDED is not None:
+        _RECORDED.append(path)
+    return path
+
+
+#: Paths written since a recorded stage began; None outside of one.
+_RECORDED: list[str] | None = None
+_STALE: list[str] = []
+
+
+@contextmanager
+def recorded(spark: SparkSession) -> Iterator[None]:
+    """Note what is written inside, and drop what the recorded block before wrote.
+
+    For stages whose result is written down before the next one begins, like those of a pipeline: what an
+    earlier stage needed on its way is of no use any more."""
+    global _RECORDED
+    drop(spark, _STALE)
+    _STALE.clear()
+    _RECORDED = _STALE
+    try:
+        yield
+    finally:
+        _RECORDED = None
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared folder."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -39,6 +39,8 @@ GROUPS = 64
 HOT_SHINGLES = 500_000
 #: Shingles that one task counts at a time, and rows of a block that one R-tree holds.
 COUNT_CHUNK, BLOCK_ROWS = 1_500_000, 4_096
+#: Rows of a chunk of a block at least.
+LEAST_CHUNK = 512
 #: Shingles of the sets that one task compares with each other.
 GROUP_SHINGLES = 2_000_000
 #: Sets of a component that one task compares with as many others, and shingles that it looks at together.
@@ -352,7 +354,9 @@ def _block_edges(rows: DataFrame, num: int, den: int, block_rows: int) -> DataFr
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], ["a", "b"])
 
-    tiled = _tiles(rows, "token", F.ceil(F.col("size") / block_rows)).select("token", "tile", "chunk", "node", "n", "point", "component")
+    # a middling block is cut as well, so that no task gets many times the rows of others
+    chunk = F.greatest(F.least(F.col("size") / 16, F.lit(block_rows)), F.lit(min(block_rows, LEAST_CHUNK)))
+    tiled = _tiles(rows, "token", F.ceil(F.col("size") / chunk)).select("token", "tile", "chunk", "node", "n", "point", "component")
     return tiled.mapInArrow(joined, "a long, b long").distinct()
 
 

@@ -165,8 +165,9 @@ def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tupl
 
     Equal inputs give equal results: buckets and random numbers depend on doc_id, source and size
     alone, never on how Spark split the input.  A source of null is a source like others.  Rows of
-    equal doc_id count as different documents; a document without words gets no copy.  Shuffled are
-    ids, sources and sizes, never texts.
+    equal doc_id count as different documents; a document without words gets no copy.  Other columns of
+    docs do not matter, whatever their names; an empty table gives no rows; a long text counts whole.
+    Shuffled are ids, sources and sizes, never texts.
     """
     sized = materialize(with_size(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / bucket_rows).alias("nodes"))

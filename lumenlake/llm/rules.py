@@ -203,6 +203,11 @@ def fired(rules: list[list[Condition]]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """docs with statistics(), `kept` and `rule`: kept is false if the base filter fails or a learned
-    rule fires.  Without labels nothing is learned and the base filter decides alone."""
+    rule fires.  Without labels nothing is learned and the base filter decides alone.
+
+    Rules are learned on `rows` labelled documents at most, those of the least hash of doc_id, with
+    thresholds at 64 quantiles of each statistic at most; of rules that do equally well the first in the order
+    of the statistics wins.  Each row is judged by its own text, so repeated rows are judged alike; columns of
+    docs that have such a name are replaced; an empty table gives none; a long text is counted whole."""
     rules = fit(docs, labels, rows)
     return statistics(docs).withColumns({"kept": ~F.col("base_failed") & verdict(rules), "rule": F.when(~F.col("base_failed"), fired(rules))})

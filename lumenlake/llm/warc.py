@@ -156,6 +156,8 @@ def write(pages: DataFrame, path: str, files: int | None = None, date: str = "20
 
     A null html is an empty payload, a null url has no target.  Of rows that agree in page_id and
     payload one is archived and the others revisit it; a null page_id never is the one referred to.
+    Other columns do not matter, whatever their names; an empty table gives an index without rows; a long
+    payload is a record like others, held by one task at a time.
     """
     spark = pages.sparkSession
     bound_batches(spark)
