@@ -105,6 +105,25 @@ def stamp(c: Column | str) -> Column:
     return F.date_format(_col(c), "yyyy-MM-dd HH:mm:ss")
 
 
+def month_key(c: Column | str) -> Column:
+    """YYYY-MM, the month padded to two digits."""
+    return F.concat_ws("-", F.year(_col(c)).cast("string"), F.lpad(F.month(_col(c)).cast("string"), 2, "0"))
+
+
+def month_name(c: Column | str) -> Column:
+    """The month of a time as a heading, like "May 2024"."""
+    return F.date_format(_col(c), "MMMM yyyy")
+
+
+def ago(c: Column | str, now: Column | str) -> Column:
+    """How long a time lies before now: minutes, hours or days, and its date from a week on."""
+    seconds = F.floor((F.unix_micros(_col(now).cast("timestamp")) - F.unix_micros(_col(c).cast("timestamp"))) / 1_000_000)
+    chain = F.when(seconds < 60, F.lit("just now"))
+    for unit, size, limit in (("m", 60, 3_600), ("h", 3_600, 86_400), ("d", 86_400, 604_800)):
+        chain = chain.when(seconds < limit, F.concat(F.floor(seconds / size).cast("string"), F.lit(f"{unit} ago")))
+    return chain.otherwise(F.date_format(_col(c), "MMM d, yyyy"))
+
+
 def human_bytes(c: Column | str) -> Column:
     """A size in B, KB, MB or GB with one decimal."""
     n = _col(c).cast("double")

@@ -41,6 +41,34 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
+# The most rows that a page of each kind has, and the rows of a page without a wish.
+MOST_ROWS = {"search": 100, "people": 50, "events": 50, "documents": 200, "previews": 10, "page": 100}
+DEFAULT_ROWS = 50
+
+
+def page_size(wanted: int | None, kind: str = "page") -> int:
+    """The rows of a page: what is wanted, between 1 and the most of its kind."""
+    return max(1, min(DEFAULT_ROWS if wanted is None else wanted, MOST_ROWS[kind]))
+
+
+def page_offset(page: int, size: int) -> int:
+    """The rows before a page; pages count from 1."""
+    return (max(1, page) - 1) * size
+
+
+def page_totals(total: Column, page: int, size: int) -> dict[str, Column]:
+    """pages and has_more of a listing of `total` rows."""
+    pages = F.ceil(total / size)
+    return {"pages": pages, "has_more": F.lit(page) < pages}
+
+
+def known_year(year: int, this_year: int) -> int:
+    """year, if it lies between 2000 and the next one; ValueError if not."""
+    if not 2000 <= year <= this_year + 1:
+        raise ValueError(f"a year between 2000 and {this_year + 1} is wanted, not {year}")
+    return year
+
+
 def keyset_page(df: DataFrame, order: list[tuple[str, bool]], limit: int, cursor: DataFrame | None = None) -> DataFrame:
     """One page of df after the cursor row, with `has_next`.
 

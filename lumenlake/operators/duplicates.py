@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.vector import dot, hamming_longs
+from ..functions.vector import hamming_longs
+from .links import components, roots, settle
+from .neighbours import near_bits, nearest
 
 
 def exact_groups(items: DataFrame, owner: str = "user_id", key: str = "sha256") -> DataFrame:
@@ -14,17 +15,21 @@ def exact_groups(items: DataFrame, owner: str = "user_id", key: str = "sha256")
     return items.groupBy(owner, key).agg(F.min("image_id").alias("representative"), F.count("*").alias("n")).where("n > 1")
 
 
-def near_pairs(items: DataFrame, limit: int, words: int, owner: str | None = "user_id") -> DataFrame:
+#: Bits of a band at least; with shorter ones most rows would meet, and blocks are compared in full instead.
+BAND_BITS = 16
+
+
+def near_pairs(items: DataFrame, limit: int, words: int, owner: str = "user_id") -> DataFrame:
     """Pairs of an owner whose bit hashes (array of longs `h`) differ in `limit` bits at most.
 
     Bits are dealt to limit + 1 bands; two hashes within the limit agree in a band at least, so equal
-    bands are the join keys and no pair is missed.  Bands that need no bits are left out: with more bands
-    than bits every key would be one bit, and the pairs are then compared in full."""
+    bands are the join keys and no pair is missed.  Hashes too short for bands of BAND_BITS are compared
+    block by block."""
     total = words * 64
-    keys = [owner] if owner else []
     bands = limit + 1
-    width = total // bands
-    base = items.select("image_id", *keys, "h")
+    if total // bands < BAND_BITS:
+        return near_bits(items, limit, owner)
+    base = items.select("image_id", owner, "h")
 
     def bits(band: int):
         lo = band * total // bands
@@ -36,36 +41,39 @@ def near_pairs(items: DataFrame, limit: int, words: int, owner: str | None = "us
             value = F.shiftrightunsigned(F.get("h", F.lit(word)), at)
             parts.append(value if take == 64 else value.bitwiseAND(F.lit((1 << take) - 1)))
             lo += take
-        return F.xxhash64(F.lit(band), *parts) if width < 64 or len(parts) > 1 else parts[0]
+        return F.xxhash64(F.lit(band), *parts)
 
     banded = base.withColumn("band", F.explode(F.array(*[bits(b) for b in range(bands)])))
-    a = banded.select(*keys, "band", F.col("image_id").alias("a"), F.col("h").alias("ha"))
-    b = banded.select(*keys, "band", F.col("image_id").alias("b"), F.col("h").alias("hb"))
-    near = a.join(b, [*keys, "band"]).where("a < b").withColumn("distance", hamming_longs("ha", "hb")).where(F.col("distance") <= limit)
-    return near.select(*keys, "a", "b", "distance").distinct()
+    a = banded.select(owner, "band", F.col("image_id").alias("a"), F.col("h").alias("ha"))
+    b = banded.select(owner, "band", F.col("image_id").alias("b"), F.col("h").alias("hb"))
+    near = a.join(b, [owner, "band"]).where("a < b").withColumn("distance", hamming_longs("ha", "hb")).where(F.col("distance") <= limit)
+    return near.select(owner, "a", "b", "distance").distinct()
 
 
 def group_pairs(pairs: DataFrame) -> DataFrame:
     """Members of the groups that pairs (a, b) connect: (image_id, group_id), the least id naming a group.
 
-    Batch grouping closes over all pairs; replay_groups() below follows arrival order instead.  Labels
-    flow along edges until none changes; every round is cut off by a checkpoint."""
-    edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    labels = edges.groupBy(F.col("a").alias("image_id")).agg(F.least(F.min("a"), F.min("b")).alias("group_id"))
-    spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenlake-"))
-    labels = labels.checkpoint()
-    while True:
-        step = edges.join(labels.select(F.col("image_id").alias("b"), F.col("group_id").alias("__g")), "b").groupBy(F.col("a").alias("image_id")).agg(F.min("__g").alias("__g"))
-        after = labels.join(step, "image_id").select("image_id", F.least("group_id", "__g").alias("group_id"), (F.col("__g") < F.col("group_id")).alias("moved")).checkpoint()
-        jump = after.select(F.col("image_id").alias("group_id"), F.col("group_id").alias("__j"))
-        labels = after.join(jump, "group_id", "left").select("image_id", F.coalesce("__j", "group_id").alias("group_id")).checkpoint()
-        if not after.where("moved").limit(1).count():
-            edges.unpersist()
-            return labels
+    Batch grouping closes over all pairs; arrival_groups() follows arrival order instead."""
+    return components(pairs).select(F.col("node").alias("image_id"), F.col("root").alias("group_id"))
+
+
+def arrival_groups(items: DataFrame, near: DataFrame, owner: str = "user_id") -> DataFrame:
+    """Groups as they form when images arrive in order of id: (owner, kind, representative, image_id).
+
+    items: owner, image_id, sha256; near: pairs a < b within the limit.  An exact twin joins the group of the
+    first image with its hash.  Of the near ones each image joins the first group that its match has, or
+    founds one that the match represents; the exact match is left out, later twins are not.  What group an
+    image has first is its first match's, so following first matches to their end names the groups."""
+    first = items.groupBy(owner, "sha256").agg(F.min("image_id").alias("representative"), F.count("*").alias("__n"))
+    exact = items.join(first.where("__n > 1"), [owner, "sha256"]).select(owner, F.lit("EXACT").alias("kind"), "representative", "image_id")
+    twin = exact.where("representative <> image_id").select(F.col("representative").alias("a"), F.col("image_id").alias("b"))
+    matches = settle(near.select(owner, "a", "b").join(twin, ["a", "b"], "left_anti"))
+    parent = matches.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+    home = roots(settle(parent)).select(F.col("node").alias("a"), F.col("root").alias("representative"))
+    joined = matches.join(home, "a", "left").select(owner, F.coalesce("representative", "a").alias("representative"), F.col("b").alias("image_id"))
+    founders = joined.select(owner, "representative", F.col("representative").alias("image_id"))
+    grouped = joined.unionByName(founders).distinct().select(owner, F.lit("NEAR").alias("kind"), "representative", "image_id")
+    return exact.unionByName(grouped)
 
 
 def replay_groups(arrivals: list[tuple], limit: int) -> list[tuple]:
@@ -103,8 +111,4 @@ def replay_groups(arrivals: list[tuple], limit: int) -> list[tuple]:
 
 def knn_join(items: DataFrame, k: int, owner: str = "user_id") -> DataFrame:
     """The k nearest others of every vector within its owner, by dot product."""
-    a = items.select(owner, F.col("image_id").alias("a"), F.col("v").alias("va"))
-    b = items.select(owner, F.col("image_id").alias("b"), F.col("v").alias("vb"))
-    scored = a.join(b, owner).where("a <> b").withColumn("score", dot("va", "vb")).drop("va", "vb")
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), F.asc("b")))
-    return scored.withColumn("rn", place).where(F.col("rn") <= k)
+    return nearest(items, items, k, owner)

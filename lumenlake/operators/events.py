@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine, haversine_km, missing
-from ..operators.common import completed, fold_by
+from ..functions.vector import l2_normalize
+from .common import completed, fold_by
+from .links import roots, settle
+from .neighbours import nearest
 
 # Gaps, distances and thresholds of the clustering.
 GAP_HOURS, LEAST_IMAGES = 6, 3
@@ -73,16 +77,20 @@ def shared_faces(members: DataFrame, starts: DataFrame, least: int = FACE_SHARED
 
 
 def _merge_all(buckets: list[dict], joins, merge) -> list[dict]:
-    """Merge the first pair (in order) that joins, start over, until no pair does."""
+    """Merge the first pair (in order) that joins, and start over, until no pair does.
+
+    After a merge only pairs with the merged bucket are new, so the search goes on with those: the buckets
+    before it in turn, and then those behind it."""
     buckets = list(buckets)
     i = 0
     while i < len(buckets):
         j = next((j for j in range(i + 1, len(buckets)) if joins(buckets[i], buckets[j])), None)
         if j is None:
             i += 1
-        else:
+        while j is not None:
             buckets[i] = merge(buckets[i], buckets.pop(j))
-            i = 0
+            k = next((k for k in range(i) if joins(buckets[k], buckets[i])), None)
+            i, j = (i, None) if k is None else (k, i)
     return buckets
 
 
@@ -95,7 +103,10 @@ def _most(a, b):
 
 
 def _joined(a: dict, b: dict) -> dict:
-    return {**a, "images": a["images"] + b["images"], "start_at": _least(a["start_at"], b["start_at"]), "end_at": _most(a["end_at"], b["end_at"])}
+    one = {**a, "images": a["images"] + b["images"], "start_at": _least(a["start_at"], b["start_at"]), "end_at": _most(a["end_at"], b["end_at"])}
+    if "parts" in a:  # a summary: its first images, the buckets that it is made of, and its people
+        one |= {"parts": a["parts"] + b["parts"], "n": a["n"] + b["n"], "people": a["people"] | b["people"]}
+    return one
 
 
 def _within(a: dict, b: dict, days: int) -> bool:
@@ -113,23 +124,23 @@ def merge_places(buckets: list[dict], km: float = PLACE_KM, days: int = PLACE_DA
     return _merge_all(buckets, joins, lambda a, b: {**_joined(a, b), "lat": (a["lat"] + b["lat"]) / 2, "lng": (a["lng"] + b["lng"]) / 2})
 
 
-def _cosine(a: list[float], b: list[float]) -> float:
-    size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-    return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
+def _cosine(a, b) -> float:
+    size = math.sqrt(float(np.dot(a, a))) * math.sqrt(float(np.dot(b, b)))
+    return float(np.dot(a, b)) / size if size else 0.0
 
 
 def merge_looks(buckets: list[dict], vectors: dict, cosine: float = LOOK_COSINE, days: int = LOOK_DAYS) -> list[dict]:
     """Buckets whose centroids (of the first images that have a vector) are alike become one."""
     for b in buckets:
         found = [vectors[i] for i in b["images"][:LOOK_IMAGES] if i in vectors]
-        b["centre"] = [sum(x) / len(found) for x in zip(*found, strict=True)] if found else None
+        b["centre"] = np.mean(np.array(found, float), axis=0) if found else None
 
     def joins(a: dict, b: dict) -> bool:
         return a["centre"] is not None and b["centre"] is not None and _within(a, b, days) and _cosine(a["centre"], b["centre"]) >= cosine
 
     def merge(a: dict, b: dict) -> dict:
         one = _joined(a, b)
-        one["centre"] = [(x + y) / 2 for x, y in zip(a["centre"], b["centre"], strict=True)]
+        one["centre"] = (a["centre"] + b["centre"]) / 2
         for c in ("lat", "lng"):
             one[c] = a[c] if a[c] is not None else b[c]
         return one
@@ -140,7 +151,8 @@ def merge_looks(buckets: list[dict], vectors: dict, cosine: float = LOOK_COSINE,
 def merge_faces(buckets: list[dict], clusters: dict, least: int = FACE_SHARED, days: int = FACE_DAYS) -> list[dict]:
     """Buckets that share people become one with the people of both."""
     for b in buckets:
-        b["people"] = {c for i in b["images"] for c in clusters.get(i, ())}
+        if "people" not in b:
+            b["people"] = {c for i in b["images"] for c in clusters.get(i, ())}
 
     def joins(a: dict, b: dict) -> bool:
         return len(a["people"] & b["people"]) >= least and _within(a, b, days)
@@ -151,27 +163,28 @@ def merge_faces(buckets: list[dict], clusters: dict, least: int = FACE_SHARED, d
 def cluster(images: DataFrame, vectors: DataFrame, faces: DataFrame, cosine: float = LOOK_COSINE) -> DataFrame:
     """The events of every owner: (user_id, event, cover, n, start_at, images).
 
-    Buckets and what they need to be merged (the vectors of their first images, the people in them) are
-    gathered in the JVM; the merges depend on their order, so each owner's buckets, never images, are
-    folded in one task."""
-    buckets = time_buckets(images)
+    The merges depend on their order, so an owner's buckets are folded in one task.  What comes there is a
+    summary per bucket: its times, place, number of images, the first LOOK_IMAGES of them with their vectors,
+    and the people in it.  The fold gives which buckets make an event; their images are joined back after."""
+    buckets = settle(time_buckets(images))
     slots = buckets.select("user_id", "bucket", F.posexplode("images").alias("pos", "image_id"))
-    looks = slots.where(F.col("pos") < LOOK_IMAGES).join(vectors.select("image_id", "v"), "image_id").groupBy("user_id", "bucket").agg(F.collect_list(F.struct("image_id", "v")).alias("looks"))
-    people = slots.join(faces.select("image_id", "cluster_id"), "image_id").groupBy("user_id", "bucket").agg(F.collect_set(F.struct("image_id", "cluster_id")).alias("people"))
-    ready = buckets.join(looks, ["user_id", "bucket"], "left").join(people, ["user_id", "bucket"], "left")
+    seen = F.array_sort(F.collect_list(F.struct("pos", "image_id", "v")))
+    looks = slots.where(F.col("pos") < LOOK_IMAGES).join(vectors.select("image_id", "v"), "image_id", "left").groupBy("user_id", "bucket").agg(seen.alias("looks"))
+    people = slots.join(faces.select("image_id", "cluster_id"), "image_id").groupBy("user_id", "bucket").agg(F.collect_set("cluster_id").alias("people"))
+    summary = buckets.drop("images").join(looks, ["user_id", "bucket"], "left").join(people, ["user_id", "bucket"], "left")
 
     def fold(user, rows):
-        buckets_, vecs, clusters = [], {}, {}
-        for r in rows:
-            buckets_.append({c: r[c] for c in ("images", "start_at", "end_at", "lat", "lng")})
-            vecs.update((x["image_id"], x["v"]) for x in r["looks"] or ())
-            for x in r["people"] or ():
-                clusters.setdefault(x["image_id"], set()).add(x["cluster_id"])
-        merged = merge_faces(merge_looks(merge_places(buckets_), vecs, cosine), clusters)
-        kept = [b for b in merged if len(b["images"]) >= LEAST_IMAGES]
-        return [(user, i, b["images"][0], len(dict.fromkeys(b["images"])), b["start_at"], list(dict.fromkeys(b["images"]))) for i, b in enumerate(kept)]
+        vecs = {x["image_id"]: x["v"] for r in rows for x in r["looks"] or () if x["v"] is not None}
+        some = [{c: r[c] for c in ("n", "start_at", "end_at", "lat", "lng")} | {"images": [x["image_id"] for x in r["looks"] or ()], "parts": [r["bucket"]], "people": set(r["people"] or ())} for r in rows]
+        merged = merge_faces(merge_looks(merge_places(some), vecs, cosine), {})
+        kept = [b for b in merged if b["n"] >= LEAST_IMAGES]
+        return [(user, i, b["start_at"], at, bucket) for i, b in enumerate(kept) for at, bucket in enumerate(b["parts"])]
 
-    return fold_by(ready, "user_id", [F.asc("bucket")], fold, "user_id long, event int, cover long, n int, start_at timestamp_ntz, images array<long>")
+    made = fold_by(summary, "user_id", [F.asc("bucket")], fold, "user_id long, event int, start_at timestamp_ntz, at int, bucket long")
+    parts = made.join(buckets.select("user_id", "bucket", "images"), ["user_id", "bucket"])
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "images"))), lambda x: x["images"]))
+    events = parts.groupBy("user_id", "event").agg(F.min("start_at").alias("start_at"), ordered.alias("images"))
+    return events.select("user_id", "event", F.get("images", F.lit(0)).alias("cover"), F.size("images").alias("n"), "start_at", "images")
 
 
 def dominant_category(members: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -216,25 +229,49 @@ def unlocated(events: DataFrame) -> DataFrame:
     return events.where(missing("lat", "lng"))
 
 
-def assign_clusters(arrivals: list[tuple], known: list[tuple], threshold: float = LOOK_COSINE, nearest: int = 5) -> list[tuple]:
+def assign_clusters(arrivals: list[tuple], known: list[tuple], threshold: float = LOOK_COSINE) -> list[tuple]:
     """Online identity clustering of one owner: (id, cluster) per arrival (id, vector), in order.
 
-    Of the nearest faces (the new one among them) the first that is alike enough and has a cluster gives
-    its own; else the face founds a cluster named by its id.  Clusters never merge.  known: (id, vector,
-    cluster) so far; it grows."""
+    The nearest face so far, if it is alike enough, gives its cluster; else the face founds a cluster named
+    by its id.  Clusters never merge.  known: (id, vector, cluster) so far; it grows."""
+    ids = [i for i, _, _ in known]
+    clusters = [c for _, _, c in known]
+    size = len(known)
+    vectors = np.zeros((size + len(arrivals), len(arrivals[0][1]) if arrivals else 0))
+    for k, (_, v, _) in enumerate(known):
+        vectors[k] = _unit(v)
     out = []
     for image, v in arrivals:
-        scored = sorted(((_cosine(v, w), -i, c) for i, w, c in known), reverse=True)[: nearest - 1]
-        home = next((c for s, _, c in scored if s >= threshold), image)
+        one = _unit(v)
+        home = image
+        if size:
+            scores = vectors[:size] @ one
+            best = min(np.flatnonzero(scores >= scores.max() - 1e-12).tolist(), key=lambda k: ids[k])
+            if scores[best] >= threshold:
+                home = clusters[best]
+        vectors[size] = one
+        size += 1
+        ids.append(image)
+        clusters.append(home)
         known.append((image, v, home))
         out.append((image, home))
     return out
 
 
-def face_clusters_online(vectors: DataFrame, threshold: float = LOOK_COSINE) -> DataFrame:
-    """assign_clusters per owner in order of id: (user_id, image_id, cluster_id)."""
+def _unit(v) -> np.ndarray:
+    v = np.asarray(v, float)
+    size = math.sqrt(float(v @ v))
+    return v / size if size else v
 
-    def fold(user, rows):
-        return [(user, i, c) for i, c in assign_clusters([(r["image_id"], r["v"]) for r in rows], [], threshold)]
 
-    return fold_by(vectors.select("user_id", "image_id", "v"), "user_id", [F.asc("image_id")], fold, "user_id long, image_id long, cluster_id long")
+def face_clusters_online(vectors: DataFrame, threshold: float = LOOK_COSINE) -> DataFrame:
+    """assign_clusters() for every owner in order of id: (user_id, image_id, cluster_id).
+
+    A face hangs on the nearest earlier one of its owner, if that is alike enough, and has the cluster that
+    the chain of those ends at; so an owner of any size spreads over tiles, and no task folds it."""
+    items = vectors.select("user_id", "image_id", l2_normalize("v").alias("v"))
+    near = nearest(items, items, 1, earlier=True).where(F.col("score") >= threshold).select(F.col("a").alias("image_id"), F.col("b").alias("root"))
+    parent = items.select("user_id", "image_id").join(near, "image_id", "left").select("user_id", F.col("image_id").alias("node"), F.coalesce("root", "image_id").alias("root"))
+    parent = settle(parent)
+    home = roots(parent.select("node", "root"))
+    return parent.select("user_id", "node").join(home, "node").select("user_id", F.col("node").alias("image_id"), F.col("root").alias("cluster_id"))

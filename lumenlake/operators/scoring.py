@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,29 +60,46 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return stale(old, new).withColumn("change", F.lit("drop")).unionByName(stale(new, old).withColumn("change", F.lit("add")))
 
 
-def score_stats(pairs: DataFrame) -> DataFrame:
-    """Per class of pairs (relevant, score): n, mean, deviation, extremes and quartiles.
+#: Score range of one bucket in which a quartile is looked for.
+QUARTILE_STEP = 0.001
 
-    A percentile is the sorted value at floor(p x n), the last at most."""
-    n = F.count("*")
-    ranked = pairs.withColumns({"__i": F.row_number().over(Window.partitionBy("relevant").orderBy("score")) - 1, "__n": F.count("*").over(Window.partitionBy("relevant"))})
 
-    def at(p: float) -> Column:
-        return F.max(F.when(F.col("__i") == F.least(F.col("__n") - 1, F.floor(F.col("__n") * F.lit(p))), F.col("score")))
+def score_stats(pairs: DataFrame) -> DataFrame:
+    """Per class of pairs (relevant, score): n, mean, deviation, extremes and quartiles.
 
-    aggs = {"n": n, "mean": F.avg("score"), "std": F.stddev_pop("score"), "low": F.min("score"), "p25": at(0.25), "p50": at(0.5), "p75": at(0.75), "high": F.max("score")}
-    return ranked.groupBy("relevant").agg(*[a.alias(k) for k, a in aggs.items()])
+    A percentile is the sorted value at floor(p x n), the last at most.  Counts per bucket of scores tell in
+    which bucket it is; only the rows of those buckets are ranked, so no task sorts a whole class."""
+    bucket = F.floor(F.col("score") / QUARTILE_STEP)
+    counts = pairs.groupBy("relevant", bucket.alias("bucket")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy("relevant").orderBy("bucket")
+    upto = counts.withColumns({"before": F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(Window.partitionBy("relevant"))})
+    places = upto.withColumn("p", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75))))).withColumn("at", F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("p"))))
+    wanted = places.where("at >= before and at < before + c").select("relevant", "bucket", "p", (F.col("at") - F.col("before") + 1).alias("rank"))
+    inside = pairs.withColumn("bucket", bucket).join(F.broadcast(wanted.select("relevant", "bucket").distinct()), ["relevant", "bucket"])
+    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("relevant", "bucket").orderBy("score")))
+    found = ranked.join(F.broadcast(wanted), ["relevant", "bucket", "rank"])
+    quartiles = found.groupBy("relevant").agg(*(F.max(F.when(F.col("p") == p, F.col("score"))).alias(f"p{p * 100:.0f}") for p in (0.25, 0.5, 0.75)))
+    plain = pairs.groupBy("relevant").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("low"), F.max("score").alias("high"))
+    return plain.join(quartiles, "relevant").select("relevant", "n", "mean", "std", "low", "p25", "p50", "p75", "high")
 
 
 def threshold_sweep(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """Precision, recall and F1 of score >= threshold for each threshold, from one pass over the pairs.
 
+    Pairs are counted by how many thresholds they reach, and those few counts are summed per threshold.
     Without predicted pairs precision is 1, without relevant ones recall is 1, without either F1 is 0."""
-    grid = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    rows = pairs.select("relevant", "score", grid)
-    hit = F.col("score") >= F.col("threshold")
-    counts = rows.groupBy("threshold").agg(F.count_if(hit & F.col("relevant")).alias("tp"), F.count_if(hit & ~F.col("relevant")).alias("fp"), F.count_if(~hit & ~F.col("relevant")).alias("tn"), F.count_if(~hit & F.col("relevant")).alias("fn"))
-    rates = counts.withColumns({"precision": guarded(F.col("tp"), F.col("tp") + F.col("fp"), 1), "recall": guarded(F.col("tp"), F.col("tp") + F.col("fn"), 1)})
+    spark, steps = pairs.sparkSession, sorted(thresholds)
+    reached = reduce(lambda a, b: a + b, ((F.col("score") >= F.lit(float(t))).cast("int") for t in steps))
+    counts = pairs.groupBy(reached.alias("reached"), "relevant").agg(F.count("*").alias("c"))
+    grid = spark.createDataFrame([(i, float(t)) for i, t in enumerate(steps)], "step int, threshold double")
+    rows = grid.join(counts)
+    hit = F.col("reached") > F.col("step")
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("c"))), F.lit(0))
+
+    sums = rows.groupBy("threshold").agg(total(hit & F.col("relevant")).alias("tp"), total(hit & ~F.col("relevant")).alias("fp"), total(~hit & ~F.col("relevant")).alias("tn"), total(~hit & F.col("relevant")).alias("fn"))
+    rates = sums.withColumns({"precision": guarded(F.col("tp"), F.col("tp") + F.col("fp"), 1), "recall": guarded(F.col("tp"), F.col("tp") + F.col("fn"), 1)})
     return rates.withColumn("f1", guarded(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 from .. import fixtures as fx
 from ..functions import text as tx
 from ..functions.vector import average_bits, average_hash, dot
-from ..operators import common, duplicates, events, scoring
+from ..operators import common, duplicates, events, links, scoring
 from ..streaming import jobs as streaming
 from . import library, search
 
@@ -97,21 +98,21 @@ def face_cluster_detail(spark, d):
     return library.face_cluster_detail(fx.faces(spark, d), fx.lib_images(spark, d), 1)
 
 
-def _summary_sql(sample: int, where: str = "TRUE") -> str:
+def _summary_sql(sample: int) -> str:
     return fx.sql(
         f"""SELECT e.event_id, user_id, title, {_time('start_at')} AS start_at, CAST(coalesce(n_images, 0) AS BIGINT) AS n_images, CAST(coalesce(people, 0) AS BIGINT) AS people, coalesce(categories, '') AS categories
         FROM lib_events e LEFT JOIN (SELECT event_id, count(*) AS n_images FROM m GROUP BY 1) a ON a.event_id = e.event_id
         LEFT JOIN (SELECT event_id, count(DISTINCT cluster_id) AS people FROM s JOIN faces f ON f.image_id = s.image_id GROUP BY 1) b ON b.event_id = e.event_id
         LEFT JOIN (SELECT event_id, string_agg(slug, ',' ORDER BY place) AS categories FROM (SELECT event_id, slug, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, fst) AS place
-          FROM (SELECT event_id, slug, count(*) AS n, min(rn) AS fst FROM s GROUP BY 1, 2)) WHERE place <= 3 GROUP BY 1) c ON c.event_id = e.event_id WHERE {where.replace('event_id', 'e.event_id')}""",
+          FROM (SELECT event_id, slug, count(*) AS n, min(rn) AS fst FROM s GROUP BY 1, 2)) WHERE place <= 3 GROUP BY 1) c ON c.event_id = e.event_id""",
         "lib_events", "lib_event_images", "lib_images", "faces",
         m="SELECT event_id, i.image_id, slug FROM lib_event_images x JOIN lib_images i ON x.image_id = i.image_id WHERE NOT deleted",
         s=f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY image_id) AS rn FROM m) WHERE rn <= {sample}",
     )
 
 
-def _summaries(spark, d, sample: int, where: str = "true") -> DataFrame:
-    found = library.event_summaries(fx.lib_events(spark, d).where(where), fx.lib_event_images(spark, d).where(where), fx.lib_images(spark, d), fx.faces(spark, d), sample)
+def _summaries(spark, d, sample: int) -> DataFrame:
+    found = library.event_summaries(fx.lib_events(spark, d), fx.lib_event_images(spark, d), fx.lib_images(spark, d), fx.faces(spark, d), sample)
     return _plain(found, "event_id", "user_id", "title", "start_at", "n_images", "people", "categories")
 
 
@@ -120,9 +121,9 @@ def events_list_summary(spark, d):
     return _summaries(spark, d, 20)
 
 
-@_key(_summary_sql(50, "event_id % 50 = 3"))
+@_key(_summary_sql(50))
 def event_detail(spark, d):
-    return _summaries(spark, d, 50, "event_id % 50 = 3")
+    return _summaries(spark, d, 50)
 
 
 @_key(fx.sql("""SELECT event_id, image_id, CAST(rn AS INTEGER) AS rn FROM (SELECT event_id, x.image_id, row_number() OVER (PARTITION BY event_id ORDER BY taken_at ASC NULLS LAST, x.image_id) AS rn
@@ -229,7 +230,21 @@ def travel_totals(spark, d):
     return _trips(spark, d).groupBy("user_id").agg(F.count("*").alias("trips"), F.sum("n_images").alias("n_images"))
 
 
-@_key()
+_PLACE_H = "(pow(sin(radians(o.lat - places[i].lat) / 2), 2) + cos(radians(places[i].lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lng - places[i].lng) / 2), 2))"
+_WALK = {
+    "o": "SELECT user_id, lat, lng, n_images, start_at, row_number() OVER (PARTITION BY user_id ORDER BY start_at DESC NULLS FIRST, event_id) AS rn FROM r",
+    "walk": f"""SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(lat DOUBLE, lng DOUBLE, visits INTEGER, images BIGINT, last_at TIMESTAMP)[]) AS places FROM o
+      UNION ALL SELECT user_id, rn, CASE WHEN home IS NULL THEN list_append(places, {{'lat': lat, 'lng': lng, 'visits': CAST(1 AS INTEGER), 'images': n_images, 'last_at': start_at}})
+        ELSE list_transform(places, lambda p, k: CASE WHEN k = home THEN {{'lat': p.lat, 'lng': p.lng, 'visits': CAST(p.visits + 1 AS INTEGER), 'images': p.images + n_images, 'last_at': greatest(p.last_at, start_at)}} ELSE p END) END FROM (
+        SELECT o.*, places, CASE WHEN o.lat <> 0 AND o.lng <> 0 THEN list_filter(range(1, len(places) + 1), lambda i: coalesce(places[i].lat <> 0 AND places[i].lng <> 0 AND 2 * 6371.0::DOUBLE * atan2(sqrt({_PLACE_H}), sqrt(1 - {_PLACE_H})) < 50, FALSE))[1] END AS home
+        FROM walk w JOIN o ON o.user_id = w.user_id AND o.rn = w.rn + 1)""",
+    "last": "SELECT user_id, arg_max(places, rn) AS places FROM walk GROUP BY 1",
+    "each": "SELECT user_id, unnest(range(1, len(places) + 1)) AS k, places FROM last",
+}
+
+
+@_key("WITH RECURSIVE " + fx.sql(f"""SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY places[k].visits DESC, k) - 1 AS INTEGER) AS place, places[k].lat AS lat, places[k].lng AS lng, places[k].visits AS visits, places[k].images AS images,
+  {_time('places[k].last_at')} AS last_at FROM each""", "lib_events", "lib_event_images", "lib_images", **_TRIP_CTES, **_WALK).removeprefix("WITH ").replace("walk AS MATERIALIZED (", "walk AS ("))
 def visited_places(spark, d):
     return _plain(events.visited_places(_trips(spark, d).select("user_id", "event_id", "start_at", "lat", "lng", "n_images")), "user_id", "place", "lat", "lng", "visits", "images", "last_at")
 
@@ -266,9 +281,13 @@ def _semantic(spark, d):
     return search.semantic(v, v.where("image_id = 0").select(F.col("v").alias("q")), _INTENT)
 
 
-@_key(fx.sql("SELECT image_id, round(score, 6) AS score FROM semantic", "vec", **_NEAR))
+@_key(fx.sql(f"""SELECT a, b, round(score, 6) AS score FROM (SELECT *, count(*) OVER (PARTITION BY a) AS n, greatest(CAST(0.24 AS DOUBLE), max(score) OVER (PARTITION BY a) - 0.75 * stddev_pop(score) OVER (PARTITION BY a)) AS cut FROM (
+    SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM (SELECT q.image_id AS a, a.image_id AS b, {_DOT} AS score FROM vec a, (SELECT * FROM vec WHERE image_id % 100 = 0) q
+      WHERE a.image_id <> q.image_id AND a.taken_at >= TIMESTAMP '2023-01-01 00:00:00' AND a.taken_at <= TIMESTAMP '2023-12-31 23:59:59')) WHERE rn <= 100 AND score >= CAST(0.24 AS DOUBLE)) WHERE n = 1 OR score >= cut""", "vec"))
 def search_semantic(spark, d):
-    return _semantic(spark, d).select("image_id", _six("score").alias("score"))
+    """Every vector whose id is divisible by 100 as a query against all."""
+    v = fx.vec(spark, d)
+    return search.semantic_many(v, v.where("image_id % 100 = 0"), _INTENT).select("a", "b", _six("score").alias("score"))
 
 
 _TEXT_SQL = "SELECT image_id, 0.8::DOUBLE * n / 2 AS score FROM (SELECT image_id, CAST(contains(lower(raw_text), 'with') AS INTEGER) + CAST(contains(lower(raw_text), 'that') AS INTEGER) AS n FROM ocr WHERE NOT deleted) WHERE n > 0 ORDER BY image_id LIMIT 100"
@@ -305,38 +324,58 @@ def search_face(spark, d):
   "vec", "ocr", "lib_images", "lib_events", "lib_event_images", "faces", "face_clusters", **_NEAR, t1=_TEXT_SQL, t2=_CATEGORY_SQL, t3=_EVENT_SQL, t4=_FACE_SQL))
 def search_hybrid(spark, d):
     images = fx.lib_images(spark, d)
-    signals = {
+    return search.page(search.fuse(_signals(spark, d)), images, limit=50).select("image_id", "score", "signals", "filename", "total")
+
+
+@_key(fx.sql("""SELECT CAST(place AS INTEGER) AS place, signal FROM (SELECT 1 AS place, 'semantic' AS signal, (SELECT count(*) FROM semantic) AS n UNION ALL SELECT 2, 'ocr', (SELECT count(*) FROM t1) UNION ALL SELECT 3, 'category', (SELECT count(*) FROM t2)
+  UNION ALL SELECT 4, 'event', (SELECT count(*) FROM t3) UNION ALL SELECT 5, 'face', (SELECT count(*) FROM t4)) WHERE n > 0""", "vec", "ocr", "lib_images", "lib_events", "lib_event_images", "faces", "face_clusters", **_NEAR, t1=_TEXT_SQL, t2=_CATEGORY_SQL, t3=_EVENT_SQL, t4=_FACE_SQL))
+def search_signals(spark, d):
+    return search.fired(_signals(spark, d))
+
+
+def _signals(spark, d) -> dict[str, DataFrame]:
+    images = fx.lib_images(spark, d)
+    return {
         "semantic": _semantic(spark, d).withColumn("score", F.round("score", 9)),
         "ocr": search.by_text(fx.ocr(spark, d), _INTENT),
         "category": search.by_category(images, "travel"),
         "event": search.by_event(fx.lib_events(spark, d), fx.lib_event_images(spark, d), images, _INTENT.event_words),
         "face": search.by_face(fx.face_clusters(spark, d), fx.faces(spark, d), images, _INTENT.name),
     }
-    return search.page(search.fuse(signals), images, limit=50).select("image_id", "score", "signals", "filename", "total")
 
 
 _TEXTS = ["Show my beach photos from december 2023", "dec jan trip", "with John at the beach", "show my photos", "birthday party 2021 in Goa", "receipts", "tourist pictures may 1999"]
 _TEXT_TABLE = "SELECT unnest([" + ", ".join(f"'{t}'" for t in _TEXTS) + "]) AS query"
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in sorted(search.STOP_WORDS)) + "]"
-_MONTH_SQL = "CASE " + " ".join(f"WHEN list_contains(w, '{m}') THEN {i}" for m, i in search.MONTHS) + " END"
+_MONTH_SQL = "CASE " + " ".join(f"WHEN list_contains(w, '{m}') THEN {i}" for m, i in search.MONTHS.items()) + " END"
+_EVENT_WORD_SQL = "[" + ", ".join(f"'{w}'" for w in search.EVENT_WORDS) + "]"
 
 
 @_key(fx.sql(f"""SELECT query, CAST(nullif(regexp_extract(lower(query), '\\b(20[0-9]{{2}})\\b', 1), '') AS INTEGER) AS year, CAST({_MONTH_SQL} AS INTEGER) AS month,
-  array_to_string(list_filter(k, lambda x: len(x) > 3), ' ') AS ocr_terms, coalesce(nullif(array_to_string(k, ' '), ''), query) AS semantic FROM (
-  SELECT *, list_filter(w, lambda x: NOT list_contains({_STOP_SQL}, x) AND NOT regexp_full_match(x, '[0-9]{{4}}')) AS k FROM (SELECT query, regexp_split_to_array(lower(trim(query)), '\\s+') AS w FROM q))""", q=_TEXT_TABLE))
+  array_to_string(list_filter(k, lambda x: len(x) > 3), ' ') AS ocr_terms, coalesce(nullif(array_to_string(k, ' '), ''), query) AS semantic,
+  array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), '|') AS event_words, nullif(array_to_string(nw[1:coalesce(nullif(list_position(list_transform(nw, lambda x: list_contains({_STOP_SQL}, x)), TRUE), 0), len(nw) + 1) - 1], ' '), '') AS name FROM (
+  SELECT *, list_filter(w, lambda x: NOT list_contains({_STOP_SQL}, x) AND NOT regexp_full_match(x, '[0-9]{{4}}')) AS k, string_split(regexp_replace(lower(regexp_extract(query, '(?i)\\bwith\\s+([a-z]+(?:\\s+[a-z]+){{0,2}})', 1)), '\\s+', ' ', 'g'), ' ') AS nw,
+    list_concat(flatten(list_transform({_EVENT_WORD_SQL}, lambda x: CASE WHEN NOT contains(lower(trim(query)), x) THEN [] WHEN coalesce(list_position(w, x), 0) > 1 THEN [x, w[list_position(w, x) - 1] || ' ' || x] ELSE [x] END)),
+      list_filter(list_transform(regexp_extract_all(query, '\\b([A-Z][a-z]{{2,}})\\b', 1), lambda x: lower(x)), lambda x: NOT list_contains({_STOP_SQL}, x))) AS e
+  FROM (SELECT query, regexp_split_to_array(lower(trim(query)), '\\s+') AS w FROM q))""", q=_TEXT_TABLE))
 def intent_tokens(spark, d):
     q = spark.createDataFrame([(t,) for t in _TEXTS], "query string")
-    return q.select("query", *[c.alias(n) for n, c in search.intent_columns("query").items()])
+    parts = search.intent_columns("query")
+    parts |= {"ocr_terms": F.array_join(parts["ocr_terms"], " "), "event_words": F.array_join(parts["event_words"], "|")}
+    return q.select("query", *[c.alias(n) for n, c in parts.items()])
 
 
-_NAMED = ["puppy", "Cars", " invoice ", "travel", "dog", "nothing", "meals", "people"]
-_ALIAS = {**{s: s for s in fx.SLUGS}, **{s.removesuffix("s"): s for s in fx.SLUGS}, **search.ALIASES, **{a + "s": s for a, s in search.ALIASES.items()}}
+_NAMED = ["puppy", "puppies", "puppys", "Cars", " invoice ", "travel", "dog", "nothing", "meals", "people", "selfies", "persons", "architecture", "architectures", "other", "trips", "kittens", "Screenshot"]
+_ALIAS_SQL = """CASE WHEN t IN ('people', 'person', 'persons') THEN 'people' WHEN t IN ('selfie', 'selfies') THEN 'selfie' WHEN t IN ('document', 'documents', 'invoice', 'invoices', 'receipt', 'receipts') THEN 'documents'
+  WHEN t IN ('food', 'meal', 'meals') THEN 'food' WHEN t IN ('travel', 'trip', 'trips', 'vacation', 'vacations') THEN 'travel' WHEN t IN ('dog', 'dogs', 'puppy', 'puppies') THEN 'dogs' WHEN t IN ('cat', 'cats', 'kitten', 'kittens') THEN 'cats'
+  WHEN t IN ('bird', 'birds') THEN 'birds' WHEN t IN ('pet', 'pets') THEN 'pets' WHEN t IN ('nature', 'flower', 'flowers', 'plant', 'plants') THEN 'nature' WHEN t IN ('screenshot', 'screenshots') THEN 'screenshots'
+  WHEN t IN ('vehicle', 'vehicles', 'car', 'cars', 'bike', 'bikes') THEN 'vehicles' WHEN t IN ('building', 'buildings', 'architecture') THEN 'buildings' END"""
 
 
-@_key(fx.sql("SELECT text, CASE lower(trim(text)) " + " ".join(f"WHEN '{a}' THEN '{s}'" for a, s in _ALIAS.items()) + " END AS slug FROM q", q="SELECT unnest([" + ", ".join(f"'{t}'" for t in _NAMED) + "]) AS text"))
+@_key(fx.sql(f"SELECT text, {_ALIAS_SQL} AS slug FROM (SELECT text, lower(trim(text)) AS t FROM q)", q="SELECT unnest([" + ", ".join(f"'{t}'" for t in _NAMED) + "]) AS text"))
 def classify_text_alias(spark, d):
     q = spark.createDataFrame([(t,) for t in _NAMED], "text string")
-    return q.select("text", search.category_of("text", slugs=fx.SLUGS).alias("slug"))
+    return q.select("text", search.category_of("text").alias("slug"))
 
 
 # ---- classification and calibration
@@ -377,6 +416,21 @@ def classify_images_top2(spark, d):
     return scoring.classify(fx.vec(spark, d).select("image_id", "v"), _prototypes(spark, d), 0.05, fallback=0).select("image_id", "slug", "confidence", "rn")
 
 
+_TEXT_LIST = "[" + ", ".join(f"'{t}'" for t in _NAMED) + "]"
+_TEXT_SCORES = "SELECT a.image_id AS query, q.category AS slug, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * q.centre[i])) AS score FROM texts a, centres q WHERE alias IS NULL"
+
+
+@_key(fx.sql("""SELECT image_id AS query, alias AS slug, CAST(1.0 AS DOUBLE) AS confidence, CAST(1 AS INTEGER) AS rn FROM texts WHERE alias IS NOT NULL UNION ALL
+  SELECT query, CAST(slug AS VARCHAR), confidence, CAST(row_number() OVER (PARTITION BY query ORDER BY confidence DESC, slug) AS INTEGER) FROM (
+    SELECT *, round(e / sum(e) OVER (PARTITION BY query), 4) AS confidence FROM (SELECT *, exp((score - max(score) OVER (PARTITION BY query)) / 0.05::DOUBLE) AS e FROM tscores)) WHERE slug <> 0 AND confidence >= 0.35::DOUBLE""", "vec", centres=_CENTRES,
+  texts=f"SELECT image_id, v, {_ALIAS_SQL} AS alias FROM (SELECT image_id, v, lower(trim({_TEXT_LIST}[CAST(image_id % {len(_NAMED)} AS INTEGER) + 1])) AS t FROM vec)", tscores=_TEXT_SCORES))
+def classify_text(spark, d):
+    """Every vector as that of a text: some are names of categories, the others are scored.  The test vectors
+    lie closer together than a model's, so the temperature is lower than the default."""
+    texts = fx.vec(spark, d).select(F.col("image_id").alias("query"), F.get(F.array(*map(F.lit, _NAMED)), (F.col("image_id") % len(_NAMED)).cast("int")).alias("text"), "v")
+    return search.classify_text(texts, _prototypes(spark, d), temperature=0.05, fallback=0)
+
+
 @_key(fx.sql("SELECT image_id, slug FROM photo_categories EXCEPT SELECT image_id, slug FROM photo_categories WHERE confidence >= CAST(0.5 AS DOUBLE)", "photo_categories"))
 def stale_categories(spark, d):
     c = fx.photo_categories(spark, d)
@@ -451,18 +505,18 @@ def _hashed(spark, d) -> DataFrame:
     return bits.select("image_id", "user_id", F.array(F.conv("bits", 2, -10).cast("long")).alias("h"))
 
 
-_NEAR_PAIRS = "SELECT a.image_id AS a, b.image_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.b[i] - b.b[i]))) AS INTEGER) AS distance FROM bits a JOIN bits b ON a.image_id < b.image_id"
+_NEAR_PAIRS = "SELECT a.image_id AS a, b.image_id AS b, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.b[i] - b.b[i]))) AS INTEGER) AS distance FROM bits a JOIN bits b ON a.user_id = b.user_id AND a.image_id < b.image_id"
 
 
 @_key(fx.sql("SELECT * FROM pairs WHERE distance <= 18", "vec", bits=_BITS, pairs=_NEAR_PAIRS))
 def near_duplicate_pairs(spark, d):
-    return duplicates.near_pairs(_hashed(spark, d), 18, 1, owner=None)
+    return duplicates.near_pairs(_hashed(spark, d), 18, 1).select("a", "b", "distance")
 
 
 @_key("WITH RECURSIVE " + fx.sql("SELECT image_id, min(g) AS group_id FROM reach GROUP BY 1", "vec", bits=_BITS, pairs=_NEAR_PAIRS, edges="SELECT a, b FROM pairs WHERE distance <= 18 UNION SELECT b, a FROM pairs WHERE distance <= 18").removeprefix("WITH ").replace(
     " SELECT image_id, min(g)", ", reach AS (SELECT a AS image_id, a AS g FROM edges UNION SELECT e.b, r.g FROM reach r JOIN edges e ON e.a = r.image_id) SELECT image_id, min(g)"))
 def duplicate_groups(spark, d):
-    return duplicates.group_pairs(duplicates.near_pairs(_hashed(spark, d), 18, 1, owner=None))
+    return duplicates.group_pairs(duplicates.near_pairs(_hashed(spark, d), 18, 1))
 
 
 @_key(fx.sql("""SELECT user_id, a, b, round(score, 6) AS score, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM (
@@ -471,7 +525,31 @@ def knn_join_top5(spark, d):
     return duplicates.knn_join(fx.vec(spark, d), 5).select("user_id", "a", "b", _six("score").alias("score"), "rn")
 
 
-@_key()
+_FIRSTS = {
+    "hashes": "SELECT image_id, user_id, array_to_string(b, '') AS sha, min(image_id) OVER (PARTITION BY user_id, b) AS first FROM bits",
+    "matches": "SELECT x.user_id, p.a, p.b FROM pairs p JOIN hashes x ON x.image_id = p.a JOIN hashes y ON y.image_id = p.b WHERE distance <= 18 AND NOT (x.sha = y.sha AND y.first = p.a)",
+    "parent": "SELECT b AS node, min(a) AS up FROM matches GROUP BY 1",
+    "chain": "SELECT node, up AS top FROM parent UNION ALL SELECT c.node, p.up FROM chain c JOIN parent p ON p.node = c.top",
+}
+
+
+@_key("WITH RECURSIVE " + fx.sql("""SELECT user_id, 'EXACT' AS kind, first AS representative, image_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id, sha) AS n FROM hashes) WHERE n > 1 UNION ALL
+  SELECT DISTINCT * FROM (SELECT user_id, 'NEAR' AS kind, rep AS representative, unnest([b, rep]) AS image_id FROM (SELECT m.user_id, m.b, coalesce((SELECT min(top) FROM chain c WHERE c.node = m.a), m.a) AS rep FROM matches m))""",
+  "vec", bits=_BITS, pairs=_NEAR_PAIRS, **_FIRSTS).removeprefix("WITH ").replace("chain AS MATERIALIZED (", "chain AS ("))
+def arrival_groups(spark, d):
+    hashed = _hashed(spark, d)
+    items = hashed.select("user_id", "image_id", F.sha2(F.array_join(F.transform("h", lambda x: x.cast("string")), ","), 256).alias("sha256"))
+    return duplicates.arrival_groups(items, duplicates.near_pairs(hashed, 18, 1)).select("user_id", "kind", "representative", "image_id")
+
+
+_ONLINE = {
+    "unit": "SELECT user_id, image_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM vec",
+    "near": "SELECT a, b FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM (SELECT x.image_id AS a, y.image_id AS b, list_sum(list_transform(range(1, len(x.u) + 1), lambda i: x.u[i] * y.u[i])) AS s FROM unit x JOIN unit y ON x.user_id = y.user_id AND y.image_id < x.image_id)) WHERE rn = 1 AND s >= 0.35::DOUBLE",
+    "chain": "SELECT image_id AS node, coalesce(b, image_id) AS top FROM vec LEFT JOIN near ON a = image_id UNION ALL SELECT c.node, n.b FROM chain c JOIN near n ON n.a = c.top",
+}
+
+
+@_key("WITH RECURSIVE " + fx.sql("SELECT user_id, node AS image_id, min(top) AS cluster_id FROM chain JOIN vec ON image_id = node GROUP BY 1, 2", "vec", **_ONLINE).removeprefix("WITH ").replace("chain AS MATERIALIZED (", "chain AS ("))
 def face_clusters_online(spark, d):
     return events.face_clusters_online(fx.vec(spark, d), 0.35)
 
@@ -523,10 +601,20 @@ def dominant_category(spark, d):
     return events.dominant_category(rows, ["user_id"], ["image_id", "slug"]).select("user_id", "slug", "n")
 
 
-@_key(fx.sql("SELECT o_orderkey AS event_id, CASE (o_orderkey % 8) " + " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(fx.EVENT_BASES)) + """ END AS slug, CAST(0 AS INTEGER) AS people,
-  CASE WHEN o_orderkey % 40 = 0 THEN 'Moments' ELSE strftime(o_orderdate, '%b %Y') || ' ' || CASE o_orderkey % 2 WHEN 0 THEN 'Moments' ELSE 'Memories' END END AS title FROM orders"""))
+def _pick_sql(options: list[str]) -> str:
+    return f"([{', '.join(repr(o) for o in options)}])[CAST(event_id % {len(options)} AS INTEGER) + 1]"
+
+
+_BASE_SQL = "CASE slug " + " ".join(f"WHEN '{k}' THEN {_pick_sql(v)}" for k, v in tx.TITLE_BASES.items()) + f" ELSE {_pick_sql(tx.TITLE_BASES['other'])} END"
+_FACE_SQL_ = f"CASE people WHEN 1 THEN {_pick_sql(tx.FACE_TITLES[1])} WHEN 2 THEN {_pick_sql(tx.FACE_TITLES[2])} ELSE {_pick_sql(tx.FACE_TITLES[3])} END"
+
+
+@_key(fx.sql(f"""SELECT event_id, slug, people, CASE WHEN start_at IS NOT NULL THEN strftime(start_at, '%b %Y') || ' ' || {_BASE_SQL} WHEN people > 0 AND slug = 'people' THEN {_FACE_SQL_} ELSE {_BASE_SQL} END AS title FROM (
+  SELECT event_id, ([{', '.join(repr(s) for s in fx.SLUGS)}])[CAST((event_id // 40) % 14 AS INTEGER) + 1] AS slug, CAST((event_id // 560) % 4 AS INTEGER) AS people, start_at FROM lib_events)""", "lib_events"))
 def event_titles(spark, d):
-    e = fx.lib_events(spark, d).select("event_id", F.col("title").alias("slug"), "start_at").withColumn("people", F.lit(0))
+    key = F.col("event_id")
+    slug = F.get(F.array(*map(F.lit, fx.SLUGS)), (F.floor(key / 40) % 14).cast("int"))
+    e = fx.lib_events(spark, d).select("event_id", slug.alias("slug"), "start_at", (F.floor(key / 560) % 4).cast("int").alias("people"))
     return e.select("event_id", "slug", "people", tx.title("slug", "start_at", "people", "event_id").alias("title"))
 
 
@@ -535,11 +623,11 @@ def event_titles(spark, d):
 
 @_key(fx.sql("""SELECT image_id, status, CAST(CASE WHEN old IS NULL THEN 0 WHEN again THEN old + 1 ELSE old END AS INTEGER) AS attempts FROM (
   SELECT coalesce(o.image_id, n.image_id) AS image_id, coalesce(n.status, o.status) AS status, CASE WHEN o.image_id IS NOT NULL THEN 0 END AS old, n.image_id IS NOT NULL AS again
-  FROM (SELECT image_id, status FROM photos WHERE image_id % 2 = 0) o FULL JOIN (SELECT image_id, 'COMPLETED' AS status FROM photos WHERE image_id % 3 = 0) n ON o.image_id = n.image_id)""", "photos"))
+  FROM (SELECT image_id, status FROM photos WHERE image_id % 2 = 0) o FULL JOIN (SELECT image_id, 'COMPLETED' AS status FROM photos WHERE image_id % 2 <> 0 OR image_id % 3 = 0) n ON o.image_id = n.image_id)""", "photos"))
 def latest_upsert(spark, d):
     p = fx.photos(spark, d)
     old = p.where("image_id % 2 = 0").select("image_id", "status").withColumn("attempts", F.lit(0))
-    new = p.where("image_id % 3 = 0").select("image_id", F.lit("COMPLETED").alias("status"))
+    new = p.where("image_id % 2 <> 0 or image_id % 3 = 0").select("image_id", F.lit("COMPLETED").alias("status"))
     rows = common.upsert(old.select("image_id", "status"), new, ["image_id"])
     return rows.join(common.count_attempts(old, new, ["image_id"]), "image_id").select("image_id", "status", "attempts")
 
@@ -555,20 +643,19 @@ def job_retention(spark, d):
     return streaming.retain(fx.jobs(spark, d), [F.desc("image_id")]).select("job_type", "status", "image_id", "rn")
 
 
-@_key()
+@_key(f"""SELECT user_id, count(*) AS n, {_time('min(ts)')} AS first_at, {_time('max(ts)')} AS last_at FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM (
+  SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 21600000000 THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, k""")
 def stream_sessions(spark, d):
-    """The sessions that a stream over the events table has emitted when its input ends."""
-    import tempfile
-    import uuid
-
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"sessions_{uuid.uuid4().hex}"
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lumenlake-")
-    found = streaming.stream_sessions(source, "ts", "user_id")
-    run = found.writeStream.format("parquet").option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/{name}-state").outputMode("append").trigger(availableNow=True).start()
+    """All sessions of the events table, as a stream over it emits them."""
+    table = spark.read.parquet(f"{d}/events.parquet")
+    root = links.shared_folder(spark)
+    name = f"{root}/sessions-{uuid.uuid4().hex}"
+    # a pattern matches a file as well as a folder of parts; a stream's plain path must be a folder
+    source = spark.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]")
+    found = streaming.stream_sessions(streaming.closed(source, f"{name}-end", "ts", "user_id", table.agg(F.max("ts")).first()[0]), "ts", "user_id")
+    run = found.writeStream.format("parquet").option("path", name).option("checkpointLocation", f"{name}-state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return _plain(spark.read.schema(found.schema).parquet(f"{root}/{name}"), "user_id", "n", "first_at", "last_at")
+    return _plain(spark.read.schema(found.schema).parquet(name).where("user_id is not null"), "user_id", "n", "first_at", "last_at")
 
 
 # ---- smaller operators, each on its own
@@ -579,10 +666,10 @@ def image_jobs(spark, d):
     return library.with_jobs(fx.photos(spark, d), fx.jobs(spark, d)).select("image_id", "status", "jobs")
 
 
-@_key(fx.sql("SELECT image_id, slug FROM photo_categories WHERE image_id % 2 = 1 EXCEPT SELECT image_id, slug FROM photo_categories WHERE image_id % 7 = 1", "photo_categories"))
+@_key(fx.sql("SELECT image_id, slug FROM photo_categories EXCEPT SELECT image_id, slug FROM photo_categories WHERE image_id % 7 = 1", "photo_categories"))
 def insert_ignoring_known(spark, d):
     c = fx.photo_categories(spark, d).select("image_id", "slug")
-    return common.insert_new(c.where("image_id % 7 = 1"), c.where("image_id % 2 = 1"), ["image_id", "slug"])
+    return common.insert_new(c.where("image_id % 7 = 1"), c, ["image_id", "slug"])
 
 
 @_key(fx.sql("SELECT user_id, count(*) FILTER (NOT deleted AND image_id % 11 <> 0) AS n_live, count(*) FILTER (deleted OR image_id % 11 = 0) AS n_deleted FROM photos GROUP BY 1", "photos"))
@@ -641,12 +728,52 @@ def offset_page(spark, d):
     return events.unlocated(fx.lib_events(spark, d)).orderBy("event_id").offset(50).limit(25).select("event_id", "title")
 
 
-@_key(fx.sql("""SELECT image_id, coalesce(status, 'NONE') AS event_type, round(confidence, 6) AS confidence, slug FROM (SELECT p.image_id, p.status, c.confidence, c.slug, row_number() OVER (PARTITION BY p.image_id ORDER BY confidence DESC, slug) AS rn
+@_key(fx.sql(f"""SELECT image_id, user_id, slug AS category, {_time('taken_at')} AS taken_at, source FROM (SELECT p.*, c.slug, row_number() OVER (PARTITION BY p.image_id ORDER BY confidence DESC, slug) AS rn
   FROM photos p LEFT JOIN photo_categories c ON p.image_id = c.image_id WHERE NOT deleted) WHERE rn = 1""", "photos", "photo_categories"))
 def point_payloads(spark, d):
+    """What goes with a vector: owner, leading category as it is now, time and source of its image."""
     rows = common.live(fx.photos(spark, d)).join(fx.photo_categories(spark, d), "image_id", "left")
     top = common.top_n(rows, ["image_id"], [F.desc_nulls_first("confidence"), F.asc("slug")], 1)
-    return top.select("image_id", F.coalesce("status", F.lit("NONE")).alias("event_type"), _six("confidence").alias("confidence"), "slug")
+    return top.select("image_id", "user_id", F.col("slug").alias("category"), tx.stamp("taken_at").alias("taken_at"), "source")
+
+
+_DOCUMENT_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in tx.DOCUMENT_WORDS.items()) + " ELSE 'other' END"
+
+
+@_key(fx.sql(f"""SELECT user_id, kind, count(*) AS n, string_agg(image_id, ',' ORDER BY rn) AS members, CAST(list_position([{', '.join(repr(k) for k in tx.DOCUMENT_ORDER)}], kind) AS INTEGER) AS place FROM (
+  SELECT x.user_id, x.image_id, rn, {_DOCUMENT_SQL} AS kind FROM (SELECT x.*, coalesce(lower(raw_text), '') AS t FROM (SELECT p.user_id, p.image_id, row_number() OVER (PARTITION BY p.user_id ORDER BY taken_at DESC NULLS FIRST, p.image_id) AS rn
+    FROM photos p JOIN photo_categories c ON c.image_id = p.image_id WHERE NOT deleted AND status = 'COMPLETED' AND slug = 'documents' AND confidence >= CAST(0.3 AS DOUBLE)) x LEFT JOIN (SELECT * FROM ocr WHERE NOT deleted) o ON o.image_id = x.image_id WHERE rn <= 100) x) GROUP BY 1, 2""", "photos", "photo_categories", "ocr"))
+def documents_view(spark, d):
+    return library.documents_view(fx.photos(spark, d), fx.photo_categories(spark, d), fx.ocr(spark, d))
+
+
+def _top_sql(where: str) -> str:
+    return f"SELECT string_agg(event_id, ',' ORDER BY n DESC, event_id) FROM (SELECT e.event_id, count(x.image_id) AS n FROM lib_events e LEFT JOIN lib_event_images x ON x.event_id = e.event_id WHERE {where} GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5)"
+
+
+@_key(fx.sql(f"""SELECT (SELECT count(*) FROM g) AS n_images, (SELECT count(*) FROM lib_events) AS n_events,
+  (SELECT count(*) FROM face_clusters WHERE cluster_id IN (SELECT cluster_id FROM faces f JOIN lib_images i ON f.image_id = i.image_id WHERE NOT deleted)) AS n_people, (SELECT {_time('min(taken_at)')} FROM g) AS first_at, (SELECT {_time('max(taken_at)')} FROM g) AS last_at,
+  (SELECT string_agg(slug || ':' || n, ',' ORDER BY n DESC, slug) FROM (SELECT slug, count(*) AS n FROM photos p JOIN photo_categories c ON p.image_id = c.image_id WHERE NOT deleted AND status = 'COMPLETED' GROUP BY 1 ORDER BY n DESC, slug LIMIT 5)) AS categories,
+  ({_top_sql('lat IS NOT NULL AND lng IS NOT NULL')}) AS locations, ({_top_sql(_TRIPS)}) AS trips""",
+  "lib_images", "lib_events", "lib_event_images", "face_clusters", "faces", "photos", "photo_categories", g="SELECT * FROM lib_images WHERE NOT deleted AND status = 'COMPLETED'"))
+def dashboard(spark, d):
+    found = library.dashboard(fx.lib_images(spark, d), fx.lib_events(spark, d), fx.face_clusters(spark, d), fx.faces(spark, d), fx.lib_event_images(spark, d), fx.photos(spark, d), fx.photo_categories(spark, d))
+    return _plain(found, "n_images", "n_events", "n_people", "first_at", "last_at", "categories", "locations", "trips")
+
+
+@_key(fx.sql("""SELECT image_id, round(confidence, 6) AS confidence, more > 10 AS has_next FROM (SELECT *, row_number() OVER (ORDER BY confidence DESC, image_id) AS rn, count(*) OVER () AS more FROM c
+  WHERE (-confidence, image_id) > (SELECT (-confidence, image_id) FROM c ORDER BY confidence DESC, image_id LIMIT 1 OFFSET 3)) WHERE rn <= 10""", "photos", "photo_categories",
+  c="SELECT p.image_id, confidence FROM photos p JOIN photo_categories c ON p.image_id = c.image_id WHERE NOT deleted AND user_id = 7 AND slug = 'nature' AND confidence >= CAST(0.25 AS DOUBLE)"))
+def category_keyset_page(spark, d):
+    own = fx.photo_categories(spark, d).where((F.col("slug") == "nature") & (F.col("confidence") >= F.lit(0.25)))
+    rows = common.live(fx.photos(spark, d)).where("user_id = 7").select("image_id").join(own, "image_id")
+    cursor = rows.orderBy(F.desc("confidence"), F.asc("image_id")).limit(4).orderBy(F.asc("confidence"), F.desc("image_id")).limit(1)
+    return common.keyset_page(rows, [("confidence", True), ("image_id", False)], 10, cursor).select("image_id", _six("confidence").alias("confidence"), "has_next")
+
+
+@_key("SELECT event_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%B %Y') AS heading FROM events")
+def month_headings(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", tx.month_key("ts").alias("month"), tx.month_name("ts").alias("heading"))
 
 
 @_key(fx.sql("""SELECT image_id, slug, change FROM (SELECT image_id, slug, 'drop' AS change FROM (SELECT image_id, slug FROM old EXCEPT SELECT image_id, slug FROM new)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import DOCUMENT_ORDER, contains_any, document_type, duration_days
-from ..operators.common import completed, counted_children, live, top_n, until_second_59
+from ..operators.common import completed, counted_children, live, page_size, top_n, until_second_59
 
 # Words in titles of trips, for highlights and for travel summaries; travel categories.
 TRIP_WORDS = ["Trip", "Vacation", "Getaway", "Adventure", "Tour"]
@@ -136,12 +136,40 @@ def documents_by_type(ocr: DataFrame, words: dict[str, list[str]] | None = None,
     return kinds.withColumn("place", F.array_position(F.array(*map(F.lit, order)), F.col("kind")).cast("int"))
 
 
+def documents_view(images: DataFrame, categories: DataFrame, ocr: DataFrame, limit: int = 100, floor: float = 0.3) -> DataFrame:
+    """Per owner the latest completed documents of enough confidence by kind: count and members, latest first.
+
+    The limit comes before the kinds are told apart; a document without text is of the last kind."""
+    good = completed(images).join(categories.where((F.col("slug") == "documents") & (F.col("confidence") >= F.lit(floor).cast("double"))), "image_id")
+    latest = top_n(good, ["user_id"], [F.desc_nulls_first("taken_at"), F.asc("image_id")], page_size(limit, "documents"))
+    typed = latest.join(live(ocr).select("image_id", "raw_text"), "image_id", "left").withColumn("kind", document_type("raw_text"))
+    members = F.transform(F.array_sort(F.collect_list(F.struct("rn", "image_id"))), lambda x: x["image_id"].cast("string"))
+    groups = typed.groupBy("user_id", "kind").agg(F.count("*").alias("n"), F.array_join(members, ",").alias("members"))
+    return groups.withColumn("place", F.array_position(F.array(*map(F.lit, DOCUMENT_ORDER)), F.col("kind")).cast("int"))
+
+
+def dashboard(images: DataFrame, events: DataFrame, clusters: DataFrame, faces: DataFrame, event_images: DataFrame, photos: DataFrame, categories: DataFrame) -> DataFrame:
+    """highlights() with the five top categories, locations and trips as lists: one row for the first page."""
+
+    def listed(df: DataFrame, order: list, item, name: str) -> DataFrame:
+        at = F.row_number().over(Window.orderBy(*order))  # five rows
+        return df.withColumn("__at", at).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", item.alias("x")))), lambda s: s["x"]), ",").alias(name))
+
+    by_count = [F.desc("n_all"), F.asc("event_id")]
+    lists = [
+        listed(top_categories(photos, categories), [F.desc("n"), F.asc("slug")], F.concat_ws(":", "slug", F.col("n").cast("string")), "categories"),
+        listed(top_locations(events, event_images, images), by_count, F.col("event_id").cast("string"), "locations"),
+        listed(top_trips(events, event_images, images), by_count, F.col("event_id").cast("string"), "trips"),
+    ]
+    return reduce(lambda a, b: a.join(F.broadcast(b)), lists, highlights(images, events, clusters, faces))
+
+
 def monthly(images: DataFrame, previews: int = 4) -> DataFrame:
     """Per owner and month of completed, dated images: count, and the latest `previews` as ids."""
     dated = completed(images).where("taken_at is not null").withColumns({"year": F.year("taken_at"), "month": F.month("taken_at")})
     keys = ["user_id", "year", "month"]
     counts = dated.groupBy(*keys).agg(F.count("*").alias("n"))
-    shown = top_n(dated, keys, [F.desc("taken_at"), F.desc("image_id")], min(previews, 10))
+    shown = top_n(dated, keys, [F.desc("taken_at"), F.desc("image_id")], page_size(previews, "previews"))
     ids = shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "image_id"))), lambda x: x["image_id"].cast("string")), ",").alias("previews"))
     return counts.join(ids, keys)
 

@@ -6,33 +6,60 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_KINDS = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "t": T.TimestampNTZType(), "g": T.DecimalType(9, 6), "c": T.DecimalType(4, 3)}
-
-
-def _struct(spec: str) -> T.StructType:
-    fields = (f.split(":") for f in spec.split())
-    return T.StructType([T.StructField(n, _KINDS[k.rstrip("?")], k.endswith("?")) for n, k in fields])
-
 
+# The columns of the library tables.
 TABLES = {
-    "users": _struct("id:s email:s password_hash:s? name:s avatar_url:s? created_at:t updated_at:t"),
-    "images": _struct(
-        "id:s user_id:s filename:s cloudinary_id:s cloudinary_url:s width:i? height:i? file_size:l? mime_type:s? sha256_hash:s? phash:s? source:s google_photos_id:s? "
-        "taken_at:t? location_lat:g? location_lng:g? metadata:s? processing_status:s created_at:t updated_at:t deleted_at:t?"
-    ),
-    "categories": _struct("id:i slug:s label:s"),
-    "image_categories": _struct("image_id:s category_id:i confidence:c?"),
-    "ocr_records": _struct("id:s image_id:s raw_text:s language:s? confidence:c? created_at:t updated_at:t"),
-    "face_clusters": _struct("id:s user_id:s label:s? cover_face_id:s? created_at:t updated_at:t"),
-    "faces": _struct("id:s image_id:s cluster_id:s? bbox_x:d bbox_y:d bbox_w:d bbox_h:d detection_score:c? embedding_id:s? qdrant_id:s created_at:t updated_at:t"),
-    "events": _struct("id:s user_id:s title:s cover_image_id:s? start_at:t? end_at:t? location_lat:g? location_lng:g? metadata:s? created_at:t updated_at:t"),
-    "event_images": _struct("event_id:s image_id:s"),
-    "duplicate_groups": _struct("id:s user_id:s type:s representative_image_id:s? created_at:t updated_at:t"),
-    "duplicate_group_members": _struct("group_id:s image_id:s"),
-    "processing_jobs": _struct("id:s image_id:s job_type:s status:s attempts:i error:s? queued_at:t started_at:t? completed_at:t?"),
-    "event_jobs": _struct("id:s user_id:s status:s error:s? image_count:i? event_count:i? queued_at:t started_at:t? completed_at:t?"),
+    "users": (
+        "id string NOT NULL, email string NOT NULL, password_hash string, name string NOT NULL, avatar_url string, created_at timestamp_ntz NOT NULL, "
+        "updated_at timestamp_ntz NOT NULL"
+    ),
+    "images": (
+        "id string NOT NULL, user_id string NOT NULL, filename string NOT NULL, cloudinary_id string NOT NULL, cloudinary_url string NOT NULL, width "
+        "int, height int, file_size bigint, mime_type string, sha256_hash string, phash string, source string NOT NULL, google_photos_id string, "
+        "taken_at timestamp_ntz, location_lat decimal(9,6), location_lng decimal(9,6), metadata string, processing_status string NOT NULL, created_at "
+        "timestamp_ntz NOT NULL, updated_at timestamp_ntz NOT NULL, deleted_at timestamp_ntz"
+    ),
+    "categories": (
+        "id int NOT NULL, slug string NOT NULL, label string NOT NULL"
+    ),
+    "image_categories": (
+        "image_id string NOT NULL, category_id int NOT NULL, confidence decimal(4,3)"
+    ),
+    "ocr_records": (
+        "id string NOT NULL, image_id string NOT NULL, raw_text string NOT NULL, language string, confidence decimal(4,3), created_at timestamp_ntz "
+        "NOT NULL, updated_at timestamp_ntz NOT NULL"
+    ),
+    "face_clusters": (
+        "id string NOT NULL, user_id string NOT NULL, label string, cover_face_id string, created_at timestamp_ntz NOT NULL, updated_at timestamp_ntz "
+        "NOT NULL"
+    ),
+    "faces": (
+        "id string NOT NULL, image_id string NOT NULL, cluster_id string, bbox_x double NOT NULL, bbox_y double NOT NULL, bbox_w double NOT NULL, "
+        "bbox_h double NOT NULL, detection_score decimal(4,3), embedding_id string, qdrant_id string NOT NULL, created_at timestamp_ntz NOT NULL, "
+        "updated_at timestamp_ntz NOT NULL"
+    ),
+    "events": (
+        "id string NOT NULL, user_id string NOT NULL, title string NOT NULL, cover_image_id string, start_at timestamp_ntz, end_at timestamp_ntz, "
+        "location_lat decimal(9,6), location_lng decimal(9,6), metadata string, created_at timestamp_ntz NOT NULL, updated_at timestamp_ntz NOT NULL"
+    ),
+    "event_images": (
+        "event_id string NOT NULL, image_id string NOT NULL"
+    ),
+    "duplicate_groups": (
+        "id string NOT NULL, user_id string NOT NULL, type string NOT NULL, representative_image_id string, created_at timestamp_ntz NOT NULL, "
+        "updated_at timestamp_ntz NOT NULL"
+    ),
+    "duplicate_group_members": (
+        "group_id string NOT NULL, image_id string NOT NULL"
+    ),
+    "processing_jobs": (
+        "id string NOT NULL, image_id string NOT NULL, job_type string NOT NULL, status string NOT NULL, attempts int NOT NULL, error string, "
+        "queued_at timestamp_ntz NOT NULL, started_at timestamp_ntz, completed_at timestamp_ntz"
+    ),
+    "event_jobs": (
+        "id string NOT NULL, user_id string NOT NULL, status string NOT NULL, error string, image_count int, event_count int, queued_at timestamp_ntz "
+        "NOT NULL, started_at timestamp_ntz, completed_at timestamp_ntz"
+    ),
 }
 
 # The domains of the enumerated columns.

@@ -32,6 +32,16 @@ def stream_sessions(events: DataFrame, time: str, owner: str, gap: str = "6 hour
     )
 
 
+def closed(events: DataFrame, path: str, time: str, owner: str, last) -> DataFrame:
+    """A stream of events and, behind them, one event of no owner long after `last`, read from path.
+
+    It moves the watermark over all sessions, so that a finite input leaves none open."""
+    spark = events.sparkSession
+    row = spark.range(1).select(F.lit(None).cast(events.schema[owner].dataType).alias(owner), (F.lit(last) + F.expr("INTERVAL 1000 DAYS")).cast(events.schema[time].dataType).alias(time))
+    row.write.mode("overwrite").parquet(path)
+    return events.select(owner, time).unionByName(spark.readStream.schema(row.schema).parquet(path))
+
+
 def distinct_jobs(jobs: DataFrame, time: str = "queued_at", late: str = "1 hour") -> DataFrame:
     """Each job id once while it is remembered."""
     keyed = as_event_time(jobs, time).withColumn("job_id", F.concat_ws("_", "job_type", F.col("image_id").cast("string")))
@@ -68,10 +78,15 @@ def rate_windows(requests: DataFrame, time: str, owner: str, most: int, width: s
 
 
 def retain(jobs: DataFrame, order: list, completed: int = 200, failed: int = 500) -> DataFrame:
-    """Finished jobs that history keeps: the latest of each type and outcome."""
-    place = F.row_number().over(Window.partitionBy("job_type", "status").orderBy(*order))
-    most = F.when(F.col("status") == "COMPLETED", completed).otherwise(failed)
-    return jobs.where(F.col("status").isin("COMPLETED", "FAILED")).withColumn("rn", place).where(F.col("rn") <= most)
+    """Finished jobs that history keeps: the latest of each type and outcome.
+
+    Each outcome has a limit of its own, so that tasks cut their rows before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("job_type").orderBy(*order))
+
+    def latest(status: str, most: int) -> DataFrame:
+        return jobs.where(F.col("status") == status).withColumn("rn", place).where(F.col("rn") <= most)
+
+    return latest("COMPLETED", completed).unionByName(latest("FAILED", failed))
 
 
 def online_clusters(faces: DataFrame, threshold: float = 0.82) -> DataFrame:

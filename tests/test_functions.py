@@ -74,8 +74,8 @@ def test_titles_and_urls(spark):
         ("birthday party 2021", {"year": 2021, "event_words": ["party", "birthday party", "birthday"]}),
     ],
 )
-def test_intent(query, want):
-    got = search.parse_intent(query)
+def test_intent(spark, query, want):
+    got = search.read_intent(spark, query)
     assert {k: getattr(got, k) for k in want} == want
 
 
@@ -83,6 +83,22 @@ def scores(spark, *values):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "image_id long, score double")
 
 
+def test_categories_of_texts(spark):
+    texts = spark.createDataFrame([(1, " Puppies", [1.0, 0.0]), (2, "a dinner", [1.0, 0.0]), (3, "anything", [0.5, 0.5]), (4, "puppys", [0.0, 0.0])], "query long, text string, v array<double>")
+    prototypes = spark.createDataFrame([("food", [1.0, 0.0]), ("pets", [-1.0, 0.0]), ("other", [0.0, 1.0])], "slug string, centre array<double>")
+    got = [(r["query"], r["slug"], round(r["confidence"], 2), r["rn"]) for r in search.classify_text(texts, prototypes).orderBy("query", "rn").collect()]
+    assert got == [(1, "dogs", 1.0, 1), (2, "food", 0.87, 1), (3, "food", 0.47, 1)]
+    assert [one(spark, search.category_of(F.lit(t))) for t in ("puppies", "selfies", "puppys", "other", "ARCHITECTURE ")] == ["dogs", "selfie", None, None, "buildings"]
+
+
+def test_headings_and_ages(spark):
+    now = F.expr("TIMESTAMP_NTZ'2024-05-20 12:00:00'")
+    ages = {"2024-05-20 11:59:30": "just now", "2024-05-20 11:15:00": "45m ago", "2024-05-19 13:00:00": "23h ago", "2024-05-14 00:00:00": "6d ago", "2024-05-01 00:00:00": "May 1, 2024"}
+    assert {t: one(spark, text.ago(F.expr(f"TIMESTAMP_NTZ'{t}'"), now)) for t in ages} == ages
+    assert one(spark, text.month_key(now)) == "2024-05" and one(spark, text.month_name(now)) == "May 2024"
+    assert one(spark, text.month_name(F.lit(None).cast("timestamp_ntz"))) is None
+
+
 def test_relative_cutoff(spark):
     assert search.relative_cutoff(scores(spark, 0.40, 0.39, 0.38, 0.25)).count() == 3
     assert search.relative_cutoff(scores(spark, 0.25)).count() == 1

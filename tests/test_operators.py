@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenlake import schema
-from lumenlake.operators import common, duplicates, events, scoring
+from lumenlake.operators import common, duplicates, events, links, neighbours, scoring
 from lumenlake.plans import library
 from lumenlake.sources import files
 from lumenlake.streaming import jobs
@@ -179,6 +179,90 @@ def test_duplicates(spark):
     assert all(label[a] == label[b] for a, b, _ in want)
 
 
+def test_groups_in_arrival_order(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(9)]
+    hashes = [b ^ sum({1 << rng.randrange(64) for _ in range(rng.choice([0, 0, 1, 3, 4]))}) for b in base for _ in range(6)]
+    rng.shuffle(hashes)
+    rows = [(i, i % 2, hashes[i]) for i in range(len(hashes))]
+    df = spark.createDataFrame([(i, u, f"{h:x}", [h - 2**64 if h >= 2**63 else h]) for i, u, h in rows], "image_id long, user_id long, sha256 string, h array<long>")
+    got = {tuple(r) for r in duplicates.arrival_groups(df, duplicates.near_pairs(df, 5, 1)).select("user_id", "kind", "representative", "image_id").collect()}
+    want = set()
+    for user in (0, 1):
+        log = duplicates.replay_groups([(i, f"{h:x}", h) for i, u, h in rows if u == user], 5)
+        founder = {}
+        for kind, group, match, _ in log:
+            founder.setdefault((kind, group), match)
+        want |= {(user, kind, founder[kind, group], member) for kind, group, _, member in log}
+    assert got == want and {k for _, k, _, _ in got} == {"EXACT", "NEAR"}
+
+
+def test_blocks_compare_everything(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 3, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "image_id long, user_id long, v array<double>")
+
+    def best(earlier):
+        out = {}
+        for i, u, v in rows:
+            near = sorted((-sum(x * y for x, y in zip(v, w)), j) for j, o, w in rows if o == u and (j < i if earlier else j != i))
+            out[i] = [j for _, j in near[:4]]
+        return out
+
+    for block in (2_048, 7):
+        for earlier in (False, True):
+            got = {}
+            for r in neighbours.nearest(df, df, 4, earlier=earlier, block=block).orderBy("a", "rn").collect():
+                got.setdefault(r["a"], []).append(r["b"])
+            assert got == {k: v for k, v in best(earlier).items() if v}
+    some = [[rng.random() for _ in range(4)] for _ in range(40)]
+    rows = [(i, i % 3, rng.choice(some)) for i in range(90)]
+    df = spark.createDataFrame(rows, "image_id long, user_id long, v array<double>")
+    clusters = {r["image_id"]: r["cluster_id"] for r in events.face_clusters_online(df, 0.97).collect()}
+    for user in range(3):
+        model = dict(events.assign_clusters([(i, v) for i, u, v in rows if u == user], [], 0.97))
+        assert model == {i: c for i, c in clusters.items() if i % 3 == user}
+    assert neighbours.nearest(df.limit(0), df.limit(0), 3).count() == 0
+
+
+def test_forests_and_components(spark):
+    chain = spark.createDataFrame([(i, max(0, i - 1)) for i in range(50)], "node long, root long")
+    assert {r["root"] for r in links.roots(chain).collect()} == {0}
+    edges = [(i, i + 1) for i in range(30)] + [(100 - i, 99 - i) for i in range(20)] + [(7, 7), (500, 400)]
+    got = {r["node"]: r["root"] for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, **{i: 80 for i in range(80, 101)}, 400: 400, 500: 400}
+
+
+def test_summaries_cluster_like_whole_buckets(spark):
+    """cluster() from summaries gives what the merges give with all images and faces at hand."""
+    rng = random.Random(8)
+    rows = [(i, hours(rng.choice([0, 40, 90, 200, 400]) + rng.random() * 8), rng.choice([None, 10.0, 10.2])) for i in range(60)]
+    images = spark.createDataFrame([(i, 1, t, "COMPLETED", False, p, p) for i, t, p in rows], "image_id long, user_id long, taken_at timestamp_ntz, status string, deleted boolean, lat double, lng double")
+    vectors = {i: [rng.random(), rng.random() / 3] for i, _, _ in rows if i % 3}
+    people = {i: {rng.randrange(9) for _ in range(2)} for i, _, _ in rows if i % 2}
+    v = spark.createDataFrame([(i, x) for i, x in vectors.items()], "image_id long, v array<double>")
+    f = spark.createDataFrame([(i, c) for i, cs in people.items() for c in cs], "image_id long, cluster_id long")
+    for cosine in (0.99, 0.9):
+        got = [r["images"] for r in events.cluster(images, v, f, cosine).orderBy("event").collect()]
+        buckets = [r.asDict() for r in events.time_buckets(images).orderBy("bucket").collect()]
+        want = events.merge_faces(events.merge_looks(events.merge_places(buckets), vectors, cosine), people)
+        assert got == [b["images"] for b in want if len(b["images"]) >= 3]
+
+
+def test_pages_and_years():
+    assert [common.page_size(n, k) for n, k in ((None, "page"), (500, "search"), (0, "page"), (70, "people"), (300, "documents"), (11, "previews"))] == [50, 100, 1, 50, 200, 10]
+    assert [common.page_offset(p, 20) for p in (-1, 1, 3)] == [0, 0, 40]
+    assert common.known_year(2000, 2024) == 2000 and common.known_year(2025, 2024) == 2025
+    for year in (1999, 2026):
+        with pytest.raises(ValueError):
+            common.known_year(year, 2024)
+
+
+def test_page_totals(spark):
+    got = [tuple(spark.range(1).select(*[c.alias(n) for n, c in common.page_totals(F.lit(41), p, 20).items()]).first()) for p in (2, 3)]
+    assert got == [(3, True), (3, False)]
+
+
 def test_loader_rules(spark):
     rows = spark.createDataFrame([("LOCAL", 1.0, None), ("LOCAL", 1.0, 2.0), ("NOWHERE", None, None)], "source string, lat double, lng double")
     assert sorted(r["fault"] for r in schema.faults(rows).collect()) == ["half a coordinate", "source outside its domain"]
