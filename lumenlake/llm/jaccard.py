@@ -40,7 +40,7 @@ HOT_SHINGLES = 500_000
 #: Shingles that one task counts at a time, and rows of a block that one R-tree holds.
 COUNT_CHUNK, BLOCK_ROWS = 1_500_000, 4_096
 #: Rows of a chunk of a block at least.
-LEAST_CHUNK = 512
+LEAST_CHUNK = 256
 #: Shingles of the sets that one task compares with each other.
 GROUP_SHINGLES = 2_000_000
 #: Sets of a component that one task compares with as many others, and shingles that it looks at together.
