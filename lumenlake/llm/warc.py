@@ -238,3 +238,12 @@ def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     path = path or fresh_path(pages.sparkSession, "warc")
     write(pages, path, **options)
     return materialize(read(pages.sparkSession, path, with_payload=False), "warc-read").drop("payload")
+
+
+def oracle() -> str:
+    """What archive() returns of a table without repeated page_ids, in DuckDB's SQL."""
+    return f"""
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= {LEAST_REVISIT} THEN min(page_id) OVER (PARTITION BY h) END AS first
+      FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))
+"""
