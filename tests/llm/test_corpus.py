@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumenlake.llm import ctw, decontam, graph, jaccard, mixing, nbsvm, rules
+from lumenlake.llm import _text, ctw, decontam, graph, jaccard, mixing, nbsvm, rules
 from lumenlake.llm.rtree import CountTree, needed, search_runs
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -351,6 +351,80 @@ def test_classifier_on_held_out_documents(spark):
     assert nbsvm.score(docs.limit(0), nbsvm.fit(docs.limit(0), labels)).count() == 0
 
 
+def brute_features(text):
+    """The hashed n-grams of one text, gram by gram."""
+    raw, bits, out = (text or "").encode(), nbsvm.FEATURE_BITS, set()
+    for i in range(len(raw) - 2):
+        out.add((int.from_bytes(raw[i : i + 3], "little") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - bits))
+
+    def add(value, kind):
+        out.add(int(_text.mix(np.array([(value + (kind << 56)) % (1 << 64)], np.uint64))[0]) >> (64 - bits))
+
+    def size(w, chars):
+        return sum(c in chars for c in w)
+
+    shapes, before = [], None
+    marks = {c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in ".,'-"}
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", raw):
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        data = np.frombuffer(low, np.uint8)
+        add(int(_text.span_hashes(data, np.array([0]), np.array([len(low)]))[0]), 2)
+        upper, lower, digit, mark = size(w, range(65, 91)), size(w, range(97, 123)), size(w, range(48, 58)), size(w, marks)
+        shapes.append((upper > 1 and not lower) | (upper > 0 and lower > 0) << 1 | (digit > 0) << 2 | min(mark, 3) << 3 | (low == before) << 5 | (mark == len(w)) << 6)
+        before = low
+    for n in (1, 2, 3):
+        for i in range(len(shapes) - n + 1):
+            add(sum(s << 8 * (n - 1 - k) for k, s in enumerate(shapes[i : i + n])), 2 + n)
+    return out
+
+
+def test_features_and_scores_match_brute_force(monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "Bc", "é", "1", "!", "$$", " ", "\n", "word word ", "NO "]) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", "x", "xy", " \t ", "same same", "w" * 700]
+    want = [brute_features(t) for t in texts]
+    weights = np.random.default_rng(1).normal(size=1 << nbsvm.FEATURE_BITS)
+    model = nbsvm.Model(weights, 1.3, -0.2)
+    scores = [1 / (1 + math.exp(-(1.3 * sum(weights[f] for f in w) / math.sqrt(max(1, len(w))) - 0.2))) for w in want]
+    for size in (1 << 19, 40):
+        monkeypatch.setattr(_text, "SLICE_BYTES", size)
+        for i, j, data, offsets in _text.each_slice(pa.array(texts, pa.string()), 500):
+            row, feats = nbsvm.features(data, offsets)
+            assert [set(feats[row == k].tolist()) for k in range(j - i)] == want[i:j] and len(row) == sum(map(len, want[i:j]))
+            assert model.scores(row, feats, j - i) == pytest.approx(scores[i:j])
+
+
+def test_fit_matches_a_plain_solver():
+    """Ratios by counting, and the hinge-loss optimum by many rounds of a plain dual coordinate ascent."""
+    rng = np.random.default_rng(7)
+    rows = [np.sort(rng.choice(60, 8, replace=False)) for _ in range(60)]
+    labels = np.array([int((r < 20).sum() + rng.random() > 2.9) for r in rows])
+    ratios = nbsvm.log_count_ratios(rows, labels)
+    counts = [collections.Counter(int(f) for r, y in zip(rows, labels) if y == c for f in r) for c in (0, 1)]
+    total = [sum(c.values()) + (1 << nbsvm.FEATURE_BITS) for c in counts]
+    assert all(ratios[f] == pytest.approx(math.log((counts[1][f] + 1) / total[1]) - math.log((counts[0][f] + 1) / total[0])) for f in range(60))
+    dense = np.zeros((60, 60))
+    for i, r in enumerate(rows):
+        dense[i, r] = ratios[r]
+    sign, alpha, w = np.where(labels > 0, 1.0, -1.0), np.zeros(60), np.zeros(60)
+    for _ in range(3_000):
+        for i in range(60):
+            step = min(max(alpha[i] + (1 - sign[i] * (dense[i] @ w)) / (dense[i] @ dense[i]), 0.0), 1.0) - alpha[i]
+            alpha[i], w = alpha[i] + step, w + step * sign[i] * dense[i]
+
+    def loss(v):
+        return 0.5 * v @ v + np.maximum(0, 1 - sign * (dense @ v)).sum()
+
+    got = nbsvm.dual_descent(rows, [ratios[r] for r in rows], labels, 60, rounds=400)
+    assert loss(got) == pytest.approx(loss(w), rel=1e-3) and loss(got) < loss(np.zeros(60))
+
+
+def test_a_bounded_fit_still_learns(spark):
+    docs, labels, truth = labelled(spark)
+    got = nbsvm.score(docs, nbsvm.fit(docs, labels, class_features=20_000)).collect()
+    out = [r for r in got if r["held_out"] and r["doc_id"] in truth and r["text"] != "again"]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in out) >= 0.9 * len(out)
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(1)
     rows = [np.sort(rng.choice(50, 10, replace=False)) for _ in range(200)]

@@ -86,3 +86,23 @@ def test_run_counts_the_tokens_of_the_mix(spark, corpus):
         ids = encoder.tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [2]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_stages_take_odd_tables(spark, corpus):
+    """Columns of names that operators use, a long text, repeated rows, and no rows at all."""
+    path, docs, _ = corpus
+    rng = random.Random(4)
+    long = prose(rng, 150_000, 3_000)
+    rows = [(*r, i, "x", None) for i, r in enumerate([*docs[:60], docs[5], (5_000, long, "en", "s1", 1), (5_001, None, None, None, None), (None, "no id of it", "en", "s2", 3)])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, score string, component_id string")
+    from lumenlake.llm._store import materialize
+
+    for start in (frame, frame.limit(0)):
+        out = materialize(start, "test-odd")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = materialize(stage(spark, out, path), "test-odd")
+            assert out.columns == frame.columns, name
+        last = materialize(corpus_pipeline.STAGES[-1][1](spark, out, path), "test-odd")
+        assert last.count() == out.count() and (out.count() > 30) == (start is frame)
+        if start is frame:
+            assert out.where("doc_id = 5000").select("text").first()["text"] == long
