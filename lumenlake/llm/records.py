@@ -113,7 +113,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
                     position, offset = position + n, offset + int(sizes.sum())
         fs.move(temporary, _shard(base, shard))
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginnings of texts, which are in the order of the texts, spread the rows of one doc_id, such as null
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(written, _INDEX).write.mode("overwrite").parquet(f"{path}/index")
     return spark.read.schema(_INDEX).parquet(f"{path}/index")
 
