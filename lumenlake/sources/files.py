@@ -27,6 +27,14 @@ def images(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> Data
     return checked.withColumn("fault", F.when(F.col("length") > most_bytes, "too large").when(F.col("mime_type").isNull(), "not an image"))
 
 
+def upload(spark: SparkSession, path: str, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """images() of one upload; raises ValueError if it has more files than one may have."""
+    found = images(spark, path, most_bytes)
+    if found.select("path").limit(most_files + 1).count() > most_files:
+        raise ValueError(f"{path} holds more than {most_files} files")
+    return found
+
+
 def labelled(spark: SparkSession, path: str, schema: str, domain: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows of a JSON array; raises ValueError if there is none or a value lies outside its domain."""
     rows = spark.read.schema(schema).option("multiLine", True).json(path)

@@ -273,6 +273,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"hello")
     got = {r["path"][-5:]: (r["mime_type"], r["fault"]) for r in files.images(spark, str(tmp_path)).collect()}
     assert got == {"a.png": ("image/png", None), "b.txt": (None, "not an image")}
+    assert files.upload(spark, str(tmp_path), 2).count() == 2
+    with pytest.raises(ValueError):
+        files.upload(spark, str(tmp_path), 1)
     (tmp_path / "l.json").write_text('[{"query": "x", "slug": "food"}, {"query": "y", "slug": "zoo"}]')
     assert files.labelled(spark, str(tmp_path / "l.json"), "query string, slug string").count() == 2
     with pytest.raises(ValueError):
