@@ -163,27 +163,35 @@ def merge_faces(buckets: list[dict], clusters: dict, least: int = FACE_SHARED, d
 def cluster(images: DataFrame, vectors: DataFrame, faces: DataFrame, cosine: float = LOOK_COSINE) -> DataFrame:
     """The events of every owner: (user_id, event, cover, n, start_at, images).
 
-    The merges depend on their order, so an owner's buckets are folded in one task.  What comes there is a
-    summary per bucket: its times, place, number of images, the first LOOK_IMAGES of them with their vectors,
-    and the people in it.  The fold gives which buckets make an event; their images are joined back after."""
+    The merges depend on their order, so buckets that may meet are folded in one task: those of an owner
+    between gaps longer than any merge spans, or all if some are undated.  What comes there is a summary per
+    bucket: its times, place, number of images, the first LOOK_IMAGES of them with their vectors, and the
+    people in it.  The fold gives which buckets make an event; their images are joined back after."""
     buckets = settle(time_buckets(images))
     slots = buckets.select("user_id", "bucket", F.posexplode("images").alias("pos", "image_id"))
     seen = F.array_sort(F.collect_list(F.struct("pos", "image_id", "v")))
     looks = slots.where(F.col("pos") < LOOK_IMAGES).join(vectors.select("image_id", "v"), "image_id", "left").groupBy("user_id", "bucket").agg(seen.alias("looks"))
     people = slots.join(faces.select("image_id", "cluster_id"), "image_id").groupBy("user_id", "bucket").agg(F.collect_set("cluster_id").alias("people"))
-    summary = buckets.drop("images").join(looks, ["user_id", "bucket"], "left").join(people, ["user_id", "bucket"], "left")
-
-    def fold(user, rows):
+    order = Window.partitionBy("user_id").orderBy("bucket")
+    start = F.unix_micros(F.col("start_at").cast("timestamp"))
+    far = start - F.lag(start).over(order) > max(PLACE_DAYS, LOOK_DAYS, FACE_DAYS) * 86_400_000_000
+    undated = F.bool_or(F.col("start_at").isNull()).over(Window.partitionBy("user_id"))
+    part = F.when(undated, 0).otherwise(F.sum(F.coalesce(far, F.lit(False)).cast("int")).over(order))
+    keyed = buckets.drop("images").withColumn("part", F.concat_ws(":", F.col("user_id").cast("string"), part.cast("string")))
+    summary = keyed.join(looks, ["user_id", "bucket"], "left").join(people, ["user_id", "bucket"], "left")
+
+    def fold(_, rows):
         vecs = {x["image_id"]: x["v"] for r in rows for x in r["looks"] or () if x["v"] is not None}
         some = [{c: r[c] for c in ("n", "start_at", "end_at", "lat", "lng")} | {"images": [x["image_id"] for x in r["looks"] or ()], "parts": [r["bucket"]], "people": set(r["people"] or ())} for r in rows]
         merged = merge_faces(merge_looks(merge_places(some), vecs, cosine), {})
         kept = [b for b in merged if b["n"] >= LEAST_IMAGES]
-        return [(user, i, b["start_at"], at, bucket) for i, b in enumerate(kept) for at, bucket in enumerate(b["parts"])]
+        return [(rows[0]["user_id"], b["parts"][0], b["start_at"], at, bucket) for b in kept for at, bucket in enumerate(b["parts"])]
 
-    made = fold_by(summary, "user_id", [F.asc("bucket")], fold, "user_id long, event int, start_at timestamp_ntz, at int, bucket long")
+    made = fold_by(summary, "part", [F.asc("bucket")], fold, "user_id long, first long, start_at timestamp_ntz, at int, bucket long")
     parts = made.join(buckets.select("user_id", "bucket", "images"), ["user_id", "bucket"])
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "images"))), lambda x: x["images"]))
-    events = parts.groupBy("user_id", "event").agg(F.min("start_at").alias("start_at"), ordered.alias("images"))
+    events = parts.groupBy("user_id", "first").agg(F.min("start_at").alias("start_at"), ordered.alias("images"))
+    events = events.withColumn("event", F.row_number().over(Window.partitionBy("user_id").orderBy("first")) - 1)
     return events.select("user_id", "event", F.get("images", F.lit(0)).alias("cover"), F.size("images").alias("n"), "start_at", "images")
 
 

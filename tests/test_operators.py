@@ -236,17 +236,18 @@ def test_forests_and_components(spark):
 def test_summaries_cluster_like_whole_buckets(spark):
     """cluster() from summaries gives what the merges give with all images and faces at hand."""
     rng = random.Random(8)
-    rows = [(i, hours(rng.choice([0, 40, 90, 200, 400]) + rng.random() * 8), rng.choice([None, 10.0, 10.2])) for i in range(60)]
-    images = spark.createDataFrame([(i, 1, t, "COMPLETED", False, p, p) for i, t, p in rows], "image_id long, user_id long, taken_at timestamp_ntz, status string, deleted boolean, lat double, lng double")
-    vectors = {i: [rng.random(), rng.random() / 3] for i, _, _ in rows if i % 3}
-    people = {i: {rng.randrange(9) for _ in range(2)} for i, _, _ in rows if i % 2}
-    v = spark.createDataFrame([(i, x) for i, x in vectors.items()], "image_id long, v array<double>")
-    f = spark.createDataFrame([(i, c) for i, cs in people.items() for c in cs], "image_id long, cluster_id long")
-    for cosine in (0.99, 0.9):
-        got = [r["images"] for r in events.cluster(images, v, f, cosine).orderBy("event").collect()]
-        buckets = [r.asDict() for r in events.time_buckets(images).orderBy("bucket").collect()]
-        want = events.merge_faces(events.merge_looks(events.merge_places(buckets), vectors, cosine), people)
-        assert got == [b["images"] for b in want if len(b["images"]) >= 3]
+    for undated in (0, 4):
+        rows = [(i, None if i < undated else hours(rng.choice([0, 40, 90, 200, 400, 2_000, 2_050]) + rng.random() * 8), rng.choice([None, 10.0, 10.2])) for i in range(60)]
+        images = spark.createDataFrame([(i, 1, t, "COMPLETED", False, p, p) for i, t, p in rows], "image_id long, user_id long, taken_at timestamp_ntz, status string, deleted boolean, lat double, lng double")
+        vectors = {i: [rng.random(), rng.random() / 3] for i, _, _ in rows if i % 3}
+        people = {i: {rng.randrange(9) for _ in range(2)} for i, _, _ in rows if i % 2}
+        v = spark.createDataFrame([(i, x) for i, x in vectors.items()], "image_id long, v array<double>")
+        f = spark.createDataFrame([(i, c) for i, cs in people.items() for c in cs], "image_id long, cluster_id long")
+        for cosine in (0.99, 0.9):
+            got = [r["images"] for r in events.cluster(images, v, f, cosine).orderBy("event").collect()]
+            buckets = [r.asDict() for r in events.time_buckets(images).orderBy("bucket").collect()]
+            want = events.merge_faces(events.merge_looks(events.merge_places(buckets), vectors, cosine), people)
+            assert got == [b["images"] for b in want if len(b["images"]) >= 3]
 
 
 def test_pages_and_years():
