@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine, haversine_km, missing
+from ..functions.vector import cosine as vector_cosine
 from ..functions.vector import l2_normalize
 from .common import completed, fold_by
 from .links import roots, settle
@@ -63,6 +64,26 @@ def spatial_pairs(buckets: DataFrame, km: float = PLACE_KM, days: int = PLACE_DA
     return joined.withColumn("km", haversine_km("lat_a", "lng_a", "lat_b", "lng_b")).where(F.col("km") <= km)
 
 
+def look_pairs(buckets: DataFrame, vectors: DataFrame, least: float = LOOK_COSINE, days: int = LOOK_DAYS) -> DataFrame:
+    """Pairs of an owner's dated buckets that start within days of each other and look alike: the cosine of
+    the mean vectors of their first images is `least` or more.
+
+    Buckets meet by cells of `days`: each is put in its own and the next one."""
+    slots = buckets.where("start_at is not null").select("user_id", "bucket", "start_at", F.posexplode("images").alias("pos", "image_id")).where(F.col("pos") < LOOK_IMAGES)
+    each = slots.join(vectors.select("image_id", "v"), "image_id").select("user_id", "bucket", "start_at", F.posexplode("v").alias("at", "x"))
+    means = each.groupBy("user_id", "bucket", "start_at", "at").agg(F.avg("x").alias("x"))
+    centre = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"])
+    placed = means.groupBy("user_id", "bucket", "start_at").agg(centre.alias("centre"))
+    micros = F.unix_micros(F.col("start_at").cast("timestamp"))
+    span = days * 86_400_000_000
+    placed = placed.withColumns({"at": micros, "cell": F.floor(micros / span)})
+    a = placed.select("user_id", *[F.col(c).alias(f"{c}_a") for c in ("bucket", "at", "centre")], F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
+    b = placed.select("user_id", *[F.col(c).alias(f"{c}_b") for c in ("bucket", "at", "centre")], F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
+    near = a.join(b, ["user_id", "cell"]).where("bucket_a < bucket_b").where(F.abs(F.col("at_a") - F.col("at_b")) <= span)
+    alike = near.withColumn("cosine", vector_cosine("centre_a", "centre_b")).where(F.col("cosine") >= least)
+    return alike.select("user_id", "bucket_a", "bucket_b", "cosine").dropDuplicates(["user_id", "bucket_a", "bucket_b"])
+
+
 def shared_faces(members: DataFrame, starts: DataFrame, least: int = FACE_SHARED, days: int = FACE_DAYS) -> DataFrame:
     """Pairs of an owner's buckets with `least` clusters in common, starting within days of each other.
 

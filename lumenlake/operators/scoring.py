@@ -83,6 +83,13 @@ def score_stats(pairs: DataFrame) -> DataFrame:
     return plain.join(quartiles, "relevant").select("relevant", "n", "mean", "std", "low", "p25", "p50", "p75", "high")
 
 
+def both_classes(pairs: DataFrame) -> DataFrame:
+    """pairs, if some are relevant and some are not; ValueError if not, as nothing can be calibrated then."""
+    if {r["relevant"] for r in pairs.select("relevant").distinct().collect()} < {True, False}:
+        raise ValueError("calibration needs relevant pairs and others")
+    return pairs
+
+
 def threshold_sweep(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """Precision, recall and F1 of score >= threshold for each threshold, from one pass over the pairs.
 

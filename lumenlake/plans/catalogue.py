@@ -93,6 +93,13 @@ def face_clusters_list(spark, d):
     return library.face_cluster_list(fx.face_clusters(spark, d), fx.faces(spark, d), fx.lib_images(spark, d)).select("cluster_id", "user_id", "label", "n_faces", "first_image")
 
 
+@_key(fx.sql("SELECT cluster_id, user_id, filename AS cover_filename, strftime(taken_at, '%Y-%m-%d %H:%M:%S') AS cover_taken_at FROM (SELECT *, CASE WHEN cluster_id % 4 <> 0 THEN cluster_id * 17 % 300 END AS cover FROM face_clusters) c LEFT JOIN (SELECT * FROM lib_images WHERE NOT deleted) i ON i.image_id = c.cover", "face_clusters", "lib_images"))
+def face_cluster_covers(spark, d):
+    """Covers by a rule that leaves some unset and lets some be deleted."""
+    c = fx.face_clusters(spark, d).withColumn("cover_image", F.when(F.col("cluster_id") % 4 != 0, F.col("cluster_id") * 17 % 300))
+    return library.with_cover(c, fx.lib_images(spark, d)).select("cluster_id", "user_id", "cover_filename", tx.stamp("cover_taken_at").alias("cover_taken_at"))
+
+
 @_key(fx.sql("SELECT cluster_id, f.image_id, filename FROM faces f JOIN lib_images i ON f.image_id = i.image_id WHERE NOT deleted AND cluster_id = 1", "faces", "lib_images"))
 def face_cluster_detail(spark, d):
     return library.face_cluster_detail(fx.faces(spark, d), fx.lib_images(spark, d), 1)
@@ -588,6 +595,17 @@ def bucket_shared_faces(spark, d):
     return events.shared_faces(members, buckets.select("user_id", "bucket", "start_at"))
 
 
+@_key(fx.sql("""SELECT user_id, bucket_a, bucket_b, round(cosine, 6) AS cosine FROM (SELECT x.user_id, x.bucket AS bucket_a, y.bucket AS bucket_b, list_sum(list_transform(range(1, 65), lambda i: x.c[i] * y.c[i])) / (sqrt(list_sum(list_transform(x.c, lambda z: z * z))) * sqrt(list_sum(list_transform(y.c, lambda z: z * z)))) AS cosine
+  FROM centred x JOIN centred y ON x.user_id = y.user_id AND x.bucket < y.bucket AND abs(epoch_us(x.start_at) - epoch_us(y.start_at)) <= 604800000000) WHERE cosine >= 0.3::DOUBLE""", "photos", "vec", good=_GOOD, dated=_DATED, buckets=_BUCKETS,
+  firsts="SELECT user_id, bucket, image_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, bucket ORDER BY taken_at, image_id) AS rn FROM dated) WHERE rn <= 10",
+  centred="SELECT p.user_id, p.bucket, any_value(b.start_at) AS start_at, list(p.x ORDER BY p.pos) AS c FROM (SELECT f.user_id, f.bucket, pos, avg(v.v[pos]) AS x FROM firsts f JOIN vec v ON v.image_id = f.image_id % 200, range(1, 65) r(pos) GROUP BY 1, 2, 3) p JOIN buckets b ON b.user_id = p.user_id AND b.bucket = p.bucket GROUP BY 1, 2"))
+def bucket_look_pairs(spark, d):
+    """The test tables have few vectors, so each of the first 200 stands for many photos."""
+    p = fx.photos(spark, d)
+    vectors = p.select("image_id", (F.col("image_id") % 200).alias("of")).join(fx.vec(spark, d).select(F.col("image_id").alias("of"), "v"), "of")
+    return events.look_pairs(events.time_buckets(p), vectors, 0.3).withColumn("cosine", _six("cosine"))
+
+
 @_key()
 def event_clusters(spark, d):
     found = events.cluster(fx.photos(spark, d), fx.vec(spark, d), fx.faces(spark, d), 0.35)

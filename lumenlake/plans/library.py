@@ -47,6 +47,12 @@ def face_cluster_list(clusters: DataFrame, faces: DataFrame, images: DataFrame)
     return clusters.join(own.groupBy("cluster_id").agg(F.count("*").alias("n_faces"), F.min("image_id").alias("first_image")), "cluster_id")
 
 
+def with_cover(parents: DataFrame, images: DataFrame, cover: str = "cover_image") -> DataFrame:
+    """parents with the file name and time of their cover image; nulls if it is deleted, gone or not set."""
+    shown = live(images).select(F.col("image_id").alias(cover), F.col("filename").alias("cover_filename"), F.col("taken_at").alias("cover_taken_at"))
+    return parents.join(shown, cover, "left")
+
+
 def face_cluster_detail(faces: DataFrame, images: DataFrame, cluster_id: int) -> DataFrame:
     return faces.where(F.col("cluster_id") == cluster_id).join(live(images), "image_id").select("cluster_id", "image_id", "filename")
 

@@ -152,6 +152,9 @@ def test_calibration(spark):
     assert sweep[0.9]["precision"] == 1 and sweep[0.9]["f1"] == 0 and sweep[0.05]["f1"] == pytest.approx(2 / 3)
     none = scoring.threshold_sweep(pairs(spark, [(False, 0.1)]), [0.5]).first()
     assert none["recall"] == 1 and none["precision"] == 1
+    assert scoring.both_classes(pairs(spark, [(True, 0.1), (False, 0.3)])).count() == 2
+    with pytest.raises(ValueError):
+        scoring.both_classes(pairs(spark, [(False, 0.1)]))
 
 
 def test_classification(spark):
