@@ -150,7 +150,9 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
             open_.close()
 
     index = spark.read.schema(_INDEX).parquet(f"{path}/index").select("shard", "position", "offset", "length", "width")
-    return index.repartition("shard").sortWithinPartitions("shard", "position").mapInArrow(checked, _READ)
+    # a number of partitions of its own: the index is small beside what its rows make a task read
+    shards = max(1, index.select("shard").distinct().count())
+    return index.repartition(shards, "shard").sortWithinPartitions("shard", "position").mapInArrow(checked, _READ)
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:

@@ -230,7 +230,9 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
             open_.close()
 
     index = spark.read.schema(_INDEX).parquet(f"{path}/index").select("file", "position", "offset", "length")
-    return index.repartition("file").sortWithinPartitions("file", "position").mapInArrow(parsed, _READ)
+    # a number of partitions of its own: the index is small beside what its rows make a task read
+    files = max(1, index.select("file").distinct().count())
+    return index.repartition(files, "file").sortWithinPartitions("file", "position").mapInArrow(parsed, _READ)
 
 
 def archive(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
