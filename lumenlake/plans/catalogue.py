@@ -276,6 +276,13 @@ def ocr_fulltext(spark, d):
     return search.full_text(fx.ocr(spark, d), "Th wi").select("user_id", "image_id", _six("rank").alias("rank"))
 
 
+@_key(fx.sql("""SELECT image_id, round(ts_rank, 6) AS rank FROM (SELECT image_id, CAST(len(list_filter(w, lambda x: starts_with(x, 'th') OR starts_with(x, 'wi'))) AS DOUBLE) / len(w) AS ts_rank
+  FROM (SELECT *, list_filter(regexp_split_to_array(lower(raw_text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM ocr WHERE NOT deleted)
+  WHERE len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0) ORDER BY ts_rank DESC, image_id DESC LIMIT 50""", "ocr"))
+def ocr_fulltext_indexed(spark, d):
+    return search.search_index(search.text_index(fx.ocr(spark, d)), "Th wi").select("image_id", _six("rank").alias("rank"))
+
+
 _NEAR = {
     "scored": f"SELECT a.image_id, {_DOT} AS score FROM vec a, (SELECT v FROM vec WHERE image_id = 0) q WHERE a.taken_at >= TIMESTAMP '2023-01-01 00:00:00' AND a.taken_at <= TIMESTAMP '2023-12-31 23:59:59'",
     "near": "SELECT *, count(*) OVER () AS n, greatest(CAST(0.24 AS DOUBLE), max(score) OVER () - 0.75 * stddev_pop(score) OVER ()) AS cut FROM (SELECT * FROM scored ORDER BY score DESC, image_id LIMIT 100) WHERE score >= CAST(0.24 AS DOUBLE)",

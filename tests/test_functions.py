@@ -119,6 +119,18 @@ def test_text_score_and_date_filter(spark):
     assert times.where(search.date_filter(search.Intent("", month=12), as_of_year=2024)).count() == 1
 
 
+def test_a_written_index_finds_the_same(spark, tmp_path):
+    texts = ["The theory of winter", "with the", "Wine and thyme, wine", "", None, "thé wi", "deleted with the"]
+    ocr = spark.createDataFrame([(i, t, i == 6) for i, t in enumerate(texts)], "image_id long, raw_text string, deleted boolean")
+    search.text_index(ocr).orderBy("term").write.parquet(str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    for query in ("Th wi", "the", "wine", "zzz", "", "th the"):
+        want = [(r["image_id"], round(r["rank"], 9)) for r in search.full_text(ocr, query).collect()]
+        assert [(r["image_id"], round(r["rank"], 9)) for r in search.search_index(index, query).collect()] == want
+    plan = search.search_index(index, "wi")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(term,wi)" in plan
+
+
 def test_recognised_text_and_errors(spark):
     rows = spark.createDataFrame([(1, "a", "deu", 87.0), (2, " ", None, 0.5), (3, "", "eng", 90.0), (4, None, "eng", 1.0), (5, "b", "", None), (6, "c", "fra", 1.0)], "id int, raw_text string, language string, confidence double")
     got = {r["id"]: (r["language"], r["confidence"]) for r in text.recognised(rows).collect()}
