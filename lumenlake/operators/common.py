@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -106,6 +107,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def patch(points: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """points with the columns that changes has besides the keys in place of their own, where changes has the row
+    and a value; other rows, and points that are not there, are left alone."""
+    new = [c for c in changes.columns if c not in keys]
+    joined = points.join(changes.select(*keys, *[F.col(c).alias(f"__{c}") for c in new]), keys, "left")
+    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in new else F.col(c) for c in points.columns])
+
+
+def remove(points: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """points without those of the keys given."""
+    return points.join(ids.select(*keys), keys, "left_anti")
+
+
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of new whose keys old does not have, ready to be appended."""
     return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
@@ -134,6 +148,23 @@ def replace_tenant(df: DataFrame, path: str, tenant: str = "user_id") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tenant).parquet(path)
 
 
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
+    """Write several tables as one version under root: readers see all of them or none.
+
+    The tables go to a folder of their own; one small file names it as the last step.  Returns the folder."""
+    version = f"{root}/version-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{version}/{name}")
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/published")
+    return version
+
+
+def published(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the version that was published last."""
+    last = spark.read.parquet(f"{root}/published").agg(F.max_by("version", "at")).first()[0]
+    return spark.read.parquet(f"{last}/{name}")
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

@@ -129,19 +129,27 @@ def temperature_sweep(scores: DataFrame, temperatures: list[float] = TEMPERATURE
     return own.groupBy("temperature").agg(F.avg((F.col("rn") == 1).cast("double")).alias("accuracy"), F.avg("confidence").alias("confidence"))
 
 
-def confidence_sweep(scores: DataFrame, temperature: float, floors: list[float] = CONFIDENCES) -> DataFrame:
+def confidence_sweep(scores: DataFrame, temperature: float | DataFrame, floors: list[float] = CONFIDENCES, fallback=None) -> DataFrame:
     """Per floor: recall of the expected class among those that survive, and how often the best survivor
-    is the expected one (0 without survivors)."""
-    rows = softmax(scores, ["image_id"], temperature).join(F.broadcast(_grid(scores.sparkSession, "floor", floors)))
-    lives = F.col("confidence") >= F.col("floor")
+    is the expected one (0 without survivors).
+
+    temperature: a number, or a frame of one row with that column, such as best() of temperature_sweep().
+    A class of `fallback` never survives."""
+    if isinstance(temperature, DataFrame):
+        rows = softmax(scores.join(F.broadcast(temperature.select("temperature").limit(1))), ["image_id"], F.col("temperature"))
+    else:
+        rows = softmax(scores, ["image_id"], temperature)
+    rows = rows.join(F.broadcast(_grid(scores.sparkSession, "floor", floors)))
+    real = F.lit(True) if fallback is None else F.col("slug") != fallback
+    lives = (F.col("confidence") >= F.col("floor")) & real
     per = rows.groupBy("floor", "image_id").agg(
         F.max(F.when(F.col("slug") == F.col("expected"), lives)).alias("kept"),
-        F.max_by("slug", F.struct("score", -F.col("slug").cast("double"))).alias("top"),
+        F.max_by("slug", F.when(real, F.struct("score", -F.col("slug").cast("double")))).alias("top"),
         F.max(F.when(lives, 1).otherwise(0)).alias("any"),
         F.max("expected").alias("expected"),
     )
     return per.groupBy("floor").agg(
-        F.avg(F.col("kept").cast("double")).alias("recall"),
+        F.avg(F.coalesce(F.col("kept"), F.lit(False)).cast("double")).alias("recall"),
         F.count_if(F.col("any") == 1).alias("survivors"),
         guarded(F.count_if((F.col("any") == 1) & (F.col("top") == F.col("expected"))).cast("double"), F.count_if(F.col("any") == 1), 0).alias("precision"),
     )

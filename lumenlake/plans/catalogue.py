@@ -139,6 +139,19 @@ def event_images_page(spark, d):
     return library.event_images_page(fx.lib_event_images(spark, d), fx.lib_images(spark, d), 5).select("event_id", "image_id", "rn")
 
 
+@_key(fx.sql(f"""SELECT image_id, {_time('taken_at')} AS taken_at, more > 3 AS has_next FROM (SELECT *, row_number() OVER (ORDER BY taken_at ASC NULLS LAST, image_id) AS rn, count(*) OVER () AS more FROM (
+    SELECT *, row_number() OVER (ORDER BY taken_at ASC NULLS LAST, image_id) AS place FROM m) WHERE place > 2) WHERE rn <= 3""", "lib_event_images", "lib_images",
+  m="SELECT i.image_id, taken_at FROM lib_event_images x JOIN lib_images i ON x.image_id = i.image_id WHERE NOT deleted AND event_id = (SELECT event_id FROM lib_event_images GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"))
+def event_keyset_page(spark, d):
+    """The page of images after the second one, of an event with most images."""
+    members = fx.lib_event_images(spark, d)
+    largest = members.groupBy("event_id").count().orderBy(F.desc("count"), F.asc("event_id")).limit(1)
+    one = members.join(F.broadcast(largest), "event_id").select("image_id")
+    rows = common.live(fx.lib_images(spark, d)).join(one, "image_id").select("image_id", "taken_at")
+    first = rows.orderBy(F.asc_nulls_last("taken_at"), F.asc("image_id")).limit(2).orderBy(F.desc_nulls_first("taken_at"), F.desc("image_id")).limit(1)
+    return _plain(common.keyset_page(rows, [("taken_at", False), ("image_id", False)], 3, first), "image_id", "taken_at", "has_next")
+
+
 # ---- roll-ups
 
 
@@ -497,6 +510,34 @@ def confidence_sweep(spark, d):
     return scoring.confidence_sweep(_scores(spark, d), 0.05).select("floor", _six("recall").alias("recall"), "survivors", _six("precision").alias("precision"))
 
 
+_ACCURACY = """SELECT temperature, avg(CAST(rn = 1 AS DOUBLE)) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY temperature, image_id ORDER BY score DESC, slug) AS rn FROM scores, (SELECT CAST(unnest([0.3, 0.4, 0.5, 0.6, 0.75, 1.0]) AS DOUBLE) AS temperature)) WHERE slug = expected GROUP BY 1"""
+_SOFT_BEST = "SELECT *, round(e / sum(e) OVER (PARTITION BY image_id), 4) AS confidence FROM (SELECT *, exp((score - max(score) OVER (PARTITION BY image_id)) / (SELECT temperature FROM accuracy ORDER BY accuracy.accuracy DESC, temperature LIMIT 1)) AS e FROM scores)"
+
+
+@_key(fx.sql("""SELECT f AS floor, round(avg(CAST(coalesce(kept, FALSE) AS DOUBLE)), 6) AS recall, count(*) FILTER (lives) AS survivors, round(CASE WHEN count(*) FILTER (lives) = 0 THEN 0 ELSE CAST(count(*) FILTER (lives AND top = expected) AS DOUBLE) / count(*) FILTER (lives) END, 6) AS precision FROM (
+  SELECT f, image_id, expected, bool_or(confidence >= f AND slug = expected AND slug <> 0) AS kept, bool_or(confidence >= f AND slug <> 0) AS lives, arg_max(slug, score) FILTER (slug <> 0) AS top FROM soft, (SELECT CAST(unnest([0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5]) AS DOUBLE) AS f) GROUP BY 1, 2, 3) GROUP BY 1""", "vec", centres=_CENTRES, scores=_SCORES, accuracy=_ACCURACY, soft=_SOFT_BEST))
+def confidence_sweep_best(spark, d):
+    """The sweep at the temperature of the best accuracy, the first of equally good ones."""
+    scores = _scores(spark, d)
+    best = scoring.best(scoring.temperature_sweep(scores), "accuracy", "temperature")
+    return scoring.confidence_sweep(scores, best, fallback=0).select("floor", _six("recall").alias("recall"), "survivors", _six("precision").alias("precision"))
+
+
+_SLUG_LIST = "[" + ", ".join(f"'{s}'" for s in fx.SLUGS) + "]"
+
+
+@_key(fx.sql(f"""SELECT query, image_id, score FROM (SELECT query, i.image_id, i.confidence AS score, row_number() OVER (PARTITION BY query ORDER BY i.confidence DESC, i.image_id) AS rn FROM lib_images i JOIN tops ON tops.slug = i.slug WHERE NOT deleted AND i.confidence >= CAST(0.2 AS DOUBLE)) WHERE rn <= 100""",
+  "vec", "lib_images", centres=_CENTRES, texts=f"SELECT image_id, v, {_ALIAS_SQL} AS alias FROM (SELECT image_id, v, lower(trim({_TEXT_LIST}[CAST(image_id % {len(_NAMED)} AS INTEGER) + 1])) AS t FROM vec WHERE image_id % 100 = 0)",
+  tscores="SELECT a.image_id AS query, " + _SLUG_LIST + "[CAST(q.category AS INTEGER) + 1] AS slug, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * q.centre[i])) AS score FROM texts a, centres q WHERE alias IS NULL",
+  tops="""SELECT image_id AS query, alias AS slug FROM texts WHERE alias IS NOT NULL UNION ALL SELECT query, slug FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY confidence DESC, slug) AS rn FROM (SELECT *, round(e / sum(e) OVER (PARTITION BY query), 4) AS confidence FROM (
+    SELECT *, exp((score - max(score) OVER (PARTITION BY query)) / 0.05::DOUBLE) AS e FROM tscores)) WHERE slug <> 'other' AND confidence >= 0.35::DOUBLE) WHERE rn = 1"""))
+def search_named_category(spark, d):
+    """The images of the category that each query text names or is scored for; queries are the ids divisible by 100."""
+    texts = fx.vec(spark, d).where("image_id % 100 = 0").select(F.col("image_id").alias("query"), F.get(F.array(*map(F.lit, _NAMED)), (F.col("image_id") % len(_NAMED)).cast("int")).alias("text"), "v")
+    prototypes = _prototypes(spark, d).withColumn("slug", F.get(F.array(*map(F.lit, fx.SLUGS)), F.col("slug").cast("int")))
+    return search.by_named_category(fx.lib_images(spark, d), search.classify_text(texts, prototypes, temperature=0.05))
+
+
 # ---- duplicates
 
 

@@ -120,6 +120,28 @@ def test_maintenance(spark):
     assert common.set_where(old, F.col("attempts") > 1, status="x").where("status = 'x'").count() == 1
 
 
+def test_points_are_patched_and_removed(spark):
+    points = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, None, 3)], "image_id long, category string, n int")
+    changes = spark.createDataFrame([(2, "z"), (3, None), (9, "q")], "image_id long, category string")
+    assert sorted(tuple(r) for r in common.patch(points, changes, ["image_id"]).collect()) == [(1, "a", 1), (2, "z", 2), (3, None, 3)]
+    assert [r["image_id"] for r in common.remove(points, changes, ["image_id"]).collect()] == [1]
+
+
+def test_versions_are_published_whole(spark, tmp_path):
+    root, one, two = str(tmp_path), spark.range(2), spark.range(5)
+    common.publish(spark, {"a": one, "b": two}, root)
+    assert common.published(spark, root, "b").count() == 5
+
+    class Broken:
+        write = property(lambda self: 1 / 0)
+
+    with pytest.raises(ZeroDivisionError):
+        common.publish(spark, {"a": two, "b": Broken()}, root)
+    assert common.published(spark, root, "a").count() == 2
+    common.publish(spark, {"a": two, "b": one}, root)
+    assert common.published(spark, root, "a").count() == 5
+
+
 def test_tenants_are_replaced_alone(spark, tmp_path):
     path = str(tmp_path / "t")
     common.replace_tenant(spark.createDataFrame([(1, 10), (2, 20)], "user_id long, x long"), path)
