@@ -116,22 +116,27 @@ class Points:
     """Points of some rows, folded to whatever number of groups is asked for."""
 
     def __init__(self, column, sizes: np.ndarray):
-        data, offsets = _text.utf8(column)
-        self.raw = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        self.data, offsets = _text.utf8(column)
         self.sizes, self.groups = sizes, np.diff(offsets)
-        self.beyond = sizes - np.array([int(r.sum()) for r in self.raw], np.int64)
+        self.beyond = sizes - (np.add.reduceat(self.data, offsets[:-1], dtype=np.int64) if len(sizes) else sizes)
         self.at: dict[int, np.ndarray] = {}
 
     def matrix(self, groups: int) -> np.ndarray:
+        """All points of at least so many groups, folded; zeros for the others."""
         if groups not in self.at:
-            self.at[groups] = np.stack([folded(r, groups) if len(r) >= groups else np.zeros(groups, np.uint32) for r in self.raw])
+            out = np.zeros((len(self.sizes), groups), np.uint32)
+            for own in _text.distinct(self.groups[self.groups >= groups]).tolist():
+                rows = self.groups == own
+                whole = self.data[np.repeat(rows, self.groups)].reshape(-1, own // groups, groups)
+                out[rows] = whole.sum(axis=1, dtype=np.uint32)
+            self.at[groups] = out
         return self.at[groups]
 
     def bounds(self, i: np.ndarray, other: Points, j: np.ndarray) -> np.ndarray:
         """The most tokens that rows i and rows j of the other can share, at the finer of what both have."""
         groups = np.minimum(self.groups[i], other.groups[j])
         out = np.minimum(self.beyond[i], other.beyond[j])
-        for g in np.unique(groups).tolist():
+        for g in _text.distinct(groups).tolist():
             at = np.flatnonzero(groups == g)
             out[at] += np.minimum(self.matrix(g)[i[at]], other.matrix(g)[j[at]]).sum(axis=1, dtype=np.int64)
         return out
