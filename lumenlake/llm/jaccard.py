@@ -179,8 +179,10 @@ def sketch(docs: DataFrame, k: int, num: int, den: int, hot=None, hot_shingles:
 
 def _coarse(column, sizes: np.ndarray) -> np.ndarray:
     """Coarse points as rows; a coordinate of its own holds what saturated counts leave out."""
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-    return np.column_stack([raw, sizes - raw.sum(axis=1)])
+    out = np.empty((len(sizes), GROUPS + 1), np.int32)
+    out[:, :GROUPS] = _text.utf8(column)[0].reshape(-1, GROUPS)
+    out[:, GROUPS] = sizes - out[:, :GROUPS].sum(axis=1)
+    return out
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:

@@ -30,10 +30,10 @@ def search_runs(keys: np.ndarray, points: np.ndarray, sizes: np.ndarray, queries
     place = np.arange(len(run)) - np.searchsorted(run, run)
     points, sizes, queries, query_sizes = points[order], sizes[order], queries[order], query_sizes[order]
     alive = np.ones(len(run), bool)
-    for span in (LEAF * FAN, LEAF, 1):
+    for span, least_rows in ((LEAF * FAN, LEAF), (LEAF, 4), (1, 0)):  # boxes of a few rows spare nothing
         starts = np.flatnonzero(place % span == 0)
         counts = np.diff(starts, append=len(run))
-        tried = np.flatnonzero(alive[starts] & ((counts > 1) | (span == 1)))
+        tried = np.flatnonzero(alive[starts] & (counts > least_rows))
         if not len(tried):
             continue
         first, last = starts[tried], starts[tried] + counts[tried] - 1
