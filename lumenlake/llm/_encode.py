@@ -209,9 +209,16 @@ _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 def encoder(path: str, encode_special_tokens: bool = False) -> PieceEncoder:
-    """The worker's encoder for a vocabulary file; kept as long as the worker is reused, within the bounds above."""
+    """The worker's encoder for a vocabulary file; kept, within the bounds above, until other work comes."""
     key = (path, encode_special_tokens)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = PieceEncoder(path, encode_special_tokens)
     return _ENCODERS[key]
+
+
+def release() -> bool:
+    """Drop the worker's encoders; whether there were any."""
+    some = bool(_ENCODERS)
+    _ENCODERS.clear()
+    return some

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +82,31 @@ def bound_batches(spark: SparkSession, rows: int = 10_000, size: int = BATCH_BYT
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can; a reused worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+def tidy(f):
+    """f over Arrow batches, in a worker that first drops what encoders of earlier tasks keep in it, and in the
+    end gives back the memory that f has freed."""
+
+    @wraps(f)
+    def run(batches):
+        encode = sys.modules.get(f"{__package__}._encode")
+        if encode and encode.release():
+            trim()
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def set_aside(df: DataFrame, *keep: str) -> tuple[DataFrame, list]:
     """df with all columns but `keep` under names that no operator uses, and the select list that gives
     them their own names and order back."""

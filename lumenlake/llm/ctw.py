@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import bound_batches, materialize
+from ._store import bound_batches, materialize, tidy
 
 #: Context bytes of the deepest nodes.  A gram fills 8 x (DEPTH + 1) = 48 bits of a long.
 DEPTH = 5
@@ -386,6 +386,7 @@ def score(docs: DataFrame, folds: int = 10, local_grams: int = LOCAL_GRAMS, loca
     shared = spark.sparkContext.broadcast((tuple(near_grams), tuple(near_words)))
     end_value = math.log10(ends + 0.1)
 
+    @tidy
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_grams, of_words = shared.value
         for batch in batches:

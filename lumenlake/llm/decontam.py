@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text
-from ._store import bound_batches, materialize, set_aside
+from ._store import bound_batches, materialize, set_aside, tidy
 
 #: Words of a window; an item with fewer is one window.
 WINDOW = 13
@@ -231,6 +231,7 @@ _TYPES = "n_words long, hit array<int>, items array<long>, longest int, longest_
 
 
 def _scanned(block_of, text_at: int, only_found: bool):
+    @tidy
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Block | None = block_of.value if block_of else None
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _text
-from ._store import bound_batches, materialize, set_aside
+from ._store import bound_batches, materialize, set_aside, tidy
 from .graph import components
 from .rtree import CountTree, needed, search_runs
 
@@ -64,6 +64,7 @@ def _hot(docs: DataFrame, k: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     unreported is in fewer documents than there are chunks.  All texts are counted.
     """
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -149,6 +150,7 @@ def sketch(docs: DataFrame, k: int, num: int, den: int, hot=None, hot_shingles:
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(_hot(docs, k, hot_shingles) if hot is None else hot)
 
+    @tidy
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = shared.value
         for batch in batches:
@@ -191,6 +193,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     The coarse points of all b of an a are packed in an R-tree, which the point of a searches; what it finds
     is bounded again by the fine points.  An a of very many b may be cut by Spark: each part is a tree."""
 
+    @tidy
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -199,6 +202,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
                 found = search_runs(batch.column(0).to_numpy(), points, sizes[1], queries, sizes[0], num, den)
                 yield batch.select([0, 1]).filter(pa.array(found))
 
+    @tidy
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.arange(batch.num_rows)
@@ -250,6 +254,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     once more rather than shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(_id_filter(nodes))
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = _filter_places(batch.column(0).to_numpy())
@@ -265,6 +270,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have the similarity."""
 
+    @tidy
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (2, 3))
@@ -350,6 +356,7 @@ def _block_edges(rows: DataFrame, num: int, den: int, block_rows: int) -> DataFr
     Per block they are a spanning forest of all such pairs of components, so a block of many documents
     makes no more edges than it has documents.  rows: token, node, n, point, component, size."""
 
+    @tidy
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _tables(batches):
             component, forest, found = table["component"].to_numpy(), _Forest(), []
@@ -374,6 +381,7 @@ def _group_links(members: DataFrame, docs: DataFrame, k: int, num: int, den: int
     pairs to verify, and pairs that earlier links have joined are left out.  A group of more than
     group_shingles is cut into chunks."""
 
+    @tidy
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _tables(batches):
             component, node, forest, found = table["component"].to_numpy(), table["node"].to_numpy(), _Forest(), []
@@ -421,6 +429,7 @@ def _degrees(component: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
     All links of a node are in its component, so every two sets of a component meet, in one tile each, and
     are compared.  Tiles give counts, not pairs.  In a component of two both have the link that made it."""
 
+    @tidy
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _tables(batches):
             node, chunk, tile = table["node"].to_numpy(), table["chunk"].to_numpy(), table["tile"][0].as_py()

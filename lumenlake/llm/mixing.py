@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import _text
-from ._store import bound_batches, materialize, set_aside
+from ._store import bound_batches, materialize, set_aside, tidy
 
 #: Weights dealt to the sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -38,6 +38,7 @@ def with_size(docs: DataFrame) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("size", T.LongType())])
     at = docs.columns.index("text")
 
+    @tidy
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows, np.int64)

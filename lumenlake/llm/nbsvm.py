@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import _text
-from ._store import bound_batches, materialize
+from ._store import bound_batches, materialize, tidy
 
 FEATURE_BITS = 18
 #: The classifier is fit on at most so many labelled documents of each class, chosen by a hash of doc_id.
@@ -203,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS, folds:
         part = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(class_rows)
         sample = part if sample is None else sample.unionByName(part)
 
+    @tidy
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in _text.each_slice(batch.column(2)):
@@ -232,6 +233,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, folds: in
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
+    @tidy
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from . import _text
 from ._encode import encoder
-from ._store import bound_batches, fresh_path
+from ._store import bound_batches, fresh_path, trim
 
 _INDEX = "shard int, position long, doc_id long, offset long, length long, n_tokens long, width int"
 _READ = "shard int, position long, doc_id long, before long, n_tokens long, ids_crc32 long, ids binary"
@@ -112,6 +112,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shards: i
                     )
                     position, offset = position + n, offset + int(sizes.sum())
         fs.move(temporary, _shard(base, shard))
+        trim()
 
     # the beginnings of texts, which are in the order of the texts, spread the rows of one doc_id, such as null
     ordered = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
