@@ -164,3 +164,18 @@ def each_slice(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.
     data, offsets = utf8(column)
     for i, j in slices(offsets, limit):
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
+def folding(inside: np.ndarray, fold: np.ndarray = SAME) -> np.ndarray:
+    """A table that maps bytes of words by fold and all others to a space."""
+    return np.where(inside, fold, 0x20).astype(np.uint8)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as they are spelled after folding() by the table, and the text of each."""
+    body = table[data]
+    texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)])
+    split = pc.ascii_split_whitespace(texts)
+    words, parents = pc.list_flatten(split), pc.list_parent_indices(split)
+    some = pc.greater(pc.binary_length(words), 0)
+    return words.filter(some), parents.filter(some).to_numpy().astype(np.int64)

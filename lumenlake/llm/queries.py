@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontam, jaccard, licences, mixing, nbsvm, records, rules, warc, wrappers
+from . import chat, ctw, decontam, divergence, interactions, jaccard, licences, mixing, nbsvm, records, rules, warc, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,30 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.table_turns(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), order="turn")
+    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(chat.PROBE).alias("record"))
+    return chat.format_and_read(turns.unionByName(chat.json_turns(probe)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": decontam.oracle(), "op6_licence_sentences": licences.oracle(), "op10_warc_archive": warc.oracle()}
+    return {
+        "op4_benchmark_decontamination": decontam.oracle(),
+        "op6_licence_sentences": licences.oracle(),
+        "op10_warc_archive": warc.oracle(),
+        "op11_source_divergence": divergence.oracle(),
+        "op12_filter_interactions": interactions.oracle(),
+        "op13_chat_formatting": chat.oracle(),
+    }

@@ -15,7 +15,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries.queries()[name](spark, str(DATA))
     cursor = con.execute(queries.oracle_sql()[name])
