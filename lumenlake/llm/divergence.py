@@ -132,20 +132,23 @@ def _pairs_of_block(table: pa.Table) -> pa.Table:
     """Over the terms of a block, for every two sources of one tile or of two: the sum of the differences where one of
     them has the term at least, and the number of such terms.
 
-    table: (lang, low, high, source, tile, term, p, zero), zero being the share of a term that the source lacks.  A
-    source is compared with the others over the terms that it has, and over no others."""
+    table: (lang, low, high, source, tile, term, p, zero), zero being the share of a term that the source lacks, and each
+    source of the tiles once with a null term, as it may have none in the block.  A source is compared with the others
+    over the terms that it has, and over no others."""
     lang, low, high = (table.column(c)[0] for c in ("lang", "low", "high"))
     sources = table.column("source").combine_chunks().dictionary_encode()
     of, names = sources.indices.to_numpy().astype(np.int64), sources.dictionary.to_pylist()
-    term = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
     size = len(names)
     zero, tile = np.zeros(size, np.int64), np.zeros(size, np.int64)
     zero[of], tile[of] = table.column("zero").to_numpy(), table.column("tile").to_numpy()
+    known = table.column("term").is_valid().to_numpy(zero_copy_only=False)
+    of, table = of[known], table.filter(pa.array(known))
+    term = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
     order = np.argsort(term, kind="stable")
     of, term, p = of[order], term[order], table.column("p").to_numpy()[order]
     # of the terms of s: against the share in r, against r's zero; where r has them too, the share in r against s's zero
     direct, alone, again, both = (np.zeros((size, size), np.int64) for _ in range(4))
-    n_terms = int(term[-1]) + 1
+    n_terms = int(term[-1]) + 1 if len(term) else 0
     step = max(1, (2 << 20) // size)
     for lo in range(0, n_terms, step):
         width = min(step, n_terms - lo)
@@ -166,15 +169,18 @@ def _pairs_of_block(table: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang.as_py()] * len(rows), pa.string()), "a": pa.array([names[k] for k in a], pa.string()), "b": pa.array([names[k] for k in b], pa.string()), "f": value[a, b], "n": union[a, b]})
 
 
-def _differences(shares: DataFrame) -> DataFrame:
-    """(lang, a, b, f, n): of every two sources a < b of a language that have terms, the sum of differences over the
+def _differences(shares: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, a, b, f, n): of every two sources a < b of a language with a vocabulary, the sum of differences over the
     terms that either has, and their number.
 
     Blocks of terms are compared source by source in tiles of sources; a block gives one row a pair, whatever the
     number of its terms."""
     blocks = F.ceil(F.col("lang_rows") / BLOCK_ROWS)
     tiles = F.ceil(F.col("n_sources") / TILE)
-    tiled = shares.select("lang", "source", "term", "p", "zero", F.pmod(F.xxhash64("source"), tiles).alias("tile"), tiles.alias("__tiles"), F.pmod(F.xxhash64("term"), blocks).alias("block"))
+    placed = [F.col("zero"), F.pmod(F.xxhash64("source"), tiles).alias("tile"), tiles.alias("__tiles")]
+    tiled = shares.select("lang", "source", "term", "p", *placed, F.pmod(F.xxhash64("term"), blocks).alias("block"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")
+    tiled = tiled.unionByName(groups.where("lang_rows > 0").select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p"), *placed, every))
     met = tiled.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__tiles") - 1)))
     met = met.select("lang", "block", F.least("tile", "__other").alias("low"), F.greatest("tile", "__other").alias("high"), "source", "tile", "term", "p", "zero")
     each = met.groupBy("lang", "block", "low", "high").applyInArrow(_pairs_of_block, "lang string, a string, b string, f bigint, n bigint")
@@ -212,7 +218,7 @@ def audit(docs: DataFrame, min_df: int = MIN_DF, vocab_size: int = VOCAB_SIZE, t
     mine = groups.select("lang", "source", "size", "zero")
     theirs = groups.select("lang", F.col("source").alias("item"), F.col("zero").alias("__zero"))
     pairs = mine.join(theirs, "lang").where(F.col("source") != F.col("item"))
-    pairs = pairs.withColumns({"a": F.least("source", "item"), "b": F.greatest("source", "item")}).join(_differences(shares), ["lang", "a", "b"], "left")
+    pairs = pairs.withColumns({"a": F.least("source", "item"), "b": F.greatest("source", "item")}).join(_differences(shares, groups), ["lang", "a", "b"], "left")
     neither = (F.col("size") - F.coalesce("n", F.lit(0))) * F.abs(F.col("zero") - F.col("__zero"))
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", (F.coalesce("f", F.lit(0)) + F.coalesce(neither, F.lit(0))).alias("value"))
     return pairs.withColumn("rank", F.row_number().over(by_value)).unionByName(terms)
