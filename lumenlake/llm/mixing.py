@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -162,15 +162,16 @@ def _rounder(seed: int):
 
 
 def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """Per document of docs (doc_id, source, text, ...): size, source_size, target and `copies`.
+    """Per document of docs (doc_id, source, text, ...): size, source_size, target, `copies` and n_row, its row key.
 
-    Equal inputs give equal results: buckets and random numbers depend on doc_id, source and size
-    alone, never on how Spark split the input.  A source of null is a source like others.  Rows of
-    equal doc_id count as different documents; a document without words gets no copy.  Other columns of
-    docs do not matter, whatever their names; an empty table gives no rows; a long text counts whole.
-    Shuffled are ids, sources and sizes, never texts.
+    Equal inputs give equal results: buckets and random numbers depend on the row key alone, a hash of
+    doc_id, source, size and text, never on how Spark split the input.  A source of null is a source like
+    others.  Rows of equal doc_id count as different documents, and are dealt to buckets by their texts; a
+    document without words gets no copy.  Other columns of docs do not matter, whatever their names; an empty
+    table gives no rows; a long text counts whole.  Shuffled are ids, sources, sizes and hashes, never texts.
     """
-    sized = materialize(with_size(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"), "mix-sizes")
+    sized = with_size(docs.select("doc_id", "source", "text")).withColumn("n_row", row_key())
+    sized = materialize(sized.select("n_row", "doc_id", "source", "size"), "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / bucket_rows).alias("nodes"))
     target = materialize(targets(per_source, share, most, weights), "mix-targets")
     nodes = target.agg(F.max("nodes")).first()[0] or 1
@@ -182,7 +183,6 @@ def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tupl
         .withColumn("p", F.greatest(ratio - F.col("base"), F.lit(0.0)))
         .withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
         .withColumn("base", F.when(F.col("size") > 0, F.col("base")).otherwise(F.lit(0).cast("long")))
-        .withColumn("n_row", F.xxhash64("doc_id", "source", "size"))
         .withColumn("bucket", F.pmod("n_row", "nodes"))
         .withColumn("done", F.lit(False))
         .select("n_row", "doc_id", "source", "size", "base", "p", "bucket", "nodes", "done")
@@ -200,10 +200,15 @@ def copies(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tupl
         rounded = rounded.unionByName(more)
     return (
         rounded.join(F.broadcast(target) if target.count() <= 100_000 else target, rounded.source.eqNullSafe(target.source), "left")
-        .select("doc_id", rounded.source, "size", "source_size", "target", (F.col("base") + F.round("p").cast("long")).alias("copies"))
+        .select("n_row", "doc_id", rounded.source, "size", "source_size", "target", (F.col("base") + F.round("p").cast("long")).alias("copies"))
     )
 
 
+def row_key() -> Column:
+    """A hash of doc_id, source, size and text, which tells rows of one doc_id apart."""
+    return F.xxhash64("doc_id", "source", "size", F.xxhash64("text"))
+
+
 def _level(rows: DataFrame, seed: int) -> DataFrame:
     """Round each node, a bucket of one source; a large source has as many more of them."""
     ordered = rows.repartition("bucket", "source").sortWithinPartitions("bucket", "source", F.col("size").desc(), "n_row", "doc_id")
@@ -213,17 +218,17 @@ def _level(rows: DataFrame, seed: int) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as the mix takes it.
 
-    Rows that agree in doc_id, source and size are interchangeable, so their summed copies are dealt
-    out evenly among them.
+    Rows that agree in doc_id, source and text share their summed copies evenly; what is left over goes to the
+    first of them in the order of their other columns, so that reruns agree.
     """
+    others = [f"__kept_{i}" for i, f in enumerate(docs.schema) if f.name not in ("doc_id", "source", "text") and not isinstance(f.dataType, T.MapType | T.VariantType)]
     docs, restored = set_aside(docs, "doc_id", "source", "text")
-    key = F.xxhash64("doc_id", "source", "size")
-    plan = copies(docs, **options).withColumn("__key", key).groupBy("__key").agg(F.sum("copies").alias("__total"), F.count("*").alias("__rows"))
-    keyed = with_size(docs).withColumn("__key", key)
-    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    plan = copies(docs, **options).groupBy("n_row").agg(F.sum("copies").alias("__total"), F.count("*").alias("__rows"))
+    keyed = with_size(docs).withColumn("n_row", row_key())
+    turn = F.row_number().over(Window.partitionBy("n_row").orderBy("doc_id", *others))
     each = F.floor(F.col("__total") / F.col("__rows")) + (F.col("__turn") <= F.col("__total") % F.col("__rows")).cast("long")
     return (
-        keyed.join(plan.where("__total > 0"), "__key")
+        keyed.join(plan.where("__total > 0"), "n_row")
         .withColumn("__turn", turn)
         .withColumn("__copies", each.cast("int"))
         .where("__copies > 0")
