@@ -77,11 +77,13 @@ def _tied(ranks: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Benchmark items: their ids, word hashes and the offsets of each item's words."""
+    """Benchmark items: their ids, word hashes, the offsets of each item's words, and the number that stands for a
+    null id, which no item has."""
 
     items: np.ndarray
     words: np.ndarray
     offsets: np.ndarray
+    missing: int | None = None
     cut: tuple | None = None
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +225,10 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[Block]:
         rows = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)) == part).orderBy("item_id", "words").collect()
         if rows:
             words = [np.frombuffer(r.words, np.uint64) for r in rows]
-            yield Block(np.array([r.item_id if r.item_id is not None else -1 for r in rows]), np.concatenate(words), np.concatenate([[0], np.cumsum([len(w) for w in words])]))
+            ids = {r.item_id for r in rows}
+            missing = next(k for k in itertools.count(1 - 2**63) if k not in ids)
+            named = np.array([missing if r.item_id is None else r.item_id for r in rows], np.int64)
+            yield Block(named, np.concatenate(words), np.concatenate([[0], np.cumsum([len(w) for w in words])]), missing)
 
 
 _FOUND = ["n_words", "hit", "items", "longest", "longest_item", "longest_at"]
@@ -240,6 +245,8 @@ def _scanned(block_of, text_at: int, only_found: bool):
                 n = j - i
                 hits, items, longest = scan(words, at, block) if block else ([np.zeros(0, int)] * n, [[]] * n, np.zeros((n, 3), np.int64))
                 none = longest[:, 0] == 0
+                missing = block.missing if block else None
+                items = [[None if x == missing else x for x in found] for found in items]
                 own = batch.slice(i, n)
                 out = pa.RecordBatch.from_arrays(
                     [
@@ -247,7 +254,7 @@ def _scanned(block_of, text_at: int, only_found: bool):
                         pa.array(np.diff(at)),
                         pa.array(hits, pa.list_(pa.int32())),
                         pa.array(items, pa.list_(pa.int64())),
-                        *(pa.array(longest[:, k], kind, mask=none) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32()))),
+                        *(pa.array(longest[:, k], kind, mask=none | (longest[:, k] == missing) if k == 1 else none) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32()))),
                     ],
                     [*own.schema.names, *_FOUND],
                 )
@@ -261,7 +268,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORD
     window in it) and its longest verbatim match (`longest` words of longest_item from word longest_at, of
     equally long ones that of the least item and then the first; nulls if no window occurs).
 
-    Null texts have no words; items without words and an empty benchmark hit nothing; an empty table gives
+    Null texts have no words; items without words and an empty benchmark hit nothing; items with a null id count
+    as one item, whose id is null and which comes before all others; an empty table gives
     no rows; equal rows stay rows of their own; columns of docs that have such a name are replaced.  A long
     text has suffix arrays of bounded segments.  One pass over the texts per block of benchmark items,
     without a shuffle if there is one block; with more, docs is written down first, so that its rows keep
@@ -283,14 +291,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORD
         part = materialize(scanned, "decontam-block")
         shared.unpersist()
         found = part if found is None else found.unionByName(part)
-    best = F.max(F.struct("longest", -F.col("longest_item"), -F.col("longest_at")))
+    best = F.max(F.struct("longest", F.col("longest_item").isNull().alias("unnamed"), (-F.col("longest_item")).alias("item"), (-F.col("longest_at")).alias("at")))
     found = found.groupBy("__row").agg(
         F.max("n_words").alias("n_words"),
         F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         best.alias("best"),
     )
-    found = found.select("__row", "n_words", "hit", "items", F.col("best.longest"), (-F.col("best.col2")).alias("longest_item"), (-F.col("best.col3")).alias("longest_at"))
+    found = found.select("__row", "n_words", "hit", "items", F.col("best.longest"), (-F.col("best.item")).alias("longest_item"), (-F.col("best.at")).alias("longest_at"))
     return rows.join(found, "__row").drop("__row")
 
 

@@ -82,6 +82,18 @@ def test_mix_agrees_with_itself_and_keeps_columns(spark):
     assert mixing.copies(docs.limit(0)).count() == 0 and key(mixing.mix(docs.limit(0)).collect()) == []
 
 
+def test_mix_does_not_depend_on_partitions(spark):
+    """Equal ids of different texts, and equal rows, however they are dealt out."""
+    rng = random.Random(9)
+    rows = [(7, f"{k % 90:04d} " + "w " * 30, "a", k) for k in range(200)] + [(k, prose(rng, 40), rng.choice("ab"), 0) for k in range(60)]
+    make = lambda r, n: spark.createDataFrame(r, "doc_id long, text string, source string, mark int").repartition(n)
+    results = [sorted(map(tuple, mixing.mix(make(r, n)).collect())) for r, n in ((rows, 3), (rows[::-1], 211), (rows, 1))]
+    assert results[0] == results[1] == results[2] and len({r[1] for r in results[0] if r[0] == 7}) > 50
+    plan = mixing.copies(make(rows, 5), bucket_rows=20).collect()
+    sevens = {r["n_row"] for r in plan if r["doc_id"] == 7}
+    assert len({k % 10 for k in sevens}) > 5  # not all in one bucket
+
+
 def test_pivot_keeps_mass():
     rng = random.Random(1)
     for _ in range(300):
@@ -194,6 +206,16 @@ def test_components_of_long_chains(spark):
 # ---- decontamination
 
 
+def test_items_without_an_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    bench = spark.createDataFrame([(None, " ".join(words[:20])), (-1, " ".join(words[10:30])), (None, " ".join(words[40:])), (5, "nowhere at all")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[40:])), (3, "w1"), (4, " ".join(words[12:30]))], "doc_id long, text string")
+    for size in (400_000, 25):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], sorted(r["items"], key=str), r["longest_item"]) for r in decontam.flagged(docs, bench, block_words=size).collect()}
+        assert got == {1: (50, 2, [-1, None], None), 2: (20, 1, [None], None), 3: (0, 0, [], None), 4: (18, 1, [-1], -1)}
+
+
+
 def brute_hits(text, items):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     w, hit, found = re.findall(pattern, lower(text)), set(), set()
