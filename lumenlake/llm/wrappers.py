@@ -81,6 +81,44 @@ def _signature(tag: str, attributes: str) -> tuple[str, bool]:
     return f"{name}.{classes[0]}" if classes else name, marked and not is_main
 
 
+#: Share of a page's text outside of links in a form or fieldset from which, with a paragraph in it, it is no furniture.
+FORM_SHARE = 0.8
+
+
+def _containers(source: str) -> set[int]:
+    """The numbers of the start tags of forms and fieldsets that hold a page's article: a main element, or a
+    paragraph and nearly all of the text that is not in links."""
+    open_: list[list] = []  # tag, number, text before it, whether it has a main element, a paragraph
+    ended: list[tuple[int, int, bool, bool]] = []
+    number = text = links = 0
+
+    def end(k: int) -> None:
+        for _, n, before, main, paragraph in open_[k:]:
+            ended.append((n, text - before, main, paragraph))
+        del open_[k:]
+
+    for token in _TOKEN.finditer(source):
+        if token["text"] is not None:
+            text += 0 if links else len(token["text"].strip())
+            continue
+        tag = (token["tag"] or "").lower()
+        if tag == "a":
+            links = 0 if token["close"] else 1
+        elif tag in ("form", "fieldset") and token["close"]:
+            k = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag), None)
+            if k is not None:
+                end(k)
+        elif tag in ("form", "fieldset"):
+            open_.append([tag, number, text, False, False])
+            number += 1
+        elif tag and not token["close"]:
+            main = tag in _MAIN or _signature(tag, token["attributes"])[0].startswith("main")
+            for one in open_ if main or tag == "p" else ():
+                one[3], one[4] = one[3] or main, True
+    end(0)
+    return {n for n, held, main, paragraph in ended if main or (paragraph and held >= FORM_SHARE * text)}
+
+
 #: Elements nested deeper belong to their ancestor of this depth, but for furniture, which still goes.
 MOST_DEPTH = 150
 
@@ -101,6 +139,8 @@ class Page:
         pieces: list[str] = []
         linked = links = 0
         opened: Counter[str] = Counter()
+        containers = _containers(source) if re.search("<(?:form|fieldset)", source, re.I) else set()
+        forms = 0
 
         def flush() -> None:
             nonlocal pieces, linked
@@ -161,6 +201,8 @@ class Page:
             if tag in _VOID:
                 continue
             signature, marked = _signature(tag, token["attributes"])
+            if tag in ("form", "fieldset"):
+                marked, forms = marked and forms not in containers, forms + 1
             _, path, node = stack[-1]
             if len(stack) <= MOST_DEPTH or (marked and not node[0].endswith("!")):
                 node = [signature + "!" * marked, []]

@@ -44,6 +44,23 @@ def test_names_of_several_words():
     assert all(text(f"<article>a<div class='x {c}'>b</div></article>") == "a" for c in ["share", "share-buttons", "adBox", "comment_list", "cookie-notice"])
 
 
+def test_forms_around_an_article():
+    menu, body = "<nav>menu words</nav><div><a href=x>linked words that do not count at all here</a></div>", "<p>a paragraph of some more words</p>"
+    assert text(f"<form id=aspnetForm>{menu}<main><h1>Head</h1>{body}<form><p>mail</p></form></main></form>") == "Head\na paragraph of some more words"
+    assert text(f"<form>{menu}<fieldset><div role=main>{body}</div></fieldset><fieldset><p>Sign up</p></fieldset></form>") == "a paragraph of some more words"
+    page = w.Page(f"<body><form>{menu}<div>{body}</div></form></body>")
+    assert [t for p, t, _ in page.blocks if "!" not in p][-1] == "a paragraph of some more words"
+    page = w.Page(f"<body><div>{body * 3}</div><form><p>Sign up here</p></form></body>")
+    assert all("form!" in p for p, t, _ in page.blocks if t == "Sign up here")
+    assert text(f"<main>{body}<form><label>name</label></form></main>") == "a paragraph of some more words"
+
+
+def test_a_host_whose_articles_are_in_forms(spark):
+    rows = [(i, f"http://asp.example/{i}", f"<body><form id=aspnetForm><div class=top><a href=a>Home</a> <a href=b>News {i}</a></div><main><h1>Title {i}</h1><p>Text number {i} of the page</p></main><div class=footer>us</div></form></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nText number {i} of the page" for i in range(6)}
+
+
 def test_alignment_makes_groups_and_options():
     shapes = [w.Page(f"<body><h1>x</h1>{'<h2>n</h2>' * (i % 2)}{'<p>y</p>' * (i + 1)}</body>").shape() for i in range(3)]
     one = shapes[0]
