@@ -2,7 +2,12 @@
 
 A text is cut into sentences, each sentence is normalised and looked up among known licence sentences,
 and the sequence of their identifiers is matched against ordered rules.  A rule that matches takes its
-sentences away, so that a later, more general rule does not name the same words again.
+sentences away, so that a later, more general rule does not name the same words again, and leaves a mark that
+no rule reaches over.  Up to GAP unknown sentences between two known ones do not part them, as texts are
+numbered and name addresses; more leave a mark too.
+
+The tables here name notices and short licences.  Whole texts of further licences are given as a table, from
+which table_of() makes sentences and rules.
 """
 
 from __future__ import annotations
@@ -115,11 +120,13 @@ SENTENCES = {
 RULES = [
     ("MIT", "MitGrant,MitNotice,MitWarranty,MitLiability"),
     ("MIT", "MitGrant,MitNotice"),
+    ("MIT", "MitGrant"),
     ("MIT", "MitShort"),
     ("Apache-2.0", "Apache2Grant,ApacheComply,ApacheCopy,ApacheBasis,ApacheSee"),
     ("Apache-2.0", "Apache2Grant,ApacheComply"),
     ("Apache-2.0", "Apache2Grant"),
     ("Apache-2.0", "Apache2Short"),
+    ("Apache-2.0", "ApacheBasis,ApacheSee"),
     ("AGPL-3.0-or-later", "Agpl3Later,GplWarranty,GplImplied,AgplSee,AgplReceived"),
     ("AGPL-3.0-or-later", "Agpl3Later"),
     ("AGPL-3.0", "Agpl3Short"),
@@ -172,39 +179,77 @@ RULES = [
 
 # What stands before and behind the name of a holder.
 HOLDERS = [
-    ("^neither the name of .{1,200}? nor the names of its contributors ", "neither the name of the holder nor the names of its contributors "),
-    ("^this product includes software developed by .{1,200}$", "this product includes software developed by the holder"),
-    ("^to the extent possible under law .{1,200}? has waived all copyright ", "to the extent possible under law the holder has waived all copyright "),
+    ("^neither the name of .+? nor the names of its contributors ", "neither the name of the holder nor the names of its contributors "),
+    ("^this product includes software developed by .+$", "this product includes software developed by the holder"),
+    ("^to the extent possible under law .+? has waived all copyright ", "to the extent possible under law the holder has waived all copyright "),
 ]
 
-#: Every known sentence has one of these; a text without any is not cut at all.
-TRIGGER = "(?i)licens|copyright|software|rights reserved|public domain|modification|warrant|loss of use|perl itself|advertising materials|copy of the mpl"
+#: Unknown sentences between two known ones that do not part them.
+GAP = 3
+# Identifiers of licences that stand behind "SPDX-License-Identifier:".
+SPDX = sorted({name for name, _ in RULES if " " not in name and not name.endswith(("Domain", "Reserved"))} | {"GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "BSD-4-Clause", "BSL-1.0", "MPL-1.1", "EPL-1.0", "Artistic-2.0", "WTFPL"})
+
+#: Every known sentence has one of these; a text without any is not cut at all.  Any white space and signs may stand
+#: between the words, as between those of a sentence.
+TRIGGER = "(?i)" + re.sub(" ", "[^a-z0-9]+", "licens|copyright|software|rights reserved|public domain|modification|warrant|loss of use|perl itself|advertising materials|copy of the mpl")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def normal(sentence: str) -> str:
+    """A sentence as the tables have it."""
+    return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m.group().lower(), sentence)).strip()
+
+
+def _sentences(text: str) -> list[str]:
+    return re.split(r"(?<=[.!?:;])[ \t\r\n]+|\n[ \t\r]*\n", text)
+
+
+def table_of(texts: dict[str, str], least_words: int = 4) -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """Sentences and rules that recognise whole licence texts, given by name, beside those of this module.
+
+    A sentence that these tables have already keeps its identifier; one of fewer than least_words is left out.
+    A text is known by all its sentences in order."""
+    sentences, rules = dict(SENTENCES), []
+    for name, text in texts.items():
+        own = [s for s in map(normal, _sentences(text)) if len(s.split()) >= least_words]
+        for k, sentence in enumerate(own):
+            sentences.setdefault(sentence, re.sub("[^A-Za-z0-9]", "", name.title()) + f"S{k + 1}")
+        rules.append((name, ",".join(sentences[s] for s in own)))
+    rules.sort(key=lambda r: -r[1].count(","))
+    return sentences, rules + RULES
+
+
+def _spdx() -> tuple[dict[str, str], list[tuple[str, str]]]:
+    named = {name: "Spdx" + re.sub("[^A-Za-z0-9]", "", name) for name in SPDX}
+    return {normal(f"SPDX-License-Identifier {name}"): known for name, known in named.items()}, list(named.items())
+
+
 def _ids(text: Column, known: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
+    """The identifiers of the sentences of a text, in order: "" for one without a letter, "-" for an unknown one."""
 
     def look(s: Column) -> Column:
         plain = F.btrim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "))
         # few sentences begin like one that names a holder; the others are looked up as they are
         begins = reduce(lambda a, b: a | b, (F.startswith(plain, F.lit(re.match("[a-z0-9 ^]+", p)[0].strip("^"))) for p, _ in HOLDERS))
         named = reduce(lambda t, h: F.regexp_replace(t, h[0], h[1]), HOLDERS, plain)
-        return F.try_element_at(known, F.when(begins, named).otherwise(plain))
+        found = F.try_element_at(known, F.when(begins, named).otherwise(plain))
+        return F.coalesce(found, F.when(plain.rlike("[a-z]"), F.lit("-")).otherwise(F.lit("")))
 
     def own(s: Column) -> Column:
-        lines = F.filter(F.transform(F.split(s, "\\n"), look), lambda i: i.isNotNull())
+        lines = F.filter(F.transform(F.split(s, "\\n"), look), lambda i: (i != "-") & (i != ""))
         return F.struct(F.when(F.contains(s, F.lit("\n")), lines).alias("lines"), look(s).alias("whole"))
 
+    text = F.regexp_replace(text, "(?i)(spdx-license-identifier)[ \\t]*:[ \\t]*", "$1 ")
     both = F.transform(F.split(text, "(?<=[.!?:;])[ \\t\\r\\n]+|\\n[ \\t\\r]*\\n"), own)
     found = F.transform(both, lambda x: F.when(F.size(x["lines"]) > 0, x["lines"]).otherwise(F.array(x["whole"])))
-    return F.filter(F.flatten(found), lambda i: i.isNotNull())
+    return F.filter(F.flatten(found), lambda i: i != "")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """docs with `sentence_ids` (comma-joined identifiers of known sentences, in order), `n_sentences`
     (their number), `licences` (comma-joined, in the order of the rules that named them; empty if none),
-    `n_licences` and `unknown` (known sentences that no rule took).
+    `n_licences` and `unknown` (known sentences that no rule took).  sentences and rules replace the tables of
+    this module, as those of table_of() do.
 
     A sentence ends with .!?:; before white space, or with its paragraph, as licence texts are often
     wrapped.  If lines of it are known sentences, those count, and else the whole; so a text may have
@@ -212,19 +257,24 @@ def scan(docs: DataFrame) -> DataFrame:
     are judged alike; an empty table gives none; columns of docs with such a name are replaced; a long text
     is read whole.
     """
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    text = F.when(F.col("text").rlike(TRIGGER), F.col("text"))
-    step = docs.withColumn("__ids", F.coalesce(_ids(text, known), F.array().cast("array<string>")))
-    # a doubled comma between sentences lets equal neighbours match one after the other
-    step = step.withColumn("__left", F.concat(F.lit(","), F.array_join("__ids", ",,"), F.lit(",")))
+    known_spdx, spdx_rules = _spdx()
+    known = F.create_map(*[F.lit(x) for pair in ((sentences or SENTENCES) | known_spdx).items() for x in pair])
+    text = F.when(F.col("text").rlike(TRIGGER if sentences is None else "[a-zA-Z]"), F.col("text"))
+    step = docs.withColumn("__all", F.coalesce(_ids(text, known), F.array().cast("array<string>")))
+    step = step.withColumn("__ids", F.filter("__all", lambda i: i != "-"))
+    # one mark for a long run of unknown sentences, nothing for a short one; a doubled comma between sentences lets
+    # equal neighbours match one after the other
+    run = F.regexp_replace(F.concat(F.array_join("__all", ","), F.lit(",")), f"(?:-,){{{GAP + 1},}}", "|,")
+    line = F.replace(F.replace(run, F.lit("-,"), F.lit("")), F.lit(","), F.lit(",,"))
+    step = step.withColumn("__left", F.when(F.size("__ids") > 0, F.concat(F.lit(","), line)))
     found: list[Column] = []
     left = F.col("__left")
-    for licence, sequence in RULES:
+    for licence, sequence in [*(rules or RULES), *spdx_rules]:
         pattern = F.lit("," + sequence.replace(",", ",,") + ",")
         found.append(F.when(F.contains(left, pattern), F.lit(licence)))
-        left = F.replace(left, pattern, F.lit(""))
+        left = F.replace(left, pattern, F.lit(",|,"))
     step = step.withColumns({"__found": F.when(F.size("__ids") > 0, F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))), "__rest": F.when(F.size("__ids") > 0, left)})
-    rest = F.coalesce(F.size(F.filter(F.split("__rest", ","), lambda x: x != "")), F.lit(0))
+    rest = F.coalesce(F.size(F.filter(F.split("__rest", ","), lambda x: (x != "") & (x != "|"))), F.lit(0))
     return step.withColumns(
         {
             "sentence_ids": F.array_join("__ids", ","),
@@ -233,7 +283,7 @@ def scan(docs: DataFrame) -> DataFrame:
             "n_licences": F.coalesce(F.size("__found"), F.lit(0)).cast("long"),
             "unknown": rest.cast("long"),
         }
-    ).drop("__ids", "__left", "__found", "__rest")
+    ).drop("__all", "__ids", "__left", "__found", "__rest")
 
 
 def _sql(value: str) -> str:
@@ -241,38 +291,40 @@ def _sql(value: str) -> str:
 
 
 def oracle(table: str = "documents") -> str:
-    """The same scan in DuckDB's SQL: doc_id and the five columns."""
-    known = f"MAP([{', '.join(map(_sql, SENTENCES))}], [{', '.join(map(_sql, SENTENCES.values()))}])"
-
+    """The same scan in DuckDB's SQL, by other means: sentences are rows, found by matching them rather than by
+    cutting between them, and rules are tried one after the other by recursion over numbered places of the text."""
+    known_spdx, spdx_rules = _spdx()
+    known = ", ".join(f"({_sql(s)}, {_sql(i)})" for s, i in (SENTENCES | known_spdx).items())
+    rules = ", ".join(f"({k}, {_sql(licence)}, [{', '.join(map(_sql, sequence.split(',')))}])" for k, (licence, sequence) in enumerate([*RULES, *spdx_rules]))
     plain = f"trim(regexp_replace(translate(s, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
     for pattern, named in HOLDERS:
         plain = f"regexp_replace({plain}, {_sql(pattern)}, {_sql(named)})"
-    look = f"{known}[{plain}]"
-    # sentences end at a mark before white space, or at an empty line; chr(1) stands for either
-    cut = "string_split(regexp_replace(regexp_replace(t, '([.!?:;])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), '\\n[ \\t\\r]*\\n', chr(1), 'g'), chr(1))"
-    lines = f"list_filter(list_transform(string_split(p, chr(10)), lambda s: {look}), lambda i: i IS NOT NULL)"
-    whole = f"list_transform([p], lambda s: {look})"
-    ids = f"list_filter(flatten(list_transform({cut}, lambda p: CASE WHEN contains(p, chr(10)) AND len({lines}) > 0 THEN {lines} ELSE {whole} END)), lambda i: i IS NOT NULL)"
-    steps, left = [], "s0"
-    for k, (licence, sequence) in enumerate(RULES):
-        pattern = _sql("," + sequence.replace(",", ",,") + ",")
-        steps.append(f"r{k} AS (SELECT *, replace(s{k}, {pattern}, '') AS s{k + 1}, CASE WHEN contains(s{k}, {pattern}) THEN {_sql(licence)} END AS l{k} FROM {'base' if not k else f'r{k - 1}'})")
-    # DuckDB's list_distinct keeps no order: keep a licence where no earlier rule named it
-    firsts, seen = [], {}
-    for k, (licence, _) in enumerate(RULES):
-        earlier = " OR ".join(f"l{j} IS NOT NULL" for j in seen.get(licence, [])) or "FALSE"
-        firsts.append(f"CASE WHEN {earlier} THEN NULL ELSE l{k} END")
-        seen.setdefault(licence, []).append(k)
-    found = f"list_filter([{', '.join(firsts)}], lambda x: x IS NOT NULL)"
+    # a sentence: runs without a mark, or with marks that no white space follows, up to one that it does follow
+    piece = "[^.!?:;]*(?:[.!?:;]+[^.!?:; \\t\\r\\n][^.!?:;]*)*[.!?:;]*"
     return f"""
-WITH cut AS (
-  SELECT doc_id, CASE WHEN regexp_matches(text, '{TRIGGER}') THEN text END AS t FROM {table}
-), base AS (
-  SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS s0 FROM (SELECT doc_id, coalesce({ids}, []) AS ids FROM cut)
-), {', '.join(steps)}
-SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, CAST(len(ids) AS BIGINT) AS n_sentences,
-       CASE WHEN len(ids) > 0 THEN array_to_string({found}, ',') ELSE '' END AS licences,
-       CASE WHEN len(ids) > 0 THEN CAST(len({found}) AS BIGINT) ELSE 0 END AS n_licences,
-       CASE WHEN len(ids) > 0 THEN CAST(len(list_filter(string_split(s{len(RULES)}, ','), lambda x: x <> '')) AS BIGINT) ELSE 0 END AS unknown
-FROM r{len(RULES) - 1}
+WITH RECURSIVE known(sentence, id) AS (VALUES {known}), rules(k, licence, seq) AS (VALUES {rules}),
+t AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(CASE WHEN regexp_matches(text, {_sql(TRIGGER)}) THEN text ELSE '' END, '(spdx-license-identifier)[ \\t]*:[ \\t]*', '\\1 ', 'gi') AS text FROM {table}),
+paragraphs AS (SELECT r, p, unnest(regexp_extract_all(par, {_sql(piece)})) AS s, generate_subscripts(regexp_extract_all(par, {_sql(piece)}), 1) AS q FROM (SELECT r, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS par, generate_subscripts(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), 1) AS p FROM t)),
+lines AS (SELECT r, p, q, unnest(string_split(s, chr(10))) AS s, generate_subscripts(string_split(s, chr(10)), 1) AS l FROM paragraphs WHERE contains(s, chr(10))),
+of_lines AS MATERIALIZED (SELECT r, p, q, l, id FROM (SELECT r, p, q, l, {plain} AS n FROM lines) x JOIN known ON sentence = n),
+of_wholes AS (SELECT r, p, q, 0 AS l, coalesce(id, '-') AS id FROM (SELECT r, p, q, {plain} AS n FROM paragraphs) x LEFT JOIN known ON sentence = n
+  WHERE regexp_matches(n, '[a-z]') AND NOT EXISTS (SELECT 1 FROM of_lines o WHERE o.r = x.r AND o.p = x.p AND o.q = x.q)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY p, q, l) AS place FROM (SELECT * FROM of_lines UNION ALL SELECT * FROM of_wholes)),
+-- a known sentence begins a stretch if more than GAP unknown ones are before it
+spaced AS (SELECT r, id, place, CASE WHEN place - lag(place) OVER (PARTITION BY r ORDER BY place) > {GAP + 1} THEN 1 ELSE 0 END AS fresh FROM placed WHERE id <> '-'),
+stretches AS (SELECT r, id, place, row_number() OVER (PARTITION BY r ORDER BY place) + sum(fresh) OVER (PARTITION BY r ORDER BY place) AS spot FROM spaced),
+docs AS (SELECT r, list(id ORDER BY spot) AS ids, list(CAST(spot AS BIGINT) ORDER BY spot) AS ats FROM stretches GROUP BY r),
+-- each rule takes its sentences, which stand at neighbouring places, from the left, and leaves their places empty
+steps AS (
+  SELECT r, ids, ats, 0 AS k, CAST([] AS VARCHAR[]) AS found FROM docs
+  UNION ALL
+  SELECT r, list_filter(ids, lambda x, i: NOT list_contains(gone, ats[i])), list_filter(ats, lambda x: NOT list_contains(gone, x)), k + 1, CASE WHEN len(gone) > 0 THEN list_append(found, licence) ELSE found END
+  FROM (SELECT s.*, rules.licence, flatten(list_transform(list_reduce(list_prepend([0::BIGINT], list_transform(
+      list_filter(range(1, len(s.ids) - len(seq) + 2), lambda i: s.ids[i : i + len(seq) - 1] = seq AND s.ats[i + len(seq) - 1] - s.ats[i] = len(seq) - 1), lambda i: [s.ats[i]])),
+      lambda a, b: CASE WHEN a[-1] = 0 OR b[1] >= a[-1] + len(seq) THEN list_concat(a, b) ELSE a END)[2:], lambda x: range(x, x + len(seq)))) AS gone
+    FROM steps s JOIN rules ON rules.k = s.k)),
+ends AS (SELECT r, len(ids) AS unknown, found FROM steps WHERE k = (SELECT count(*) FROM rules)),
+named AS (SELECT r, string_agg(licence, ',' ORDER BY n) AS licences, count(*) AS n_licences FROM (SELECT r, licence, min(n) AS n FROM (SELECT r, unnest(found) AS licence, generate_subscripts(found, 1) AS n FROM ends) GROUP BY 1, 2) GROUP BY r)
+SELECT t.doc_id, coalesce(array_to_string(docs.ids, ','), '') AS sentence_ids, CAST(coalesce(len(docs.ids), 0) AS BIGINT) AS n_sentences, coalesce(licences, '') AS licences, coalesce(n_licences, 0) AS n_licences, CAST(coalesce(unknown, 0) AS BIGINT) AS unknown
+FROM t LEFT JOIN docs ON docs.r = t.r LEFT JOIN ends ON ends.r = t.r LEFT JOIN named ON named.r = t.r
 """

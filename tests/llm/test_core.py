@@ -283,3 +283,76 @@ def test_wrapped_and_one_line_sentences_of_one_text(spark):
     found = licences.scan(docs).collect()
     assert {r["doc_id"]: r["sentence_ids"] for r in found} == {k: v[1] for k, v in cases.items()}
     assert like_the_oracle([(k, v[0]) for k, v in cases.items()], found)
+
+
+BSD = NOTICES["BSD-3-Clause"].split("\n\n")
+PROBES = {
+    "long holder": ("\n\n".join(BSD[:4]).replace("Example & Sons, Ltd", "the very long name " * 30), "BSD-3-Clause", 0),
+    "wrapped rights": ("A book.\nAll rights\nreserved.", "All-Rights-Reserved", 0),
+    "wrapped domain": ("This work has been released into the public\ndomain.", "Public-Domain", 0),
+    "signs in a trigger": ("ALL RIGHTS -- RESERVED", "All-Rights-Reserved", 0),
+    "interrupted": ("\n\n".join([BSD[0], MIT, *BSD[1:3]]), "MIT", 3),
+    "far apart": ("\n\n".join([BSD[0], *["Some other words."] * 50, *BSD[1:3]]), "", 3),
+    "near enough": ("\n\n".join([BSD[0], *["Some other words."] * 3, *BSD[1:3]]), "BSD-2-Clause", 0),
+    "just too far": ("\n\n".join([BSD[0], *["Some other words."] * 4, *BSD[1:3]]), "", 3),
+    "numbers do not part": ("\n\n".join([BSD[0], *["12.", "--", "(3)"] * 5, *BSD[1:3]]), "BSD-2-Clause", 0),
+    "twice": (f"{MIT}\n\n{MIT}", "MIT", 0),
+    "grant alone": (MIT.split("\n\n")[0], "MIT", 0),
+    "spdx": ("# SPDX-License-Identifier: Apache-2.0\nimport x", "Apache-2.0", 0),
+    "spdx and a notice": (f"// spdx-license-identifier : MIT\n\n{MIT}", "MIT", 0),
+    "unknown spdx": ("SPDX-License-Identifier: Nobody-1.0", "", 0),
+    "an order that no rule has": ("\n\n".join([BSD[2], BSD[1], BSD[0]]), "", 3),
+}
+
+
+def plain_scan(text):
+    """Rules over a list of places, sentence by sentence."""
+    sentences, spdx = {**licences.SENTENCES, **licences._spdx()[0]}, licences._spdx()[1]
+    ids, unknown = [], 0
+    for paragraph in re.split(r"\n[ \t\r]*\n", re.sub("(?i)(spdx-license-identifier)[ \t]*:[ \t]*", r"\1 ", text or "")):
+        start = 0
+        for end in [m.end(1) for m in re.finditer(r"([.!?:;])(?=[ \t\r\n])", paragraph)] + [len(paragraph)]:
+            s, start = paragraph[start:end], end
+            look = lambda x: sentences.get(re.sub(r"^neither the name of .+? nor the names", "neither the name of the holder nor the names", licences.normal(x)))
+            lines = [i for i in map(look, s.split("\n")) if i] if "\n" in s else []
+            for i in lines or [look(s)]:
+                if i:
+                    ids.append((i, unknown > licences.GAP))
+                    unknown = 0
+                elif re.search("[a-z]", licences.normal(s)):
+                    unknown += 1
+    places, at = [], 0
+    for i, parted in ids:
+        at += 2 if parted else 1
+        places.append((at, i))
+    names = []
+    for licence, rule in [*licences.RULES, *spdx]:
+        rule, k = rule.split(","), 0
+        while k + len(rule) <= len(places):
+            some = places[k : k + len(rule)]
+            if [i for _, i in some] == rule and some[-1][0] - some[0][0] == len(rule) - 1:
+                del places[k : k + len(rule)]
+                names += [licence] * (licence not in names)
+            else:
+                k += 1
+    return ",".join(i for i, _ in ids), ",".join(names), len(places)
+
+
+def test_licences_against_a_plain_version(spark):
+    rng = random.Random(5)
+    parts = [*BSD, *MIT.split("\n\n"), "Words of a text.", "More. Of it.", "1.", "All rights reserved.", "Licensed under the ISC license.\nand so on"]
+    rows = [(k, v[0]) for k, v in enumerate(PROBES.values())] + [(100 + k, "\n\n".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))) for k in range(150)]
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["licences"], r["unknown"]) for r in found}
+    assert {n: got[k] for k, n in enumerate(PROBES)} == {n: v[1:] for n, v in PROBES.items()}
+    whole = {r["doc_id"]: (r["sentence_ids"], r["licences"], r["unknown"]) for r in found}
+    assert whole == {k: plain_scan(t) for k, t in rows}
+    assert like_the_oracle(rows, found)
+
+
+def test_whole_licence_texts_as_a_table(spark):
+    poem = "Roses are red, and this licence is yours.\nUse the poem as you like.\n\nNever sell it to the moon."
+    sentences, rules = licences.table_of({"Poem-1.0": poem, "Short": "Use the poem as you like."})
+    docs = spark.createDataFrame([(1, f"Title\n\n{poem}\n\nmore"), (2, "Use the poem as you like. Yes."), (3, MIT)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(docs, sentences, rules).collect()}
+    assert got == {1: "Poem-1.0", 2: "Short", 3: "MIT"}
