@@ -6,13 +6,14 @@ import math
 from datetime import timedelta
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import haversine, haversine_km, missing
+from ..functions.geo import EARTH_KM, haversine, haversine_km, missing
 from ..functions.vector import cosine as vector_cosine
 from ..functions.vector import l2_normalize
+from . import scan
 from .common import completed, fold_by
 from .links import roots, settle
 from .neighbours import nearest
@@ -25,14 +26,30 @@ FACE_SHARED, FACE_DAYS = 2, 30
 VISIT_KM = 50.0
 
 
-def sessions(items: DataFrame, time: str, gap_hours: float = GAP_HOURS, owner: str = "user_id", key: str = "image_id") -> DataFrame:
-    """items with `bucket` (from 0 per owner): a gap of more than gap_hours starts a new one."""
+def sessions(items: DataFrame, time: str, gap_hours: float = GAP_HOURS, owner: str = "user_id", key: str = "image_id", window_rows: int | None = None) -> DataFrame:
+    """items with `bucket` (from 0 per owner): a gap of more than gap_hours starts a new one.
+
+    An owner of more than window_rows rows is not sorted in one task, but in ranges that carry their ends over."""
+    micros, gap = F.unix_micros(F.col(time).cast("timestamp")), int(gap_hours * 3_600_000_000)
+    if scan.has_large_owner(items, owner, window_rows):
+        parts = scan.with_previous(scan.ranges(items, owner, [time, key]), owner, [time, key], micros, "__before")
+        new = F.when(micros - F.col("__before") > gap, 1).otherwise(0)
+        return scan.with_running(parts, owner, [time, key], {"bucket": new}).drop("__before", "__part")
     order = Window.partitionBy(owner).orderBy(time, key)
-    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(order).cast("timestamp"))
-    starts = F.when(gap > int(gap_hours * 3_600_000_000), 1).otherwise(0)
+    starts = F.when(micros - F.lag(micros).over(order) > gap, 1).otherwise(0)
     return items.withColumn("__new", starts).withColumn("bucket", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def running_means(items: DataFrame, time: str, owner: str = "user_id", key: str = "image_id", window_rows: int | None = None) -> DataFrame:
+    """items with `n`, `sum_lat` and `sum_lng` of the rows with a place up to each, in order of time; the sums are null
+    before the first.  Large owners are cut into ranges, as in sessions()."""
+    sums = {"n": F.when(F.col("lat").isNotNull(), 1).otherwise(0), "sum_lat": F.col("lat"), "sum_lng": F.col("lng")}
+    if scan.has_large_owner(items, owner, window_rows):
+        return scan.with_running(scan.ranges(items, owner, [time, key]), owner, [time, key], sums).drop("__part")
+    along = Window.partitionBy(owner).orderBy(time, key).rowsBetween(Window.unboundedPreceding, 0)
+    return items.withColumns({name: F.sum(c).over(along) for name, c in sums.items()})
+
+
 def time_buckets(images: DataFrame) -> DataFrame:
     """Bucket summaries of completed images per owner: images in order, start, end and mean place.
 
@@ -49,19 +66,65 @@ def time_buckets(images: DataFrame) -> DataFrame:
     return buckets.withColumn("bucket", F.col("bucket").cast("long")).unionByName(none)
 
 
+def _bands(lat: Column, height: float) -> Column:
+    return F.floor((lat + 90) / height)
+
+
+def _columns(band: Column, height: float) -> Column:
+    """Cells of a band of latitude around the globe, each as wide as it is high at the band's edge nearest a pole."""
+    edge = F.greatest(F.abs(band * height - 90), F.abs((band + 1) * height - 90))
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(F.least(edge, F.lit(90.0)))) / height)).cast("long")
+
+
+def spatial_cells(lat: Column, lng: Column, km: float, reach: bool) -> Column:
+    """The cells of a place, as an array of (band, column): its own or, with reach, all in which a place within km may be.
+
+    Bands of latitude are km high.  Each is cut into cells that are no narrower; around the poles there is one.
+    What is within km lies within asin(sin(km) / cos(lat)) of longitude, or anywhere if a pole is within km."""
+    height = km / 111.0  # a degree is a little longer, so a band is a little higher than km
+    own = _bands(lat, height)
+    around = F.pmod(lng + 180, F.lit(360.0))
+
+    def cell(band: Column, east: Column) -> Column:
+        n = _columns(band, height)
+        return F.struct(band.cast("long").alias("band"), F.least(F.floor(east * n / 360), n - 1).cast("long").alias("column"))
+
+    if not reach:
+        return F.array(cell(own, around))
+    angle = km / EARTH_KM
+    near_pole = F.abs(lat) + math.degrees(angle) >= 90
+    span = F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(angle)) / F.cos(F.radians(lat)))))) * (1 + 1e-9) + 1e-9
+
+    def cells(step: Column) -> Column:
+        band = own + step
+        n = _columns(band, height)
+        width = 360.0 / n
+        first = F.floor((around - span) / width)
+        last = F.least(F.floor((around + span) / width), first + n - 1)
+        return F.transform(F.sequence(first.cast("long"), last.cast("long")), lambda k: F.struct(band.cast("long").alias("band"), F.pmod(k, n).alias("column")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), cells))
+
+
+def spatial_candidates(buckets: DataFrame, km: float = PLACE_KM, days: int = PLACE_DAYS) -> DataFrame:
+    """Pairs of an owner's buckets that share a cell of place and time, each pair once, before any distance is known."""
+    micros, span = F.unix_micros(F.col("start_at").cast("timestamp")), days * 86_400_000_000
+    slot = F.floor(micros / span)
+    placed = buckets.where("lat is not null and start_at is not null")
+    a = placed.select("user_id", *[F.col(c).alias(f"{c}_a") for c in ("bucket", "lat", "lng")], micros.alias("at_a"), F.explode(spatial_cells(F.col("lat"), F.col("lng"), km, False)).alias("cell"), slot.alias("slot"))
+    near = F.explode(spatial_cells(F.col("lat"), F.col("lng"), km, True)).alias("cell")
+    b = placed.select("user_id", *[F.col(c).alias(f"{c}_b") for c in ("bucket", "lat", "lng")], micros.alias("at_b"), slot.alias("slot"), near)
+    b = b.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
+    return a.join(b, ["user_id", "cell", "slot"]).where("bucket_a < bucket_b").drop("cell", "slot")
+
+
 def spatial_pairs(buckets: DataFrame, km: float = PLACE_KM, days: int = PLACE_DAYS) -> DataFrame:
-    """Pairs of an owner's buckets within km and days of each other, by grid cells.
-
-    A cell is as high as km, in latitude; a pair is at most one cell apart, so each bucket is put in its
-    own cell and its neighbours' and meets the others there."""
-    cell = F.floor(F.col("lat") / (km / 111.0))
-    placed = buckets.where("lat is not null").select("user_id", "bucket", "start_at", "lat", "lng", cell.alias("cell"))
-    a = placed.select("user_id", *[F.col(c).alias(f"{c}_a") for c in ("bucket", "start_at", "lat", "lng")], "cell")
-    near = placed.withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    b = near.select("user_id", *[F.col(c).alias(f"{c}_b") for c in ("bucket", "start_at", "lat", "lng")], "cell")
-    apart = F.abs(F.unix_micros(F.col("start_at_a").cast("timestamp")) - F.unix_micros(F.col("start_at_b").cast("timestamp")))
-    joined = a.join(b, ["user_id", "cell"]).where("bucket_a < bucket_b").where(apart <= days * 86_400_000_000)
-    return joined.withColumn("km", haversine_km("lat_a", "lng_a", "lat_b", "lng_b")).where(F.col("km") <= km)
+    """Pairs of an owner's buckets within km and days of each other; undated buckets have none.
+
+    Buckets meet by owner, band of latitude, cell of longitude and cell of `days`: each is in its own cell, and the
+    other of a pair in all that are near, across the date line and the poles."""
+    met = spatial_candidates(buckets, km, days).where(F.abs(F.col("at_a") - F.col("at_b")) <= days * 86_400_000_000)
+    return met.withColumn("km", haversine_km("lat_a", "lng_a", "lat_b", "lng_b")).where(F.col("km") <= km)
 
 
 def look_pairs(buckets: DataFrame, vectors: DataFrame, least: float = LOOK_COSINE, days: int = LOOK_DAYS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.vector import dot, guarded
+from . import order
 
 # Calibration grids.
 THRESHOLDS = [round(i / 100, 2) for i in range(5, 50)]
@@ -60,25 +61,12 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return stale(old, new).withColumn("change", F.lit("drop")).unionByName(stale(new, old).withColumn("change", F.lit("add")))
 
 
-#: Score range of one bucket in which a quartile is looked for.
-QUARTILE_STEP = 0.001
-
-
 def score_stats(pairs: DataFrame) -> DataFrame:
     """Per class of pairs (relevant, score): n, mean, deviation, extremes and quartiles.
 
-    A percentile is the sorted value at floor(p x n), the last at most.  Counts per bucket of scores tell in
-    which bucket it is; only the rows of those buckets are ranked, so no task sorts a whole class."""
-    bucket = F.floor(F.col("score") / QUARTILE_STEP)
-    counts = pairs.groupBy("relevant", bucket.alias("bucket")).agg(F.count("*").alias("c"))
-    order = Window.partitionBy("relevant").orderBy("bucket")
-    upto = counts.withColumns({"before": F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(Window.partitionBy("relevant"))})
-    places = upto.withColumn("p", F.explode(F.array(*map(F.lit, (0.25, 0.5, 0.75))))).withColumn("at", F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("p"))))
-    wanted = places.where("at >= before and at < before + c").select("relevant", "bucket", "p", (F.col("at") - F.col("before") + 1).alias("rank"))
-    inside = pairs.withColumn("bucket", bucket).join(F.broadcast(wanted.select("relevant", "bucket").distinct()), ["relevant", "bucket"])
-    ranked = inside.withColumn("rank", F.row_number().over(Window.partitionBy("relevant", "bucket").orderBy("score")))
-    found = ranked.join(F.broadcast(wanted), ["relevant", "bucket", "rank"])
-    quartiles = found.groupBy("relevant").agg(*(F.max(F.when(F.col("p") == p, F.col("score"))).alias(f"p{p * 100:.0f}") for p in (0.25, 0.5, 0.75)))
+    A percentile is the sorted value at floor(p x n), the last at most, found by refined histograms, so that no task
+    sorts a class or the pairs of one score."""
+    quartiles = order.pivoted(order.ranked_values(pairs, "relevant", "score", (0.25, 0.5, 0.75)), "relevant", "score", {0.25: "p25", 0.5: "p50", 0.75: "p75"})
     plain = pairs.groupBy("relevant").agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("low"), F.max("score").alias("high"))
     return plain.join(quartiles, "relevant").select("relevant", "n", "mean", "std", "low", "p25", "p50", "p75", "high")
 

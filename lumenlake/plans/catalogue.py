@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from .. import fixtures as fx
 from ..functions import text as tx
 from ..functions.vector import average_bits, average_hash, dot
-from ..operators import common, duplicates, events, links, scoring
+from ..operators import common, duplicates, events, fulltext, links, scoring, vector_index
+from ..streaming import arrivals, requests
 from ..streaming import jobs as streaming
 from . import library, search
 
@@ -296,6 +297,58 @@ def ocr_fulltext_indexed(spark, d):
     return search.search_index(search.text_index(fx.ocr(spark, d)), "Th wi").select("image_id", _six("rank").alias("rank"))
 
 
+_ASKED = "SELECT image_id AS query, array_to_string(list_filter(regexp_split_to_array(lower(raw_text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[1:3], ' ') AS text FROM ocr WHERE image_id % 100 = 0"
+_TAKEN = "TIMESTAMP '2023-01-01 00:00:00' + to_hours(CAST(image_id * 37 % 1000 AS INTEGER))"
+
+
+@_key(fx.sql(f"SELECT query, image_id, round(rank, 6) AS rank, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank DESC, {_TAKEN} DESC, image_id DESC) AS rn FROM ranked) WHERE rn <= 20",
+  "ocr", records="SELECT image_id, raw_text FROM ocr WHERE NOT deleted", queries=_ASKED, **fulltext.oracle_ctes("records", "queries")))
+def ocr_fulltext_stemmed(spark, d):
+    """The first three words of every record whose id is divisible by 100, in English stems, against all records."""
+    ocr = fx.ocr(spark, d)
+    index = fulltext.write_index(common.live(ocr), f"{links.shared_folder(spark)}/text-index-{uuid.uuid4().hex}")
+    asked = ocr.where("image_id % 100 = 0").select(F.col("image_id").alias("query"), F.array_join(F.slice(tx.tokens("raw_text"), 1, 3), " ").alias("text"))
+    taken = ocr.select("image_id", F.expr("TIMESTAMP_NTZ'2023-01-01 00:00:00' + make_dt_interval(0, CAST(image_id * 37 % 1000 AS INT))"))
+    return fulltext.find(index, asked, 20, order=taken).withColumn("rank", _six("rank"))
+
+
+@_key(fx.sql("SELECT image_id FROM photos WHERE NOT deleted AND month(taken_at) = 1 AND taken_at <= TIMESTAMP '2024-01-31 23:59:59'", "photos"))
+def search_month_of_any_year(spark, d):
+    """A month without a year: that of the year given and of the 20 before."""
+    photos = common.live(fx.photos(spark, d))
+    return photos.where(search.date_filter(search.Intent("january", month=1), as_of_year=2030)).select("image_id")
+
+
+_IN_2023 = "a.taken_at >= TIMESTAMP '2023-01-01 00:00:00' AND a.taken_at <= TIMESTAMP '2023-12-31 23:59:59'"
+
+
+def _index(spark, d) -> tuple[vector_index.Index, DataFrame, Column]:
+    v = fx.vec(spark, d)
+    built = vector_index.build(v, f"{links.shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    return built, v.where("image_id % 100 = 0").select("image_id", F.col("user_id").alias("owner"), "v"), search.date_filter(search.Intent("2023", year=2023), "at")
+
+
+@_key(fx.sql(f"""SELECT a, b, round(score, 6) AS score, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM (
+    SELECT q.image_id AS a, a.image_id AS b, {_DOT} AS score FROM vec a JOIN (SELECT * FROM vec WHERE image_id % 100 = 0) q ON a.user_id = q.user_id WHERE a.image_id <> q.image_id AND {_IN_2023})) WHERE rn <= 10""", "vec"))
+def vector_index_exact(spark, d):
+    """The ten nearest of the year and owner, by an inverted file that is looked into as far as needed."""
+    built, queries, year = _index(spark, d)
+    found, _ = vector_index.search(built, queries, 10, None, condition=year)
+    return found.select("a", "b", _six("score").alias("score"), "rn")
+
+
+@_key()
+def vector_index_probed(spark, d):
+    """What the nearest cells alone give: rows found and compared per query, and the share of the ten nearest.  How many
+    cells that takes is measured on a sample of other vectors."""
+    built, queries, year = _index(spark, d)
+    others = fx.vec(spark, d).where("image_id % 100 <> 0").select("image_id", F.col("user_id").alias("owner"), "v")
+    found, read = vector_index.search(built, queries, 10, vector_index.probes_for(built, others, 10, condition=year), condition=year)
+    nearest, _ = vector_index.search(built, queries, 10, None, condition=year)
+    n = found.groupBy("a").agg(F.count("*").alias("n"))
+    return vector_index.recall(found, nearest).join(read, "a", "left").join(n, "a", "left").select("a", "wanted", "n", _six("recall").alias("recall"), "rows_read")
+
+
 _NEAR = {
     "scored": f"SELECT a.image_id, {_DOT} AS score FROM vec a, (SELECT v FROM vec WHERE image_id = 0) q WHERE a.taken_at >= TIMESTAMP '2023-01-01 00:00:00' AND a.taken_at <= TIMESTAMP '2023-12-31 23:59:59'",
     "near": "SELECT *, count(*) OVER () AS n, greatest(CAST(0.24 AS DOUBLE), max(score) OVER () - 0.75 * stddev_pop(score) OVER ()) AS cut FROM (SELECT * FROM scored ORDER BY score DESC, image_id LIMIT 100) WHERE score >= CAST(0.24 AS DOUBLE)",
@@ -371,25 +424,24 @@ def _signals(spark, d) -> dict[str, DataFrame]:
     }
 
 
-_TEXTS = ["Show my beach photos from december 2023", "dec jan trip", "with John at the beach", "show my photos", "birthday party 2021 in Goa", "receipts", "tourist pictures may 1999"]
-_TEXT_TABLE = "SELECT unnest([" + ", ".join(f"'{t}'" for t in _TEXTS) + "]) AS query"
 _STOP_SQL = "[" + ", ".join(f"'{w}'" for w in sorted(search.STOP_WORDS)) + "]"
 _MONTH_SQL = "CASE " + " ".join(f"WHEN list_contains(w, '{m}') THEN {i}" for m, i in search.MONTHS.items()) + " END"
 _EVENT_WORD_SQL = "[" + ", ".join(f"'{w}'" for w in search.EVENT_WORDS) + "]"
 
 
-@_key(fx.sql(f"""SELECT query, CAST(nullif(regexp_extract(lower(query), '\\b(20[0-9]{{2}})\\b', 1), '') AS INTEGER) AS year, CAST({_MONTH_SQL} AS INTEGER) AS month,
+@_key(fx.sql(f"""SELECT doc_id, CAST(nullif(regexp_extract(lower(query), '\\b(20[0-9]{{2}})\\b', 1), '') AS INTEGER) AS year, CAST({_MONTH_SQL} AS INTEGER) AS month,
   array_to_string(list_filter(k, lambda x: len(x) > 3), ' ') AS ocr_terms, coalesce(nullif(array_to_string(k, ' '), ''), query) AS semantic,
   array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), '|') AS event_words, nullif(array_to_string(nw[1:coalesce(nullif(list_position(list_transform(nw, lambda x: list_contains({_STOP_SQL}, x)), TRUE), 0), len(nw) + 1) - 1], ' '), '') AS name FROM (
   SELECT *, list_filter(w, lambda x: NOT list_contains({_STOP_SQL}, x) AND NOT regexp_full_match(x, '[0-9]{{4}}')) AS k, string_split(regexp_replace(lower(regexp_extract(query, '(?i)\\bwith\\s+([a-z]+(?:\\s+[a-z]+){{0,2}})', 1)), '\\s+', ' ', 'g'), ' ') AS nw,
     list_concat(flatten(list_transform({_EVENT_WORD_SQL}, lambda x: CASE WHEN NOT contains(lower(trim(query)), x) THEN [] WHEN coalesce(list_position(w, x), 0) > 1 THEN [x, w[list_position(w, x) - 1] || ' ' || x] ELSE [x] END)),
       list_filter(list_transform(regexp_extract_all(query, '\\b([A-Z][a-z]{{2,}})\\b', 1), lambda x: lower(x)), lambda x: NOT list_contains({_STOP_SQL}, x))) AS e
-  FROM (SELECT query, regexp_split_to_array(lower(trim(query)), '\\s+') AS w FROM q))""", q=_TEXT_TABLE))
+  FROM (SELECT doc_id, query, regexp_split_to_array(lower(trim(query)), '\\s+') AS w FROM q))""", q="SELECT doc_id, text AS query FROM documents"))
 def intent_tokens(spark, d):
-    q = spark.createDataFrame([(t,) for t in _TEXTS], "query string")
+    """Every document as a query in free text."""
+    q = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("query"))
     parts = search.intent_columns("query")
     parts |= {"ocr_terms": F.array_join(parts["ocr_terms"], " "), "event_words": F.array_join(parts["event_words"], "|")}
-    return q.select("query", *[c.alias(n) for n, c in parts.items()])
+    return q.select("doc_id", *[c.alias(n) for n, c in parts.items()])
 
 
 _NAMED = ["puppy", "puppies", "puppys", "Cars", " invoice ", "travel", "dog", "nothing", "meals", "people", "selfies", "persons", "architecture", "architectures", "other", "trips", "kittens", "Screenshot"]
@@ -399,10 +451,11 @@ _ALIAS_SQL = """CASE WHEN t IN ('people', 'person', 'persons') THEN 'people' WHE
   WHEN t IN ('vehicle', 'vehicles', 'car', 'cars', 'bike', 'bikes') THEN 'vehicles' WHEN t IN ('building', 'buildings', 'architecture') THEN 'buildings' END"""
 
 
-@_key(fx.sql(f"SELECT text, {_ALIAS_SQL} AS slug FROM (SELECT text, lower(trim(text)) AS t FROM q)", q="SELECT unnest([" + ", ".join(f"'{t}'" for t in _NAMED) + "]) AS text"))
+@_key(f"SELECT t AS text, {_ALIAS_SQL} AS slug FROM (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS t FROM documents) WHERE t <> ''")
 def classify_text_alias(spark, d):
-    q = spark.createDataFrame([(t,) for t in _NAMED], "text string")
-    return q.select("text", search.category_of("text").alias("slug"))
+    """Every word of the documents, as the text that a category is looked for in."""
+    words = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(tx.tokens("text")).alias("text")).distinct()
+    return words.select("text", search.category_of("text").alias("slug"))
 
 
 # ---- classification and calibration
@@ -597,6 +650,20 @@ def arrival_groups(spark, d):
     return duplicates.arrival_groups(items, duplicates.near_pairs(hashed, 18, 1)).select("user_id", "kind", "representative", "image_id")
 
 
+@_key(_SQL["arrival_groups"])
+def arrival_groups_streamed(spark, d):
+    """The same groups from a stream that ends and goes on twice: ids rise from one part of it to the next."""
+    hashed = _hashed(spark, d)
+    items = hashed.select("user_id", "image_id", F.sha2(F.array_join(F.transform("h", lambda x: x.cast("string")), ","), 256).alias("sha256"), "h")
+    root = f"{links.shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    last = items.agg(F.max("image_id")).first()[0] or 0
+    for lo, hi in ((None, last // 4), (last // 4, last // 2), (last // 2, None)):
+        part = items if lo is None else items.where(F.col("image_id") > lo)
+        (part if hi is None else part.where(F.col("image_id") <= hi)).write.mode("append").parquet(f"{root}/in")
+        arrivals.start(spark.readStream.schema(items.schema).parquet(f"{root}/in"), root, 18, 1).awaitTermination()
+    return arrivals.groups(spark, root)
+
+
 _ONLINE = {
     "unit": "SELECT user_id, image_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM vec",
     "near": "SELECT a, b FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rn FROM (SELECT x.image_id AS a, y.image_id AS b, list_sum(list_transform(range(1, len(x.u) + 1), lambda i: x.u[i] * y.u[i])) AS s FROM unit x JOIN unit y ON x.user_id = y.user_id AND y.image_id < x.image_id)) WHERE rn = 1 AND s >= 0.35::DOUBLE",
@@ -646,11 +713,11 @@ def bucket_shared_faces(spark, d):
 @_key(fx.sql("""SELECT user_id, bucket_a, bucket_b, round(cosine, 6) AS cosine FROM (SELECT x.user_id, x.bucket AS bucket_a, y.bucket AS bucket_b, list_sum(list_transform(range(1, 65), lambda i: x.c[i] * y.c[i])) / (sqrt(list_sum(list_transform(x.c, lambda z: z * z))) * sqrt(list_sum(list_transform(y.c, lambda z: z * z)))) AS cosine
   FROM centred x JOIN centred y ON x.user_id = y.user_id AND x.bucket < y.bucket AND abs(epoch_us(x.start_at) - epoch_us(y.start_at)) <= 604800000000) WHERE cosine >= 0.3::DOUBLE""", "photos", "vec", good=_GOOD, dated=_DATED, buckets=_BUCKETS,
   firsts="SELECT user_id, bucket, image_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, bucket ORDER BY taken_at, image_id) AS rn FROM dated) WHERE rn <= 10",
-  centred="SELECT p.user_id, p.bucket, any_value(b.start_at) AS start_at, list(p.x ORDER BY p.pos) AS c FROM (SELECT f.user_id, f.bucket, pos, avg(v.v[pos]) AS x FROM firsts f JOIN vec v ON v.image_id = f.image_id % 200, range(1, 65) r(pos) GROUP BY 1, 2, 3) p JOIN buckets b ON b.user_id = p.user_id AND b.bucket = p.bucket GROUP BY 1, 2"))
+  centred="SELECT p.user_id, p.bucket, any_value(b.start_at) AS start_at, list(p.x ORDER BY p.pos) AS c FROM (SELECT f.user_id, f.bucket, pos, avg(v.v[pos]) AS x FROM firsts f JOIN vec v ON v.image_id = f.image_id % (SELECT count(*) FROM vec), range(1, 65) r(pos) GROUP BY 1, 2, 3) p JOIN buckets b ON b.user_id = p.user_id AND b.bucket = p.bucket GROUP BY 1, 2"))
 def bucket_look_pairs(spark, d):
-    """The test tables have few vectors, so each of the first 200 stands for many photos."""
-    p = fx.photos(spark, d)
-    vectors = p.select("image_id", (F.col("image_id") % 200).alias("of")).join(fx.vec(spark, d).select(F.col("image_id").alias("of"), "v"), "of")
+    """The test tables have fewer vectors than photos, so each vector stands for many photos."""
+    p, v = fx.photos(spark, d), fx.vec(spark, d)
+    vectors = p.select("image_id", (F.col("image_id") % v.count()).alias("of")).join(v.select(F.col("image_id").alias("of"), "v"), "of")
     return events.look_pairs(events.time_buckets(p), vectors, 0.3).withColumn("cosine", _six("cosine"))
 
 
@@ -724,6 +791,29 @@ def stream_sessions(spark, d):
     return _plain(spark.read.schema(found.schema).parquet(name).where("user_id is not null"), "user_id", "n", "first_at", "last_at")
 
 
+_OPEN_MINUTES = 720
+
+
+@_key(f"""WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, event_id, epoch_us(ts) AS us, event_type IN ('purchase', 'error') AS ends FROM events),
+s AS (SELECT *, sum(CAST(ends AS INTEGER)) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS span FROM r),
+q AS MATERIALIZED (SELECT user_id, event_id, us, span, row_number() OVER (PARTITION BY user_id, span ORDER BY us, event_id) AS place FROM s WHERE NOT ends),
+n AS MATERIALIZED (SELECT a.user_id, a.span, a.place, min(b.place) AS later FROM q a JOIN q b ON a.user_id = b.user_id AND a.span = b.span AND b.us > a.us + {_OPEN_MINUTES * 60_000_000} GROUP BY 1, 2, 3),
+o AS (SELECT user_id, span, place FROM q WHERE place = 1 UNION ALL SELECT n.user_id, n.span, n.later FROM o JOIN n ON n.user_id = o.user_id AND n.span = o.span AND n.place = o.place)
+SELECT q.user_id, q.event_id, last_value(CASE WHEN o.place IS NOT NULL THEN q.event_id END IGNORE NULLS) OVER (PARTITION BY q.user_id, q.span ORDER BY q.place ROWS UNBOUNDED PRECEDING) AS job_id, o.place IS NULL AS reused
+FROM q LEFT JOIN o ON o.user_id = q.user_id AND o.span = q.span AND o.place = q.place""")
+def open_requests(spark, d):
+    """Views, clicks and sign-ups ask for a rebuild; a purchase or an error ends the one that is open."""
+    table = spark.read.parquet(f"{d}/events.parquet")
+    name = f"{links.shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table.schema).parquet(f"{d}/events.parque[t]")
+    asked = source.select("user_id", "event_id", "ts", F.col("event_type").isin("purchase", "error").alias("ends"))
+    answers = requests.open_requests(asked, "ts", _OPEN_MINUTES)
+    with arrivals.keyed_state(spark):
+        run = answers.writeStream.format("parquet").option("path", name).option("checkpointLocation", f"{name}-state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(answers.schema).parquet(name)
+
+
 # ---- smaller operators, each on its own
 
 
@@ -762,13 +852,12 @@ def primary_language(spark, d):
   WINDOW w AS (PARTITION BY user_id ORDER BY created_at, image_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "photos"))
 def running_place(spark, d):
     """Running means in 1/100,000 degrees, cut off: the coordinates are hundredths, so sums are exact."""
-    w = Window.partitionBy("user_id").orderBy("created_at", "image_id").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count("lat").over(w)
 
     def mean(c: str) -> Column:
-        return F.when(n > 0, F.floor(F.round(F.sum(c).over(w) * 100) * 1000 / n)).cast("long")
+        return F.when(F.col("n") > 0, F.floor(F.round(F.col(c) * 100) * 1000 / F.col("n"))).cast("long")
 
-    return common.live(fx.photos(spark, d)).select("user_id", "image_id", n.alias("n"), mean("lat").alias("lat"), mean("lng").alias("lng"))
+    rows = events.running_means(common.live(fx.photos(spark, d)).select("user_id", "image_id", "created_at", "lat", "lng"), "created_at")
+    return rows.select("user_id", "image_id", "n", mean("sum_lat").alias("lat"), mean("sum_lng").alias("lng"))
 
 
 @_key("SELECT event_id, 'https://h/' || event_type || '/upload/c_fill,w_96/v' || event_id || '/upload/x.jpg' AS url FROM events")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Accepted types, and the bytes that such files begin with, in hex.
-MAGIC = {"image/jpeg": "FFD8FF", "image/png": "89504E470D0A1A0A", "image/gif": "47494638", "image/bmp": "424D"}
+# Accepted types and the bytes that such files begin with, in hex; brands of the container behind
+# "ftyp", and the two byte orders of another.
+MAGIC = {"image/jpeg": ["FFD8FF"], "image/png": ["89504E470D0A1A0A"], "image/gif": ["474946"], "image/tiff": ["49492A00", "4D4D002A"]}
+BRANDS = {"heic": "image/heic", "heix": "image/heic", "mif1": "image/heif"}
 MOST_BYTES, MOST_FILES = 25 << 20, 20
 
 
@@ -15,8 +19,10 @@ def sniff(content: Column | str) -> Column:
     c = F.col(content) if isinstance(content, str) else content
     head = F.hex(F.substring(c, 1, 12))
     chain = F.when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "image/webp")
-    for mime, magic in MAGIC.items():
-        chain = chain.when(F.startswith(head, F.lit(magic)), mime)
+    for mime, starts in MAGIC.items():
+        chain = chain.when(reduce(lambda a, b: a | b, (F.startswith(head, F.lit(m)) for m in starts)), mime)
+    for brand, mime in BRANDS.items():
+        chain = chain.when(F.substring(head, 9, 16) == (b"ftyp" + brand.encode()).hex().upper(), mime)
     return chain
 
 
