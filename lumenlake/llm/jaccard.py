@@ -45,8 +45,9 @@ LEAST_CHUNK = 256
 GROUP_SHINGLES = 2_000_000
 #: Sets of a component that one task compares with as many others, and shingles that it looks at together.
 LINK_ROWS, LINK_COLUMNS = 1_024, 4_096
-#: log2 of the bits of the filter that picks the documents whose sets are compared: 4 MB.
-FILTER_BITS = 25
+#: Bits per document of the filter that picks those whose sets are compared, and log2 of its bits at least and at most
+#: (16 MB).  More documents than that are picked by a join.
+NODE_BITS, LEAST_BITS, MOST_BITS = 8, 16, 27
 
 
 def shingle_sets(column, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -217,27 +218,27 @@ def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
     return pairs.distinct()
 
 
-def _filter_places(ids: np.ndarray) -> np.ndarray:
-    """Three bits of a Bloom filter for each id."""
+def _filter_places(ids: np.ndarray, size: int) -> np.ndarray:
+    """Three of 2^size bits of a Bloom filter for each id."""
     h = _text.mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([h, h >> np.uint64(64 - FILTER_BITS), h >> np.uint64(32 - FILTER_BITS // 2)]) & np.uint64((1 << FILTER_BITS) - 1)
+    return np.stack([h, h >> np.uint64(64 - size), h >> np.uint64(32 - size // 2)]) & np.uint64((1 << size) - 1)
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter over the column `node` of ids, as an array of longs of fixed size.
+def _id_filter(ids: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of 2^size bits over the column `node` of ids, as an array of longs.
 
     It only spares work: an id that it lets through by mistake gets a set that no pair asks for."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _filter_places(batch.column(0).to_numpy()).ravel()
+            at = _filter_places(batch.column(0).to_numpy(), size).ravel()
             order = np.argsort(at)
             word, bit = (at[order] >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at[order] & np.uint64(63))
             starts = np.flatnonzero(np.diff(word, prepend=-1))
             merged = np.bitwise_or.reduceat(bit, starts) if len(starts) else bit
             yield pa.RecordBatch.from_arrays([pa.array(word[starts]), pa.array(merged.view(np.int64))], ["word", "bits"])
 
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits = np.zeros(1 << (size - 6), np.int64)
     table = ids.mapInArrow(placed, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bits[table["word"].to_numpy()] = table["bits"].to_numpy()
     return bits
@@ -251,20 +252,27 @@ def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 def _sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The shingle sets of the documents among nodes (node, shingles), and a few others.  Texts are read
-    once more rather than shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(nodes))
+    once more rather than shuffled, unless there are more nodes than a filter of bounded size can tell apart."""
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    size = max(LEAST_BITS, int(nodes.count() * NODE_BITS).bit_length())
+    shared = None
+    if size > MOST_BITS:
+        texts = texts.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(_id_filter(nodes, size))
 
     @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _filter_places(batch.column(0).to_numpy())
-            held = (shared.value.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            batch = batch.filter(pa.array(held.all(axis=0)))
+            if shared is not None:
+                at = _filter_places(batch.column(0).to_numpy(), size)
+                held = (shared.value.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+                batch = batch.filter(pa.array(held.all(axis=0)))
             if batch.num_rows:
                 raw = [s.tobytes() for _, s in shingle_sets(batch.column(1), k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["node", "shingles"])
 
-    return materialize(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(sets, "node long, shingles binary"), "sets")
+    return materialize(texts.mapInArrow(sets, "node long, shingles binary"), "sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:

@@ -143,6 +143,20 @@ def near_rows(seed=2):
     return list(zip(order, rows, strict=True))
 
 
+def test_sets_by_a_filter_and_by_a_join(spark, monkeypatch):
+    rows = [(k, f"one two three four five {k} six") for k in range(400)] + [(None, "x y z"), (3, "again and again and so on")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = spark.createDataFrame([(k,) for k in range(0, 400, 3)], "node long")
+    asked = set(range(0, 400, 3))
+    results = []
+    for most in (27, 8):  # a filter, and more nodes than one may have bits for
+        monkeypatch.setattr(jaccard, "MOST_BITS", most)
+        found = [(r["node"], bytes(r["shingles"])) for r in jaccard._sets(nodes, docs, 3).collect()]
+        results.append(sorted(f for f in found if f[0] in asked))
+        assert asked <= {f[0] for f in found} and len(found) < 200
+    assert results[0] == results[1] and len(results[0]) == len(asked) + 1
+
+
 @pytest.mark.parametrize("k,num,den,hot,block", [(3, 90, 100, 1000, 4096), (5, 8, 10, 0, 4), (2, 6, 10, 50, 3)])
 def test_components_match_brute_force(spark, k, num, den, hot, block):
     rows = near_rows()
