@@ -32,25 +32,28 @@ _INDEX = "file int, position long, page_id long, offset long, length long"
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def _page_urn(page_id: int | None) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+def _record_urn(page_id: int | None, digest: str, again: int = 0) -> str:
+    """The id of a record: of its page, its payload, and the number of records before it that share both."""
+    return f"<urn:x-page:{'' if page_id is None else page_id}:{digest}{f':{again}' if again else ''}>"
 
 
 def _page_of(urn: str) -> int | None:
-    name = urn.strip()[len("<urn:x-page:") : -1]
+    name = urn.strip()[len("<urn:x-page:") : -1].partition(":")[0]
     return int(name) if name else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One WARC/1.1 record; a revisit has the HTTP headers alone, with the full payload's length."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str, again: int = 0) -> bytes:
+    """One WARC/1.1 record; a revisit has the HTTP headers alone, with the full payload's length.
+
+    again: how many records of the same page_id and payload there are before it, as no two share an id."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_page_urn(page_id)}", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_urn(page_id, digest, again)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_page_urn(refers_to)}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_urn(refers_to, digest)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
@@ -142,7 +145,7 @@ def plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     equal payload, where a payload of `least` bytes or more occurs more than once.
 
     Digests of equal payloads are counted before the shuffle, and only ids and digests meet in the join
-    by digest.  Payloads are shuffled once, by page_id, together with what was found out about them."""
+    by digest.  Payloads are shuffled once, by page_id and digest, together with what was found out about them."""
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     slim = own.select("page_id", "digest", F.octet_length("payload").alias("n")).where(F.col("n") >= least)
     repeated = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
@@ -155,8 +158,8 @@ def write(pages: DataFrame, path: str, files: int | None = None, date: str = "20
     """Archive every page under path/data and the index of records under path/index; returns the index.
 
     A null html is an empty payload, a null url has no target.  Of rows that agree in page_id and
-    payload one is archived and the others revisit it; a null page_id never is the one referred to.
-    Other columns do not matter, whatever their names; an empty table gives an index without rows; a long
+    payload one is archived and the others revisit it; a null page_id never is the one referred to.  Rows of one
+    page_id, or without any, are dealt to files by their payloads, and no two records share an id.  Other columns do not matter, whatever their names; an empty table gives an index without rows; a long
     payload is a record like others, held by one task at a time.
     """
     spark = pages.sparkSession
@@ -170,6 +173,7 @@ def write(pages: DataFrame, path: str, files: int | None = None, date: str = "20
         number = TaskContext.get().partitionId()
         temporary, position = f"{_file(base, number)}.{uuid.uuid4().hex}", 0
         before = known = first = None
+        again = 0
         waiting: list[int | None] = []
 
         def placed(spots: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -191,15 +195,16 @@ def write(pages: DataFrame, path: str, files: int | None = None, date: str = "20
                     if known != (page_id, digest):
                         first = None
                     revisit = first is not None and (page_id != first or before == (page_id, digest))
+                    again = again + 1 if before == (page_id, digest) else 0
                     before = (page_id, digest)
                     waiting.append(page_id)
-                    spots += writer.add(record(page_id, url, payload, digest, first, revisit, date))
+                    spots += writer.add(record(page_id, url, payload, digest, first, revisit, date, again))
                 yield placed(spots)
             yield placed(writer.close())
         fs.move(temporary, _file(base, number))
 
     rows = plan(pages, least).select("page_id", "url", "payload", "digest", "page", "first")
-    rows = rows.repartition(files, "page_id").sortWithinPartitions("page_id", "digest", "page", "url")
+    rows = rows.repartition(files, "page_id", "digest").sortWithinPartitions("page_id", "digest", "page", "url")
     rows.mapInArrow(written, _INDEX).write.mode("overwrite").parquet(f"{path}/index")
     return spark.read.schema(_INDEX).parquet(f"{path}/index")
 

@@ -151,6 +151,25 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_records_of_one_page_have_ids_of_their_own(spark, tmp_path):
+    """Null and repeated page_ids: spread over files by their payloads, and no id twice."""
+    rows = [(None, "u", f"<p>payload {k % 150}</p>" * 20) for k in range(300)] + [(5, "u", f"<p>five {k % 2}</p>" * 20) for k in range(6)] + [(6, "u", "short")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc.write(pages, f"file://{tmp_path}", files=4)
+    sizes = [r["count"] for r in index.where("page_id is null").groupBy("file").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 150
+    seen = []
+    for r in index.collect():
+        with open(f"{tmp_path}/data/part-{r['file']:06d}.warc.zst", "rb") as f:
+            unpack = warc.decompressor(f)
+            f.seek(r["offset"])
+            seen.append(re.search(rb"WARC-Record-ID: (\S+)", unpack.decompress(f.read(r["length"])))[1])
+    assert len(seen) == len(set(seen)) == len(rows)
+    got = warc.read(spark, f"file://{tmp_path}").collect()
+    assert sorted(str(r["refers_to"]) for r in got if r["page_id"] == 5) == ["5"] * 4 + ["None"] * 2
+    assert sum(r["record_type"] == "response" for r in got if r["page_id"] is None) == 300
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
