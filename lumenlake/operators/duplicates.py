@@ -50,6 +50,17 @@ def near_pairs(items: DataFrame, limit: int, words: int, owner: str = "user_id")
     return near.select(owner, "a", "b", "distance").distinct()
 
 
+def near_classes(items: DataFrame, limit: int, words: int, owner: str = "user_id") -> DataFrame:
+    """(owner, kind, a, b, distance): every image b as a member of the class of its hash, named by the least image a that
+    has the same one, and the pairs a < b of classes whose hashes differ in `limit` bits at most.
+
+    Copies, such as blank images, count as one class, so a hash that very many have meets others once."""
+    classes = items.groupBy(owner, "h").agg(F.min("image_id").alias("image_id"))
+    members = items.select(owner, "h", F.col("image_id").alias("b")).join(classes.withColumnRenamed("image_id", "a"), [owner, "h"])
+    members = members.select(owner, F.lit("MEMBER").alias("kind"), "a", "b", F.lit(0).alias("distance"))
+    return members.unionByName(near_pairs(classes, limit, words, owner).select(owner, F.lit("NEAR").alias("kind"), "a", "b", "distance"))
+
+
 def group_pairs(pairs: DataFrame) -> DataFrame:
     """Members of the groups that pairs (a, b) connect: (image_id, group_id), the least id naming a group.
 

@@ -160,20 +160,46 @@ def shared_faces(members: DataFrame, starts: DataFrame, least: int = FACE_SHARED
     return pairs.groupBy("user_id", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
-def _merge_all(buckets: list[dict], joins, merge) -> list[dict]:
+def _merge_all(buckets: list[dict], joins, merge, days: int) -> list[dict]:
     """Merge the first pair (in order) that joins, and start over, until no pair does.
 
     After a merge only pairs with the merged bucket are new, so the search goes on with those: the buckets
-    before it in turn, and then those behind it."""
+    before it in turn, and then those behind it.  If buckets come in order of their starts, the undated last, a
+    merge keeps them so; the search then ends where starts are more than `days` away, and an owner of very many
+    buckets takes time in proportion to them."""
     buckets = list(buckets)
+    span = timedelta(days=days)
+    starts = [b["start_at"] for b in buckets]
+    dated = [s for s in starts if s is not None]
+    ordered = dated == sorted(dated) and starts[: len(dated)] == dated
+
+    def behind(i: int):
+        if not ordered:
+            yield from range(i + 1, len(buckets))
+            return
+        at, j = buckets[i]["start_at"], i + 1
+        while j < len(buckets) and buckets[j]["start_at"] is not None and (at is None or buckets[j]["start_at"] - at <= span):
+            yield j
+            j += 1
+        k = len(buckets)
+        while k > j and buckets[k - 1]["start_at"] is None:
+            k -= 1
+        yield from range(k, len(buckets))
+
+    def before(i: int):
+        at, first = buckets[i]["start_at"] if ordered else None, i
+        while first and at is not None and buckets[first - 1]["start_at"] is not None and at - buckets[first - 1]["start_at"] <= span:
+            first -= 1
+        return range(0 if at is None else first, i)
+
     i = 0
     while i < len(buckets):
-        j = next((j for j in range(i + 1, len(buckets)) if joins(buckets[i], buckets[j])), None)
+        j = next((j for j in behind(i) if joins(buckets[i], buckets[j])), None)
         if j is None:
             i += 1
         while j is not None:
             buckets[i] = merge(buckets[i], buckets.pop(j))
-            k = next((k for k in range(i) if joins(buckets[k], buckets[i])), None)
+            k = next((k for k in before(i) if joins(buckets[k], buckets[i])), None)
             i, j = (i, None) if k is None else (k, i)
     return buckets
 
@@ -205,7 +231,7 @@ def merge_places(buckets: list[dict], km: float = PLACE_KM, days: int = PLACE_DA
             return False
         return _within(a, b, days) and haversine(a["lat"], a["lng"], b["lat"], b["lng"]) <= km
 
-    return _merge_all(buckets, joins, lambda a, b: {**_joined(a, b), "lat": (a["lat"] + b["lat"]) / 2, "lng": (a["lng"] + b["lng"]) / 2})
+    return _merge_all(buckets, joins, lambda a, b: {**_joined(a, b), "lat": (a["lat"] + b["lat"]) / 2, "lng": (a["lng"] + b["lng"]) / 2}, days)
 
 
 def _cosine(a, b) -> float:
@@ -229,7 +255,7 @@ def merge_looks(buckets: list[dict], vectors: dict, cosine: float = LOOK_COSINE,
             one[c] = a[c] if a[c] is not None else b[c]
         return one
 
-    return _merge_all(buckets, joins, merge)
+    return _merge_all(buckets, joins, merge, days)
 
 
 def merge_faces(buckets: list[dict], clusters: dict, least: int = FACE_SHARED, days: int = FACE_DAYS) -> list[dict]:
@@ -241,7 +267,7 @@ def merge_faces(buckets: list[dict], clusters: dict, least: int = FACE_SHARED, d
     def joins(a: dict, b: dict) -> bool:
         return len(a["people"] & b["people"]) >= least and _within(a, b, days)
 
-    return _merge_all(buckets, joins, lambda a, b: {**_joined(a, b), "people": a["people"] | b["people"]})
+    return _merge_all(buckets, joins, lambda a, b: {**_joined(a, b), "people": a["people"] | b["people"]}, days)
 
 
 def cluster(images: DataFrame, vectors: DataFrame, faces: DataFrame, cosine: float = LOOK_COSINE) -> DataFrame:

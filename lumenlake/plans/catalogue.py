@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from .. import fixtures as fx
 from ..functions import text as tx
 from ..functions.vector import average_bits, average_hash, dot
-from ..operators import common, duplicates, events, fulltext, links, scoring, vector_index
+from ..operators import common, duplicates, events, fulltext, links, scoring, stored, vector_index
+from ..sources import keyset
 from ..streaming import arrivals, requests
 from ..streaming import jobs as streaming
 from . import library, search
@@ -621,6 +622,24 @@ def near_duplicate_pairs(spark, d):
     return duplicates.near_pairs(_hashed(spark, d), 18, 1).select("a", "b", "distance")
 
 
+def _above(threshold: float):
+    return lambda x: (x >= threshold).cast("int").cast("string")
+
+
+#: A hash of 1,024 bits: 16 thresholds of each of 64 components.
+_WIDE = "SELECT image_id, user_id, flatten(list_transform(range(0, 16), lambda t: list_transform(v, lambda x: CASE WHEN x >= (t - 7.5::DOUBLE) / 8 THEN 1 ELSE 0 END))) AS b FROM vec"
+
+
+@_key(fx.sql("""SELECT user_id, 'MEMBER' AS kind, min(image_id) OVER (PARTITION BY user_id, b) AS a, image_id AS b, CAST(0 AS INTEGER) AS distance FROM wide
+  UNION ALL SELECT x.user_id, 'NEAR', x.image_id, y.image_id, CAST(list_sum(list_transform(range(1, 1025), lambda i: abs(x.b[i] - y.b[i]))) AS INTEGER) AS distance FROM firsts x JOIN firsts y ON x.user_id = y.user_id AND x.image_id < y.image_id
+  WHERE list_sum(list_transform(range(1, 1025), lambda i: abs(x.b[i] - y.b[i]))) <= 50""", "vec", wide=_WIDE, firsts="SELECT user_id, b, min(image_id) AS image_id FROM wide GROUP BY 1, 2"))
+def near_hash_classes(spark, d):
+    """Hashes of 1,024 bits within 50 bits: classes of equal ones, and the pairs of classes."""
+    words = [F.conv(F.array_join(F.transform("v", _above((t - 7.5) / 8)), ""), 2, -10).cast("long") for t in range(16)]
+    hashes = fx.vec(spark, d).select("image_id", "user_id", F.array(*words).alias("h"))
+    return duplicates.near_classes(hashes, 50, 16).select("user_id", "kind", "a", "b", "distance")
+
+
 @_key("WITH RECURSIVE " + fx.sql("SELECT image_id, min(g) AS group_id FROM reach GROUP BY 1", "vec", bits=_BITS, pairs=_NEAR_PAIRS, edges="SELECT a, b FROM pairs WHERE distance <= 18 UNION SELECT b, a FROM pairs WHERE distance <= 18").removeprefix("WITH ").replace(
     " SELECT image_id, min(g)", ", reach AS (SELECT a AS image_id, a AS g FROM edges UNION SELECT e.b, r.g FROM reach r JOIN edges e ON e.a = r.image_id) SELECT image_id, min(g)"))
 def duplicate_groups(spark, d):
@@ -721,7 +740,46 @@ def bucket_look_pairs(spark, d):
     return events.look_pairs(events.time_buckets(p), vectors, 0.3).withColumn("cosine", _six("cosine"))
 
 
-@_key()
+def _merged_sql(name: str, source: str, joins: str, more: str) -> str:
+    """A recursive CTE that merges the first pair (x, y) of each owner's rows that joins, until none does; `more` are
+    the columns of the merged row beside what all merges keep."""
+    return f"""{name}_steps AS (
+      SELECT 0 AS step, * FROM {source} UNION ALL
+      SELECT w.step + 1, w.user_id, w.i, CASE WHEN y.i IS NULL THEN w.parts ELSE list_concat(w.parts, y.parts) END, CASE WHEN y.i IS NULL THEN w.images ELSE list_concat(w.images, y.images) END,
+        CASE WHEN y.i IS NULL THEN w.start_at ELSE least(coalesce(w.start_at, y.start_at), coalesce(y.start_at, w.start_at)) END, {more}
+      FROM {name}_steps w JOIN (SELECT x.user_id, min(x.i * 1000000 + y.i) AS ij FROM {name}_steps x JOIN {name}_steps y ON x.user_id = y.user_id AND x.i < y.i WHERE {joins} GROUP BY 1) f ON f.user_id = w.user_id
+        LEFT JOIN {name}_steps y ON y.user_id = w.user_id AND y.i = f.ij % 1000000 AND w.i = f.ij // 1000000
+      WHERE w.i <> f.ij % 1000000),
+    {name} AS MATERIALIZED (SELECT * EXCLUDE (step, most) FROM (SELECT *, max(step) OVER (PARTITION BY user_id) AS most FROM {name}_steps) WHERE step = most)"""
+
+
+def _within_sql(days: int) -> str:
+    return f"coalesce(abs(epoch_us(x.start_at) - epoch_us(y.start_at)) <= {days * 86_400_000_000}, TRUE)"
+
+
+def _either(column: str, merged: str) -> str:
+    return f"CASE WHEN y.i IS NULL THEN w.{column} ELSE {merged} END"
+
+
+_NO_VECTOR = "CAST(NULL AS DOUBLE[])"
+_SIZE = "sqrt(list_sum(list_transform({0}, lambda z: z * z)))"
+_CLUSTERS = "WITH RECURSIVE " + fx.sql("", "photos", "faces", "vec", good=_GOOD, dated=_DATED).removeprefix("WITH ").strip() + f""",
+undated AS (SELECT user_id, image_id FROM photos WHERE NOT deleted AND status = 'COMPLETED' AND taken_at IS NULL QUALIFY count(*) OVER (PARTITION BY user_id) >= 3),
+members AS MATERIALIZED (SELECT user_id, bucket, image_id, taken_at, lat, lng FROM dated UNION ALL SELECT user_id, 1099511627776, image_id, NULL, NULL, NULL FROM undated),
+seen AS (SELECT user_id, bucket, list(DISTINCT cluster_id) AS people FROM members JOIN faces USING (image_id) GROUP BY 1, 2),
+base AS MATERIALIZED (SELECT m.user_id, row_number() OVER (PARTITION BY m.user_id ORDER BY m.bucket) AS i, [m.bucket] AS parts, images, start_at, lat, lng, coalesce(people, []) AS people, {_NO_VECTOR} AS centre
+  FROM (SELECT user_id, bucket, list(image_id ORDER BY taken_at, image_id) AS images, min(taken_at) AS start_at, avg(lat) AS lat, avg(lng) AS lng FROM members GROUP BY 1, 2) m LEFT JOIN seen ON seen.user_id = m.user_id AND seen.bucket = m.bucket),
+{_merged_sql("near", "base", f"x.lat IS NOT NULL AND y.lat IS NOT NULL AND {_within_sql(2)} AND 2 * 6371.0::DOUBLE * atan2(sqrt({_H}), sqrt(1 - ({_H}))) <= 50",
+  f"{_either('lat', '(w.lat + y.lat) / 2')}, {_either('lng', '(w.lng + y.lng) / 2')}, {_either('people', 'list_distinct(list_concat(w.people, y.people))')}, w.centre")},
+means AS (SELECT user_id, i, list(x ORDER BY pos) AS found FROM (SELECT user_id, i, pos, avg(v[pos]) AS x FROM (SELECT user_id, i, unnest(images[1:10]) AS image_id FROM near) JOIN (SELECT image_id, v FROM vec) USING (image_id), range(1, 65) r(pos) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+pictured AS MATERIALIZED (SELECT near.* EXCLUDE (centre), found AS centre FROM near LEFT JOIN means ON means.user_id = near.user_id AND means.i = near.i),
+{_merged_sql("alike", "pictured", f"x.centre IS NOT NULL AND y.centre IS NOT NULL AND {_within_sql(7)} AND list_sum(list_transform(range(1, 65), lambda k: x.centre[k] * y.centre[k])) / ({_SIZE.format('x.centre')} * {_SIZE.format('y.centre')}) >= 0.35::DOUBLE",
+  f"{_either('lat', 'coalesce(w.lat, y.lat)')}, {_either('lng', 'coalesce(w.lng, y.lng)')}, {_either('people', 'list_distinct(list_concat(w.people, y.people))')}, {_either('centre', 'list_transform(range(1, 65), lambda k: (w.centre[k] + y.centre[k]) / 2)')}")},
+{_merged_sql("known", "alike", f"len(list_intersect(x.people, y.people)) >= 2 AND {_within_sql(30)}", f"w.lat, w.lng, {_either('people', 'list_distinct(list_concat(w.people, y.people))')}, w.centre")}
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY parts[1]) - 1 AS INTEGER) AS event, images[1] AS cover, CAST(len(images) AS INTEGER) AS n, {_time('start_at')} AS start_at, array_to_string(images, ',') AS images FROM known WHERE len(images) >= 3"""
+
+
+@_key(_CLUSTERS)
 def event_clusters(spark, d):
     found = events.cluster(fx.photos(spark, d), fx.vec(spark, d), fx.faces(spark, d), 0.35)
     return _plain(found.withColumn("images", F.array_join(F.transform("images", lambda i: i.cast("string")), ",")), "user_id", "event", "cover", "n", "start_at", "images")
@@ -940,6 +998,37 @@ def recategorize_dry_run(spark, d):
     return scoring.changes(v.select("image_id", F.col("category").alias("slug")), new)
 
 
+@_key(_SQL["recategorize_dry_run"])
+def recategorize_resumed(spark, d):
+    """The same changes, found in batches of ids by a run that is stopped after the first and goes on."""
+    v, prototypes = fx.vec(spark, d), _prototypes(spark, d)
+    path = f"{links.shared_folder(spark)}/recategorize-{uuid.uuid4().hex}"
+
+    def process(batch: DataFrame, number: int) -> None:
+        new = scoring.classify(batch.select("image_id", "v"), prototypes, 0.05, fallback=0).select("image_id", "slug")
+        scoring.changes(batch.select("image_id", F.col("category").alias("slug")), new).write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    rows = max(1, v.count() // 4)
+    try:
+        keyset.run(v, "image_id", path, process, rows, most=1)
+    except keyset.Stopped:
+        keyset.run(v, "image_id", path, process, rows)
+    return spark.read.parquet(f"{path}/changes").select("image_id", "slug", "change")
+
+
+@_key(fx.sql("SELECT user_id, image_id, CASE WHEN user_id % 7 = 1 AND image_id % 2 = 0 THEN 'FAILED' ELSE status END AS status FROM photos WHERE NOT (user_id % 7 = 2 AND image_id % 5 = 0) UNION ALL SELECT user_id, -image_id, 'PROCESSING' FROM photos WHERE user_id % 7 = 3", "photos"))
+def merged_table(spark, d):
+    """A stored table after two merges that touch some owners only: changed and new rows, and rows that go."""
+    photos = fx.photos(spark, d).select("user_id", "image_id", "status")
+    root = f"{links.shared_folder(spark)}/photos-{uuid.uuid4().hex}"
+    stored.create(photos, root, ["user_id", "image_id"], ["user_id"], 32)
+    changed = photos.where("user_id % 7 = 1 and image_id % 2 = 0").withColumn("status", F.lit("FAILED"))
+    added = photos.where("user_id % 7 = 3").select("user_id", (-F.col("image_id")).alias("image_id"), F.lit("PROCESSING").alias("status"))
+    stored.merge(spark, root, changed.unionByName(added))
+    stored.merge(spark, root, gone=photos.where("user_id % 7 = 2 and image_id % 5 = 0"))
+    return stored.read(spark, root)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -70,8 +70,9 @@ def model_merge(buckets, joins, merge):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 200), st.integers(0, 96)), max_size=9))
-def test_merges_match_a_literal_restart(points):
+@given(st.lists(st.tuples(st.integers(0, 200), st.integers(0, 96)), max_size=9), st.booleans())
+def test_merges_match_a_literal_restart(points, in_order):
+    points = sorted(points, key=lambda p: p[1]) if in_order else points
     buckets = [bucket(i, hours(h), p / 100.0, 0.5) for i, (p, h) in enumerate(points)]
 
     def joins(a, b):
