@@ -165,6 +165,13 @@ def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{last}/{name}")
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """df to be joined as a copy in every task, after its rows are counted; ValueError if there are more than `most`."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows are no small side of a join")
+    return F.broadcast(df)
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

@@ -148,16 +148,22 @@ def look_pairs(buckets: DataFrame, vectors: DataFrame, least: float = LOOK_COSIN
 
 
 def shared_faces(members: DataFrame, starts: DataFrame, least: int = FACE_SHARED, days: int = FACE_DAYS) -> DataFrame:
-    """Pairs of an owner's buckets with `least` clusters in common, starting within days of each other.
-
-    members: (user_id, bucket, cluster_id); starts: (user_id, bucket, start_at).  The time test comes
-    before the pairs are counted, and buckets meet by cluster."""
-    own = members.distinct().join(starts, ["user_id", "bucket"])
-    a = own.select("user_id", "cluster_id", F.col("bucket").alias("a"), F.col("start_at").alias("sa"))
-    b = own.select("user_id", "cluster_id", F.col("bucket").alias("b"), F.col("start_at").alias("sb"))
-    apart = F.abs(F.unix_micros(F.col("sa").cast("timestamp")) - F.unix_micros(F.col("sb").cast("timestamp")))
-    pairs = a.join(b, ["user_id", "cluster_id"]).where("a < b").where(F.coalesce(apart <= days * 86_400_000_000, F.lit(True)))
-    return pairs.groupBy("user_id", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    """Pairs of an owner's buckets with `least` clusters in common, starting within days of each other; an undated bucket
+    is near all of them.
+
+    members: (user_id, bucket, cluster_id); starts: (user_id, bucket, start_at).  Dated buckets meet by cluster and cell
+    of `days`, so one cluster that is in very many of them is spread over time; an owner has an undated bucket or none."""
+    span = days * 86_400_000_000
+    own = members.distinct().join(starts, ["user_id", "bucket"]).withColumn("at", F.unix_micros(F.col("start_at").cast("timestamp")))
+    dated = own.where("at is not null").withColumn("cell", F.floor(F.col("at") / span))
+    a = dated.select("user_id", "cluster_id", "cell", F.col("bucket").alias("a"), F.col("at").alias("at_a"))
+    around = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
+    b = dated.select("user_id", "cluster_id", around, F.col("bucket").alias("b"), F.col("at").alias("at_b"))
+    near = a.join(b, ["user_id", "cluster_id", "cell"]).where("a < b").where(F.abs(F.col("at_a") - F.col("at_b")) <= span).select("user_id", "a", "b")
+    x = own.where("at is null").select("user_id", "cluster_id", F.col("bucket").alias("x"))
+    y = own.select("user_id", "cluster_id", F.col("bucket").alias("y"), "at")
+    any_time = x.join(y, ["user_id", "cluster_id"]).where("x <> y and (at is not null or x < y)").select("user_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return near.unionByName(any_time).groupBy("user_id", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def _merge_all(buckets: list[dict], joins, merge, days: int) -> list[dict]:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.vector import dot, guarded
 from . import order
+from .common import few
 
 # Calibration grids.
 THRESHOLDS = [round(i / 100, 2) for i in range(5, 50)]
@@ -24,9 +25,13 @@ def centroids(vectors: DataFrame, key: str = "category") -> DataFrame:
     return parts.groupBy(key).agg(F.transform(ordered, lambda p: p["x"]).alias("centre"))
 
 
+#: Prototypes that every vector is compared with at most.
+MOST_PROTOTYPES = 10_000
+
+
 def class_scores(vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """Every vector against every prototype (slug, centre); prototypes are a handful and go to all tasks."""
-    return vectors.join(F.broadcast(prototypes)).withColumn("score", dot("v", "centre")).drop("centre", "v")
+    """Every vector against every prototype (slug, centre), which go to all tasks once they are counted."""
+    return vectors.join(few(prototypes, MOST_PROTOTYPES)).withColumn("score", dot("v", "centre")).drop("centre", "v")
 
 
 def softmax(scores: DataFrame, keys: list[str], temperature: float | Column = 1.0) -> DataFrame:

@@ -518,14 +518,15 @@ def stale_categories(spark, d):
     return scoring.stale(c.select("image_id", "slug"), c.where(F.col("confidence") >= F.lit(0.5)))
 
 
-_PAIRS = "SELECT (a.category = b.category) AS relevant, round(list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])), 6) AS score FROM vec a JOIN vec b ON a.user_id = b.user_id AND a.image_id < b.image_id"
+_PAIRS = "SELECT (a.category = b.category) AS relevant, round(list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])), 6) AS score FROM vec a, range(1, 21) r(k) JOIN vec b ON b.image_id = a.image_id + 5 * k"
 
 
 def _pairs(spark, d) -> DataFrame:
+    """A labelled pair for each vector and each of the next 20 of its owner: as many pairs as that for every vector."""
     v = fx.vec(spark, d)
-    a = v.select("user_id", F.col("image_id").alias("a"), F.col("category").alias("ca"), F.col("v").alias("va"))
-    b = v.select("user_id", F.col("image_id").alias("b"), F.col("category").alias("cb"), F.col("v").alias("vb"))
-    return a.join(b, "user_id").where("a < b").select((F.col("ca") == F.col("cb")).alias("relevant"), F.round(dot("va", "vb"), 6).alias("score"))
+    a = v.select(F.col("category").alias("ca"), F.col("v").alias("va"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.col("image_id") + 5 * k)).alias("b"))
+    b = v.select(F.col("image_id").alias("b"), F.col("category").alias("cb"), F.col("v").alias("vb"))
+    return a.join(b, "b").select((F.col("ca") == F.col("cb")).alias("relevant"), F.round(dot("va", "vb"), 6).alias("score"))
 
 
 @_key(fx.sql("""SELECT relevant, n, round(mean, 6) AS mean, round(std, 6) AS std, low, x[least(n, CAST(floor(n * 0.25::DOUBLE) AS BIGINT) + 1)] AS p25, x[least(n, CAST(floor(n * 0.5::DOUBLE) AS BIGINT) + 1)] AS p50, x[least(n, CAST(floor(n * 0.75::DOUBLE) AS BIGINT) + 1)] AS p75, high

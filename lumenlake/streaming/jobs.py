@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..operators.events import assign_clusters
@@ -89,23 +90,29 @@ def retain(jobs: DataFrame, order: list, completed: int = 200, failed: int = 500
     return latest("COMPLETED", completed).unionByName(latest("FAILED", failed))
 
 
+class _Identities(StatefulProcessor):
+    """The faces of an owner so far, in a list that only grows at its end."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getListState("known", "id bigint, v array<double>, cluster bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = [(int(i), list(v), int(c)) for i, v, c in self.known.get()]
+        fresh = sorted((int(r["image_id"]), [float(x) for x in r["v"]]) for r in rows)
+        before = len(known)
+        found = assign_clusters(fresh, known, self.threshold)
+        self.known.appendList(known[before:])
+        return iter([Row(user_id=key[0], image_id=i, cluster_id=c) for i, c in found])
+
+
 def online_clusters(faces: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """Face clusters of a stream (user_id, image_id, v): each owner's faces are kept as state."""
-    state = "known array<struct<id:long,v:array<double>,cluster:long>>"
-    out = "user_id long, image_id long, cluster_id long"
-
-    def step(key, frames: Iterator, group) -> Iterator:
-        import pandas as pd
-
-        known = [(int(r["id"]), list(r["v"]), int(r["cluster"])) for r in (group.get[0] if group.exists else [])]
-        rows = []
-        for pdf in frames:
-            rows += [(int(i), [float(x) for x in v]) for i, v in pdf[["image_id", "v"]].itertuples(index=False)]
-        found = assign_clusters(sorted(rows, key=lambda r: r[0]), known, threshold)
-        group.update(([{"id": i, "v": v, "cluster": c} for i, v, c in known],))
-        yield pd.DataFrame([(key[0], i, c) for i, c in found], columns=["user_id", "image_id", "cluster_id"])
-
-    return faces.select("user_id", "image_id", "v").groupBy("user_id").applyInPandasWithState(step, out, state, "append", "NoTimeout")
+    """Face clusters of a stream (user_id, image_id, v): each owner's faces are kept as state, to which a batch adds its
+    own and nothing else is written.  Start it inside arrivals.keyed_state()."""
+    rows = faces.select("user_id", "image_id", "v").groupBy("user_id")
+    return rows.transformWithState(_Identities(threshold), "user_id bigint, image_id bigint, cluster_id bigint", "append", "none")
 
 
 def batch_sessions(events: DataFrame, time: str, owner: str, gap: str = "6 hours") -> DataFrame:

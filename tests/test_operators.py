@@ -12,7 +12,7 @@ from lumenlake import schema
 from lumenlake.operators import common, duplicates, events, links, neighbours, scoring
 from lumenlake.plans import library
 from lumenlake.sources import files
-from lumenlake.streaming import jobs
+from lumenlake.streaming import arrivals, jobs
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -338,6 +338,7 @@ def test_streamed_face_clusters(spark, tmp_path):
     faces = spark.createDataFrame([(1, 1, [1.0, 0.0]), (1, 2, [0.99, 0.1]), (1, 3, [0.0, 1.0]), (2, 4, [1.0, 0.0])], "user_id long, image_id long, v array<double>")
     faces.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(faces.schema).parquet(str(tmp_path / "in"))
-    run = jobs.online_clusters(source).writeStream.format("memory").queryName("clusters").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    with arrivals.keyed_state(spark):
+        run = jobs.online_clusters(source).writeStream.format("memory").queryName("clusters").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("clusters").collect()) == [(1, 1, 1), (1, 2, 1), (1, 3, 3), (2, 4, 4)]

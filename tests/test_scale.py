@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenlake.functions.geo import haversine
-from lumenlake.operators import events, order, scan, vector_index
+from lumenlake.operators import common, events, order, scan, vector_index
 from lumenlake.plans import search
 from lumenlake.sources import files
 
@@ -79,6 +79,31 @@ def test_cells_of_longitude_part_what_one_latitude_held_together(spark):
     assert found == 0 and met < 1_000
 
 
+def test_shared_faces_by_cells_of_time(spark):
+    rng = random.Random(1)
+    starts = [(u, b, None if b == 59 else datetime(2024, 1, 1) + timedelta(days=rng.choice([0, 30, 60, 61, 90, 400]), hours=rng.randint(0, 1))) for u in (0, 1) for b in range(60)]
+    members = [(u, b, c) for u, b, _ in starts for c in [7, *rng.sample(range(12), 2)] for _ in range(2)]
+    people, at = {}, {(u, b): t for u, b, t in starts}
+    for u, b, c in members:
+        people.setdefault((u, b), set()).add(c)
+    want = set()
+    for u in (0, 1):
+        for a in range(60):
+            for b in range(a + 1, 60):
+                n, x, y = len(people[u, a] & people[u, b]), at[u, a], at[u, b]
+                if n >= 2 and (x is None or y is None or abs(x - y) <= timedelta(days=30)):
+                    want.add((u, a, b, n))
+    frame = spark.createDataFrame(members, "user_id long, bucket long, cluster_id long")
+    got = [tuple(r) for r in events.shared_faces(frame, spark.createDataFrame(starts, "user_id long, bucket long, start_at timestamp_ntz")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(b == 59 for _, _, b, _ in want)
+
+
+def test_a_small_side_is_counted(spark):
+    assert common.few(spark.range(3), 3).count() == 3
+    with pytest.raises(ValueError):
+        common.few(spark.range(4), 3)
+
+
 def plain_rank(values, place):
     return sorted(values)[min(len(values) - 1, int(len(values) * place))]
 
