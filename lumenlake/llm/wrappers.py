@@ -554,6 +554,19 @@ def _aligned(shapes: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Shapes of a host that one task aligns, about.
 BUCKET_SHAPES = 256
+
+
+def _folded(shapes: DataFrame) -> DataFrame:
+    """One wrapper per host: its shapes are aligned in buckets, the buckets' wrappers in buckets again, and so on."""
+    while True:
+        buckets = shapes.groupBy("host").agg(F.ceil(F.count("*") / BUCKET_SHAPES).alias("buckets"))
+        most = buckets.agg(F.max("buckets")).first()[0] or 1
+        dealt = shapes.join(buckets, "host").withColumn("bucket", F.pmod(F.xxhash64("shape"), "buckets"))
+        shapes = materialize(_aligned(dealt, ["host", "bucket"]).distinct(), "page-wrappers")
+        if most == 1:
+            return shapes
+
+
 #: Wrappers of this many bytes in all are handed to every task; more are joined by host.
 BROADCAST_BYTES = 16 << 20
 
@@ -562,14 +575,10 @@ def infer(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int =
     """Per host of pages (url, html): `wrapper` (the expression), `shape` (the same as JSON), `slots` (layout
     -> slots that hold the article) and `rule` (JSON of both).
 
-    Equal shapes of a host count once, and so do pages of equal texts.  Shapes are aligned in buckets first
-    and the buckets' wrappers then, so that a large host is no single task.  A null url belongs to the host ""."""
+    Equal shapes of a host count once, and so do pages of equal texts.  Shapes are aligned in a tree of buckets, so that
+    no task aligns more than about BUCKET_SHAPES of a host.  A null url belongs to the host ""."""
     bound_batches(pages.sparkSession, rows=2_000)
-    shapes = materialize(_shapes(pages), "page-shapes")
-    buckets = shapes.groupBy("host").agg(F.ceil(F.count("*") / BUCKET_SHAPES).alias("buckets"))
-    dealt = shapes.join(buckets, "host").withColumn("bucket", F.pmod(F.xxhash64("shape"), "buckets"))
-    part = _aligned(dealt, ["host", "bucket"])
-    wrapper = materialize(_aligned(part.distinct(), ["host"]), "page-wrappers")
+    wrapper = _folded(materialize(_shapes(pages), "page-shapes"))
     stats = (
         _observe(pages, wrapper, broadcast_bytes, salts)
         .groupBy("host", "layout", "content", "slot")

@@ -138,3 +138,17 @@ def test_copies_headings_and_layouts_keep_their_text(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     for most in (1 << 24, 0):
         assert {r["page_id"]: r["text"] for r in w.extract(frame, broadcast_bytes=most).collect()} == want
+
+
+def test_a_host_of_many_shapes_is_folded_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(w, "BUCKET_SHAPES", 4)
+    rows = [(i, f"http://big.example/{i}", f"<body><div class=top>menu</div><main><h1>t{i}</h1>{''.join(f'<h{2 + k}>s</h{2 + k}>' for k in range(5) if i >> k & 1)}<p>body {i}</p></main></body>") for i in range(32)]
+    rows += [(100 + i, f"http://small.example/{i}", f"<body><main><p>text {i}</p></main></body>") for i in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sizes, aligned = [], w._aligned
+    monkeypatch.setattr(w, "_aligned", lambda shapes, keys: (sizes.append(shapes.groupBy(*keys).count().agg({"count": "max"}).first()[0]), aligned(shapes, keys))[1])
+    folded = w._folded(w._shapes(frame))
+    assert sorted(r["host"] for r in folded.collect()) == ["big.example", "small.example"]
+    assert len(sizes) > 2 and max(sizes) < 16  # 32 shapes, no bucket with nearly all of them
+    got = {r["page_id"]: r["text"] for r in w.extract(frame).collect()}
+    assert all(got[i].startswith(f"t{i}") and got[i].endswith(f"body {i}") for i in range(32)) and got[101] == "text 1"
