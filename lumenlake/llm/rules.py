@@ -151,8 +151,9 @@ def _worth(rule: list[Condition], rows: list[dict], target: str) -> float:
 def learn(rows: list[dict], target: str, features: tuple[str, ...] = FEATURES, most_rules: int = 12, most_conditions: int = 4, least_precision: float = 0.9) -> list[list[Condition]]:
     """An ordered list of rules, each a conjunction, that cover the rows whose target is 1.
 
-    Of each three rows two grow a rule and one prunes it.  Learning ends with the first rule that is
-    right about too few of the rows it covers."""
+    Of each three rows two grow a rule and one prunes it.  Learning ends with most_rules rules, or with the first one
+    that is right about fewer than least_precision of the rows it covers, or covers fewer than three; a rule has
+    most_conditions conditions at most.  These bound the list, not the rows that it judges."""
     rules: list[list[Condition]] = []
     while len(rules) < most_rules and any(r[target] for r in rows):
         growing, pruning = [r for i, r in enumerate(rows) if i % 3], rows[::3]
@@ -168,8 +169,8 @@ def learn(rows: list[dict], target: str, features: tuple[str, ...] = FEATURES, m
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[list[Condition]]:
-    """Learn the list from the statistics of labelled documents that pass the base filter.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, **bounds) -> list[list[Condition]]:
+    """Learn the list from the statistics of labelled documents that pass the base filter, within the bounds of learn().
 
     At most `rows` labelled documents are used, those of the least hash of doc_id; only their
     statistics come to the driver.  Null labels are left out; a doc_id labelled more than once counts
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[l
     # a filter would be pushed below the statistics and compute them once more, so it runs here
     got = stats.select("doc_id", "base_failed", *FEATURES, (F.col("__quality") == 0).cast("int").alias("bad")).collect()
     ordered = sorted((r.asDict() for r in got if not r["base_failed"]), key=lambda r: (hash((r["doc_id"] * 2654435761) & 0xFFFFFFFF), r["doc_id"]))
-    return learn(ordered, "bad")
+    return learn(ordered, "bad", **bounds)
 
 
 def verdict(rules: list[list[Condition]]) -> Column:
@@ -201,13 +202,14 @@ def fired(rules: list[list[Condition]]) -> Column:
     return F.lit(None).cast("string") if chain is None else chain
 
 
-def judge(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, **bounds) -> DataFrame:
     """docs with statistics(), `kept` and `rule`: kept is false if the base filter fails or a learned
     rule fires.  Without labels nothing is learned and the base filter decides alone.
 
     Rules are learned on `rows` labelled documents at most, those of the least hash of doc_id, with
     thresholds at 64 quantiles of each statistic at most; of rules that do equally well the first in the order
-    of the statistics wins.  Each row is judged by its own text, so repeated rows are judged alike; columns of
+    of the statistics wins; the list has at most 12 rules of 4 conditions, each right about nine in ten of what it
+    covers, unless bounds (most_rules, most_conditions, least_precision) say otherwise.  Each row is judged by its own text, so repeated rows are judged alike; columns of
     docs that have such a name are replaced; an empty table gives none; a long text is counted whole."""
-    rules = fit(docs, labels, rows)
+    rules = fit(docs, labels, rows, **bounds)
     return statistics(docs).withColumns({"kept": ~F.col("base_failed") & verdict(rules), "rule": F.when(~F.col("base_failed"), fired(rules))})

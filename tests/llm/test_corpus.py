@@ -500,6 +500,7 @@ def test_rules_are_learned_and_keep_clean_documents(spark):
         if r["doc_id"] in truth and r["text"] != "again":
             assert r["kept"] == bool(truth[r["doc_id"]]), (r["rule"], r["text"][:80])
         assert not (r["kept"] and r["base_failed"])
+    assert all(r["rule"] is None for r in rules.judge(docs, labels, most_rules=0).collect())
     none = rules.judge(docs, labels.limit(0)).collect()
     assert all(r["kept"] != r["base_failed"] for r in none)
     assert rules.judge(docs.limit(0), labels).count() == 0
