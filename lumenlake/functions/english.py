@@ -87,13 +87,28 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _step(rules: list[tuple[str, str]]):
+# What a word has that a step may change; other words skip it.
+GUARDS = [
+    "^(?:gener|commun|arsen)",
+    "(?:s|ied)$",
+    "(?:ly|ed|ing)$",
+    f"{_MARK}$",
+    "[yY]$",
+    "(?:tion|tional|ness|i|alism|izer|ator)$",
+    "(?:tional|alize|icate|i|ative|ical|ness|ful)$",
+    "(?:ement|ance|ence|able|ible|ment|ant|ent|ism|ate|iti|ous|ive|ize|ion|al|er|ic)$",
+    "[el]$",
+    "^(?:g\x02|c\x03|\x04)",
+]
+
+
+def _step(guard: str, rules: list[tuple[str, str]]):
     def step(word: Column) -> Column:
         chain = None
         for pattern, put in rules:
             test, value = word.rlike(pattern), F.regexp_replace(word, pattern, put.replace("\\1", "$1").replace("\\2", "$2"))
             chain = F.when(test, value) if chain is None else chain.when(test, value)
-        return chain.otherwise(word)
+        return F.when(word.rlike(guard), chain.otherwise(word)).otherwise(word)
 
     return step
 
@@ -102,8 +117,8 @@ def stem(word: Column | str) -> Column:
     """The stem of a lower-case word.  Costly for every word of a text: use it on distinct words."""
     word = F.col(word) if isinstance(word, str) else word
     marked = F.regexp_replace(F.regexp_replace(word, "^y", "Y"), f"({_V})y", "$1Y")
-    for rules in STEPS:
-        marked = _let(marked, _step(rules))
+    for guard, rules in zip(GUARDS, STEPS, strict=True):
+        marked = _let(marked, _step(guard, rules))
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     return F.coalesce(F.try_element_at(known, word), F.when(F.length(word) > 2, F.translate(marked, "Y", "y")).otherwise(word))
 

@@ -12,10 +12,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.english import is_stop_word, lexicon, stem
 from ..functions.text import tokens
-from .common import top_n
+from .common import live, page_size, top_n
 
 # The weight of a plain word; the sum of 1 / n^2; the rank of a match without near words.
 WEIGHT, LIMIT, LEAST_RANK = 0.1, 1.64493406685, 1e-20
@@ -72,9 +73,8 @@ def query_terms(queries: DataFrame, query: str = "query", text: str = "text") ->
     return terms.join(terms.groupBy(query).agg(F.count("*").alias("n")), query)
 
 
-def find(index: DataFrame, queries: DataFrame, limit: int = 50, key: str = "image_id", query: str = "query", text: str = "text", order: DataFrame | None = None) -> DataFrame:
-    """(query, key, rank, rn): the first `limit` records of each query by rank, then by what `order` (key, at) says, the
-    latest first, then by key.  A query of stop words alone finds nothing.
+def ranked(index: DataFrame, queries: DataFrame, key: str = "image_id", query: str = "query", text: str = "text") -> DataFrame:
+    """(query, key, rank): all records that match each query.  A query of stop words alone finds nothing.
 
     Queries meet the terms of the index by prefix and its rows by term; nothing reads a text."""
     terms = query_terms(queries, query, text)
@@ -84,19 +84,46 @@ def find(index: DataFrame, queries: DataFrame, limit: int = 50, key: str = "imag
     hits = index.join(wanted, "term").groupBy(query, key, "q").agg(F.first("n").alias("n"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("at"), F.sum(_frequency(F.size("positions"))).alias("own"))
     found = hits.groupBy(query, key).agg(F.first("n").alias("n"), F.count("*").alias("__m"), F.sort_array(F.collect_list(F.struct("q", "at"))).alias("each"), F.sum("own").alias("own")).where("__m = n")
     places = F.transform("each", lambda x: x["at"])
-    ranked = found.select(query, key, F.when(F.col("n") == 1, F.col("own")).otherwise(_nearness(places)).alias("rank"))
-    by = [F.desc("rank"), F.desc(key)]
+    return found.select(query, key, F.when(F.col("n") == 1, F.col("own")).otherwise(_nearness(places)).alias("rank"))
+
+
+def find(index: DataFrame, queries: DataFrame, limit: int = 50, key: str = "image_id", query: str = "query", text: str = "text", order: DataFrame | None = None) -> DataFrame:
+    """(query, key, rank, rn): the first `limit` records of each query by rank, then by what `order` (key, at) says, the
+    latest first, then by key."""
+    found, by = ranked(index, queries, key, query, text), [F.desc("rank"), F.desc(key)]
     if order is not None:
-        ranked, by = ranked.join(order.toDF(key, "__at"), key, "left"), [F.desc("rank"), F.desc_nulls_last("__at"), F.desc(key)]
-    return top_n(ranked, [query], by, limit).select(query, key, "rank", "rn")
+        found, by = found.join(order.toDF(key, "__at"), key, "left"), [F.desc("rank"), F.desc_nulls_last("__at"), F.desc(key)]
+    return top_n(found, [query], by, limit).select(query, key, "rank", "rn")
 
 
-def find_one(index: DataFrame, text: str, limit: int = 50, key: str = "image_id") -> DataFrame:
-    """find() for one query given as a string: its terms become ranges that reach the scan of a written index."""
+def page(index: DataFrame, images: DataFrame, text: str, owner, limit: int | None = None, offset: int = 0, key: str = "image_id") -> DataFrame:
+    """A page of an owner's live images that a text finds: the columns of images, `rank`, and `has_next`.
+
+    By rank, then the latest created, then key; one image more than the page is looked for to know of a next one."""
+    size = page_size(limit)
+    own = live(images).where(F.col("user_id") == owner)
+    found = ranked(_of_terms(index, text), _one(index, text), key).drop("query").join(own, key)
+    order = [F.desc("rank"), F.desc_nulls_last("created_at"), F.desc(key)]
+    probe = found.orderBy(*order).offset(offset).limit(size + 1)
+    place = F.row_number().over(Window.orderBy(*order))
+    some = probe.withColumns({"__place": place, "has_next": F.count("*").over(Window.partitionBy()) > size})
+    return some.where(F.col("__place") <= size).select(*images.columns, "rank", "has_next")
+
+
+def _one(index: DataFrame, text: str) -> DataFrame:
+    return index.sparkSession.range(1).select(F.lit(0).alias("query"), F.lit(text).alias("text"))
+
+
+def _of_terms(index: DataFrame, text: str) -> DataFrame:
+    """The rows of the index that a text may find; its terms become ranges that reach the scan."""
     terms = stems_of(index.sparkSession, text)
     begins = [(F.col("term") >= t) & (F.col("term") < t + chr(0x10FFFF)) for t in terms]
-    some = index.where(reduce(lambda a, b: a | b, begins)) if terms else index.limit(0)
-    return find(some, index.sparkSession.range(1).select(F.lit(0).alias("query"), F.lit(text).alias("text")), limit, key).drop("query")
+    return index.where(reduce(lambda a, b: a | b, begins)) if terms else index.limit(0)
+
+
+def find_one(index: DataFrame, text: str, limit: int = 50, key: str = "image_id") -> DataFrame:
+    """find() for one query given as a string, which reads no more of a written index than its terms."""
+    return find(_of_terms(index, text), _one(index, text), limit, key).drop("query")
 
 
 def stems_of(spark: SparkSession, text: str) -> list[str]:

@@ -313,6 +313,18 @@ def ocr_fulltext_stemmed(spark, d):
     return fulltext.find(index, asked, 20, order=taken).withColumn("rank", _six("rank"))
 
 
+@_key(fx.sql(f"""SELECT image_id, {_time('created_at')} AS created_at, round(rank, 6) AS rank, found > 24 AS has_next FROM (SELECT image_id, created_at, rank, row_number() OVER w AS rn, count(*) OVER () AS found FROM (
+    SELECT image_id, {_TAKEN} AS created_at, rank FROM ranked JOIN ocr USING (image_id) WHERE user_id = 4 AND NOT deleted) WINDOW w AS (ORDER BY rank DESC, created_at DESC, image_id DESC)) WHERE rn > 4 AND rn <= 24""",
+  "ocr", records="SELECT image_id, raw_text FROM ocr", queries="SELECT 0 AS query, 'wi th' AS text", **fulltext.oracle_ctes("records", "queries")))
+def ocr_fulltext_page(spark, d):
+    """The second page of an owner's images that a text finds."""
+    ocr = fx.ocr(spark, d)
+    index = fulltext.write_index(ocr, f"{links.shared_folder(spark)}/text-index-{uuid.uuid4().hex}")
+    taken = F.expr("TIMESTAMP_NTZ'2023-01-01 00:00:00' + make_dt_interval(0, CAST(image_id * 37 % 1000 AS INT))")
+    images = ocr.select("image_id", "user_id", "deleted", taken.alias("created_at"))
+    return _plain(fulltext.page(index, images, "wi th", 4, 20, 4).withColumn("rank", _six("rank")), "image_id", "created_at", "rank", "has_next")
+
+
 @_key(fx.sql("SELECT image_id FROM photos WHERE NOT deleted AND month(taken_at) = 1 AND taken_at <= TIMESTAMP '2024-01-31 23:59:59'", "photos"))
 def search_month_of_any_year(spark, d):
     """A month without a year: that of the year given and of the 20 before."""
