@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from . import commits
+
 
 def live(images: DataFrame) -> DataFrame:
     return images.where(~F.col("deleted"))
@@ -144,25 +146,29 @@ def set_where(df: DataFrame, condition: Column, **values) -> DataFrame:
 
 
 def replace_tenant(df: DataFrame, path: str, tenant: str = "user_id") -> None:
-    """Write df over the partitions of its tenants only; other tenants' files stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tenant).parquet(path)
+    """Write df over the partitions of its tenants only; other tenants' files stay.  A tenant's rows are few files, and a
+    large tenant is several, which no one task writes alone."""
+    df.hint("rebalance", tenant).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tenant).parquet(path)
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> str:
-    """Write several tables as one version under root: readers see all of them or none.
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, after: int | None = None) -> int:
+    """Write several tables as one version under root: readers see all of them or none.  Returns its number.
 
-    The tables go to a folder of their own; one small file names it as the last step.  Returns the folder."""
+    The tables go to a folder of their own; one small file, which must not be there, names it as the last step.  after:
+    the version that this one follows, the last unless told; if another writer was first, commits.Conflict is raised
+    and readers do not see these tables."""
+    known = commits.numbers(spark, f"{root}/published")
+    number = (known[-1] + 1 if known else 0) if after is None else after + 1
     version = f"{root}/version-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{version}/{name}")
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/published")
-    return version
+    return commits.commit(spark, f"{root}/published", number, version)
 
 
-def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the version that was published last."""
-    last = spark.read.parquet(f"{root}/published").agg(F.max_by("version", "at")).first()[0]
-    return spark.read.parquet(f"{last}/{name}")
+def published(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A table of a published version, the last one unless told."""
+    number = commits.numbers(spark, f"{root}/published")[-1] if version is None else version
+    return spark.read.parquet(f"{commits.committed(spark, f'{root}/published', number)}/{name}")
 
 
 def few(df: DataFrame, most: int) -> DataFrame:

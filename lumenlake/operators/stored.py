@@ -9,62 +9,30 @@ from __future__ import annotations
 import json
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import commits
+from .commits import Conflict
 from .common import upsert
 
+__all__ = ["Conflict", "create", "merge", "read"]
+
 #: Buckets of a table unless told; a commit names each.
 BUCKETS = 64
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed since this one read."""
-
-
-def _file(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    where, fs = _file(spark, path)
-    return fs.exists(where)
-
-
-def put_new(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file that must not be there; Conflict if it is."""
-    where, fs = _file(spark, path)
-    try:
-        out = fs.create(where, False)
-    except Py4JJavaError as e:
-        if "AlreadyExists" in str(e.java_exception):
-            raise Conflict(path) from e
-        raise
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
 def _bucket(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def _commits(spark: SparkSession, root: str) -> list[int]:
-    where, fs = _file(spark, f"{root}/commits")
-    return sorted(int(s.getPath().getName()) for s in fs.listStatus(where) if s.getPath().getName().isdigit()) if fs.exists(where) else []
-
-
 def _state(spark: SparkSession, root: str, version: int | None) -> dict:
-    known = _commits(spark, root)
+    known = commits.numbers(spark, f"{root}/commits")
     if not known or (version is not None and version not in known):
         raise FileNotFoundError(f"{root} has no version {version}" if known else f"{root} holds no table")
     number = known[-1] if version is None else version
-    text = spark.read.text(f"{root}/commits/{number:010d}").collect()
-    return json.loads("".join(r["value"] for r in text)) | {"version": number}
+    return json.loads(commits.committed(spark, f"{root}/commits", number)) | {"version": number}
 
 
 def _write(df: DataFrame, root: str, keys: list[str], buckets: int) -> dict[str, str]:
@@ -72,14 +40,12 @@ def _write(df: DataFrame, root: str, keys: list[str], buckets: int) -> dict[str,
     folder = f"{root}/data/{uuid.uuid4().hex}"
     placed = df.withColumn("__bucket", _bucket(keys, buckets))
     placed.repartition("__bucket").write.partitionBy("__bucket").parquet(folder)
-    where, fs = _file(df.sparkSession, folder)
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    names = commits.names(df.sparkSession, folder)
     return {n.partition("=")[2]: f"{folder}/{n}" for n in names if n.startswith("__bucket=")}
 
 
 def _commit(spark: SparkSession, root: str, number: int, state: dict) -> int:
-    put_new(spark, f"{root}/commits/{number:010d}", json.dumps({k: state[k] for k in ("keys", "by", "buckets", "schema", "folders")}))
-    return number
+    return commits.commit(spark, f"{root}/commits", number, json.dumps({k: state[k] for k in ("keys", "by", "buckets", "schema", "folders")}))
 
 
 def create(df: DataFrame, root: str, keys: list[str], by: list[str] | None = None, buckets: int = BUCKETS) -> int:

@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 
 from .. import fixtures as fx
 from ..functions import text as tx
-from ..functions.vector import average_bits, average_hash, dot
+from ..functions.vector import average_bits, average_hash, dot, midpoint
 from ..operators import common, duplicates, events, fulltext, links, scoring, stored, vector_index
-from ..sources import keyset
+from ..sources import files, keyset
 from ..streaming import arrivals, requests
 from ..streaming import jobs as streaming
 from . import library, search
@@ -1042,6 +1042,127 @@ def merged_table(spark, d):
     return stored.read(spark, root)
 
 
+# ---- sources, sinks and messages
+
+
+@_key("SELECT user_id, count(*) AS n, round(max(value), 6) AS most FROM events WHERE event_type = 'purchase' AND value >= 20 AND ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id")
+def parameterised_query(spark, d):
+    """A query as text, whose values are given beside it."""
+    view = f"events_{uuid.uuid4().hex}"
+    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView(view)
+    text = "SELECT user_id, count(*) AS n, round(max(value), 6) AS most FROM IDENTIFIER(:view) WHERE event_type = :kind AND value >= :least AND ts < to_timestamp_ntz(:before) GROUP BY user_id"
+    return files.query(spark, text, view=view, kind="purchase", least=20, before="2024-01-20 00:00:00")
+
+
+@_key("SELECT doc_id, quality, toxic FROM labels")
+def labelled_rows(spark, d):
+    """The labels as JSON arrays of bounded size, read back and held against the values that they may have."""
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", "toxic")
+    path = f"{links.shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    parts = max(1, labels.count() // 10_000)
+    rows = labels.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "quality", "toxic"))).alias("value"))
+    rows.repartition(parts, "part").select("value").write.text(path)
+    return files.labelled(spark, path, labels.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", "), {"quality": [0, 1], "toxic": [0, 1]})
+
+
+_HEADS = ["FFD8FFE0", "89504E470D0A1A0A", "474946383961", "524946460000000057454250", "49492A00", "4D4D002A", "000000186674797068656963", "00000018667479706D696631", "000000186674797069736F6D", "424D0000"]
+_KINDS = ["image/jpeg", "image/png", "image/gif", "image/webp", "image/tiff", "image/tiff", "image/heic", "image/heif", None, None]
+
+
+@_key(f"""SELECT doc_id, mime_type, sha256(content) AS sha256, CASE WHEN octet_length(content) > 1500 THEN 'too large' WHEN mime_type IS NULL THEN 'not an image' END AS fault FROM (
+  SELECT doc_id, unhex(([{', '.join(repr(h) for h in _HEADS)}])[doc_id % 10 + 1]) || encode(text) AS content, ([{', '.join('NULL' if k is None else repr(k) for k in _KINDS)}])[doc_id % 10 + 1] AS mime_type FROM documents)""")
+def sniffed_files(spark, d):
+    """Texts behind the first bytes of ten kinds of files: the kind, and what is wrong with those that fail."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    head = F.unhex(F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("doc_id") % 10 + 1).cast("int")))
+    rows = docs.select("doc_id", F.concat(head, F.col("text").cast("binary")).alias("content")).withColumn("length", F.octet_length("content"))
+    return files.checked(rows, 1_500).select("doc_id", "mime_type", "sha256", "fault")
+
+
+@_key("""SELECT doc_id, CAST(CASE WHEN c IS NULL THEN 0 WHEN c > 1 THEN c / 100 ELSE c END AS DOUBLE) AS confidence, coalesce(nullif(l, ''), 'eng') AS language, substr(text, 1, 1000) AS error
+  FROM (SELECT doc_id, text, CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id % 100 AS DOUBLE) / 2 END AS c, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE lang END AS l FROM documents) WHERE length(text) > 0""")
+def recognised_rows(spark, d):
+    """Recognised text as it is stored: confidences as shares, a language by default, errors cut."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    confidence = F.when(F.col("doc_id") % 9 != 0, (F.col("doc_id") % 100).cast("double") / 2)
+    language = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, "").otherwise(F.col("lang"))
+    rows = docs.select("doc_id", F.col("text").alias("raw_text"), confidence.alias("confidence"), language.alias("language"))
+    return tx.recognised(rows).select("doc_id", "confidence", "language", tx.error_text("raw_text").alias("error"))
+
+
+@_key(fx.sql("SELECT user_id, image_id, status FROM photos WHERE user_id % 5 <> 0 UNION ALL SELECT user_id, image_id, 'REBUILT' FROM photos WHERE user_id % 5 = 0 AND image_id % 2 = 0", "photos"))
+def replaced_tenants(spark, d):
+    """All rows of some owners replaced in one write; the others' files stay."""
+    photos = fx.photos(spark, d).select("user_id", "image_id", "status")
+    path = f"{links.shared_folder(spark)}/tenants-{uuid.uuid4().hex}"
+    common.replace_tenant(photos, path)
+    common.replace_tenant(photos.where("user_id % 5 = 0 and image_id % 2 = 0").withColumn("status", F.lit("REBUILT")), path)
+    return spark.read.parquet(path).select(F.col("user_id").cast("long").alias("user_id"), "image_id", "status")
+
+
+@_key(fx.sql("SELECT 'photos' AS name, image_id AS id FROM photos WHERE deleted UNION ALL SELECT 'events', event_id FROM lib_events", "photos", "lib_events"))
+def published_tables(spark, d):
+    """Two tables of the last of two published versions."""
+    photos, made = fx.photos(spark, d), fx.lib_events(spark, d)
+    root = f"{links.shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    first = common.publish(spark, {"photos": photos.where("not deleted"), "events": made.where("lat is null")}, root)
+    common.publish(spark, {"photos": photos.where("deleted"), "events": made}, root, first)
+    parts = [common.published(spark, root, n).select(F.lit(n).alias("name"), F.col(c).alias("id")) for n, c in (("photos", "image_id"), ("events", "event_id"))]
+    return parts[0].unionByName(parts[1])
+
+
+@_key(fx.sql(f"SELECT image_id, CASE WHEN image_id % 3 = 0 THEN -1 ELSE category END AS category, {_time('taken_at')} AS taken_at FROM vec WHERE image_id % 7 <> 0", "vec"))
+def patched_points(spark, d):
+    """Points whose payload is patched where there is a change, and points that are removed."""
+    points = fx.vec(spark, d).select("image_id", "category", "taken_at")
+    changes = points.where("image_id % 3 = 0").select("image_id", F.lit(-1).alias("category")).unionByName(points.select((-1 - F.col("image_id")).alias("image_id"), F.lit(5).alias("category")))
+    return _plain(common.remove(common.patch(points, changes, ["image_id"]), points.where("image_id % 7 = 0"), ["image_id"]), "image_id", "category", "taken_at")
+
+
+@_key(fx.sql("SELECT image_id, pages, has_more FROM (SELECT image_id, CAST(ceil(count(*) OVER () / 50) AS BIGINT) AS pages, 3 < ceil(count(*) OVER () / 50) AS has_more, row_number() OVER (ORDER BY image_id) AS rn FROM photos WHERE taken_at >= TIMESTAMP '2024-01-01 00:00:00' AND taken_at <= TIMESTAMP '2024-12-31 23:59:59') WHERE rn > 100 AND rn <= 150", "photos"))
+def paged_year(spark, d):
+    """The third page of a year's photos, of as many rows as a page of events may have."""
+    year, size = common.known_year(2024, 2024), common.page_size(500, "events")
+    rows = fx.photos(spark, d).where(common.until_second_59("taken_at", f"{year}-01-01", f"{year}-12-31"))
+    totals = common.page_totals(F.count("*").over(Window.partitionBy()), 3, size)
+    return rows.select("image_id", *[c.alias(n) for n, c in totals.items()]).orderBy("image_id").offset(common.page_offset(3, size)).limit(size)
+
+
+@_key(fx.sql("SELECT a.category AS a, b.category AS b, CAST(pos AS INTEGER) AS pos, round((a.centre[pos] + b.centre[pos]) / 2, 6) AS x FROM centres a, centres b, range(1, 65) r(pos) WHERE a.category < b.category", "vec", centres=_CENTRES))
+def centroid_midpoints(spark, d):
+    """The unweighted midpoint of every two centroids, place by place."""
+    c = scoring.centroids(fx.vec(spark, d))
+    pairs = c.toDF("a", "ca").join(common.few(c.toDF("b", "cb"), 1_000), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.posexplode(midpoint("ca", "cb")).alias("pos", "x")).select("a", "b", (F.col("pos") + 1).alias("pos"), _six("x").alias("x"))
+
+
+_MESSAGE_SQL = f"SELECT DISTINCT ([{', '.join(repr(m) for m in streaming.MESSAGES)}])[event_id % 6 + 1] AS job_type, event_id // 6 % 400 AS image_id FROM events"
+
+
+@_key(f"""SELECT job_type, image_id, 'message' AS origin FROM ({_MESSAGE_SQL}) UNION ALL
+  SELECT unnest({list(streaming.CHILDREN)!r}), image_id, 'child' FROM ({_MESSAGE_SQL}) WHERE job_type = 'HASH' AND image_id % 4 <> 0""")
+def job_messages(spark, d):
+    """Messages from files, some at a time: each job once, handed to the handler of its kind; finished hash jobs start others."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    root = f"{links.shared_folder(spark)}/messages-{uuid.uuid4().hex}"
+    kind, image = F.element_at(F.array(*map(F.lit, streaming.MESSAGES)), (F.col("event_id") % 6 + 1).cast("int")), F.floor(F.col("event_id") / 6) % 400
+    sent = e.select(kind.alias("job_type"), image.alias("image_id"), F.col("ts").cast("timestamp").alias("queued_at"), F.when(image % 4 == 0, "FAILED").otherwise("COMPLETED").alias("status"))
+    sent.repartition(12, "image_id").write.json(f"{root}/in")
+
+    def keep(rows: DataFrame, origin: str) -> None:
+        rows.select("job_type", "image_id", F.lit(origin).alias("origin")).write.mode("append").parquet(f"{root}/out")
+
+    def hashes(rows: DataFrame) -> None:
+        keep(rows, "message")
+        keep(streaming.fan_out(rows), "child")
+
+    handlers = {m: hashes if m == "HASH" else (lambda rows: keep(rows, "message")) for m in streaming.MESSAGES}
+    stream = files.job_stream(spark, f"{root}/in", "job_type string, image_id long, queued_at timestamp, status string", 5)
+    run = streaming.distinct_jobs(stream, late="1000 days").writeStream.foreachBatch(streaming.dispatch(handlers)).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

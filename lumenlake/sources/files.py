@@ -28,9 +28,13 @@ def sniff(content: Column | str) -> Column:
 
 def images(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Files under path with mime_type, sha256 and `fault` (null for files that pass)."""
-    files = spark.read.format("binaryFile").load(path)
-    checked = files.withColumn("mime_type", sniff("content")).withColumn("sha256", F.sha2("content", 256))
-    return checked.withColumn("fault", F.when(F.col("length") > most_bytes, "too large").when(F.col("mime_type").isNull(), "not an image"))
+    return checked(spark.read.format("binaryFile").load(path), most_bytes)
+
+
+def checked(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Files (content, length, ...) with mime_type, sha256 and `fault`, which tells those that fail from those that pass."""
+    told = files.withColumns({"mime_type": sniff("content"), "sha256": F.sha2("content", 256)})
+    return told.withColumn("fault", F.when(F.col("length") > most_bytes, "too large").when(F.col("mime_type").isNull(), "not an image"))
 
 
 def upload(spark: SparkSession, path: str, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:

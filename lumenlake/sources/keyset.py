@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.stored import exists, put_new
+from ..operators.commits import exists, put_new
 
 #: Rows of a batch, about.
 BATCH_ROWS = 1_000_000

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumenlake import schema
-from lumenlake.operators import common, duplicates, events, links, neighbours, scoring
+from lumenlake.operators import commits, common, duplicates, events, links, neighbours, scoring
 from lumenlake.plans import library
 from lumenlake.sources import files
 from lumenlake.streaming import arrivals, jobs
@@ -141,6 +141,9 @@ def test_versions_are_published_whole(spark, tmp_path):
     assert common.published(spark, root, "a").count() == 2
     common.publish(spark, {"a": two, "b": one}, root)
     assert common.published(spark, root, "a").count() == 5
+    with pytest.raises(commits.Conflict):  # another writer has published since version 0
+        common.publish(spark, {"a": one, "b": one}, root, after=0)
+    assert common.published(spark, root, "a").count() == 5 and common.published(spark, root, "b", 0).count() == 5
 
 
 def test_tenants_are_replaced_alone(spark, tmp_path):
