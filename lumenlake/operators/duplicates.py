@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import hamming_longs
-from .links import components, roots, settle
-from .neighbours import near_bits, nearest
+from . import vector_index
+from .links import components, roots, settle, shared_folder
+from .neighbours import INDEX_ROWS, near_bits, nearest
 
 
 def exact_groups(items: DataFrame, owner: str = "user_id", key: str = "sha256") -> DataFrame:
@@ -120,6 +123,9 @@ def replay_groups(arrivals: list[tuple], limit: int) -> list[tuple]:
     return rows
 
 
-def knn_join(items: DataFrame, k: int, owner: str = "user_id") -> DataFrame:
-    """The k nearest others of every vector within its owner, by dot product."""
+def knn_join(items: DataFrame, k: int, owner: str = "user_id", index_rows: int = INDEX_ROWS) -> DataFrame:
+    """The k nearest others of every vector within its owner, by dot product: block by block, or by an inverted file where
+    there are more than index_rows vectors."""
+    if items.count() > index_rows:
+        return vector_index.among(items, k, f"{shared_folder(items.sparkSession)}/knn-{uuid.uuid4().hex}", owner)
     return nearest(items, items, k, owner)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from datetime import timedelta
 
 import numpy as np
@@ -13,10 +14,10 @@ from pyspark.sql.window import Window
 from ..functions.geo import EARTH_KM, haversine, haversine_km, missing
 from ..functions.vector import cosine as vector_cosine
 from ..functions.vector import l2_normalize
-from . import scan
+from . import scan, vector_index
 from .common import completed, fold_by
-from .links import roots, settle
-from .neighbours import nearest
+from .links import roots, settle, shared_folder
+from .neighbours import INDEX_ROWS, nearest
 
 # Gaps, distances and thresholds of the clustering.
 GAP_HOURS, LEAST_IMAGES = 6, 3
@@ -388,13 +389,18 @@ def _unit(v) -> np.ndarray:
     return v / size if size else v
 
 
-def face_clusters_online(vectors: DataFrame, threshold: float = LOOK_COSINE) -> DataFrame:
+def face_clusters_online(vectors: DataFrame, threshold: float = LOOK_COSINE, index_rows: int = INDEX_ROWS) -> DataFrame:
     """assign_clusters() for every owner in order of id: (user_id, image_id, cluster_id).
 
     A face hangs on the nearest earlier one of its owner, if that is alike enough, and has the cluster that
-    the chain of those ends at; so an owner of any size spreads over tiles, and no task folds it."""
+    the chain of those ends at; so an owner of any size spreads over tiles, and no task folds it.  Of more than
+    index_rows faces each meets the cells of an inverted file that can hold one so alike, and no others."""
     items = vectors.select("user_id", "image_id", l2_normalize("v").alias("v"))
-    near = nearest(items, items, 1, earlier=True).where(F.col("score") >= threshold).select(F.col("a").alias("image_id"), F.col("b").alias("root"))
+    if items.count() > index_rows:
+        found = vector_index.among(items, 1, f"{shared_folder(items.sparkSession)}/faces-{uuid.uuid4().hex}", floor=threshold, earlier=True)
+    else:
+        found = nearest(items, items, 1, earlier=True).where(F.col("score") >= threshold)
+    near = found.select(F.col("a").alias("image_id"), F.col("b").alias("root"))
     parent = items.select("user_id", "image_id").join(near, "image_id", "left").select("user_id", F.col("image_id").alias("node"), F.coalesce("root", "image_id").alias("root"))
     parent = settle(parent)
     home = roots(parent.select("node", "root"))

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a block; a task compares two blocks at a time.
 BLOCK = 2_048
+#: Vectors from which an inverted file, not all blocks, tells which ones meet.
+INDEX_ROWS = 500_000
 
 
 def _tiles(left: DataFrame, right: DataFrame, owner: str, value: str, block: int) -> DataFrame:

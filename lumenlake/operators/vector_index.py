@@ -69,14 +69,15 @@ def _nearest_centre(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray
     return home, np.sqrt(((points - centres[home]) ** 2).sum(1))
 
 
-def build(vectors: DataFrame, path: str, centres: np.ndarray | None = None, owner: str = "user_id", time: str = "taken_at") -> Index:
-    """Write the index of vectors (image_id, owner, time, v) and return it.  Rows without a vector are left out.
+def build(vectors: DataFrame, path: str, centres: np.ndarray | None = None, owner: str = "user_id", time: str | None = "taken_at") -> Index:
+    """Write the index of vectors (image_id, owner, time, v) and return it; time may be None.  Rows without a vector are
+    left out.
 
     A cell of many rows is several files, which no one task writes alone."""
     spark = vectors.sparkSession
     centres = fit(vectors) if centres is None else centres
     shared = spark.sparkContext.broadcast(centres)
-    rows = vectors.where("v is not null").select("image_id", F.col(owner).alias("owner"), F.col(time).alias("at"), "v")
+    rows = vectors.where("v is not null").select("image_id", F.col(owner).alias("owner"), (F.col(time) if time else F.lit(None).cast("timestamp")).alias("at"), "v")
     schema = "image_id {}, owner {}, at {}, v array<double>, cell int, far double".format(*(rows.schema[c].dataType.simpleString() for c in ("image_id", "owner", "at")))
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +134,16 @@ def _looked_at(index: Index, cells: DataFrame, condition: Column | None) -> Data
     return rows if condition is None else rows.where(condition)
 
 
-def search(index: Index, queries: DataFrame, k: int, probes: int | None = 8, by_owner: bool = True, condition: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def search(
+    index: Index, queries: DataFrame, k: int, probes: int | None = 8, by_owner: bool = True, condition: Column | None = None, floor: float | None = None, earlier: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """The k best vectors for each query (image_id, owner, v) by dot product, never itself, as (a, b, score, rn), and how
     many rows were compared with each query, as (a, rows_read).
 
     Only rows of the query's owner count if by_owner, and those that meet the condition, on `at`, `owner` or
     `image_id`, which reaches the scan.  probes: cells looked into; None is exact: after 8 cells those that can
-    still hold one of the k best are looked into too."""
+    still hold one of the k best are looked into too.  floor: the least score, by which cells are left out from the
+    start; earlier: only rows of lesser ids count."""
     exact, probes, n = probes is None, probes or 8, len(index.centres)
     asked = queries.select("image_id", "owner", F.col("v").cast("array<double>").alias("v"), F.lit(None).cast("double").alias("least"))
 
@@ -148,8 +152,11 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = 8, by_
         rows = _looked_at(index, cells, condition).withColumn("slot", _slot(n, by_owner))
         sizes = rows.groupBy("slot").agg(F.count("*").alias("rows"))
         read = cells.select("image_id", "slot").join(sizes, "slot").groupBy(F.col("image_id").alias("a")).agg(F.sum("rows").alias("rows_read"))
-        return nearest(cells.select("slot", "image_id", "v"), rows.select("slot", "image_id", "v"), k, "slot").select("a", "b", "score", "rn"), read
+        found = nearest(cells.select("slot", "image_id", "v"), rows.select("slot", "image_id", "v"), k, "slot", earlier).select("a", "b", "score", "rn")
+        return found if floor is None else found.where(F.col("score") >= floor), read
 
+    if exact and floor is not None:
+        return compared(_cells(asked.withColumn("least", F.lit(float(floor))), index, 0, rest=True))
     found, read = compared(_cells(asked, index, probes))
     if exact:
         found = settle(found)
@@ -163,6 +170,14 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = 8, by_
     return found, read
 
 
+def among(items: DataFrame, k: int, path: str, owner: str = "user_id", floor: float | None = None, earlier: bool = False) -> DataFrame:
+    """(owner, a, b, score, rn) as neighbours.nearest(items, items, k, owner, earlier) gives it, for scores of floor at
+    least: by an index of the items, so that a vector meets the cells that can matter and not all vectors."""
+    built = build(items, path, owner=owner, time=None)
+    found, _ = search(built, items.select("image_id", F.col(owner).alias("owner"), "v"), k, None, True, None, floor, earlier)
+    return items.select(owner, F.col("image_id").alias("a")).join(found, "a").select(owner, "a", "b", "score", "rn")
+
+
 def probes_for(index: Index, queries: DataFrame, k: int, least: float = 0.97, by_owner: bool = True, condition: Column | None = None, sample: int = 200) -> int:
     """The fewest cells that give a recall of `least` for a sample of the queries, chosen by a hash of their ids and
     compared with an exact search.  Only the sample and its neighbours' cells come to the driver."""

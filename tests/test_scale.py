@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumenlake.functions.geo import haversine
-from lumenlake.operators import common, events, order, scan, vector_index
+from lumenlake.operators import common, duplicates, events, order, scan, vector_index
 from lumenlake.plans import search
 from lumenlake.sources import files
 
@@ -158,6 +158,17 @@ def test_an_index_is_exact_or_finds_nine_in_ten(spark, tmp_path):
     assert "PartitionFilters" in plan and "GreaterThanOrEqual(at," in plan
 
 
+def test_large_owners_by_an_index(spark):
+    _, frame = vectors(spark, 500)
+    items = frame.where("v is not null")
+    one, many = duplicates.knn_join(items, 4), duplicates.knn_join(items, 4, index_rows=100)
+    assert one.columns == many.columns
+    assert sorted((*r[:3], round(r[3], 9), r[4]) for r in one.collect()) == sorted((*r[:3], round(r[3], 9), r[4]) for r in many.collect())
+    for threshold in (0.8, 0.97):
+        one, many = events.face_clusters_online(items, threshold), events.face_clusters_online(items, threshold, index_rows=100)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
 def test_a_month_without_a_year_goes_up_to_the_current_one(spark):
     now = datetime.now()
     rows = [(y, datetime(y, m, d, 23, 59, 59)) for y in (now.year - 21, now.year - 20, 2024, now.year, now.year + 1) for m, d in ((6, 30), (7, 1))]
