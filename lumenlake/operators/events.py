@@ -277,25 +277,44 @@ def merge_faces(buckets: list[dict], clusters: dict, least: int = FACE_SHARED, d
     return _merge_all(buckets, joins, lambda a, b: {**_joined(a, b), "people": a["people"] | b["people"]}, days)
 
 
+def _parted(summary: DataFrame) -> DataFrame:
+    """summary with `part`: buckets of an owner that no merge can bring together are in different parts.
+
+    A merge reaches over a gap between two neighbours only if a bucket before it has what the merge compares (a place, a
+    look, people) and started within the merge's days of the first start behind the gap, as a merged bucket starts with
+    its first; and if some bucket behind it has that too.  An undated bucket is near all others, so it keeps an owner
+    together if it has a look or people."""
+    order = Window.partitionBy("user_id").orderBy("bucket")
+    whole = Window.partitionBy("user_id")
+    micros = F.unix_micros(F.col("start_at").cast("timestamp"))
+    has = {"place": (F.col("lat").isNotNull(), PLACE_DAYS), "look": (F.coalesce(F.exists("looks", lambda x: x["v"].isNotNull()), F.lit(False)), LOOK_DAYS), "people": (F.coalesce(F.size("people"), F.lit(0)) > 0, FACE_DAYS)}
+    flagged = summary.withColumns({"__at": micros, **{f"__{n}": c for n, (c, _) in has.items()}})
+    dated = F.col("__at").isNotNull()
+    reach = F.lit(False)
+    for name, (_, days) in has.items():
+        own = F.col(f"__{name}") & dated
+        last = F.last(F.when(own, F.col("__at")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        ahead = F.max(own).over(order.rowsBetween(0, Window.unboundedFollowing))
+        reach = reach | (ahead & F.coalesce(F.col("__at") - last <= days * 86_400_000_000, F.lit(False)))
+    near_all = F.coalesce(F.bool_or(~dated & (F.col("__look") | F.col("__people"))).over(whole), F.lit(False))
+    cut = flagged.withColumns({"__cut": (~reach).cast("int"), "__near": near_all})
+    part = F.when(F.col("__near"), 0).otherwise(F.sum("__cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parted = cut.withColumn("part", F.concat_ws(":", F.col("user_id").cast("string"), part.cast("string")))
+    return parted.drop("__at", "__cut", "__near", *[f"__{n}" for n in has])
+
+
 def cluster(images: DataFrame, vectors: DataFrame, faces: DataFrame, cosine: float = LOOK_COSINE) -> DataFrame:
     """The events of every owner: (user_id, event, cover, n, start_at, images).
 
     The merges depend on their order, so buckets that may meet are folded in one task: those of an owner
-    between gaps longer than any merge spans, or all if some are undated.  What comes there is a summary per
-    bucket: its times, place, number of images, the first LOOK_IMAGES of them with their vectors, and the
+    between gaps that no merge reaches over.  What comes there is a summary per bucket: its times, place, number of images, the first LOOK_IMAGES of them with their vectors, and the
     people in it.  The fold gives which buckets make an event; their images are joined back after."""
     buckets = settle(time_buckets(images))
     slots = buckets.select("user_id", "bucket", F.posexplode("images").alias("pos", "image_id"))
     seen = F.array_sort(F.collect_list(F.struct("pos", "image_id", "v")))
     looks = slots.where(F.col("pos") < LOOK_IMAGES).join(vectors.select("image_id", "v"), "image_id", "left").groupBy("user_id", "bucket").agg(seen.alias("looks"))
     people = slots.join(faces.select("image_id", "cluster_id"), "image_id").groupBy("user_id", "bucket").agg(F.collect_set("cluster_id").alias("people"))
-    order = Window.partitionBy("user_id").orderBy("bucket")
-    start = F.unix_micros(F.col("start_at").cast("timestamp"))
-    far = start - F.lag(start).over(order) > max(PLACE_DAYS, LOOK_DAYS, FACE_DAYS) * 86_400_000_000
-    undated = F.bool_or(F.col("start_at").isNull()).over(Window.partitionBy("user_id"))
-    part = F.when(undated, 0).otherwise(F.sum(F.coalesce(far, F.lit(False)).cast("int")).over(order))
-    keyed = buckets.drop("images").withColumn("part", F.concat_ws(":", F.col("user_id").cast("string"), part.cast("string")))
-    summary = keyed.join(looks, ["user_id", "bucket"], "left").join(people, ["user_id", "bucket"], "left")
+    summary = _parted(buckets.drop("images").join(looks, ["user_id", "bucket"], "left").join(people, ["user_id", "bucket"], "left"))
 
     def fold(_, rows):
         vecs = {x["image_id"]: x["v"] for r in rows for x in r["looks"] or () if x["v"] is not None}

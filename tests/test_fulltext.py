@@ -171,6 +171,8 @@ def test_index_scan_and_plain_search_agree(spark, tmp_path):
     for k, q in enumerate(QUERIES):
         want = {i: round(x, 9) for i, x in plain_search(rows, q).items()}
         assert got.get(k, {}) == want, q
+        if k not in (2, 4, 5):  # each is some jobs
+            continue
         assert {r[0] for r in fulltext.scan_one(texts, q).collect()} == set(want), q
         assert {r["image_id"] for r in fulltext.find_one(index, q, 1000).collect()} == set(want), q
     assert 50 not in got and got[0] and not got.get(5) and 1003 in got[0]

@@ -164,6 +164,9 @@ def test_large_owners_by_an_index(spark):
     one, many = duplicates.knn_join(items, 4), duplicates.knn_join(items, 4, index_rows=100)
     assert one.columns == many.columns
     assert sorted((*r[:3], round(r[3], 9), r[4]) for r in one.collect()) == sorted((*r[:3], round(r[3], 9), r[4]) for r in many.collect())
+    asked = items.where("image_id % 100 = 0")
+    one, many = (search.semantic_many(items, asked, search.Intent(""), floor=2.0, limit=20, index_rows=n) for n in (10_000, 100))
+    assert sorted((r[0], r[1], round(r[2], 9)) for r in one.collect()) == sorted((r[0], r[1], round(r[2], 9)) for r in many.collect()) and not one.isEmpty()
     for threshold in (0.8, 0.97):
         one, many = events.face_clusters_online(items, threshold), events.face_clusters_online(items, threshold, index_rows=100)
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
@@ -204,3 +207,41 @@ def test_intents(spark):
     assert [(g["year"], g["month"]) for g in got] == [(2023, 12), (None, 1), (None, None), (None, None), (2021, None), (None, None)]
     assert got[2]["name"] == "john" and got[3]["semantic"] == "show my photos" and got[4]["event_words"] == ["party", "birthday party", "birthday", "goa"]
     assert got[5]["event_words"] == ["tour", "éa tour"] and math.isclose(1, 1)
+
+
+def test_parts_of_an_owner_fold_like_the_whole(spark):
+    """Owners with few places, looks and people, and gaps of all kinds, against the merges of all of an owner's images."""
+    rng = random.Random(11)
+    images, vectors, faces, number = [], [], [], 0
+    for user in range(40):
+        at = datetime(2024, 1, 1)
+        kinds = [rng.random() < 0.6 for _ in range(3)]
+        for _ in range(rng.randint(3, 14)):
+            at += timedelta(days=rng.choice([0.5, 1, 2, 2.2, 5, 7, 8, 20, 29, 31, 40]))
+            place = kinds[0] and rng.random() < 0.5 and (10.0 + rng.choice([0, 0.2, 3]), 20.0)
+            for k in range(rng.randint(1, 4)):
+                images.append((user, number, at + timedelta(minutes=k), *(place or (None, None))))
+                if kinds[1] and rng.random() < 0.3:
+                    vectors.append((number, rng.choice([[1.0, 0.0], [0.9, 0.3], [0.0, 1.0]])))
+                if kinds[2]:
+                    faces += [(number, c) for c in rng.sample(range(4), rng.choice([0, 0, 1, 2]))]
+                number += 1
+        for _ in range(rng.choice([0, 0, 0, 4])):
+            images.append((user, number, None, None, None))
+            if rng.random() < 0.2:
+                faces += [(number, 0), (number, 1)]
+            number += 1
+    frame = spark.createDataFrame(images, "user_id long, image_id long, taken_at timestamp_ntz, lat double, lng double").withColumns({"deleted": F.lit(False), "status": F.lit("COMPLETED")})
+    summaries = {}
+    for r in events.time_buckets(frame).orderBy("user_id", "bucket").collect():
+        summaries.setdefault(r["user_id"], []).append({c: r[c] for c in ("images", "start_at", "end_at", "lat", "lng")})
+    vecs, people = dict(vectors), {}
+    for i, c in faces:
+        people.setdefault(i, []).append(c)
+    want = set()
+    for user, buckets in summaries.items():
+        merged = events.merge_faces(events.merge_looks(events.merge_places(buckets), vecs, 0.82), people)
+        want |= {(user, tuple(b["images"]), b["start_at"]) for b in merged if len(b["images"]) >= 3}
+    v, f = spark.createDataFrame(vectors, "image_id long, v array<double>"), spark.createDataFrame(faces, "image_id long, cluster_id long")
+    got = events.cluster(frame, v, f, 0.82).collect()
+    assert {(r["user_id"], tuple(r["images"]), r["start_at"]) for r in got} == want and len(got) == len(want) > 60
