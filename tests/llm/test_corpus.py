@@ -94,6 +94,69 @@ def test_mix_does_not_depend_on_partitions(spark):
     assert len({k % 10 for k in sevens}) > 5  # not all in one bucket
 
 
+def plain_rounding(rows, target, bucket_rows, fan_in, seed):
+    """Copies per row key of (key, doc_id, source, size), pair by pair and level by level, with dictionaries."""
+    taken, open_, nodes = {}, {}, {}
+    for source in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == source]
+        ratio = target[source] / sum(r[3] for r in own) if sum(r[3] for r in own) else 0.0
+        nodes[source] = -(-len(own) // bucket_rows)
+        for r in own:
+            whole = math.floor(ratio + 1e-9) if r[3] else 0
+            taken[r] = taken.get(r, 0) + whole
+            open_.setdefault(source, []).append([r, max(ratio - whole, 0.0) if r[3] else 0.0, r[0] % nodes[source]])
+    while any(open_.values()):
+        for source, items in open_.items():
+            later = []
+            for bucket in sorted({b for _, _, b in items}):
+                group = sorted((x for x in items if x[2] == bucket), key=lambda x: (-x[0][3], x[0][0], x[0][1] is not None, x[0][1] or 0))
+                for x in group:
+                    x[1] = 0.0 if x[1] < 1e-9 else 1.0 if x[1] > 1 - 1e-9 else x[1]
+                free, kept, seen = [], [], collections.Counter()
+                for x in reversed([x for x in group if 0 < x[1] < 1]):
+                    seen[x[0][3].bit_length()] += 1
+                    (kept if seen[x[0][3].bit_length()] <= 2 else free).insert(0, x)
+                waiting = None
+                for x in free:
+                    if waiting is None:
+                        waiting = x
+                        continue
+                    (a, b), u = (waiting, x), mixing._noise(x[0][0] ^ (waiting[0][0] << 1), seed)
+                    sa, sb = a[0][3], b[0][3]
+                    up, down = min((1 - a[1]) * sa, b[1] * sb), min(a[1] * sa, (1 - b[1]) * sb)
+                    move = up if u * (up + down) < down else -down
+                    for y, p in ((a, a[1] + move / sa), (b, b[1] - move / sb)):
+                        y[1] = 0.0 if p < 1e-9 else 1.0 if p > 1 - 1e-9 else p
+                    waiting = a if 0 < a[1] < 1 else b if 0 < b[1] < 1 else None
+                if nodes[source] == 1:
+                    error, rest = 0.0, kept + [waiting] * (waiting is not None)
+                    for x in sorted(rest, key=lambda x: (-x[0][3], group.index(x))):
+                        up, down = error + (1 - x[1]) * x[0][3], error - x[1] * x[0][3]
+                        x[1], error = (1.0, up) if abs(up) < abs(down) else (0.0, down)
+                for x in group:
+                    if nodes[source] > 1 and 0 < x[1] < 1:
+                        later.append(x)
+                    else:
+                        taken[x[0]] += round(x[1])
+            open_[source] = later
+            nodes[source] = -(-nodes[source] // fan_in)
+            for x in later:
+                x[2] %= nodes[source]
+        seed += 1
+    return taken
+
+
+def test_copies_are_those_of_a_plain_rounding(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.choice([1, 3, 9, 40, 130])), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(500)] + [(1000, "", "a"), (1001, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for bucket_rows, fan_in in ((1_000, 64), (20, 3), (7, 2)):
+        got = mixing.copies(docs.repartition(5), bucket_rows=bucket_rows, fan_in=fan_in).collect()
+        target = {r["source"]: r["target"] for r in got}
+        want = plain_rounding([(r["n_row"], r["doc_id"], r["source"], r["size"]) for r in got], target, bucket_rows, fan_in, 17)
+        assert {(r["n_row"], r["doc_id"], r["source"], r["size"]): r["copies"] for r in got} == want
+
+
 def test_pivot_keeps_mass():
     rng = random.Random(1)
     for _ in range(300):
@@ -506,6 +569,30 @@ def test_rules_are_learned_and_keep_clean_documents(spark):
     assert rules.judge(docs.limit(0), labels).count() == 0
 
 
+def test_documents_are_kept_as_the_list_says(spark):
+    """Every document against the learned list, read condition by condition over statistics of its own text."""
+    docs, labels, _ = labelled(spark)
+    more = [(5_000 + i, t, 1) for i, t in enumerate([prose(random.Random(i), 80, 9 + i) + (" #$%" * i) + ("!" * 9 * i) for i in range(12)] + ["A " * 70, "1 22 333 " * 40, "line of words\n" * 30])]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, score int"))
+    learned = rules.fit(docs, labels)
+    assert learned
+
+    def features(text):
+        n, chars, symbols, dup, repeat, failed = brute_statistics(text)
+        text, w = text or "", re.findall(WORD, text or "")
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        count = lambda pattern: len(re.findall(pattern, text))
+        over = lambda part, whole: part / whole if whole else 0.0
+        return failed, dict(
+            symbol_share=over(symbols, chars), dup_line_share=over(dup, len(lines)), repeat_share=over(repeat, n), upper_share=over(count("[A-Z]"), chars), mean_word=over(chars, n), bang_share=over(count("[!?]"), chars), digit_share=over(count("[0-9]"), chars), distinct_share=over(len(set(w)), n)
+        )
+
+    for r in rules.judge(docs, labels).collect():
+        failed, f = features(r["text"])
+        hit = next((" and ".join(map(str, rule)) for rule in learned if all((f[c.feature] > c.bound) == c.above for c in rule)), None)
+        assert (r["base_failed"], r["kept"], r["rule"]) == (failed, not failed and hit is None, None if failed else hit)
+
+
 def test_grown_rules_are_conjunctions_of_thresholds():
     rng = random.Random(2)
     rows = [{"x": rng.random(), "y": rng.random()} for _ in range(900)]

@@ -1,6 +1,8 @@
 """Wrappers: shapes, alignment, slots and extraction."""
 
+import json
 import random
+import re
 
 from lumenlake.llm import wrappers as w
 
@@ -152,3 +154,38 @@ def test_a_host_of_many_shapes_is_folded_in_a_tree(spark, monkeypatch):
     assert len(sizes) > 2 and max(sizes) < 16  # 32 shapes, no bucket with nearly all of them
     got = {r["page_id"]: r["text"] for r in w.extract(frame).collect()}
     assert all(got[i].startswith(f"t{i}") and got[i].endswith(f"body {i}") for i in range(32)) and got[101] == "text 1"
+
+
+def as_regex(node):
+    """An expression as a regular expression over tags and #, by itself."""
+    if node == "#":
+        return "#?"
+    inner = "".join(map(as_regex, node[2]))
+    own = re.escape(f"<{node[0]}>") + inner + re.escape(f"</{node[0]}>") if node[0] else inner
+    return own if node[1] == "1" else f"(?:{own}){node[1]}"
+
+
+def as_stream(node):
+    """A page's tree as tags and #; neighbouring texts are one."""
+    out = "".join("#" if c == "#" else f"<{c[0]}>{as_stream(c)}</{c[0]}>" for c in node[1])
+    return re.sub("#+", "#", out)
+
+
+def test_every_page_is_a_word_of_its_hosts_expression(spark, monkeypatch):
+    """Random small pages against their host's inferred expression, read as a plain regular expression."""
+    rng = random.Random(12)
+    monkeypatch.setattr(w, "BUCKET_SHAPES", 8)
+
+    def block(depth):
+        kind = rng.choice(["text", "p", "ul", "div", "h2"] if depth < 3 else ["text", "p"])
+        if kind == "text":
+            return "words "
+        if kind == "ul":
+            return "<ul>" + "<li>x</li>" * rng.randint(1, 4) + "</ul>"
+        return f"<{kind}{rng.choice(['', ' class=a', ' class=b'])}>" + "".join(block(depth + 1) for _ in range(rng.randint(0, 3))) + f"</{kind}>"
+
+    pages = [(i, f"http://h{i % 3}.example/{i}", "<body>" + "".join(block(0) for _ in range(rng.randint(1, 5))) + "</body>") for i in range(90)]
+    found = {r["host"]: json.loads(r["shape"]) for r in w.infer(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(found) == 3
+    for i, _, html in pages:
+        assert re.fullmatch(as_regex(found[f"h{i % 3}.example"]), as_stream(w.Page(html).tree)), html
