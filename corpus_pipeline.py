@@ -9,20 +9,23 @@ names, and processes long texts whole; what it does with them stands in the docs
 
 from __future__ import annotations
 
+import gc
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenlake.llm import decontam, jaccard, mixing, nbsvm, records
-from lumenlake.llm._store import materialize, recorded, set_aside
+from lumenlake.llm._store import materialize, recorded, set_aside, trim
 
 
 def _stage(f):
-    """The stage f, which first drops what the stages before it wrote on their way; their results, which
-    are the input of this one, stay."""
+    """The stage f, which first drops what the stages before it wrote on their way and gives back the memory that they
+    freed on the driver; their results, which are the input of this one, stay."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        gc.collect()
+        trim()
         with recorded(spark):
             return f(spark, docs, sf_dir)
 
