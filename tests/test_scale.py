@@ -122,7 +122,7 @@ def test_ranks_of_crowded_values(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, x double")
     spots = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
-    for cells, few in ((order.CELLS, order.FEW), (4, 5)):
+    for cells, few in ((order.CELLS, order.FEW), (64, 30)):
         got = {(r["k"], r["place"]): r["x"] for r in order.ranked_values(df, "k", "x", spots, cells, few).collect()}
         assert got == {(k, p): plain_rank(vs, p) for k, vs in groups.items() for p in spots}
 
