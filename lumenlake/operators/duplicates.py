@@ -20,6 +20,8 @@ def exact_groups(items: DataFrame, owner: str = "user_id", key: str = "sha256")
 
 #: Bits of a band at least; with shorter ones most rows would meet, and blocks are compared in full instead.
 BAND_BITS = 16
+#: Pairs that blocks compare in the time of one that meets by a band.
+BLOCK_SPEED = 20
 
 
 def near_pairs(items: DataFrame, limit: int, words: int, owner: str = "user_id") -> DataFrame:
@@ -27,7 +29,8 @@ def near_pairs(items: DataFrame, limit: int, words: int, owner: str = "user_id")
 
     Bits are dealt to limit + 1 bands; two hashes within the limit agree in a band at least, so equal
     bands are the join keys and no pair is missed.  Hashes too short for bands of BAND_BITS are compared
-    block by block."""
+    block by block, and so are those that meet by bands more often than once in BLOCK_SPEED pairs of an owner, as
+    hashes do many of whose bits hardly differ."""
     total = words * 64
     bands = limit + 1
     if total // bands < BAND_BITS:
@@ -47,12 +50,20 @@ def near_pairs(items: DataFrame, limit: int, words: int, owner: str = "user_id")
         return F.xxhash64(F.lit(band), *parts)
 
     banded = base.withColumn("band", F.explode(F.array(*[bits(b) for b in range(bands)])))
+    if _pairs(banded, owner, "band") * BLOCK_SPEED > _pairs(base, owner):
+        return near_bits(items, limit, owner)
     a = banded.select(owner, "band", F.col("image_id").alias("a"), F.col("h").alias("ha"))
     b = banded.select(owner, "band", F.col("image_id").alias("b"), F.col("h").alias("hb"))
     near = a.join(b, [owner, "band"]).where("a < b").withColumn("distance", hamming_longs("ha", "hb")).where(F.col("distance") <= limit)
     return near.select(owner, "a", "b", "distance").distinct()
 
 
+def _pairs(rows: DataFrame, *keys: str) -> float:
+    """How many pairs of rows have equal keys."""
+    n = F.count("*").cast("double")
+    return rows.groupBy(*keys).agg((n * (n - 1) / 2).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
+
+
 def near_classes(items: DataFrame, limit: int, words: int, owner: str = "user_id") -> DataFrame:
     """(owner, kind, a, b, distance): every image b as a member of the class of its hash, named by the least image a that
     has the same one, and the pairs a < b of classes whose hashes differ in `limit` bits at most.
