@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.common import dealt
+
 # Category slugs in their order; ids count from 1.
 SLUGS = ["people", "selfie", "documents", "food", "travel", "dogs", "cats", "birds", "pets", "nature", "screenshots", "vehicles", "buildings", "other"]
 EVENT_BASES = ["Trip", "Vacation", "Gathering", "Meetup", "Drive", "Documents", "City Visit", "Moments"]
@@ -89,11 +91,13 @@ def lib_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lib_event_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("image_id")).distinct()
+    items = _table(spark, sf_dir, "lineitem")
+    return dealt(items.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("image_id")), items.count(), "image_id").distinct()
 
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("image_id"), F.col("l_suppkey").alias("cluster_id")).distinct()
+    items = _table(spark, sf_dir, "lineitem")
+    return dealt(items.select(F.col("l_partkey").alias("image_id"), F.col("l_suppkey").alias("cluster_id")), items.count(), "image_id").distinct()
 
 
 def face_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

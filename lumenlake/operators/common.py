@@ -44,6 +44,15 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
+#: Rows of a shuffle that one task takes, about, where a plan says in how many tasks it is dealt.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys to as many tasks as `rows` rows need, so that a task's share does not grow with the table."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *keys)
+
+
 # The most rows that a page of each kind has, and the rows of a page without a wish.
 MOST_ROWS = {"search": 100, "people": 50, "events": 50, "documents": 200, "previews": 10, "page": 100}
 DEFAULT_ROWS = 50
