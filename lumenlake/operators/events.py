@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import EARTH_KM, haversine, haversine_km, missing
-from ..functions.vector import cosine as vector_cosine
-from ..functions.vector import l2_normalize
+from ..functions.vector import dot, l2_normalize, norm
 from . import scan, vector_index
 from .common import completed, fold_by
 from .links import roots, settle, shared_folder
@@ -128,24 +127,35 @@ def spatial_pairs(buckets: DataFrame, km: float = PLACE_KM, days: int = PLACE_DA
     return met.withColumn("km", haversine_km("lat_a", "lng_a", "lat_b", "lng_b")).where(F.col("km") <= km)
 
 
-def look_pairs(buckets: DataFrame, vectors: DataFrame, least: float = LOOK_COSINE, days: int = LOOK_DAYS) -> DataFrame:
+def look_pairs(buckets: DataFrame, vectors: DataFrame, least: float = LOOK_COSINE, days: int = LOOK_DAYS, of: Column | None = None) -> DataFrame:
     """Pairs of an owner's dated buckets that start within days of each other and look alike: the cosine of
     the mean vectors of their first images is `least` or more.
 
-    Buckets meet by cells of `days`: each is put in its own and the next one."""
+    of: the vector that an image has, where several images share one; its own unless told.  Buckets meet by cells of
+    `days`: one of a pair is in its own, the other in its own and the one before."""
     slots = buckets.where("start_at is not null").select("user_id", "bucket", "start_at", F.posexplode("images").alias("pos", "image_id")).where(F.col("pos") < LOOK_IMAGES)
-    each = slots.join(vectors.select("image_id", "v"), "image_id").select("user_id", "bucket", "start_at", F.posexplode("v").alias("at", "x"))
-    means = each.groupBy("user_id", "bucket", "start_at", "at").agg(F.avg("x").alias("x"))
-    centre = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"])
-    placed = means.groupBy("user_id", "bucket", "start_at").agg(centre.alias("centre"))
+    slots = slots.select("user_id", "bucket", "start_at", (F.col("image_id") if of is None else of).alias("of"))
+    each = slots.join(vectors.select(F.col("image_id").alias("of"), "v"), "of")
+    held = each.groupBy("user_id", "bucket").agg(F.min("start_at").alias("start_at"), F.collect_list("v").alias("vs"))
+    places = F.sequence(F.lit(0), F.array_max(F.transform("vs", F.size)) - 1)
+
+    def mean(at: Column) -> Column:
+        own = F.filter(F.transform("vs", lambda v: F.get(v, at).cast("double")), lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(own, F.lit(0.0), lambda s, x: s + x), F.size(own))
+
+    placed = held.where(F.array_max(F.transform("vs", F.size)) > 0).select("user_id", "bucket", "start_at", F.transform(places, mean).alias("centre"))
     micros = F.unix_micros(F.col("start_at").cast("timestamp"))
     span = days * 86_400_000_000
-    placed = placed.withColumns({"at": micros, "cell": F.floor(micros / span)})
-    a = placed.select("user_id", *[F.col(c).alias(f"{c}_a") for c in ("bucket", "at", "centre")], F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
-    b = placed.select("user_id", *[F.col(c).alias(f"{c}_b") for c in ("bucket", "at", "centre")], F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
-    near = a.join(b, ["user_id", "cell"]).where("bucket_a < bucket_b").where(F.abs(F.col("at_a") - F.col("at_b")) <= span)
-    alike = near.withColumn("cosine", vector_cosine("centre_a", "centre_b")).where(F.col("cosine") >= least)
-    return alike.select("user_id", "bucket_a", "bucket_b", "cosine").dropDuplicates(["user_id", "bucket_a", "bucket_b"])
+    placed = placed.withColumns({"at": micros, "cell": F.floor(micros / span), "norm": norm("centre")})
+
+    def side(name: str, cells: Column) -> DataFrame:
+        return placed.select("user_id", *[F.col(c).alias(f"{c}_{name}") for c in ("bucket", "at", "centre", "norm", "cell")], cells.alias("cell"))
+
+    met = side("x", F.col("cell")).join(side("y", F.explode(F.array("cell", F.col("cell") - 1))), ["user_id", "cell"])
+    met = met.where((F.col("cell_x") < F.col("cell_y")) | (F.col("bucket_x") < F.col("bucket_y"))).where(F.abs(F.col("at_x") - F.col("at_y")) <= span)
+    size = F.col("norm_x") * F.col("norm_y")
+    alike = met.withColumn("cosine", F.when(size > 0, dot("centre_x", "centre_y") / size).otherwise(0.0)).where(F.col("cosine") >= least)
+    return alike.select("user_id", F.least("bucket_x", "bucket_y").alias("bucket_a"), F.greatest("bucket_x", "bucket_y").alias("bucket_b"), "cosine")
 
 
 def shared_faces(members: DataFrame, starts: DataFrame, least: int = FACE_SHARED, days: int = FACE_DAYS) -> DataFrame:
