@@ -22,6 +22,9 @@ from .common import live, page_size, top_n
 WEIGHT, LIMIT, LEAST_RANK = 0.1, 1.64493406685, 1e-20
 #: Words between which nearness counts; beyond, it is below 1e-29.
 REACH = 100
+#: Steps of 1 in which the terms of ranks are added up: of frequencies, and of the logarithms of nearness, which are less;
+#: these are added up to MOST, where the rank has long been 1.
+STEPS, FINE, MOST = 1e12, 1e16, 10**18
 
 
 def index(texts: DataFrame, key: str = "image_id", text: str = "raw_text") -> DataFrame:
@@ -45,6 +48,11 @@ def write_index(texts: DataFrame, path: str, key: str = "image_id", text: str =
     return spark.read.schema(built.schema).parquet(path)
 
 
+def _whole(x: Column, steps: float) -> Column:
+    """A term of a rank in whole steps: sums of these do not depend on their order, so that equal ranks are equal."""
+    return F.rint(x * steps).cast("long")
+
+
 def _frequency(n: Column) -> Column:
     """The falling weights of n occurrences."""
     return WEIGHT / LIMIT * F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))
@@ -55,15 +63,15 @@ def _nearness(lists: Column) -> Column:
 
     def two(a: Column, b: Column) -> Column:
         apart = F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: (x != y) & (F.abs(x - y) <= REACH)), lambda y: F.abs(x - y).cast("double"))))
-        return F.aggregate(apart, F.lit(0.0), lambda s, d: s + F.log1p(-WEIGHT * F.sqrt(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))))
+        return F.aggregate(apart, F.lit(0).cast("long"), lambda s, d: F.greatest(F.lit(-MOST), s + _whole(F.log1p(-WEIGHT * F.sqrt(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))), FINE)))
 
     size = F.size(lists)
     total = F.aggregate(
         F.sequence(F.lit(0), size - 2),
-        F.lit(0.0),
-        lambda s, i: s + F.aggregate(F.sequence(i + 1, size - 1), F.lit(0.0), lambda t, j: t + two(F.get(lists, i), F.get(lists, j))),
+        F.lit(0).cast("long"),
+        lambda s, i: F.greatest(F.lit(-MOST), s + F.aggregate(F.sequence(i + 1, size - 1), F.lit(0).cast("long"), lambda t, j: F.greatest(F.lit(-MOST), t + two(F.get(lists, i), F.get(lists, j))))),
     )
-    return F.greatest(-F.expm1(total), F.lit(LEAST_RANK))
+    return F.greatest(1 - F.exp(total / FINE), F.lit(LEAST_RANK))
 
 
 def query_terms(queries: DataFrame, query: str = "query", text: str = "text") -> DataFrame:
@@ -81,7 +89,7 @@ def ranked(index: DataFrame, queries: DataFrame, key: str = "image_id", query: s
     vocabulary = index.select("term").distinct()
     prefixes = vocabulary.withColumn("q", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring("term", F.lit(1), n))))
     wanted = prefixes.join(terms, "q").select(query, "q", "n", "term")
-    hits = index.join(wanted, "term").groupBy(query, key, "q").agg(F.first("n").alias("n"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("at"), F.sum(_frequency(F.size("positions"))).alias("own"))
+    hits = index.join(wanted, "term").groupBy(query, key, "q").agg(F.first("n").alias("n"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("at"), (F.sum(_whole(_frequency(F.size("positions")), STEPS)) / STEPS).alias("own"))
     found = hits.groupBy(query, key).agg(F.first("n").alias("n"), F.count("*").alias("__m"), F.sort_array(F.collect_list(F.struct("q", "at"))).alias("each"), F.sum("own").alias("own")).where("__m = n")
     places = F.transform("each", lambda x: x["at"])
     return found.select(query, key, F.when(F.col("n") == 1, F.col("own")).otherwise(_nearness(places)).alias("rank"))
