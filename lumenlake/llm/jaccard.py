@@ -3,7 +3,8 @@
 A document's set holds its distinct k-word shingles.  Documents with equal sets form a class, which
 one of them stands for from then on.  The join goes by blocks: two sets of the wanted similarity
 share one of their first n - ceil(t n) + 1 shingles in any order common to all sets.  The order puts
-frequent shingles last, so that a passage that many documents share makes no block.
+frequent shingles last, so that a passage that many documents share makes no block.  A block takes sets
+of like sizes only, by what the place of the shingle leaves to share; of blocks of equal sets one is kept.
 
 Sets are points of group counts, and R-trees over them give the pairs whose summed coordinate minima
 allow the similarity.  First the points that share a block with some block's least document are
@@ -20,6 +21,7 @@ count each document's links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,8 @@ LEAST_CHUNK = 256
 GROUP_SHINGLES = 2_000_000
 #: Sets of a component that one task compares with as many others, and shingles that it looks at together.
 LINK_ROWS, LINK_COLUMNS = 1_024, 4_096
+#: Least logarithm of the ratio of the largest to the smallest size of a range.
+LEAST_RANGE = 0.01
 #: Bits per document of the filter that picks those whose sets are compared, and log2 of its bits at least and at most
 #: (16 MB).  More documents than that are picked by a join.
 NODE_BITS, LEAST_BITS, MOST_BITS = 8, 16, 27
@@ -292,6 +296,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return both.select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long").distinct()
 
 
+def _cells(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, token, own): the prefix shingles of every set, by the range of sizes of the sets that it may be alike there.
+
+    Where p shingles come before the first one that two sets share, the smaller set, of n, shares n - p at most, which
+    bounds the other's size.  So the smaller is in all ranges from its own to that of the bound; the larger in its own."""
+    width = max(math.log(den / num), LEAST_RANGE)
+    at = lambda size: F.floor(F.log(size) / width)
+    most = F.floor((den * F.col("n") - (num + den) * F.col("pos")) / num)
+    placed = reps.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    ranges = placed.select("node", "shingle", at(F.col("n")).alias("own"), F.explode(F.sequence(at(F.col("n")), at(F.greatest("n", most)))).alias("range"))
+    return ranges.select("node", F.xxhash64("shingle", "range").alias("token"), (F.col("range") == F.col("own")).alias("own"))
+
+
+def _shared_cells(cells: DataFrame) -> DataFrame:
+    """(token, size, hub): the cells of several sets, one of them of the range itself, with the least; of cells of the
+    same sets only one."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark_{k}") for k in (1, 2)]
+    sizes = cells.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.bool_or("own").alias("own"), *marks).where("size > 1 and own")
+    return sizes.groupBy("size", "hub", "mark_1", "mark_2").agg(F.min("token").alias("token")).select("token", "size", "hub")
+
+
 def _tiles(rows: DataFrame, key: str, chunks: Column) -> DataFrame:
     """rows with `chunk` and `tile`: a key's rows are dealt to chunks, and every two of them meet in a tile."""
     return (
@@ -500,9 +525,9 @@ def classes(
         "classes",
     )
     # sums per token combine before the shuffle, and their join can be split, so a frequent token is no large task
-    tokens = reps.select("node", F.explode("prefix").alias("token"))
-    shared = materialize(tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1"), "tokens")
-    blocks = materialize(tokens.join(shared, "token"), "blocks")
+    tokens = _cells(reps, num, den)
+    shared = materialize(_shared_cells(tokens), "tokens")
+    blocks = materialize(tokens.drop("own").join(shared, "token"), "blocks")
     first = materialize(_bounded(blocks.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), reps, num, den), "pairs")
     links = materialize(_verified(first, docs, k, num, den), "links")
     component = components(links)
