@@ -154,10 +154,27 @@ def set_where(df: DataFrame, condition: Column, **values) -> DataFrame:
     return df.withColumns({c: F.when(condition, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
 
 
+#: Folders that one task writes, about.
+TASK_FOLDERS = 100
+
+
+def dealt_to_folders(df: DataFrame, key: str) -> DataFrame:
+    """df dealt to as many tasks as its folders, one for each key, or its rows need; a key of very many rows to several."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("__rows"))
+    folders, rows = sizes.agg(F.count("*"), F.coalesce(F.sum("__rows"), F.lit(0))).first()
+    tasks = max(1, -(-folders // TASK_FOLDERS), -(-rows // TASK_ROWS))
+    if rows <= TASK_ROWS:
+        return df.repartition(tasks, key)
+    large = sizes.where(F.col("__rows") > TASK_ROWS).select(F.col(key).alias("__key"), F.ceil(F.col("__rows") / TASK_ROWS).alias("__parts"))
+    part = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]), F.coalesce("__parts", F.lit(1)))
+    placed = df.join(F.broadcast(large), F.col(key).eqNullSafe(F.col("__key")), "left").withColumn("__part", part)
+    return placed.repartition(tasks, key, "__part").select(*df.columns)
+
+
 def replace_tenant(df: DataFrame, path: str, tenant: str = "user_id") -> None:
     """Write df over the partitions of its tenants only; other tenants' files stay.  A tenant's rows are few files, and a
-    large tenant is several, which no one task writes alone."""
-    df.hint("rebalance", tenant).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tenant).parquet(path)
+    large tenant is several, which no one task writes alone; many small tenants are written by many tasks."""
+    dealt_to_folders(df, tenant).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tenant).parquet(path)
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, after: int | None = None) -> int:
