@@ -7,6 +7,9 @@ condition.  The steps are plain data, so that any engine with regular expression
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +135,35 @@ def lexicon(words: DataFrame, word: str = "word") -> DataFrame:
     return words.select(word).distinct().where(~is_stop_word(word)).withColumn("term", stem(word))
 
 
+@cache
+def _compiled() -> tuple[re.Pattern, list]:
+    """What a word must have for any step to change it, and the steps as compiled expressions, each rule with the letters
+    that it ends with, if these are always the same."""
+
+    def tail(pattern: str) -> str:
+        found = re.search(r"[)*]([a-z]+)\)?\$$", pattern)
+        return found[1] if found else ""
+
+    return re.compile("|".join(GUARDS)), [(re.compile(guard), [(tail(p), re.compile(p), put) for p, put in rules]) for guard, rules in zip(GUARDS, STEPS, strict=True)]
+
+
+def stem_of(word: str) -> str:
+    """stem() of one word, for tasks that have words at hand: the same steps."""
+    if word in KNOWN or len(word) <= 2:
+        return KNOWN.get(word, word)
+    some, steps = _compiled()
+    if not some.search(word):
+        return word
+    marked = re.sub(f"({_V})y", "\\1Y", re.sub("^y", "Y", word)) if "y" in word else word
+    for guard, rules in steps:
+        if guard.search(marked):
+            for tail, pattern, put in rules:
+                if marked.endswith(tail) and (found := pattern.search(marked)):
+                    marked = found.expand(put)
+                    break
+    return marked.replace("Y", "y")
+
+
 def stem_sql(word: str = "word", table: str = "words") -> str:
     """A query of (word, term) over a table of distinct words in DuckDB's SQL: the same steps, one after the other."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"

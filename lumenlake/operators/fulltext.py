@@ -8,13 +8,17 @@ occurrences; for one of several words it grows with every two occurrences of dif
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.english import is_stop_word, lexicon, stem
+from ..functions.english import STOP_WORDS, is_stop_word, lexicon, stem, stem_of
 from ..functions.text import tokens
 from .common import live, page_size, top_n
 
@@ -25,26 +29,109 @@ REACH = 100
 #: Steps of 1 in which the terms of ranks are added up: of frequencies, and of the logarithms of nearness, which are less;
 #: these are added up to MOST, where the rank has long been 1.
 STEPS, FINE, MOST = 1e12, 1e16, 10**18
+#: Words whose stems a task keeps, and bytes of an Arrow batch of texts.
+HELD_WORDS, BATCH_BYTES = 1_000_000, 4 << 20
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, key, positions) of each row's words, by sorting them by row and stem.  A stem is worked out once per word of
+    a task, as long as the words held are not too many."""
+    stems: dict[str, str | None] = {"": None} | dict.fromkeys(STOP_WORDS)
+    least = len(stems)
+
+    def known(word: str) -> str | None:
+        if word not in stems:
+            stems[word] = stem_of(word)
+        return stems[word]
+
+    for batch in batches:
+        lists = batch.column(1)
+        words = lists.flatten().dictionary_encode()
+        distinct, code = words.dictionary.to_pylist(), words.indices.to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+        # what a separator at an end of a text leaves is no word
+        is_word = np.array([w != "" for w in distinct], bool)[code] if len(code) else np.zeros(0, bool)
+        row, code = row[is_word], code[is_word]
+        pos = np.arange(len(row)) - np.searchsorted(row, row)
+        terms = pa.array([known(w) for w in distinct], pa.string()).dictionary_encode()
+        term = terms.indices.fill_null(-1).to_numpy()[code]
+        row, pos, term = row[term >= 0], pos[term >= 0], term[term >= 0]
+        order = np.argsort(row * max(1, len(terms.dictionary)) + term, kind="stable")
+        row, pos, term = row[order], pos[order], term[order]
+        starts = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(term, prepend=-1))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(pos, pa.int32()))
+        yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(term[starts])), batch.column(0).take(pa.array(row[starts])), positions], ["term", batch.schema.names[0], "positions"])
+        if len(stems) > HELD_WORDS:
+            stems = dict(list(stems.items())[:least])
+
+
+def _by_record(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, key, positions) of each row of texts by itself."""
+    spark = texts.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    kind = texts.schema[key].dataType.simpleString()
+    words = F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+")
+    return texts.select(key, words.alias("words")).mapInArrow(_postings, f"term string, `{key}` {kind}, positions array<int>")
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of (term, key, positions), which come in order, with those of equal term and key as one."""
+    held: pa.Table | None = None
+
+    def out(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(starts) < rows.num_rows:
+            lists = rows.column(2).combine_chunks()
+            sizes = np.add.reduceat(lists.value_lengths().to_numpy(), starts)
+            values, group = lists.flatten().to_numpy(), np.repeat(np.arange(len(starts)), sizes)
+            at = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            positions = pa.ListArray.from_arrays(at, pa.array(values[np.lexsort((values, group))], pa.int32()))
+            rows = rows.take(pa.array(starts)).set_column(2, "positions", positions)
+        yield from rows.to_batches()
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for c in (0, 1):
+            now, last = rows.column(c).slice(1), rows.column(c).slice(0, rows.num_rows - 1)
+            same = pc.or_(pc.equal(now, last).fill_null(False), pc.and_(pc.is_null(now), pc.is_null(last)))
+            new[1:] |= ~same.to_numpy()
+        starts = np.flatnonzero(new)
+        held = rows.slice(starts[-1])  # its record may go on in the next batch
+        if len(starts) > 1:
+            yield from out(rows.slice(0, starts[-1]), starts[:-1])
+    if held is not None:
+        yield from out(held, np.zeros(1, np.int64))
+
+
+def _merged(dealt: DataFrame, key: str) -> DataFrame:
+    """The postings of an index in order of term and key, of postings whose equal terms and keys are in one task."""
+    rows = dealt.sortWithinPartitions("term", key)
+    return rows.mapInArrow(_joined, rows.schema)
 
 
 def index(texts: DataFrame, key: str = "image_id", text: str = "raw_text") -> DataFrame:
     """(term, key, positions): per stem and record the places of its words, counted over all words.
 
-    Stop words count as places and are left out.  Words are gathered per record before the shuffle, and stems
-    are worked out once per distinct word.  Null and empty texts have no rows; rows of one key are one record."""
-    each = texts.select(key, F.posexplode(tokens(text)).alias("pos", "word")).where(~is_stop_word("word"))
-    by_word = each.groupBy("word", key).agg(F.collect_list("pos").alias("at"))
-    terms = by_word.join(lexicon(each), "word").groupBy("term", key)
-    return terms.agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+    Stop words count as places and are left out.  The words of a text are gathered by stem before the shuffle.  Null
+    and empty texts have no rows; rows of one key are one record."""
+    return _merged(_by_record(texts, key, text).repartition("term", key), key)
 
 
 def write_index(texts: DataFrame, path: str, key: str = "image_id", text: str = "raw_text") -> DataFrame:
     """Write an index in order of term, so that a search by terms reads little else, and read it back.
 
-    The records of one term are spread over files, however many they are."""
+    The records of one term are spread over files, however many they are.  Postings are written down as they come, since
+    ranges are found by reading them twice; one shuffle then brings them in order."""
     spark = texts.sparkSession
-    built = index(texts, key, text)
-    built.repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(path)
+    found = _by_record(texts, key, text)
+    found.write.mode("overwrite").parquet(f"{path}-unsorted")
+    found = spark.read.schema(found.schema).parquet(f"{path}-unsorted")
+    built = _merged(found.repartitionByRange("term", key), key)
+    built.write.mode("overwrite").parquet(path)
     return spark.read.schema(built.schema).parquet(path)
 
 
