@@ -49,8 +49,8 @@ GROUP_SHINGLES = 2_000_000
 LINK_ROWS, LINK_COLUMNS = 1_024, 4_096
 #: Least logarithm of the ratio of the largest to the smallest size of a range.
 LEAST_RANGE = 0.01
-#: Bits per document of the filter that picks those whose sets are compared, and log2 of its bits at least and at most
-#: (16 MB).  More documents than that are picked by a join.
+#: Bits per id of the filters that pick documents whose sets are compared and tokens of several sets, and log2 of a filter's
+#: bits at least and at most (16 MB).  More documents than that are picked by a join; of more tokens more pass.
 NODE_BITS, LEAST_BITS, MOST_BITS = 8, 16, 27
 
 
@@ -229,9 +229,9 @@ def _filter_places(ids: np.ndarray, size: int) -> np.ndarray:
 
 
 def _id_filter(ids: DataFrame, size: int) -> np.ndarray:
-    """A Bloom filter of 2^size bits over the column `node` of ids, as an array of longs.
+    """A Bloom filter of 2^size bits over the first column of ids, as an array of longs.
 
-    It only spares work: an id that it lets through by mistake gets a set that no pair asks for."""
+    It only spares work: what it lets through by mistake, a join leaves out later."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,6 +248,12 @@ def _id_filter(ids: DataFrame, size: int) -> np.ndarray:
     return bits
 
 
+def _held(bits: np.ndarray, ids: np.ndarray, size: int) -> pa.Array:
+    """Which ids a filter of 2^size bits lets through."""
+    at = _filter_places(ids, size)
+    return pa.array((((bits.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)) > 0).all(axis=0))
+
+
 def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     both = np.sort(np.concatenate([x, y]), kind="stable")
     shared = int((both[1:] == both[:-1]).sum())
@@ -269,9 +275,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if shared is not None:
-                at = _filter_places(batch.column(0).to_numpy(), size)
-                held = (shared.value.view(np.uint64)[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-                batch = batch.filter(pa.array(held.all(axis=0)))
+                batch = batch.filter(_held(shared.value, batch.column(0).to_numpy(), size))
             if batch.num_rows:
                 raw = [s.tobytes() for _, s in shingle_sets(batch.column(1), k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["node", "shingles"])
@@ -309,12 +313,27 @@ def _cells(reps: DataFrame, num: int, den: int) -> DataFrame:
     return ranges.select("node", F.xxhash64("shingle", "range").alias("token"), (F.col("range") == F.col("own")).alias("own"))
 
 
-def _shared_cells(cells: DataFrame) -> DataFrame:
-    """(token, size, hub): the cells of several sets, one of them of the range itself, with the least; of cells of the
-    same sets only one."""
+def _blocks(cells: DataFrame) -> DataFrame:
+    """(token, node, size, hub): the cells of several sets, one of them of the range itself, with their number and the
+    least; of cells of the same sets only one.
+
+    Nearly all cells are of one set.  They are shuffled once, as a token and its count; a filter of bounded size over the
+    tokens of several then leaves out nearly all others before any join."""
+    several = materialize(cells.groupBy("token").agg(F.count("*").alias("size"), F.bool_or("own").alias("own")).where("size > 1 and own").select("token"), "tokens")
+    size = min(MOST_BITS, max(LEAST_BITS, int(several.count() * NODE_BITS).bit_length()))
+    shared = cells.sparkSession.sparkContext.broadcast(_id_filter(several, size))
+
+    @tidy
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(_held(shared.value, batch.column(0).to_numpy(), size))
+
+    # sums per token combine before the shuffle, and the joins can be split, so a frequent token is no large task
+    held = materialize(cells.select("token", "node").mapInArrow(picked, "token long, node long").join(several, "token"), "blocks")
     marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark_{k}") for k in (1, 2)]
-    sizes = cells.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.bool_or("own").alias("own"), *marks).where("size > 1 and own")
-    return sizes.groupBy("size", "hub", "mark_1", "mark_2").agg(F.min("token").alias("token")).select("token", "size", "hub")
+    sizes = held.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("hub"), *marks)
+    one = sizes.groupBy("size", "hub", "mark_1", "mark_2").agg(F.min("token").alias("token")).select("token", "size", "hub")
+    return materialize(held.join(one, "token"), "blocks")
 
 
 def _tiles(rows: DataFrame, key: str, chunks: Column) -> DataFrame:
@@ -524,10 +543,7 @@ def classes(
         seen.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.any_value("coarse").alias("coarse"), F.any_value("point").alias("point"), F.any_value("prefix").alias("prefix")),
         "classes",
     )
-    # sums per token combine before the shuffle, and their join can be split, so a frequent token is no large task
-    tokens = _cells(reps, num, den)
-    shared = materialize(_shared_cells(tokens), "tokens")
-    blocks = materialize(tokens.drop("own").join(shared, "token"), "blocks")
+    blocks = _blocks(_cells(reps, num, den))
     first = materialize(_bounded(blocks.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), reps, num, den), "pairs")
     links = materialize(_verified(first, docs, k, num, den), "links")
     component = components(links)
