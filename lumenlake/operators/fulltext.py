@@ -8,8 +8,9 @@ occurrences; for one of several words it grows with every two occurrences of dif
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql.window import Window
 
 from ..functions.english import STOP_WORDS, is_stop_word, lexicon, stem, stem_of
 from ..functions.text import tokens
+from . import links
 from .common import live, page_size, top_n
 
 # The weight of a plain word; the sum of 1 / n^2; the rank of a match without near words.
@@ -31,6 +33,15 @@ REACH = 100
 STEPS, FINE, MOST = 1e12, 1e16, 10**18
 #: Words whose stems a task keeps, and bytes of an Arrow batch of texts.
 HELD_WORDS, BATCH_BYTES = 1_000_000, 4 << 20
+#: Words of the records that one task searches, the least for which another task is worth it, and queries that it answers;
+#: letters of a word, with what parts it from the next.
+PART_WORDS, LEAST_WORDS, PART_QUERIES, WORD_LETTERS = 6_000_000, 50_000, 100_000, 6
+#: Pairs of places that are looked at at once.
+PAIRS = 2_000_000
+#: The terms of nearness by distance, in whole steps, in two parts whose sums are exact as doubles; none for one place.
+HALF = 1 << 26
+_NEAR = [0] + [round(FINE * math.log1p(-WEIGHT * math.sqrt(1.0 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))))) for d in range(1, REACH + 1)]
+_HIGH, _LOW = (np.array(x, float) for x in zip(*(divmod(t, HALF) for t in _NEAR), strict=True))
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,13 +76,16 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stems = dict(list(stems.items())[:least])
 
 
+def _words(text: str) -> Column:
+    return F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+").alias("words")
+
+
 def _by_record(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, positions) of each row of texts by itself."""
     spark = texts.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kind = texts.schema[key].dataType.simpleString()
-    words = F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+")
-    return texts.select(key, words.alias("words")).mapInArrow(_postings, f"term string, `{key}` {kind}, positions array<int>")
+    return texts.select(key, _words(text)).mapInArrow(_postings, f"term string, `{key}` {kind}, positions array<int>")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,12 +197,194 @@ def ranked(index: DataFrame, queries: DataFrame, key: str = "image_id", query: s
 
 
 def find(index: DataFrame, queries: DataFrame, limit: int = 50, key: str = "image_id", query: str = "query", text: str = "text", order: DataFrame | None = None) -> DataFrame:
-    """(query, key, rank, rn): the first `limit` records of each query by rank, then by what `order` (key, at) says, the
-    latest first, then by key."""
-    found, by = ranked(index, queries, key, query, text), [F.desc("rank"), F.desc(key)]
-    if order is not None:
-        found, by = found.join(order.toDF(key, "__at"), key, "left"), [F.desc("rank"), F.desc_nulls_last("__at"), F.desc(key)]
-    return top_n(found, [query], by, limit).select(query, key, "rank", "rn")
+    """(query, key, rank, rn): the first `limit` records of each query by rank, then by what `order` (key, at), a row a key,
+    says, the latest first, then by key."""
+    words = index.agg(F.sum(F.size("positions"))).first()[0]
+    return _first(index.select(key, "term", "positions"), words, queries, limit, key, query, text, order)
+
+
+def find_texts(texts: DataFrame, queries: DataFrame, limit: int = 50, key: str = "image_id", column: str = "raw_text", query: str = "query", text: str = "text", order: DataFrame | None = None) -> DataFrame:
+    """find() in the index of texts, which is built in parts, by records, where it is searched and is not written down."""
+    letters = texts.agg(F.sum(F.length(column))).first()[0]
+    rows = texts.where(F.col(column).isNotNull()).select(key, F.col(column).alias("__text"))
+    return _first(rows, -(-(letters or 0) // WORD_LETTERS), queries, limit, key, query, text, order)
+
+
+def _first(rows: DataFrame, words: int | None, queries: DataFrame, limit: int, key: str, query: str, text: str, order: DataFrame | None) -> DataFrame:
+    """find() in the rows (key, term, positions) of an index, or in texts (key, __text), of about so many words.
+
+    Records are dealt to parts, and each part answers all queries and gives its first records of each.  What is shuffled is
+    the records, once for PART_QUERIES queries, and the first records; the records that match are not."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    asked = links.settle(query_terms(queries, query, text).groupBy(query).agg(F.collect_set("q").alias("terms")))
+    blocks = max(1, -(-asked.count() // PART_QUERIES))
+    parts = max(1, -(-(words or 0) // PART_WORDS), min(spark.sparkContext.defaultParallelism, (words or 0) // LEAST_WORDS))
+    part, block = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"), F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int")
+    each_part, each_block = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")
+    kind = rows.schema[key].dataType
+    at = order.toDF(key, "__at") if order is not None else rows.select(key, F.lit(None).cast("int").alias("__at")).limit(0)
+    dealt = rows.unionByName(at.withColumn(key, F.col(key).cast(kind)), allowMissingColumns=True).select("*", part.alias("__part"), each_block)
+    dealt = dealt.unionByName(asked.withColumnRenamed(query, "__query").select("*", F.pmod(F.xxhash64("__query"), F.lit(blocks)).cast("int").alias("__block"), each_part), allowMissingColumns=True)
+    dealt = dealt.repartitionById(parts * blocks, F.col("__part") * blocks + F.col("__block")).drop("__part", "__block")
+    if "__text" in rows.columns:  # split where they are searched: words take more room than their text
+        dealt = dealt.select(*[c for c in dealt.columns if c != "__text"], _words("__text"))
+    kinds = dict(dealt.dtypes)
+    found = dealt.mapInArrow(partial(_answers, key, limit), f"__query {kinds['__query']}, __key {kinds[key]}, __at {kinds['__at']}, rank double")
+    return top_n(found, ["__query"], [F.desc("rank"), F.desc_nulls_last("__at"), F.desc("__key")], limit).select(F.col("__query").alias(query), F.col("__key").alias(key), "rank", "rn")
+
+
+def _answers(key: str, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first records of each query (__query, terms) in a part of an index: rows (key, words) or (key, term, positions),
+    and (key, __at), the time of a record."""
+    asked, times, held = [], [], []
+    schema = None
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        nonlocal schema
+        for batch in batches:
+            schema = batch.schema
+            asked.append(batch.filter(batch["terms"].is_valid()).select(["__query", "terms"]))
+            times.append(batch.filter(batch["__at"].is_valid()).select([key, "__at"]))
+            if "words" in schema.names:
+                yield batch.filter(batch["words"].is_valid()).select([key, "words"])
+            else:
+                held.append(batch.filter(batch["term"].is_valid()).select(["term", key, "positions"]))
+
+    held += [b for b in _postings(rows()) if b.num_rows]
+    held = [b for b in held if b.num_rows]
+    if not held:
+        return
+    part = _Part(pa.Table.from_batches(held), pa.Table.from_batches(times), key)
+    held.clear()
+    by_terms: dict[tuple, list] = {}
+    for b in asked:
+        for q, terms in zip(b["__query"].to_pylist(), b["terms"].to_pylist(), strict=True):
+            by_terms.setdefault(tuple(sorted(terms)), []).append(q)
+    kinds = [schema.field(n).type for n in ("__query", key, "__at")]
+    some, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        record = pa.array(np.concatenate([r for _, r, _ in some]))
+        query = pa.array([q for q, r, _ in some for _ in range(len(r))], kinds[0])
+        return pa.RecordBatch.from_arrays([query, part.keys.take(record), part.times.take(record), pa.array(np.concatenate([x for *_, x in some]))], ["__query", "__key", "__at", "rank"])
+
+    for terms, asking in by_terms.items():
+        record, rank = part.first(terms, limit)
+        if len(record):
+            some += [(q, record, rank) for q in asking]
+            size += len(asking) * len(record)
+        if size > 100_000:
+            yield out()
+            some, size = [], 0
+    if some:
+        yield out()
+
+
+class _Part:
+    """Some records' index in memory.  Records are numbered in the order in which they come at equal rank."""
+
+    def __init__(self, postings: pa.Table, times: pa.Table, key: str):
+        coded = postings[key].combine_chunks().dictionary_encode(null_encoding="encode")
+        keys = coded.dictionary
+        known = times[key].combine_chunks()
+        at = times["__at"].combine_chunks().take(pc.index_in(keys, value_set=known, skip_nulls=True))
+        order = pc.sort_indices(pa.table({"at": at, "key": keys}), sort_keys=[("at", "descending"), ("key", "descending")], null_placement="at_end").to_numpy()
+        self.keys, self.times = keys.take(pa.array(order)), at.take(pa.array(order))
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        words = postings["term"].combine_chunks().dictionary_encode()
+        self.terms = sorted(words.dictionary.to_pylist())
+        place = {t: k for k, t in enumerate(self.terms)}
+        rank_of = np.array([place[t] for t in words.dictionary.to_pylist()], np.int32)
+        lists = postings["positions"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        term = np.repeat(rank_of[words.indices.to_numpy()], sizes)
+        record = np.repeat(number[coded.indices.to_numpy()], sizes)
+        self.pos = lists.flatten().to_numpy()
+        self.span = int(self.pos.max(initial=0)) + REACH + 1
+        order = np.argsort(term.astype(np.int64) * len(number) + record, kind="stable")
+        term, record, self.pos = term[order], record[order], self.pos[order]
+        self.starts = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(record, prepend=-1) != 0))
+        self.sizes = np.diff(np.append(self.starts, len(term)))
+        self.record = record[self.starts]
+        self.begins = np.searchsorted(term[self.starts], np.arange(len(self.terms) + 1))
+        weights = WEIGHT / LIMIT * np.append(0.0, np.cumsum(1.0 / np.arange(1, self.sizes.max() + 1, dtype=float) ** 2))
+        self.own = np.rint(weights * STEPS)
+        self.kept: dict[str, np.ndarray] = {}
+        self.room = len(self.pos)
+
+    def _range(self, term: str) -> slice:
+        """The postings of the terms that one begins."""
+        return slice(self.begins[bisect_left(self.terms, term)], self.begins[bisect_left(self.terms, term + chr(0x10FFFF))])
+
+    def _records(self, term: str, some: slice) -> np.ndarray:
+        """The distinct records of postings, in order."""
+        record = self.record[some]
+        if len(record) < 2 or bool((record[1:] > record[:-1]).all()):
+            return record
+        if term not in self.kept:
+            if self.room < len(record):
+                self.kept, self.room = {}, len(self.pos)
+            self.kept[term] = np.unique(record)
+            self.room -= len(record)
+        return self.kept[term]
+
+    def first(self, terms: tuple[str, ...], limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first records that match all terms, and their ranks."""
+        ranges = [self._range(t) for t in terms]
+        if any(r.start == r.stop for r in ranges):
+            return np.zeros(0, np.int32), np.zeros(0)
+        lists = [self._records(t, r) for t, r in zip(terms, ranges, strict=True)]
+        record = min(lists, key=len)
+        for other in lists:
+            if other is not record:
+                at = np.searchsorted(other, record)
+                record = record[other[np.minimum(at, len(other) - 1)] == record]
+        if not len(record):
+            return record, np.zeros(0)
+        if len(terms) == 1:
+            rank = np.bincount(np.searchsorted(record, self.record[ranges[0]]), self.own[self.sizes[ranges[0]]], len(record)) / STEPS
+        else:
+            rank = self._near(record, ranges)
+        if len(record) > limit:
+            least = np.partition(rank, len(rank) - limit)[len(rank) - limit]
+            record, rank = record[rank >= least], rank[rank >= least]
+        best = np.lexsort((record, -rank))[:limit]
+        return record[best], rank[best]
+
+    def _near(self, record: np.ndarray, ranges: list[slice]) -> np.ndarray:
+        """_nearness() of the places of some terms in the records given, which are in order."""
+        places = []
+        for some in ranges:
+            found = self.record[some]
+            at = np.minimum(np.searchsorted(record, found), len(record) - 1)
+            hit = record[at] == found
+            n, start = self.sizes[some][hit], self.starts[some][hit]
+            ends = np.cumsum(n)
+            spot = np.arange(ends[-1]) + np.repeat(start - ends + n, n)
+            places.append(np.sort(np.repeat(at[hit], n) * self.span + self.pos[spot]))
+        high, low = np.zeros(len(record)), np.zeros(len(record))
+        for i, x in enumerate(places):
+            for y in places[i + 1 :]:
+                x, z = (x, y) if len(x) <= len(y) else (y, x)
+                first, last = np.searchsorted(z, x - REACH), np.searchsorted(z, x + REACH, "right")
+                ends = np.cumsum(last - first)
+                for cut in range(0, int(ends[-1]), PAIRS):
+                    a, b = np.searchsorted(ends, [cut, cut + PAIRS], "right") if ends[-1] > PAIRS else (0, len(x))
+                    n = (last - first)[a:b]
+                    if not n.sum():
+                        continue
+                    to = np.cumsum(n)
+                    apart = np.abs(z[np.arange(to[-1]) + np.repeat(first[a:b] - to + n, n)] - np.repeat(x[a:b], n))
+                    of = np.repeat(x[a:b] // self.span, n)
+                    high += np.bincount(of, _HIGH[apart], len(record))
+                    low += np.bincount(of, _LOW[apart], len(record))
+                x = places[i]
+        about = high * HALF + low
+        total = np.where(about < -MOST, -MOST, (np.maximum(high, -2.0 * MOST / HALF)).astype(np.int64) * HALF + low.astype(np.int64))
+        each, of = np.unique(np.maximum(total, -MOST), return_inverse=True)
+        return np.array([max(1 - math.exp(t / FINE), LEAST_RANK) for t in each.tolist()])[of]
 
 
 def page(index: DataFrame, images: DataFrame, text: str, owner, limit: int | None = None, offset: int = 0, key: str = "image_id") -> DataFrame:
