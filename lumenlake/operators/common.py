@@ -173,7 +173,8 @@ def dealt_to_folders(df: DataFrame, key: str) -> DataFrame:
 
 def replace_tenant(df: DataFrame, path: str, tenant: str = "user_id") -> None:
     """Write df over the partitions of its tenants only; other tenants' files stay.  A tenant's rows are few files, and a
-    large tenant is several, which no one task writes alone; many small tenants are written by many tasks."""
+    large tenant is several, which no one task writes alone; many small tenants are written by many tasks.  The driver puts each
+    folder in place by itself: for tables of very many tenants there is stored.replace()."""
     dealt_to_folders(df, tenant).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tenant).parquet(path)
 
 

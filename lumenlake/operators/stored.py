@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from . import commits
 from .commits import Conflict
 from .common import upsert
 
-__all__ = ["Conflict", "create", "merge", "read"]
+__all__ = ["Conflict", "create", "merge", "read", "replace"]
 
 #: Buckets of a table unless told; a commit names each.
 BUCKETS = 64
@@ -75,13 +76,39 @@ def merge(spark: SparkSession, root: str, new: DataFrame | None = None, gone: Da
     read and written."""
     state = _state(spark, root, version)
     keys, by, buckets = state["keys"], state["by"], state["buckets"]
-    changed = [df.select(_bucket(by, buckets).alias("b")).distinct() for df in (new, gone) if df is not None]
-    touched = {str(r["b"]) for df in changed for r in df.collect()}  # `buckets` of them at most
+    touched = _touched([df for df in (new, gone) if df is not None], by, buckets)
     rows = _rows(spark, state, sorted(touched))
     if gone is not None:
         rows = rows.join(gone.select(*keys), keys, "left_anti")
     if new is not None:
         rows = upsert(rows, new.select(*rows.columns), keys)
-    written = _write(rows.select(*T.StructType.fromJson(state["schema"]).names), root, by, buckets) if touched else {}
+    return _rewritten(spark, root, state, rows, touched)
+
+
+def replace(spark: SparkSession, root: str, new: DataFrame, owners: DataFrame | None = None, version: int | None = None) -> int:
+    """Put the rows of `new` in place of all rows of their owners (the columns that buckets are of), and return the new version.
+
+    owners: those whose rows go, also where `new` has none for them.  version, and what is read and written: as in merge(),
+    so that owners may be many: their rows share the files of their buckets, and no file or folder is one owner's."""
+    state = _state(spark, root, version)
+    by, buckets = state["by"], state["buckets"]
+    gone = new.select(*by) if owners is None else new.select(*by).unionByName(owners.select(*by))
+    touched = _touched([gone], by, buckets)
+    rows = _rows(spark, state, sorted(touched))
+    gone = gone.distinct().toDF(*[f"__{c}" for c in by])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    rows = rows.join(gone, same, "left_anti").unionByName(new.select(*rows.columns))
+    return _rewritten(spark, root, state, rows, touched)
+
+
+def _touched(changed: list[DataFrame], by: list[str], buckets: int) -> set[str]:
+    """The buckets of changed rows."""
+    each = [df.select(_bucket(by, buckets).alias("b")).distinct() for df in changed]
+    return {str(r["b"]) for df in each for r in df.collect()}  # `buckets` of them at most
+
+
+def _rewritten(spark: SparkSession, root: str, state: dict, rows: DataFrame, touched: set[str]) -> int:
+    """Commit `rows` as all rows of the buckets that are touched."""
+    written = _write(rows.select(*T.StructType.fromJson(state["schema"]).names), root, state["by"], state["buckets"]) if touched else {}
     kept = {b: f for b, f in state["folders"].items() if b not in touched}
     return _commit(spark, root, state["version"] + 1, state | {"folders": kept | written})
